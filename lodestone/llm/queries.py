@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan
+from . import language, media, repetition, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
+def op7_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op10_secret_scan,)}
+QUERIES = {f.__name__: f for f in (op4_repetition, op7_media_sniffing, op8_language_mixture, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}

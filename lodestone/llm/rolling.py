@@ -36,10 +36,9 @@ def powers(base: U, n: int) -> np.ndarray:
         size = 1 << max(16, int(n - 1).bit_length())
         out = np.ones(size, U)
         out[1] = base
-        done, step = 2, base * base
+        done = 2
         while done < size:  # doubling: the second half is the first times base**done
-            out[done : 2 * done] = out[:done] * step
-            step = step * step
+            out[done : 2 * done] = out[:done] * U(pow(key, done, 1 << 64))
             done *= 2
         _powers[key] = have = out
     return have[:n]
