@@ -95,33 +95,53 @@ class Model:
         if not len(text):
             return best
         has, first = np.unique(text, return_index=True)
-        seg = np.repeat(np.arange(len(has)), np.diff(np.append(first, len(text))))
-        p, c = self.p[feature].astype(np.float64), count.astype(np.float64)
+        p, c = self.p[feature], count.astype(np.float32)
+        whole, value = expect(p, c, first, np.full((len(has), k), 1 / k))
+        top = whole.argmax(1)
+        bounds = np.append(first, len(c))
         n = np.add.reduceat(c, first)
-
-        def em(pi):
-            for _ in range(STEPS):
-                s = (p * pi[seg]).sum(1)
-                pi = pi * np.add.reduceat(p * (c / s)[:, None], first) / n[:, None]
-                pi /= pi.sum(1, keepdims=True)
-            return pi, np.add.reduceat(c * np.log((p * pi[seg]).sum(1)), first)
-
-        whole, _ = em(np.full((len(has), k), 1 / k))
-        rank = np.argsort(np.argsort(-whole, 1, kind="stable"), 1, kind="stable")
-        score = np.full(len(has), -np.inf)
+        one = np.add.reduceat(c * np.log(p[np.arange(len(c)), np.repeat(top, np.diff(bounds))].astype(np.float64)), first)
         chosen = np.zeros_like(whole)
-        for size in range(1, k + 1):
-            start = np.where(rank < size, np.maximum(whole, 1e-6), 0)
-            pi, value = em(start / start.sum(1, keepdims=True)) if size > 1 else (np.where(rank < 1, 1.0, 0), np.add.reduceat(c * np.log(p[np.arange(len(seg)), np.argmax(whole, 1)[seg]]), first))
-            value = value - penalty * 0.5 * (size - 1) * np.log(n)
-            better = value > score
-            score[better], chosen[better] = value[better], pi[better]
-            if not better.any():
-                break
+        chosen[np.arange(len(has)), top] = 1
+        # No set of languages has a higher likelihood than all of them: where that gains less than one more costs, one language is the answer.
+        more = np.flatnonzero(value - one > penalty * 0.5 * np.log(n))
+        if len(more):
+            rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in more])
+            start = np.concatenate(([0], np.cumsum(np.diff(bounds)[more])[:-1]))
+            chosen[more] = select(p[rows], c[rows], start, whole[more], one[more], penalty)
         best[has] = chosen
         return best
 
 
+def expect(p: np.ndarray, c: np.ndarray, first: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation for all documents of a batch: proportions and log-likelihood. p: entry by language; first: each document's first entry."""
+    seg = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+    n = np.add.reduceat(c, first)[:, None]
+    pi = pi.astype(np.float32)
+    for _ in range(STEPS):
+        w = p * pi[seg]
+        w *= (c / w.sum(1))[:, None]
+        pi = np.add.reduceat(w, first) / n
+        pi /= pi.sum(1, keepdims=True)
+    return pi.astype(np.float64), np.add.reduceat(c * np.log((p * pi[seg]).sum(1).astype(np.float64)), first)
+
+
+def select(p, c, first, whole, one, penalty: float) -> np.ndarray:
+    """The proportions of the set of languages with the best penalised likelihood; sets are the most probable ones, from one up."""
+    k = whole.shape[1]
+    rank = np.argsort(np.argsort(-whole, 1, kind="stable"), 1, kind="stable")
+    chosen, score, n = np.where(rank < 1, 1.0, 0.0), one, np.add.reduceat(c, first)
+    for size in range(2, k + 1):
+        start = np.where(rank < size, np.maximum(whole, 1e-6), 0)
+        pi, value = expect(p, c, first, start / start.sum(1, keepdims=True))
+        value = value - penalty * 0.5 * (size - 1) * np.log(n)
+        better = value > score
+        score, chosen = np.where(better, value, score), np.where(better[:, None], pi, chosen)
+        if not better.any():
+            break
+    return chosen
+
+
 def held_out(id_col: str | Column = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves the remainder 2 by 4; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
