@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, repetition, secret_scan
+from . import bpe, huffman, language, media, repetition, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.ids_digest(huffman.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
+
+
+def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
+    return bpe.token_digest(bpe.encode(docs, path, bpe.compile_lexicon(docs, path)), path)
+
+
 def op7_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -29,6 +45,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_repetition, op7_media_sniffing, op8_language_mixture, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
