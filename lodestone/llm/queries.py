@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, language, media, repetition, secret_scan
+from . import bpe, huffman, language, media, mixing, repetition, secret_scan, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.payloads(warc.read(warc.write(table(spark, sf_dir, "pages")), with_data=False))
+
+
+MIX = mixing.Mix()
+
+
+def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX)
+    return mixed.selectExpr("doc_id", *[f"mix_{k} AS {k}" for k, _ in MIX.levels], "mix_epoch AS epoch", "mix_tokens AS n_tokens")
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
@@ -45,6 +57,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_hierarchical_mix, op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op10_secret_scan)}
+
+#: A base32 digit for each 5 bits of the SHA-1, from groups of 5 hexadecimal digits.
+BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_chunks": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, {BASE32} AS payload_digest,
+            CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM k""",
+    "op3_hierarchical_mix": mixing.mix_sql(MIX),
+}
