@@ -125,8 +125,12 @@ def shingles(batch: Batch, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.zeros(0, U), np.zeros(len(n_words) + 1, np.int64)
     h, o = np.concatenate(parts), np.concatenate(owner)
-    order = np.lexsort((h, o))
-    h, o = h[order], o[order]
+    if len(parts) > 1:
+        order = np.argsort(o, kind="stable")
+        h, o = h[order], o[order]
+    bounds = np.searchsorted(o, np.arange(len(n_words) + 1))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        h[lo:hi].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     h, o = h[keep], o[keep]
