@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .runtime import cut, documents, shared_dir, written
+from .runtime import BATCH_BYTES, cut, documents, shared_dir, written
 
 LIMIT = 18
 BLOCK = 1 << 16
@@ -187,7 +188,7 @@ class FileReader:
 class CachedLibrary:
     """The library's ids of a text, remembered by word and piece: white space separates words, and pieces are encoded on their own."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -200,30 +201,37 @@ class CachedLibrary:
         self.library.no_padding()
         self.vocabulary, self.most = Vocabulary(path), most
         self.kind = np.dtype("<u2") if self.vocabulary.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "HI"[self.kind.itemsize // 4]
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def learn(self, words) -> dict[bytes, bytes]:
-        """The ids of new words, as bytes; only pieces not seen before go to the library."""
-        split = {w: list(self.vocabulary.parts(w.decode("utf-8", "surrogatepass"))) for w in words}
-        new = list({p for x in split.values() for added, p in x if not added and p not in self.pieces})
-        got = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-        find = lambda added, p: np.array([self.vocabulary.added[p]], self.kind).tobytes() if added else got.get(p) or self.pieces.get(p) or b""
-        out = {w: b"".join([find(*x) for x in parts]) for w, parts in split.items()}
-        if len(self.pieces) < self.most:
-            self.pieces.update(got)
-        if len(self.words) < self.most:
-            self.words.update(out)
-        return out
+    def learn(self, words) -> None:
+        """Adds the ids of new words, as bytes; only pieces not seen before go to the library."""
+        split, have = {}, self.pieces
+        for w in words:
+            text = w.decode("utf-8", "surrogatepass")
+            split[w] = [p if not added else (p,) for added, p in self.vocabulary.parts(text)] if "<|" in text else self.vocabulary.split(text)
+        for token, k in self.vocabulary.added.items():
+            have[(token,)] = np.array([k], self.kind).tobytes()
+        self.new_pieces = [p for p in set().union(*split.values()) if p not in have]
+        for p, e in zip(self.new_pieces, self.library.encode_batch_fast(self.new_pieces, add_special_tokens=False)):
+            have[p] = array(self.code, e.ids).tobytes()
+        for w, parts in split.items():
+            self.words[w] = b"".join([have[p] for p in parts])
 
     def encode(self, texts) -> list[bytes]:
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = {w for x in split for w in x if w not in self.words}
-        find = self.words
+        words = self.words
+        new = set().union(*split).difference(words)
+        self.new_pieces = []
         if new:
-            made = self.learn(new)
-            find = self.words if all(w in self.words for w in made) else {**{w: self.words[w] for x in split for w in x if w in self.words}, **made}
-        return [b"".join([find[w] for w in x]) for x in split]
+            self.learn(new)
+        out = [b"".join([words[w] for w in x]) for x in split]
+        for kept, added in ((words, new), (self.pieces, self.new_pieces)):  # beyond the bound nothing is remembered
+            if len(kept) > self.most:
+                for x in added:
+                    del kept[x]
+        return out
 
 
 _libraries: dict = {}
@@ -239,7 +247,7 @@ def stage(df: DataFrame, vocabulary_path: str, end_id: int, id_col: str, text_co
             _libraries[vocabulary_path] = CachedLibrary(vocabulary_path)
         library, part, row = _libraries[vocabulary_path], TaskContext.get().partitionId(), 0
         end = np.array([end_id], library.kind).tobytes()
-        for b in cut(batches):
+        for b in cut(batches, 2 * BATCH_BYTES):
             ids = [x + end for x in library.encode(b.column("text").to_pylist())]
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), b.column("doc_id"), pa.array([len(x) // library.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "row", "doc_id", "n", "ids"])

@@ -53,7 +53,7 @@ class Vocabulary:
 
     def split(self, text: str) -> list[str]:
         """Normalised pieces. Characters that this Python's Unicode tables don't have yet are left to the library's own steps."""
-        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
+        if text.isascii() or text.isprintable() or not any(unicodedata.category(c) == "Cn" for c in text):
             return pieces(text)
         if self._library is None:
             from tokenizers import Tokenizer
