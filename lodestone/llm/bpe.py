@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import files
 from .rolling import Batch
-from .runtime import cut, documents, shared_dir
+from .runtime import cut, documents, shared_dir, written
 from .vocab import Vocabulary
 
 #: Most words in the lexicon, and most bytes of a word in it: the automaton stays a few MB whatever the corpus.
@@ -225,10 +225,17 @@ def encoder(vocabulary_path: str, lexicon_uri: str | None) -> Encoder:
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> list[str]:
-    """The most frequent words over all texts, ties by the word."""
+    """The most frequent words over all texts: as many counts from the top as give at most so many words."""
     words = df.select(F.explode(F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+")).alias("w")).where(F.col("w") != "")
     counted = words.where(F.octet_length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    return [r.w for r in counted.orderBy(F.desc("n"), "w").limit(most).select("w").collect()]
+    counted = written(counted, shared_dir(df.sparkSession, "words"))
+    least, so_far = 1 << 62, 0
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):  # a row per count that occurs: few, as a count of n takes n words
+        so_far += r.words
+        if so_far > most:
+            break
+        least = r.n
+    return [r.w for r in counted.where(F.col("n") >= least).select("w").collect()]
 
 
 def compile_lexicon(df: DataFrame, vocabulary_path: str, text_col: str = "text", most: int = MOST_WORDS) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, jaccard, language, media, mixing, repetition, secret_scan, warc
+from . import bpe, huffman, jaccard, language, media, mixing, repetition, secret_scan, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payloads(warc.read(warc.write(table(spark, sf_dir, "pages")), with_data=False))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.deduplicate(table(spark, sf_dir, "documents")))
+
+
 MIX = mixing.Mix()
 
 
@@ -61,7 +65,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_hierarchical_mix, op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op9_jaccard_trie, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_suffix_dedup, op3_hierarchical_mix, op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op9_jaccard_trie, op10_secret_scan)}
 
 #: A base32 digit for each 5 bits of the SHA-1, from groups of 5 hexadecimal digits.
 BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"
