@@ -21,20 +21,21 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files
+from . import files, sums
 from .runtime import BATCH_BYTES, cut, documents, shared_dir, written
 
 LIMIT = 18
 BLOCK = 1 << 16
 CHECKPOINT = 64
 MAGIC = b"LSHUF001"
+#: Pieces that the library encodes in one call.
+TOGETHER = 1024
 #: Ids a file holds, about.
 FILE_IDS = 1 << 24
 
@@ -201,7 +202,7 @@ class CachedLibrary:
         self.library.no_padding()
         self.vocabulary, self.most = Vocabulary(path), most
         self.kind = np.dtype("<u2") if self.vocabulary.size <= 1 << 16 else np.dtype("<u4")
-        self.code = "HI"[self.kind.itemsize // 4]
+        self.ends_word = np.array([self.vocabulary.tokens.get(k, "").endswith(self.vocabulary.end) for k in range(self.vocabulary.size)])
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -214,11 +215,21 @@ class CachedLibrary:
         for token, k in self.vocabulary.added.items():
             have[(token,)] = np.array([k], self.kind).tobytes()
         self.new_pieces = [p for p in set().union(*split.values()) if p not in have]
-        for p, e in zip(self.new_pieces, self.library.encode_batch_fast(self.new_pieces, add_special_tokens=False)):
-            have[p] = array(self.code, e.ids).tobytes()
+        for lo in range(0, len(self.new_pieces), TOGETHER):
+            have.update(self.library_ids(self.new_pieces[lo : lo + TOGETHER]))
         for w, parts in split.items():
             self.words[w] = b"".join([have[p] for p in parts])
 
+    def library_ids(self, some: list[str]) -> dict[str, bytes]:
+        """The library's ids of pieces, encoded as one text; a piece ends where a token ends a word."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(some):  # a piece that the library cuts in two
+            return {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False))}
+        raw, size = ids.tobytes(), self.kind.itemsize
+        at = [0, *(ends * size).tolist()]
+        return {p: raw[a:b] for p, a, b in zip(some, at, at[1:])}
+
     def encode(self, texts) -> list[bytes]:
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         words = self.words
@@ -226,7 +237,7 @@ class CachedLibrary:
         self.new_pieces = []
         if new:
             self.learn(new)
-        out = [b"".join([words[w] for w in x]) for x in split]
+        out = [b"".join(map(words.__getitem__, x)) for x in split]
         for kept, added in ((words, new), (self.pieces, self.new_pieces)):  # beyond the bound nothing is remembered
             if len(kept) > self.most:
                 for x in added:
@@ -238,39 +249,34 @@ _libraries: dict = {}
 
 
 def stage(df: DataFrame, vocabulary_path: str, end_id: int, id_col: str, text_col: str, path: str) -> DataFrame:
-    """Written rows (part, row, doc_id, n, ids): ids of whole texts with the end id, as bytes; part and row number the rows for good."""
+    """Written rows (task, row, doc_id, n, ids): ids of whole texts with the end id, as bytes; task and row number the rows for good.
+
+    Each task adds its counts of ids, as rows (part, counts).
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         if vocabulary_path not in _libraries:
             _libraries[vocabulary_path] = CachedLibrary(vocabulary_path)
-        library, part, row = _libraries[vocabulary_path], TaskContext.get().partitionId(), 0
+        library, task, row = _libraries[vocabulary_path], TaskContext.get().partitionId(), 0
         end = np.array([end_id], library.kind).tobytes()
+        size = max(library.vocabulary.size, end_id + 1)
+        total = np.zeros(size, np.int64)
         for b in cut(batches, 2 * BATCH_BYTES):
             ids = [x + end for x in library.encode(b.column("text").to_pylist())]
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), b.column("doc_id"), pa.array([len(x) // library.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "row", "doc_id", "n", "ids"])
+            total += np.bincount(np.frombuffer(b"".join(ids), library.kind), minlength=size)
+            yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), b.column("doc_id"), pa.array([len(x) // library.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=STAGED)
             row += n
+        if (counts := sums.packed(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))) is not None:
+            n = counts.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())] + counts.columns, names=STAGED)
 
-    return written(documents(df, id_col, text_col).mapInArrow(run, "part int, row long, doc_id long, n long, ids binary"), path)
-
+    return written(documents(df, id_col, text_col).mapInArrow(run, "task int, row long, doc_id long, n long, ids binary, part int, counts binary"), path)
 
-def count_ids(staged: DataFrame, size: int, kind: str) -> np.ndarray:
-    """Global counts; what is collected has a row per id of the vocabulary at most."""
-
-    def run(batches):
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    t = staged.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size, np.int64)
-    counts[t["id"].to_numpy()] = t["n"].to_numpy()
-    return counts
+STAGED = ["task", "row", "doc_id", "n", "ids", "part", "counts"]
 
 
 def write(df: DataFrame, vocabulary_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,10 +288,10 @@ def write(df: DataFrame, vocabulary_path: str, end_id: int = 2, id_col: str = "d
     kind = "<u2" if size <= 1 << 16 else "<u4"
     folder = shared_dir(spark, "token-ids")
     staged = stage(df, vocabulary_path, end_id, id_col, text_col, f"{folder}/staged")
-    counts = count_ids(staged, size, kind)
-    lengths = code_lengths(counts)
+    lengths = code_lengths(sums.summed(staged.where("part IS NOT NULL").select("part", "counts"), size).astype(np.int64))
+    staged = staged.where("part IS NULL")
     shared = spark.sparkContext.broadcast(lengths)
-    n_files = max(2 * spark.sparkContext.defaultParallelism, int(counts.sum()) // FILE_IDS)
+    n_files = max(2 * spark.sparkContext.defaultParallelism, (staged.agg(F.sum("n")).first()[0] or 0) // FILE_IDS)
 
     def run(batches):
         from pyspark import TaskContext
@@ -300,7 +306,7 @@ def write(df: DataFrame, vocabulary_path: str, end_id: int = 2, id_col: str = "d
             path, docs, ids = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([docs], pa.int64()), pa.array([ids], pa.int64())], names=["path", "docs", "ids"])
 
-    key = ["doc_id", "part", "row"]  # part and row keep equal doc_ids apart, so many of them still spread over files
+    key = ["doc_id", "task", "row"]  # task and row keep equal doc_ids apart, so many of them still spread over files
     ordered = staged.repartitionByRange(n_files, *key).sortWithinPartitions(*key)
     rows = sorted(written(ordered.select("doc_id", "ids").mapInArrow(run, "path string, docs long, ids long"), f"{folder}/manifest").collect())  # a row per file
     base, out = 0, []

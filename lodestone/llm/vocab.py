@@ -89,4 +89,9 @@ class Vocabulary:
 def pieces(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() alone would make a final sigma
-    return PIECES.findall(text.lower())
+    text = text.lower()
+    if text.isalpha():  # the usual words: letters, or letters and one more character
+        return [text]
+    if text[-1:] in (".", ",") and text[:-1].isalpha():
+        return [text[:-1], text[-1]]
+    return PIECES.findall(text)
