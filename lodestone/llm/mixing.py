@@ -29,6 +29,8 @@ from .runtime import shared_dir, written
 
 #: About as many rows of a leaf as are ordered by row.
 RANGE_ROWS = 2048
+#: A row a leaf: some 10 MB at most are broadcast.
+MOST_LEAVES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 DOMAIN = "CASE WHEN source IS NULL THEN '(none)' WHEN regexp_extract(source, '([0-9]*)$', 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 'web' ELSE 'reference' END"
 
@@ -92,19 +94,25 @@ def budgets(slim: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(given.drop("root"), names)
 
 
-def cuts(slim: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
+def attach(rows: DataFrame, leaves: DataFrame, on) -> DataFrame:
+    """Rows with their leaf's columns. A written table of up to MOST_LEAVES leaves goes to every task, so a hot leaf's rows stay where they are; a larger one is joined by key."""
+    return rows.join(F.broadcast(leaves) if leaves.count() <= MOST_LEAVES else leaves, on)
+
+
+def cuts(slim: DataFrame, leaves: DataFrame, mix: Mix, folder: str) -> DataFrame:
     """Per leaf: whole epochs (whole) and the last key (cut) of the epoch that follows; cut is null if nothing of it fits."""
     names = [f"mix_{k}" for k, _ in mix.levels]
     leaves = leaves.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int"))
     leaves = leaves.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).withColumn("ranges", F.greatest(F.lit(1), F.floor(F.col("rows") / RANGE_ROWS)).cast("long"))
-    rows = slim.join(leaves.select(*names, "whole", "rest", "ranges"), names).where("n_tokens > 0").withColumn("key", key(mix.seed, F.col("whole"), F.col("doc_id")))
+    leaves = written(leaves, f"{folder}/budgets")
+    rows = attach(slim, leaves.select(*names, "whole", "rest", "ranges"), names).where("n_tokens > 0").withColumn("key", key(mix.seed, F.col("whole"), F.col("doc_id")))
     rows = rows.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges"), 32))
     sums = rows.groupBy(*names, "rest", "range").agg(F.sum("n_tokens").alias("n"))
     after = F.sum("n").over(W.partitionBy(*names).orderBy("range").rowsBetween(W.unboundedPreceding, 0))
     sums = sums.withColumn("after", after).withColumn("over", F.col("after") > F.col("rest"))
     ends = sums.groupBy(*names).agg(F.min(F.when(F.col("over"), F.col("range"))).alias("end_range"), F.coalesce(F.max(F.when(~F.col("over"), F.col("after"))), F.lit(0)).alias("spent"))
-    last = rows.join(ends, names).where(F.col("end_range").isNull() | (F.col("range") <= F.col("end_range")))
-    within = last.where(F.col("range") == F.col("end_range")).withColumn("sum", F.col("spent") + F.sum("n_tokens").over(W.partitionBy(*names).orderBy("key"))).where("sum <= rest")
+    last = attach(rows, written(ends, f"{folder}/ends"), names).where(F.col("end_range").isNull() | (F.col("range") <= F.col("end_range")))
+    within = last.where(F.col("range") == F.col("end_range")).withColumn("sum", F.col("spent") + F.sum("n_tokens").over(W.partitionBy(*names, "range").orderBy("key"))).where("sum <= rest")
     before = last.where(F.col("end_range").isNull() | (F.col("range") < F.col("end_range")))
     cut = before.select(*names, "key").unionByName(within.select(*names, "key")).groupBy(*names).agg(F.max("key").alias("cut"))
     return leaves.join(cut, names, "left").select(*names, "whole", "cut")
@@ -118,8 +126,9 @@ def mix(df: DataFrame, plan: Mix | None = None, id_col: str = "doc_id", text_col
     folder = shared_dir(df.sparkSession, "mix")
     slim = written(rows.select(*names, F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("n_tokens")), f"{folder}/slim")
     leaves = written(budgets(slim, plan), f"{folder}/leaves")
-    ends = written(cuts(slim, leaves, plan), f"{folder}/cuts")
-    picked = rows.join(ends.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("whole").alias("mix_whole"), F.col("cut").alias("mix_cut")), [F.col(n) == F.col(f"{n}_") for n in names])
+    ends = written(cuts(slim, leaves, plan, folder), f"{folder}/cuts")
+    ends = ends.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("whole").alias("mix_whole"), F.col("cut").alias("mix_cut"))
+    picked = attach(rows, ends, [F.col(n) == F.col(f"{n}_") for n in names])
     picked = picked.withColumn("mix_tokens", tokens(text_col)).where("mix_tokens > 0")
     part = key(plan.seed, F.col("mix_whole"), F.col(id_col).cast("long")) <= F.col("mix_cut")
     n = F.col("mix_whole") + F.coalesce(part, F.lit(False)).cast("int")
