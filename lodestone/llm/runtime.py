@@ -29,6 +29,15 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table of a few numbers each that may be broadcast: some 50 MB.
+MOST_BROADCAST = 1_000_000
+
+
+def small(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table, marked for broadcast if its rows are few; else as it is, so that joins shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     import gc

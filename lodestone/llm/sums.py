@@ -12,9 +12,20 @@ PART = 1 << 16
 PARTS = "part int, counts binary"
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """Counts of a part, in bytes where they fit."""
+    small = counts.max() < 256
+    return zlib.compress((b"\1" + counts.astype(np.uint8).tobytes()) if small else (b"\4" + counts.astype(np.uint32).tobytes()), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else np.uint32, offset=1)
+
+
 def packed(counts: np.ndarray) -> pa.RecordBatch | None:
     """The parts of uint32 counts that aren't all 0."""
-    rows = [(k, zlib.compress(counts[k * PART : (k + 1) * PART].tobytes(), 1)) for k in range(-(-len(counts) // PART)) if counts[k * PART : (k + 1) * PART].any()]
+    rows = [(k, pack(part)) for k in range(-(-len(counts) // PART)) if (part := counts[k * PART : (k + 1) * PART]).any()]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"]) if rows else None
 
 
@@ -25,14 +36,14 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for part, raw in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
-                counts = np.frombuffer(zlib.decompress(raw), np.uint32)
+                counts = unpack(raw)
                 have = total.setdefault(part, np.zeros(PART, np.uint64))
                 have[: len(counts)] += counts
         for part, counts in total.items():
-            raw = zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+            raw = pack(np.minimum(counts, 0xFFFFFFFF))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["part", "counts"])
 
     out = np.zeros(-(-size // PART) * PART, np.uint32)
-    for r in parts.repartition(max(1, size // PART), "part").mapInArrow(add, PARTS).collect():
-        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+    for r in parts.repartition("part").mapInArrow(add, PARTS).collect():
+        out[r.part * PART : (r.part + 1) * PART] = unpack(r.counts)
     return out[:size]
