@@ -48,6 +48,11 @@ class Runs:
         self.high = starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts[:0]
         self.begin = batch.offsets[:-1][self.text]
 
+    def pick(self, some: np.ndarray) -> None:
+        """Keep only these runs."""
+        for name in ("text", "low", "at", "high", "begin"):
+            setattr(self, name, getattr(self, name)[some])
+
     @property
     def two(self) -> Prefix:
         if self._two is None:

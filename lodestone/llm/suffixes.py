@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Runs
 from .rolling import BASE2, BYTE_VALUE, BYTE_VALUE2, Batch, Prefix
-from .runtime import cut, release, shared_dir, written
+from .runtime import MOST_BROADCAST, cut, release, shared_dir, small, written
 
 LENGTH = 200
 GRAM = 32
@@ -58,20 +58,52 @@ def grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "cls long")
 
 
-def runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Each run: rank of its anchor, of all its bytes (ua, ub), of its sides (32 bits each), its row, and its place.
+#: Bits of the map of repeated ranks that tasks look at before they send a run; each rank has one.
+MAP_BITS = 27
+MAP_PARTS = 6
+
+
+def bit_of(cls: np.ndarray) -> np.ndarray:
+    return (cls.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def bitmap(ranks: DataFrame) -> np.ndarray:
+    """A map of fixed size with the bits of the ranks (column cls) set; each part is made by one task."""
+    size = 1 << (MAP_BITS - MAP_PARTS)
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = bit_of(b.column("cls").to_numpy())
+            for k in np.unique(bit // size).tolist():
+                parts.setdefault(k, np.zeros(size, bool))[bit[bit // size == k] % size] = True
+        for k, x in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((1 << MAP_PARTS, size // 8), np.uint8)
+    for r in ranks.withColumn("part", F.shiftrightunsigned("cls", 64 - MAP_PARTS)).repartition("part").select("cls").mapInArrow(run, "part int, bits binary").collect():
+        out[r.part] |= np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def runs(texts: DataFrame, length: int, gram: int, seen) -> DataFrame:
+    """Each run whose rank may be repeated (its bit is set in the map): rank of its anchor, of all its bytes (ua, ub), of its sides (32 bits each), its row, and its place.
 
     pos packs the first window's start, one less than the number of windows, and the anchor's distance.
     """
 
     def run(batches):
         for b, r in batches_of_runs(batches, length, gram):
+            cls = r.gram_hash()
+            bit = bit_of(cls)
+            maybe = np.flatnonzero((seen.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+            r.pick(maybe)
             ua, ub = r.context()
             left, right = ((x >> np.uint64(32)).astype(np.uint64) | (x != 0) for x in r.sides())
             sides = ((left << np.uint64(32)) | right).view(np.int64)
             pos = ((r.low - r.begin) << 16) | ((r.high - r.low) << 8) | (r.at - r.low)
             rid, th = (b.column(c).to_numpy()[r.text] for c in ("rid", "th"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r.gram_hash().view(np.int64), ua.view(np.int64), (ub >> np.uint64(32)).astype(np.uint32).view(np.int32), sides, rid, th, pos)], names=["cls", "ua", "ub", "sides", "rid", "th", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cls[maybe].view(np.int64), ua.view(np.int64), (ub >> np.uint64(32)).astype(np.uint32).view(np.int32), sides, rid, th, pos)], names=["cls", "ua", "ub", "sides", "rid", "th", "pos"])
 
     return texts.select("text", "rid", "th").mapInArrow(run, "cls long, ua long, ub int, sides long, rid long, th int, pos long")
 
@@ -122,7 +154,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def strip(rows: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, spans removed (start, end) and the bytes kept. rows: doc_id, text, spans (low, n) of repeated windows."""
+    """doc_id, n_bytes, spans removed (start, end) and the bytes kept. rows: doc_id, text, spans of repeated windows: n from low on, or those with a bit in bits (from low on)."""
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -134,7 +166,10 @@ def strip(rows: DataFrame, length: int) -> DataFrame:
                     out.append((len(raw), [], raw))
                     continue
                 edge = np.zeros(len(raw) + 1, np.int32)
-                low, n = (np.array([s[c] for s in spans]) for c in ("low", "n"))
+                low, n, bits = (np.array([s[c] for s in spans]) for c in ("low", "n", "bits"))
+                some = np.flatnonzero(bits)
+                block, single = np.nonzero(np.unpackbits(bits[some].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                low, n = np.append(low[bits == 0], low[some][block] + single), np.append(n[bits == 0], np.ones(len(single), np.int64))
                 np.add.at(edge, low, 1)
                 np.add.at(edge, low + n + length - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -157,7 +192,8 @@ def deduplicate(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: s
 
     twice = written(grams(texts, length, gram).groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), f"{folder}/round-1")
     release(df.sparkSession)
-    left = written(runs(texts, length, gram).join(twice, "cls", "left_semi"), f"{folder}/runs")
+    seen = df.sparkSession.sparkContext.broadcast(bitmap(twice))
+    left = written(runs(texts, length, gram, seen).join(twice, "cls", "left_semi"), f"{folder}/runs")
     release(df.sparkSession)
 
     first = lambda c: F.min_by(c, "rid").alias(c)
@@ -176,12 +212,14 @@ def deduplicate(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: s
     skip = F.when(F.col("left_twice"), F.lit(0)).otherwise(F.greatest(F.lit(0), far - (length - gram - half)))
     stop = F.when(F.col("right_twice"), n).otherwise(F.least(n, far - half + 1))
     spans = kept.select("rid", "th", F.struct((low + skip).cast("int").alias("low"), (stop - skip).cast("int").alias("n"), (F.col("c") > 1).alias("known")).alias("span")).where("span.n > 0")
-    spans = spans.groupBy("rid", "th").agg(F.collect_list("span").alias("spans"))  # no more than a text has positions
-    asked = texts.select("text", "rid", "th").join(spans, ["rid", "th"])
-    found = written(repeated(windows(asked, length)), f"{folder}/round-3")
+    spans = written(spans.groupBy("rid", "th").agg(F.collect_list("span").alias("spans")), f"{folder}/spans")  # no more than a text has positions
+    asked = texts.select("text", "rid", "th").join(small(spans, MOST_BROADCAST // 4), ["rid", "th"])
+    found = repeated(windows(asked, length)).withColumn("low", F.shiftright("start", 6) * 64).withColumn("bit", F.expr("shiftleft(1L, start & 63)"))
+    found = written(found.groupBy("rid", "th", "low").agg(F.bit_or("bit").alias("bits")), f"{folder}/round-3")
     release(df.sparkSession)
 
-    gone = whole.unionByName(found.select("rid", "th", F.col("start").alias("low"), F.lit(1).alias("n"))).groupBy("rid", "th").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
+    every = whole.withColumn("bits", F.lit(0).cast("long")).unionByName(found.withColumn("n", F.lit(0)))
+    gone = every.groupBy("rid", "th").agg(F.collect_list(F.struct("low", "n", "bits")).alias("spans"))
     gone = written(gone, f"{folder}/gone")
     release(df.sparkSession)
     return strip(texts.join(gone, ["rid", "th"], "left").select("doc_id", "text", "spans"), length)
