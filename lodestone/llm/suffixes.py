@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sums
 from .anchors import Runs
 from .rolling import BASE2, BYTE_VALUE, BYTE_VALUE2, Batch, Prefix
 from .runtime import MOST_BROADCAST, cut, release, shared_dir, small, written
@@ -58,34 +59,6 @@ def grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "cls long")
 
 
-#: Bits of the map of repeated ranks that tasks look at before they send a run; each rank has one.
-MAP_BITS = 27
-MAP_PARTS = 6
-
-
-def bit_of(cls: np.ndarray) -> np.ndarray:
-    return (cls.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-
-
-def bitmap(ranks: DataFrame) -> np.ndarray:
-    """A map of fixed size with the bits of the ranks (column cls) set; each part is made by one task."""
-    size = 1 << (MAP_BITS - MAP_PARTS)
-
-    def run(batches):
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            bit = bit_of(b.column("cls").to_numpy())
-            for k in np.unique(bit // size).tolist():
-                parts.setdefault(k, np.zeros(size, bool))[bit[bit // size == k] % size] = True
-        for k, x in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["part", "bits"])
-
-    out = np.zeros((1 << MAP_PARTS, size // 8), np.uint8)
-    for r in ranks.withColumn("part", F.shiftrightunsigned("cls", 64 - MAP_PARTS)).repartition("part").select("cls").mapInArrow(run, "part int, bits binary").collect():
-        out[r.part] |= np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
-
-
 def runs(texts: DataFrame, length: int, gram: int, seen) -> DataFrame:
     """Each run whose rank may be repeated (its bit is set in the map): rank of its anchor, of all its bytes (ua, ub), of its sides (32 bits each), its row, and its place.
 
@@ -95,8 +68,7 @@ def runs(texts: DataFrame, length: int, gram: int, seen) -> DataFrame:
     def run(batches):
         for b, r in batches_of_runs(batches, length, gram):
             cls = r.gram_hash()
-            bit = bit_of(cls)
-            maybe = np.flatnonzero((seen.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+            maybe = np.flatnonzero(sums.marked(seen.value, cls))
             r.pick(maybe)
             ua, ub = r.context()
             left, right = ((x >> np.uint64(32)).astype(np.uint64) | (x != 0) for x in r.sides())
@@ -192,7 +164,7 @@ def deduplicate(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: s
 
     twice = written(grams(texts, length, gram).groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), f"{folder}/round-1")
     release(df.sparkSession)
-    seen = df.sparkSession.sparkContext.broadcast(bitmap(twice))
+    seen = df.sparkSession.sparkContext.broadcast(sums.bitmap(twice, "cls"))
     left = written(runs(texts, length, gram, seen).join(twice, "cls", "left_semi"), f"{folder}/runs")
     release(df.sparkSession)
 

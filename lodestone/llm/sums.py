@@ -1,4 +1,6 @@
-"""Fixed-size count arrays summed over all tasks: each task sends its non-empty parts compressed, one task a part adds them."""
+"""Maps of fixed size over all tasks: count arrays and sets of hashes.
+
+Fixed-size count arrays summed over all tasks: each task sends its non-empty parts compressed, one task a part adds them."""
 
 from __future__ import annotations
 
@@ -7,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PART = 1 << 16
 PARTS = "part int, counts binary"
@@ -47,3 +50,37 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
     for r in parts.repartition("part").mapInArrow(add, PARTS).collect():
         out[r.part * PART : (r.part + 1) * PART] = unpack(r.counts)
     return out[:size]
+
+
+#: Bits of a map of hashes; each hash has one. Its 16 MB are all that is broadcast, however many hashes there are.
+MAP_BITS = 27
+MAP_PARTS = 6
+
+
+def bit_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def bitmap(table: DataFrame, column: str) -> np.ndarray:
+    """The map of the hashes in a column of longs; each part of it is made by one task."""
+    size = 1 << (MAP_BITS - MAP_PARTS)
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = bit_of(b.column(0).to_numpy())
+            for k in np.unique(bit // size).tolist():
+                parts.setdefault(k, np.zeros(size, bool))[bit[bit // size == k] % size] = True
+        for k, x in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((1 << MAP_PARTS, size // 8), np.uint8)
+    for r in table.withColumn("_part", F.shiftrightunsigned(column, 64 - MAP_PARTS)).repartition("_part").select(column).mapInArrow(run, "part int, bits binary").collect():
+        out[r.part] |= np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the map; one that is always is."""
+    bit = bit_of(hashes)
+    return ((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
