@@ -63,11 +63,11 @@ def vector_format(spark, d):
     return X.vectors(spark, d).select("id", V.render(F.col("embedding")).alias("literal"))
 
 
-@query("SELECT id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', printf('%.8f', x)::DOUBLE)), ',') AS v, 0::BIGINT AS bad_size FROM vec")
+@query("SELECT id, array_to_string(list_transform(embedding, lambda x: printf('%.8f', printf('%.8f', x)::DOUBLE)), ',') AS v, 0::BIGINT AS bad_size FROM vec")
 def vector_parse(spark, d):
     literal = V.render(F.col("embedding"))
     with_noise = F.concat(F.lit(" "), F.regexp_replace(literal, r"\]$", ",NaN]"))
-    return X.vectors(spark, d).select("id", joined(V.parse(with_noise)).alias("v"), F.size(V.parse(F.concat(literal, F.lit(";")))).cast("long").alias("bad_size"))
+    return X.vectors(spark, d).select("id", F.array_join(F.transform(V.parse(with_noise), lambda x: F.format_string("%.8f", x)), ",").alias("v"), F.size(V.parse(F.concat(literal, F.lit(";")))).cast("long").alias("bad_size"))
 
 
 @query("SELECT id, round(coalesce(list_cosine_similarity(embedding[1:32], e2[1:32]), 0), 6) AS cosine FROM (SELECT a.id, a.embedding, b.embedding AS e2 FROM vec a JOIN vec b ON b.id = a.id + 1)")
