@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import sums
 from .anchors import Runs
 from .rolling import BASE2, BYTE_VALUE, BYTE_VALUE2, Batch, Prefix
-from .runtime import MOST_BROADCAST, cut, release, shared_dir, small, written
+from .runtime import BATCH_BYTES, MOST_BROADCAST, cut, release, shared_dir, small, written
 
 LENGTH = 200
 GRAM = 32
@@ -43,8 +43,12 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("th", F.hash("text"))
 
 
+#: Bytes laid out at once: some 15 arrays of 8 bytes each are made for a byte.
+BYTES = BATCH_BYTES // 4
+
+
 def batches_of_runs(batches, length: int, gram: int):
-    for b in cut(batches):
+    for b in cut(batches, BYTES):
         batch = Batch(b.column("text").to_pylist())
         yield b, Runs(batch, length, gram)
 
@@ -84,7 +88,7 @@ def windows(asked: DataFrame, length: int) -> DataFrame:
     """Round 3: (wa, wb, rid, th, start, known) of the windows asked for. asked: text, rid, th, spans (low, n, known)."""
 
     def run(batches):
-        for b in cut(batches):
+        for b in cut(batches, BYTES):
             batch = Batch(b.column("text").to_pylist())
             spans = [(lo, s["low"], s["n"], s["known"], i) for i, (lo, x) in enumerate(zip(batch.offsets.tolist(), b.column("spans").to_pylist())) for s in x]
             if not spans:
