@@ -134,7 +134,7 @@ def embeddings_available(spark, d):
 def _ann(spark, d):
     v = X.vectors(spark, d)
     c = ann.centroids(v, 16)
-    return v, ann.search(ann.assign(v, c), v.where("id % 20 = 0"), c, 10, 8)
+    return v, ann.search(ann.assign(v, c), v.where("id % 20 = 0"), c, 10, 12)
 
 
 @query()
