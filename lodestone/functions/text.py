@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,18 +61,23 @@ def is_long(terms: list[str], query: str) -> bool:
     return len(terms) >= 4 or units(query.strip().lower()) >= 16
 
 
+def fixed(x: float, digits: int = 3) -> float:
+    """Rounded from the exact binary value, ties up. (SQL rounds the decimal rendering; the two differ at ties of the rendering only.)"""
+    return float(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def signals_of(query: str) -> list[tuple[str, float]]:
     """(keyword, weight), highest first, ties in the query's order; the first 8."""
     terms = terms_of(query)
     long = is_long(terms, query)
     out = []
     for i, t in enumerate(terms):
-        w = round(0.7 * min(units(t) / 8, 1) + 0.3 * max(0.0, 1 - 0.08 * i) + 1e-12, 3)
+        w = fixed(0.7 * min(units(t) / 8, 1) + 0.3 * max(0.0, 1 - 0.08 * i))
         w *= 1.1 if long and units(t) >= 3 else 1
         w *= 1.35 if t in DOMAIN_ANCHORS else 1
         w *= 0.3 if t.startswith(tuple(BROAD_ROOTS)) else 1
         w *= 0.45 if t in GENERIC_INTENTS else 1
-        out.append((t, round(w + 1e-12, 3)))
+        out.append((t, fixed(w)))
     return sorted(out, key=lambda x: -x[1])[:SIGNALS]
 
 
