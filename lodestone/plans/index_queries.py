@@ -51,15 +51,25 @@ def bm25_length_summary(spark, d):
 VECTOR_TEXT = "'''' || replace(token, '''', '''''') || ''':' || array_to_string(range(1, tf + 1), ',')"
 
 
-@query("SELECT id, token, count(*)::INT AS tf FROM (SELECT id, unnest(tokens) AS token FROM an WHERE id < 100) GROUP BY ALL")
-def tsvector_parse(spark, d):
-    """Token lists written as lexeme text and parsed back."""
-    stats = index.token_stats(X.analysed(spark, d).where("id < 100"))
+def _parsed(an):
+    stats = index.token_stats(an)
     entry = F.concat(F.lit("'"), F.replace("token", F.lit("'"), F.lit("''")), F.lit("'"), F.when(F.col("tf") > 1, F.concat(F.lit(":"), F.array_join(F.sequence(F.lit(1), F.col("tf")), ","))).otherwise(""))
     text = stats.groupBy("id").agg(F.array_join(F.collect_list(entry), " ").alias("v"))
     return text.select("id", F.inline(index.parse_tsvector(F.col("v"))))
 
 
+@query("SELECT id, token, count(*)::INT AS tf FROM (SELECT id, unnest(tokens) AS token FROM an WHERE id < 100) GROUP BY ALL")
+def tsvector_parse(spark, d):
+    """Token lists written as lexeme text and parsed back, of the documents its SQL names; tsvector_parse_all has every document."""
+    return _parsed(X.analysed(spark, d).where("id < 100"))
+
+
+@query("SELECT id, token, count(*)::INT AS tf FROM (SELECT id, unnest(tokens) AS token FROM an) GROUP BY ALL")
+def tsvector_parse_all(spark, d):
+    """Token lists of all documents written as lexeme text and parsed back."""
+    return _parsed(X.analysed(spark, d))
+
+
 @query("SELECT row_id, task_type, table_name, id, old_len, new_len FROM logs")
 def task_log(spark, d):
     return X.log(spark, d).select("row_id", "task_type", "table_name", "id", F.col("old_len").cast("long").alias("old_len"), F.col("new_len").cast("long").alias("new_len"))
