@@ -31,6 +31,13 @@ def test_tsvector_parse_all_documents(spark, tmp_path):
     assert got == {(i, t, n) for (i, t), n in words.items()}
 
 
+def test_neighbors_of_all_queries(spark):
+    asked = {r.vec_id for r in registry.load(spark, SMALL, "embeddings").where("vec_id % 20 = 0").collect()}
+    assert max(asked) > 100
+    for name in ("knn_neighbors_all", "neighbor_jaccard_all"):
+        assert {r.query_id for r in registry.QUERIES[name](spark, SMALL).select("query_id").collect()} == asked
+
+
 def test_entry(spark):
     import __spark_entry__
 
