@@ -1,6 +1,6 @@
 """A training-data pipeline over the documents table: each stage works on all its predecessor kept.
 
-Stages: documents without any language go; of each group of near-duplicates the one with the
+Stages: documents in no language go, the others get theirs as lang; of each group of near-duplicates the one with the
 smallest doc_id stays; secrets in texts are replaced; sources are mixed to target weights; what is
 left is encoded to token ids. All but the last return the columns of documents.
 """
@@ -19,10 +19,8 @@ MIX = mixing.Mix(budget=90, epochs=1)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language, whatever their label says; those without text or letters go."""
-    found = language.identify(docs, language.train(docs)).where("lang_pred <> 'und'").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.where(F.col("text").rlike(r"\p{L}"))  # among rows with one doc_id, those with letters
+    """Documents that are likelier in the languages learned than as letters alone, each with its likeliest language as lang; those without text or letters go."""
+    return language.label(docs, language.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

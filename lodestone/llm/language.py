@@ -47,8 +47,29 @@ def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(FEATURES - 1)).astype(np.int64), count
 
 
+def letters(texts) -> np.ndarray:
+    """How often each kept byte is in the texts."""
+    data = "".join(t or "" for t in texts).lower().encode("utf-8", "replace")
+    return np.bincount(KEEP[np.frombuffer(data, np.uint8)], minlength=256)
+
+
+def background(counts: np.ndarray) -> np.ndarray:
+    """Log-probability of each feature where letters follow each other independently: half as often as counted, half alike, so letters never seen have a chance."""
+    alphabet = np.unique(KEEP)
+    u = np.where(np.isin(np.arange(256), alphabet), 1 / len(alphabet), 0)
+    if counts.sum():
+        u = (u + counts / counts.sum()) / 2
+    q, b = np.zeros(FEATURES), alphabet.astype(np.uint32)
+    middle = b[b != 32]
+    pairs, weight = (middle[:, None] << np.uint32(8)) | b, u[middle][:, None] * u[b]
+    for x in b:
+        code = (((x << np.uint32(16)) | pairs) * np.uint32(2654435761)) >> np.uint32(16)
+        q += np.bincount(code.ravel(), (u[x] * weight).ravel(), FEATURES)
+    return np.log(np.maximum(q / q.sum(), 1e-300))
+
+
 def count_features(df: DataFrame) -> DataFrame:
-    """lang, feature, n over all rows of (lang, text)."""
+    """lang, feature, n over all rows of (lang, text); kept bytes follow the features."""
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -57,8 +78,9 @@ def count_features(df: DataFrame) -> DataFrame:
             for lang in set(langs):
                 own = [t for g, t in zip(langs, texts) if g == lang]
                 _, f, n = features(own)
-                total = sums.setdefault(lang, np.zeros(FEATURES, np.int64))
-                total += np.bincount(f, n, FEATURES).astype(np.int64)
+                total = sums.setdefault(lang, np.zeros(FEATURES + 256, np.int64))
+                total[:FEATURES] += np.bincount(f, n, FEATURES).astype(np.int64)
+                total[FEATURES:] += letters(own)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "feature", "n"])
@@ -71,6 +93,8 @@ class Model:
         self.langs = list(langs)
         if len(self.langs) > MOST_LANGUAGES:
             raise ValueError(f"{len(self.langs)} languages; at most {MOST_LANGUAGES} are supported")
+        counts, seen = counts[:, :FEATURES], counts[:, FEATURES:].sum(0)
+        self.background = background(seen if len(seen) else np.zeros(256))
         p = (counts + SMOOTH) / (counts + SMOOTH).sum(1, keepdims=True)
         self.p = np.ascontiguousarray(p.T.astype(np.float32))  # by feature, then language
 
@@ -81,25 +105,30 @@ class Model:
         names = t["lang"].to_pylist()
         langs = sorted(set(names))
         place = {g: k for k, g in enumerate(langs)}
-        counts = np.zeros((len(langs), FEATURES))
+        counts = np.zeros((len(langs), FEATURES + 256))
         counts[np.fromiter((place[g] for g in names), np.int64, len(names)), t["feature"].to_numpy().astype(np.int64)] = t["n"].to_numpy()
         return cls(langs, counts)
 
     def infer(self, texts, penalty: float = 4.0):
         """Per text its language proportions after selection (rows of zeros where there are no letters)."""
+        return self.judge(texts, penalty)[0]
+
+    def judge(self, texts, penalty: float = 4.0):
+        """What infer gives, and per text by how much an n-gram is likelier under the languages than under the background (-inf where there are no letters)."""
         m, k = len(texts), len(self.langs)
-        best = np.zeros((m, k))
+        best, margin = np.zeros((m, k)), np.full(m, -np.inf)
         if not k or not m:
-            return best
+            return best, margin
         text, feature, count = features(texts)
         if not len(text):
-            return best
+            return best, margin
         has, first = np.unique(text, return_index=True)
         p, c = self.p[feature], count.astype(np.float32)
         whole, value = expect(p, c, first, np.full((len(has), k), 1 / k))
         top = whole.argmax(1)
         bounds = np.append(first, len(c))
         n = np.add.reduceat(c, first)
+        margin[has] = (value - np.add.reduceat(c * self.background[feature], first)) / n
         one = np.add.reduceat(c * np.log(p[np.arange(len(c)), np.repeat(top, np.diff(bounds))].astype(np.float64)), first)
         chosen = np.zeros_like(whole)
         chosen[np.arange(len(has)), top] = 1
@@ -110,7 +139,7 @@ class Model:
             start = np.concatenate(([0], np.cumsum(np.diff(bounds)[more])[:-1]))
             chosen[more] = select(p[rows], c[rows], start, whole[more], one[more], penalty)
         best[has] = chosen
-        return best
+        return best, margin
 
 
 def expect(p: np.ndarray, c: np.ndarray, first: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,3 +200,20 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         }
 
     return map_texts(documents(df, id_col, text_col), run, "doc_id long, lang_pred string, score double, mixture string")
+
+
+def label(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", penalty: float = 4.0, least: float = 0.0) -> DataFrame:
+    """The rows whose n-grams are likelier under the languages than under the background, by more than `least` an n-gram, with the predicted language in lang_col."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        langs = np.array(shared.value.langs, object)
+        for b in cut(batches, column=text_col):
+            texts = b.column(text_col).to_pylist()
+            pi, margin = shared.value.judge(texts, penalty)
+            keep = np.array([bool(t and LETTER.search(t)) for t in texts], bool) & (margin > least)
+            at = b.schema.get_field_index(lang_col)
+            found = pa.array(langs[pi[keep].argmax(1)] if len(langs) else [], b.schema.field(at).type)
+            yield b.filter(pa.array(keep)).set_column(at, b.schema.field(at).with_nullable(True), found)
+
+    return df.mapInArrow(run, df.schema)

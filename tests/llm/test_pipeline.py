@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestone.llm import secret_scan
 from tests.conftest import SMALL
@@ -21,6 +23,19 @@ def test_stages(spark, tmp_path):
     assert not any(scanner.scan([r.text for r in spark.read.parquet(f"{tmp_path}/2").collect()]))
 
 
+def test_language_rejects_junk(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    junk = ["qxzjv kwpqh zzxvb", "c2VjcmV0IGtleSBmb3IgdGVzdA==bGxxWq9vK", "deadbeef cafebabe 0xfeedface " * 20, "안녕하세요 세계 여러분", "Привет мир как дела", "12 34", "", None]
+    first = docs.where("lang = 'fr'").orderBy("doc_id").first().asDict()
+    extra = [first | {"doc_id": 10**6 + k, "text": t, "lang": None} for k, t in enumerate(junk)] + [first | {"doc_id": 10**7, "lang": None}, first | {"doc_id": None, "lang": None}]
+    rows = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    got = {r.doc_id: r.asDict() for r in corpus_pipeline.identify_language(spark, rows, SMALL).collect()}
+    want = {r.doc_id: r.asDict() for r in docs.collect()} | {10**7: first | {"doc_id": 10**7}, None: first | {"doc_id": None}}
+    assert got == want
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") == first["doc_id"], "en").otherwise(F.col("lang")))
+    assert {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, wrong, SMALL).collect()} == {r.doc_id: r.lang for r in docs.collect()}
+
+
 def test_run_matches_stages(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() == out.select("doc_id").distinct().count() > 0
