@@ -1,7 +1,7 @@
 """A training-data pipeline over the documents table: each stage works on all its predecessor kept.
 
-Stages: documents in no language go, the others get theirs as lang; of each group of near-duplicates the one with the
-smallest doc_id stays; secrets in texts are replaced; sources are mixed to target weights; what is
+Stages: documents in no language go, the others get theirs as lang; of each group of
+near-duplicates the row with the smallest doc_id stays; secrets in texts are replaced; sources are mixed to target weights; what is
 left is encoded to token ids. All but the last return the columns of documents.
 """
 
@@ -24,11 +24,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; documents without a doc_id stay, repeated rows once."""
-    linked = jaccard.link(docs)
-    keep = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(keep, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component: the one with the smallest doc_id, then with the smallest row key; one without a doc_id only where no row has one."""
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.withColumn("_row", F.xxhash64(*columns, *[c.isNull() for c in columns])).withColumn("_more", F.hash(*columns))
+    linked = jaccard.link(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("_id")).distinct()
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
+    keep = linked.join(ids, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row", "_more"]).select(*docs.columns)
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

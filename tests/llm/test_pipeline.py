@@ -36,6 +36,18 @@ def test_language_rejects_junk(spark):
     assert {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, wrong, SMALL).collect()} == {r.doc_id: r.lang for r in docs.collect()}
 
 
+def test_one_row_of_each_component(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    near = f"{one} end"
+    texts = [(1, one), (None, one), (None, near), (None, two), (None, two), (None, f"{two} end"), (5, one), (5, three), (5, three), (7, f"{three} end"), (8, "x"), (8, "y"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], schema).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()]
+    pair = [g for g in got if g[0] is None and g[1]]
+    assert len(pair) == 1 and pair[0][1] in (two, f"{two} end")
+    assert sorted((g for g in got if g not in pair), key=str) == sorted([(1, one), (5, three), (8, "x"), (8, "y"), (None, None)], key=str)
+
+
 def test_run_matches_stages(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() == out.select("doc_id").distinct().count() > 0
