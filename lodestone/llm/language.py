@@ -132,12 +132,12 @@ class Model:
         one = np.add.reduceat(c * np.log(p[np.arange(len(c)), np.repeat(top, np.diff(bounds))].astype(np.float64)), first)
         chosen = np.zeros_like(whole)
         chosen[np.arange(len(has)), top] = 1
-        # No set of languages has a higher likelihood than all of them: where that gains less than one more costs, one language is the answer.
-        more = np.flatnonzero(value - one > penalty * 0.5 * np.log(n))
+        most = limit(p, c, first, whole, value)
+        more = np.flatnonzero(most - one > penalty * 0.5 * np.log(n))
         if len(more):
             rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in more])
             start = np.concatenate(([0], np.cumsum(np.diff(bounds)[more])[:-1]))
-            chosen[more] = select(p[rows], c[rows], start, whole[more], one[more], penalty)
+            chosen[more] = select(p[rows], c[rows], start, whole[more], one[more], most[more], penalty)
         best[has] = chosen
         return best, margin
 
@@ -155,19 +155,34 @@ def expect(p: np.ndarray, c: np.ndarray, first: np.ndarray, pi: np.ndarray) -> t
     return pi.astype(np.float64), np.add.reduceat(c * np.log((p * pi[seg]).sum(1).astype(np.float64)), first)
 
 
-def select(p, c, first, whole, one, penalty: float) -> np.ndarray:
-    """The proportions of the set of languages with the best penalised likelihood; sets are the most probable ones, from one up."""
+def limit(p, c, first, pi, value) -> np.ndarray:
+    """What no proportions exceed: log-likelihood is concave, so it gains at most the largest component of the gradient, less n, over its value at pi. Rounding of single floats is allowed for."""
+    seg = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+    n, at = np.add.reduceat(c, first), p.astype(np.float64)
+    slope = np.add.reduceat(at * (c / (at * pi[seg]).sum(1))[:, None], first)
+    return value + np.maximum(slope.max(1) - n, 0) + 1e-6 * n
+
+
+def select(p, c, first, whole, one, most, penalty: float) -> np.ndarray:
+    """The proportions of the set of languages with the best penalised likelihood; sets are the most probable ones, from one up.
+
+    Each document tries every size whose penalty leaves its limit (most) above its best so far."""
     k = whole.shape[1]
     rank = np.argsort(np.argsort(-whole, 1, kind="stable"), 1, kind="stable")
-    chosen, score, n = np.where(rank < 1, 1.0, 0.0), one, np.add.reduceat(c, first)
+    chosen, score, n = np.where(rank < 1, 1.0, 0.0), one.copy(), np.add.reduceat(c, first)
+    bounds = np.append(first, len(c))
     for size in range(2, k + 1):
-        start = np.where(rank < size, np.maximum(whole, 1e-6), 0)
-        pi, value = expect(p, c, first, start / start.sum(1, keepdims=True))
-        value = value - penalty * 0.5 * (size - 1) * np.log(n)
-        better = value > score
-        score, chosen = np.where(better, value, score), np.where(better[:, None], pi, chosen)
-        if not better.any():
+        cost = penalty * 0.5 * (size - 1) * np.log(n)
+        open_ = np.flatnonzero(most - cost > score)  # costs grow with size, so what is closed stays so
+        if not len(open_):
             break
+        rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in open_])
+        at = np.concatenate(([0], np.cumsum(np.diff(bounds)[open_])[:-1]))
+        start = np.where(rank[open_] < size, np.maximum(whole[open_], 1e-6), 0)
+        pi, value = expect(p[rows], c[rows], at, start / start.sum(1, keepdims=True))
+        value = value - cost[open_]
+        better = value > score[open_]
+        score[open_[better]], chosen[open_[better]] = value[better], pi[better]
     return chosen
 
 

@@ -243,6 +243,47 @@ def test_sniffing(spark):
     assert {(r.media_type, r.offset, bytes(r.media)) for r in media.carve_media(rows).collect()} == {("image/gif", 2, gif), ("image/png", 4 + len(gif), png)}
 
 
+def mixture_alone(model, text, penalty=4.0):
+    """The proportions of one text when every size of set is tried."""
+    _, f, c = language.features([text])
+    c, p, first = c.astype(np.float32), model.p[f], np.array([0])
+    k, n = p.shape[1], c.sum()
+    whole = language.expect(p, c, first, np.full((1, k), 1 / k))[0][0]
+    order = np.argsort(-whole, kind="stable")
+    best, score = np.eye(k)[order[0]], float((c * np.log(p[:, order[0]].astype(float))).sum())
+    for size in range(2, k + 1):
+        start = np.zeros((1, k))
+        start[0, order[:size]] = np.maximum(whole[order[:size]], 1e-6)
+        pi, value = language.expect(p, c, first, start / start.sum())
+        value = value[0] - penalty * 0.5 * (size - 1) * np.log(n)
+        if value > score:
+            best, score = pi[0], value
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_language_selection_loses_no_set(seed):
+    rng, k = np.random.default_rng(seed), 5
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = [["".join(rng.choice(letters, 5)) for _ in range(60)] for _ in range(k)]
+    common = ["".join(rng.choice(letters, 5)) for _ in range(60)]
+    words = [w + common for w in words]
+    counts = np.zeros((k, language.FEATURES))
+    for g, w in enumerate(words):
+        _, f, n = language.features([" ".join(rng.choice(w, 4000))])
+        counts[g] = np.bincount(f, n, language.FEATURES)
+    model, texts = language.Model(range(k), counts), []
+    for _ in range(150):
+        n, g = int(rng.integers(5, 150)), rng.permutation(k)
+        text = list(rng.choice(words[g[0]], n))
+        for j in range(int(rng.integers(0, 3))):
+            text += list(rng.choice(words[g[1 + j]], int(rng.integers(1, 4))))
+        texts.append(" ".join(text))
+    got = model.infer(texts)
+    assert np.abs(got - np.array([mixture_alone(model, t) for t in texts])).max() <= 1e-6
+    assert all((model.infer([t])[0] == row).all() for t, row in zip(texts, got))
+
+
 def test_language(spark, docs, empty):
     rng = np.random.default_rng(5)
     make = lambda parts, n: " ".join("".join(rng.choice(parts, 3)) for _ in range(n))
