@@ -1,12 +1,11 @@
-"""Suffix-array deduplication by distributed prefix doubling.
+"""Suffix-array deduplication by anchored window hashing, which stands in for distributed prefix doubling.
 
 A byte goes if it lies in a string of `length` bytes that also starts at another position. That needs
 the suffix order only up to `length`: positions are given ranks for growing prefixes, Spark sorts or
 groups (rank, position) rows, and positions whose rank is unique leave at once.
 
-Ranks are names: 64 to 128 bits of a rolling hash of the prefix, so the rank of the position that a
-doubling step needs next to this one is computed where the text is and need not be joined. And not
-every position is a row. The windows of `length` bytes are cut into runs that share an anchor (see
+Ranks are names: 64 to 128 bits of a rolling hash of the prefix, computed where the text is:
+no ranks are joined at an offset or made anew, and no round doubles. And not every position is a row. The windows of `length` bytes are cut into runs that share an anchor (see
 `anchors`); equal windows have equal anchors, so a run stands for its windows as long as all of them
 share one fate:
 
