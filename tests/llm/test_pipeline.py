@@ -1,9 +1,18 @@
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import secret_scan
+from lodestone.llm import mixing, secret_scan
+from lodestone.llm.queries import vocabulary
 from tests.conftest import SMALL
 
 
@@ -58,3 +67,64 @@ def test_empty(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def brute_force(rows):
+    """(doc_id, n_tokens, ids) of what the pipeline makes of (doc_id, text, lang, source, n_chars)."""
+    grams = lambda t: [w[j : j + 3] for w in (f" {w} " for w in re.findall(r"[a-z\x80-\U0010ffff]+", t.lower())) for j in range(len(w) - 2)]
+    counts, letters = {}, Counter()
+    for _, t, lang, *_ in rows:
+        if t and lang:
+            counts.setdefault(lang, Counter()).update(grams(t))
+            letters.update(t.lower())
+    total = sum(letters.values())
+    kept = []
+    for i, t, _, source, n in rows:
+        g = grams(t or "")
+        likely = {k: sum(math.log((c[x] + 0.1) / (sum(c.values()) + 6553.6)) for x in g) for k, c in counts.items()}
+        alone = sum(math.log((letters[y] / total + 1 / 155) / 2) for x in g for y in x)
+        if g and max(likely.values()) > alone:
+            kept.append((i, t, max(likely, key=likely.get), source, n))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (r[1].lower().split() for r in kept)]
+    group = list(range(len(kept)))
+    for x in range(len(kept)):
+        for y in range(x):
+            if len(sets[x] & sets[y]) * 5 >= len(sets[x] | sets[y]) * 4:
+                group = [group[y] if g == group[x] else g for g in group]
+    first = {}
+    for g, r in sorted(zip(group, kept), key=lambda gr: (gr[1][0] is None, gr[1][0] or 0)):
+        first.setdefault(g, r)
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    clean = []
+    for i, t, lang, source, _ in first.values():
+        spans = sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in secret_scan.matches(r, r.compiled(), t))
+        t = secret_scan.redact(t, [(k, a, b) for a, k, b in spans])
+        clean.append((i, t, lang, source))
+    con = duckdb.connect()
+    frame = pd.DataFrame(clean, columns=["doc_id", "text", "lang", "source"])
+    frame["doc_id"] = frame["doc_id"].astype("Int64")
+    con.register("documents", frame)
+    chosen = {(r[0], r[-1]) for r in con.execute(mixing.mix_sql(corpus_pipeline.MIX)).fetchall()}
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    ids = [(i, library.encode(t, add_special_tokens=False).ids) for i, t, *_ in clean if (i, len(t.split())) in chosen]
+    return sorted([(i, len(x), x) for i, x in ids], key=str), len(kept), len(clean)
+
+
+def test_run_matches_brute_force(spark, tmp_path):
+    rng, rows = np.random.default_rng(5), []
+    words = {g: ["".join(rng.choice(list(a), int(rng.integers(3, 8)))) for _ in range(80)] for g, a in (("en", "thensroa"), ("de", "dieruckgw"), ("fr", "lajxpovmq"))}
+    for k in range(45):
+        lang = ("en", "de", "fr")[k % 3]
+        text = " ".join(rng.choice(words[lang], 240 + k))
+        rows.append((k, text, None if k % 7 == 0 else lang, None if k % 11 == 0 else f"src{k % 10}", len(text)))
+    extra = [rows[3], rows[3], (100, rows[4][1], "de", "src1", 1), (101, f"{rows[8][1]} {words['fr'][0]}", "en", "src2", 1), (None, rows[5][1], "fr", "src3", 1)]
+    extra += [(12, " ".join(rng.choice(words["de"], 97)), "de", "src1", 1), (None, " ".join(rng.choice(words["en"], 98)), None, "src9", 1)]
+    extra += [(200 + k, f"{' '.join(rng.choice(words['en'], 100 + k))} AKIAABCDEFGHIJKLMNO{k}", "en", "src2", 1) for k in range(2)]
+    extra += [(300, "hwvhw khxtw vhtxwk tgxhvt", None, "src1", 1), (301, "", "en", "src1", 0), (302, None, "en", "src1", None), (303, "12 34", None, None, 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows + extra, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want, kept, clean = brute_force(rows + extra)
+    assert kept == len(rows + extra) - 4 and clean == kept - 5 and 0 < len(want) < clean
+    assert sorted(((r.doc_id, r.n_tokens, list(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == want
