@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
@@ -42,7 +43,7 @@ def local_copy(uri: str) -> str:
     f, path = at(uri)
     if isinstance(f, fs.LocalFileSystem):
         return path
-    own = os.path.join(tempfile.gettempdir(), "lodestone-" + os.path.basename(path))
+    own = os.path.join(tempfile.gettempdir(), f"lodestone-{hashlib.sha256(uri.encode()).hexdigest()[:32]}")  # one for each URI
     if not os.path.exists(own):
         with f.open_input_stream(path) as source, open(part := f"{own}.{os.getpid()}", "wb") as to:
             while block := source.read(1 << 20):

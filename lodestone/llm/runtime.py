@@ -15,35 +15,57 @@ BATCH_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see; only where that is unset, one of this machine."""
+    """A new folder under spark.checkpoint.dir, which the driver and all executors see; only a local master does without that setting, with a folder of this machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        global _own
+        _own = _own or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        top = _own
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The rows as a written table: lineage ends here and a lost executor costs no recomputation."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Rows of a written table of a few numbers each that may be broadcast: some 50 MB.
-MOST_BROADCAST = 1_000_000
-
+_own: str | None = None
+#: Shuffle files go when the query that made them ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def small(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A written table, marked for broadcast if its rows are few; else as it is, so that joins shuffle."""
-    return F.broadcast(table) if table.count() <= most else table
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a written table: lineage ends here, a lost executor costs no recomputation, and the shuffle files on the way are deleted."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bytes of a table, as its columns lie in memory, that may be broadcast.
+MOST_BYTES = 48 << 20
+
+
+def small(table: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if it has few bytes (a pass over it adds them up); else as it is, so that joins shuffle."""
+    wide = {"long": 8, "bigint": 8, "double": 8, "timestamp": 8, "int": 4, "float": 4, "boolean": 1}
+    size = F.lit(32)  # of a row besides its values
+    for name, kind in table.dtypes:
+        if kind in ("string", "binary"):
+            size = size + 8 + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 32 + 32 * F.greatest(F.lit(0), F.coalesce(F.size(F.col(name)), F.lit(0)))
+        else:
+            size = size + wide.get(kind, 16)
+    return F.broadcast(table) if (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else table
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:

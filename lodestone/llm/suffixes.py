@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import sums
 from .anchors import Runs
 from .rolling import BASE2, BYTE_VALUE, BYTE_VALUE2, Batch, Prefix
-from .runtime import BATCH_BYTES, MOST_BROADCAST, cut, release, shared_dir, small, written
+from .runtime import BATCH_BYTES, cut, shared_dir, small, written
 
 LENGTH = 200
 GRAM = 32
@@ -166,10 +166,8 @@ def deduplicate(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: s
     context = ["cls", "ua", "ub"]
 
     twice = written(grams(texts, length, gram).groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), f"{folder}/round-1")
-    release(df.sparkSession)
     seen = df.sparkSession.sparkContext.broadcast(sums.bitmap(twice, "cls"))
     left = written(runs(texts, length, gram, seen).join(twice, "cls", "left_semi"), f"{folder}/runs")
-    release(df.sparkSession)
 
     first = lambda c: F.min_by(c, "rid").alias(c)
     unions = written(left.groupBy(*context).agg(F.count("*").alias("c"), first("sides"), F.min("rid").alias("rid"), first("th"), first("pos")), f"{folder}/contexts")
@@ -188,15 +186,13 @@ def deduplicate(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: s
     stop = F.when(F.col("right_twice"), n).otherwise(F.least(n, far - half + 1))
     spans = kept.select("rid", "th", F.struct((low + skip).cast("int").alias("low"), (stop - skip).cast("int").alias("n"), (F.col("c") > 1).alias("known")).alias("span")).where("span.n > 0")
     spans = written(spans.groupBy("rid", "th").agg(F.collect_list("span").alias("spans")), f"{folder}/spans")  # no more than a text has positions
-    asked = texts.select("text", "rid", "th").join(small(spans, MOST_BROADCAST // 4), ["rid", "th"])
+    asked = texts.select("text", "rid", "th").join(small(spans), ["rid", "th"])
     found = repeated(windows(asked, length)).withColumn("low", F.shiftright("start", 6) * 64).withColumn("bit", F.expr("shiftleft(1L, start & 63)"))
     found = written(found.groupBy("rid", "th", "low").agg(F.bit_or("bit").alias("bits")), f"{folder}/round-3")
-    release(df.sparkSession)
 
     every = whole.withColumn("bits", F.lit(0).cast("long")).unionByName(found.withColumn("n", F.lit(0)))
     gone = every.groupBy("rid", "th").agg(F.collect_list(F.struct("low", "n", "bits")).alias("spans"))
     gone = written(gone, f"{folder}/gone")
-    release(df.sparkSession)
     return strip(texts.join(gone, ["rid", "th"], "left").select("doc_id", "text", "spans"), length)
 
 

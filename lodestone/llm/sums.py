@@ -52,35 +52,48 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
     return out[:size]
 
 
-#: Bits of a map of hashes; each hash has one. Its 16 MB are all that is broadcast, however many hashes there are.
-MAP_BITS = 27
-MAP_PARTS = 6
+#: A map of hashes has some 8 bits a hash, as a power of 2 between these: up to 128 MB are broadcast. Beyond some 130 million
+#: hashes it fills up and lets more through that isn't in it; what it lets through is tested by joins, so only they get larger.
+LEAST_BITS, MOST_BITS = 20, 30
+PART_BYTES = 1 << 15
 
 
-def bit_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def bit_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)
 
 
 def bitmap(table: DataFrame, column: str) -> np.ndarray:
-    """The map of the hashes in a column of longs; each part of it is made by one task."""
-    size = 1 << (MAP_BITS - MAP_PARTS)
+    """The map of the hashes in a column of longs of a written table: each task makes its own, one task a part unites them."""
+    width = min(MOST_BITS, max(LEAST_BITS, (8 * max(1, table.count()) - 1).bit_length()))
 
     def run(batches):
-        parts: dict[int, np.ndarray] = {}
+        own, any_ = np.zeros((1 << width) // 8, np.uint8), False
         for b in batches:
-            bit = bit_of(b.column(0).to_numpy())
-            for k in np.unique(bit // size).tolist():
-                parts.setdefault(k, np.zeros(size, bool))[bit[bit // size == k] % size] = True
-        for k, x in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["part", "bits"])
+            bit, any_ = bit_of(b.column(0).to_numpy(), width), True
+            np.bitwise_or.at(own, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
+        for k in range(len(own) // PART_BYTES if any_ else 0):
+            if (part := own[k * PART_BYTES : (k + 1) * PART_BYTES]).any():
+                yield row(k, part)
 
-    out = np.zeros((1 << MAP_PARTS, size // 8), np.uint8)
-    for r in table.withColumn("_part", F.shiftrightunsigned(column, 64 - MAP_PARTS)).repartition("_part").select(column).mapInArrow(run, "part int, bits binary").collect():
-        out[r.part] |= np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
+    def row(k, part):
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "bits"])
+
+    def unite(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column("part").to_pylist(), b.column("bits").to_pylist()):
+                part = total.setdefault(k, np.zeros(PART_BYTES, np.uint8))
+                part |= np.frombuffer(zlib.decompress(raw), np.uint8)
+        for k, part in total.items():
+            yield row(k, part)
+
+    out = np.zeros((1 << width) // 8, np.uint8)
+    for r in table.select(column).mapInArrow(run, "part int, bits binary").repartition("part").mapInArrow(unite, "part int, bits binary").collect():
+        out[r.part * PART_BYTES : (r.part + 1) * PART_BYTES] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash may be in the map; one that is always is."""
-    bit = bit_of(hashes)
+    bit = bit_of(hashes, (8 * len(bits)).bit_length() - 1)
     return ((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
