@@ -25,21 +25,32 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files, sums
-from .runtime import BATCH_BYTES, cut, documents, shared_dir, written
+from .runtime import BATCH_BYTES, cut, documents, drop, shared_dir, written
 
+#: Bits of a code at most, for vocabularies of up to 2 ** 16 ids; larger ones get two bits more than a plain number has, up to 24.
 LIMIT = 18
 BLOCK = 1 << 16
 CHECKPOINT = 64
 MAGIC = b"LSHUF001"
+#: ASCII characters that are neither letters, digits nor white space: a run of them is one piece.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Pieces that the library encodes in one call.
 TOGETHER = 1024
 #: Ids a file holds, about.
 FILE_IDS = 1 << 24
 
 
+def limit_for(size: int) -> int:
+    limit = max(LIMIT, (size - 1).bit_length() + 2)
+    if limit > 24:
+        raise ValueError(f"{size} ids; at most {1 << 22} are supported")
+    return limit
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Optimal code lengths of at most that many bits for the ids with counts (package-merge); 0 for the others."""
     lengths = np.zeros(len(counts), np.uint8)
@@ -186,39 +197,71 @@ class FileReader:
             have = have[missing:]
 
 
+class Remembered(dict):
+    """Values by key, up to about `most`. What is learned beyond is dropped after its batch, as rare keys come once; but when they are asked for twice as often as at first, the texts have changed, and all is learned anew."""
+
+    def __init__(self, most: int):
+        self.most, self.usual = most, None
+
+    def keep(self, new: dict, share: float) -> None:
+        """Takes new values while there is room; share: of all that was asked for, what was new."""
+        if len(self) < self.most:
+            self.update(new)
+        elif self.usual is None:
+            self.usual = share
+        elif share > 2 * self.usual:
+            self.clear()
+            self.usual = None
+
+
 class CachedLibrary:
     """The library's ids of a text, remembered by word and piece: white space separates words, and pieces are encoded on their own."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         from .vocab import Vocabulary
 
+        self.vocabulary = Vocabulary(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.vocabulary, self.most = Vocabulary(path), most
+        # pieces are normalised and cut already
+        self.library.normalizer = normalizers.Sequence([])
+        self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = np.dtype("<u2") if self.vocabulary.size <= 1 << 16 else np.dtype("<u4")
         self.ends_word = np.array([self.vocabulary.tokens.get(k, "").endswith(self.vocabulary.end) for k in range(self.vocabulary.size)])
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, words) -> None:
-        """Adds the ids of new words, as bytes; only pieces not seen before go to the library."""
-        split, have = {}, self.pieces
-        for w in words:
-            text = w.decode("utf-8", "surrogatepass")
-            split[w] = [p if not added else (p,) for added, p in self.vocabulary.parts(text)] if "<|" in text else self.vocabulary.split(text)
-        for token, k in self.vocabulary.added.items():
-            have[(token,)] = np.array([k], self.kind).tobytes()
-        self.new_pieces = [p for p in set().union(*split.values()) if p not in have]
-        for lo in range(0, len(self.new_pieces), TOGETHER):
-            have.update(self.library_ids(self.new_pieces[lo : lo + TOGETHER]))
-        for w, parts in split.items():
-            self.words[w] = b"".join([have[p] for p in parts])
+        self.words, self.pieces = Remembered(most), Remembered(most)
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words, as bytes; only pieces not seen before go to the library."""
+        texts, one, two, tails, other = self.vocabulary.normalised(words), [], [], [], []
+        for k, t in enumerate(texts):
+            if t.isalpha():
+                one.append(k)
+            elif (stem := t.rstrip(MARKS)).isalpha():
+                two.append(k)
+                tails.append(t[len(stem) :])
+                texts[k] = stem
+            else:
+                other.append(k)
+        split = [tuple(self.vocabulary.parts(words[k].decode("utf-8", "surrogatepass"))) for k in other]
+        asked = {texts[k] for k in one}
+        asked.update([texts[k] for k in two], tails, *[[p for added, p in x if not added] for x in split])
+        new = [p for p in asked if p not in self.pieces]
+        fresh: dict[str, bytes] = {}
+        for lo in range(0, len(new), TOGETHER):
+            fresh.update(self.library_ids(new[lo : lo + TOGETHER]))
+        have = {p: self.pieces[p] for p in asked if p not in fresh} | fresh
+        self.pieces.keep(fresh, len(new) / max(1, len(asked)))
+        ids = {t: np.array([k], self.kind).tobytes() for t, k in self.vocabulary.added.items()}
+        out = {words[k]: have[texts[k]] for k in one}
+        out.update([(words[k], have[texts[k]] + have[tail]) for k, tail in zip(two, tails)])
+        out.update([(words[k], b"".join([ids[p] if added else have[p] for added, p in x])) for k, x in zip(other, split)])
+        return out
 
     def library_ids(self, some: list[str]) -> dict[str, bytes]:
         """The library's ids of pieces, encoded as one text; a piece ends where a token ends a word."""
@@ -231,18 +274,17 @@ class CachedLibrary:
         return {p: raw[a:b] for p, a, b in zip(some, at, at[1:])}
 
     def encode(self, texts) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        words = self.words
-        new = set().union(*split).difference(words)
-        self.new_pieces = []
+        split = self.vocabulary.words(texts)
+        found = [list(map(self.words.get, x)) for x in split]
+        missed = [[k for k, v in enumerate(x) if v is None] if None in x else () for x in found]
+        new = list({x[k] for x, at in zip(split, missed) for k in at})
         if new:
-            self.learn(new)
-        out = [b"".join(map(words.__getitem__, x)) for x in split]
-        for kept, added in ((words, new), (self.pieces, self.new_pieces)):  # beyond the bound nothing is remembered
-            if len(kept) > self.most:
-                for x in added:
-                    del kept[x]
-        return out
+            learned = self.learn(new)
+            for x, ids, at in zip(split, found, missed):
+                for k in at:
+                    ids[k] = learned[x[k]]
+            self.words.keep(learned, sum(map(len, missed)) / sum(map(len, split)))
+        return list(map(b"".join, found))
 
 
 _libraries: dict = {}
@@ -288,7 +330,7 @@ def write(df: DataFrame, vocabulary_path: str, end_id: int = 2, id_col: str = "d
     kind = "<u2" if size <= 1 << 16 else "<u4"
     folder = shared_dir(spark, "token-ids")
     staged = stage(df, vocabulary_path, end_id, id_col, text_col, f"{folder}/staged")
-    lengths = code_lengths(sums.summed(staged.where("part IS NOT NULL").select("part", "counts"), size).astype(np.int64))
+    lengths = code_lengths(sums.summed(staged.where("part IS NOT NULL").select("part", "counts"), size).astype(np.int64), limit_for(size))
     staged = staged.where("part IS NULL")
     shared = spark.sparkContext.broadcast(lengths)
     n_files = max(2 * spark.sparkContext.defaultParallelism, (staged.agg(F.sum("n")).first()[0] or 0) // FILE_IDS)
@@ -296,24 +338,29 @@ def write(df: DataFrame, vocabulary_path: str, end_id: int = 2, id_col: str = "d
     def run(batches):
         from pyspark import TaskContext
 
-        out = None
+        out, file = None, TaskContext.get().partitionId()
         for b in batches:
             for doc_id, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
                 if out is None:
-                    out = FileWriter(f"{folder}/ids-{TaskContext.get().partitionId():06d}.bin", shared.value)
+                    out = FileWriter(f"{folder}/ids-{file:06d}.bin", shared.value)
                 out.add(doc_id, np.frombuffer(x.as_buffer(), kind).astype(np.uint32))
         if out is not None:
             path, docs, ids = out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([docs], pa.int64()), pa.array([ids], pa.int64())], names=["path", "docs", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([path]), pa.array([docs], pa.int64()), pa.array([ids], pa.int64())], names=["file", "path", "docs", "ids"])
 
     key = ["doc_id", "task", "row"]  # task and row keep equal doc_ids apart, so many of them still spread over files
     ordered = staged.repartitionByRange(n_files, *key).sortWithinPartitions(*key)
-    rows = sorted(written(ordered.select("doc_id", "ids").mapInArrow(run, "path string, docs long, ids long"), f"{folder}/manifest").collect())  # a row per file
-    base, out = 0, []
-    for r in rows:
-        out.append((r.path, r.docs, r.ids, base))
-        base += r.ids
-    return spark.createDataFrame(out, "path string, docs long, ids long, base long")
+    files_ = written(ordered.select("doc_id", "ids").mapInArrow(run, "file long, path string, docs long, ids long"), f"{folder}/files")
+    drop(spark, f"{folder}/staged")
+    return written(with_bases(files_), f"{folder}/manifest")
+
+
+def with_bases(files_: DataFrame, together: int = 1024) -> DataFrame:
+    """path, docs, ids and base (the ids of all files before) of written rows by file number: sums within runs of files, then over the runs, a row for each of which is ordered in one task."""
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = files_.withColumn("run", F.floor(F.col("file") / together))
+    runs = rows.groupBy("run").agg(F.sum("ids").alias("ids")).select("run", before(W.orderBy("run")).alias("first"))
+    return rows.withColumn("within", before(W.partitionBy("run").orderBy("file"))).join(runs, "run").select("path", "docs", "ids", (F.col("first") + F.col("within")).alias("base"))
 
 
 def read(manifest: DataFrame, fn, schema: str) -> DataFrame:
