@@ -14,7 +14,9 @@ which the budget ends is ordered by row.
 
 Defined results: null levels count as "(none)"; null and empty texts have no tokens and are never
 chosen; a null doc_id has an order key of its own; an empty table gives an empty mix; other columns
-of the table are kept by `mix` and may have any name but those it adds.
+of the table are kept by `mix` and may have any name but those it adds. A node of weight 0 takes
+nothing, so its siblings share its part, and where all siblings have weight 0 their parent takes
+nothing either; the budget still counts their tokens.
 """
 
 from __future__ import annotations
@@ -25,12 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import shared_dir, written
+from .runtime import shared_dir, small, written
 
 #: About as many rows of a leaf as are ordered by row.
 RANGE_ROWS = 2048
-#: A row a leaf: some 10 MB at most are broadcast.
-MOST_LEAVES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 DOMAIN = "CASE WHEN source IS NULL THEN '(none)' WHEN regexp_extract(source, '([0-9]*)$', 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 'web' ELSE 'reference' END"
 
@@ -39,7 +39,7 @@ DOMAIN = "CASE WHEN source IS NULL THEN '(none)' WHEN regexp_extract(source, '([
 class Mix:
     """levels: name and SQL expression, from the root down; weights: whole numbers by level and node name, others have `weight`.
 
-    budget is in hundredths of all tokens there are; epochs: as often a document can be chosen.
+    budget is in hundredths of all tokens there are; epochs: as often a document can be chosen. Negative numbers are an error.
     """
 
     levels: tuple = (("domain", DOMAIN), ("lang", "coalesce(lang, '(none)')"), ("source", "coalesce(source, '(none)')"))
@@ -49,6 +49,15 @@ class Mix:
     epochs: int = 2
     seed: int = 17
 
+    def __post_init__(self):
+        every = [self.weight, *(w for level in self.weights.values() for w in level.values())]
+        if not all(isinstance(w, int) and w >= 0 for w in every):
+            raise ValueError("weights must be whole numbers of 0 or more")
+        if not (isinstance(self.budget, int) and self.budget >= 0 and isinstance(self.epochs, int) and self.epochs >= 1):
+            raise ValueError("budget must be 0 or more, epochs 1 or more")
+        if unknown := set(self.weights) - {name for name, _ in self.levels}:
+            raise ValueError(f"weights name no level: {', '.join(sorted(unknown))}")
+
     def weight_of(self, level: str) -> Column:
         out = F.lit(self.weight)
         for name, w in self.weights.get(level, {}).items():
@@ -66,12 +75,12 @@ def key(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 
 def split(nodes: DataFrame, parents: list[str], name: str, weight: Column) -> DataFrame:
-    """Each row's share of its parent's budget (column budget) under its own cap; the result has the share as budget."""
+    """Each row's share of its parent's budget (column budget) under its own cap, which is 0 where its weight is; the result has the share as budget."""
     group, by_ratio = W.partitionBy(*parents), W.partitionBy(*parents).orderBy("ratio", name)
-    n = nodes.withColumn("w", weight).withColumn("ratio", F.col("cap") / F.col("w"))
+    n = nodes.withColumn("w", weight).withColumn("ratio", F.when(F.col("w") > 0, F.col("cap") / F.nullif(F.col("w"), F.lit(0.0))).otherwise(0.0))
     n = n.withColumn("place", F.row_number().over(by_ratio)).withColumn("before", F.sum("cap").over(by_ratio.rowsBetween(W.unboundedPreceding, 0)) - F.col("cap"))
     n = n.withColumn("rest_w", F.sum("w").over(group) - F.sum("w").over(by_ratio.rowsBetween(W.unboundedPreceding, 0)) + F.col("w"))
-    n = n.withColumn("rate", (F.col("budget") - F.col("before")) / F.col("rest_w")).withColumn("full", F.col("ratio") <= F.col("rate"))
+    n = n.withColumn("rate", (F.col("budget") - F.col("before")) / F.nullif(F.col("rest_w"), F.lit(0.0))).withColumn("full", F.coalesce(F.col("ratio") <= F.col("rate"), F.lit(True)))
     n = n.withColumn("open", F.min(F.when(~F.col("full"), F.col("place"))).over(group)).withColumn("level", F.max(F.when(F.col("place") == F.col("open"), F.col("rate"))).over(group))
     n = n.withColumn("share", F.when(F.col("open").isNull() | (F.col("place") < F.col("open")), F.col("cap")).otherwise(F.floor(F.col("level") * F.col("w"))).cast("long"))
     n = n.withColumn("left", F.least(F.col("budget"), F.sum("cap").over(group)) - F.sum("share").over(group))
@@ -83,7 +92,11 @@ def split(nodes: DataFrame, parents: list[str], name: str, weight: Column) -> Da
 def budgets(slim: DataFrame, mix: Mix) -> DataFrame:
     """A row per leaf: its levels, tokens, rows and budget. slim: the levels (mix_*), doc_id and n_tokens, a row a document."""
     names = [f"mix_{k}" for k, _ in mix.levels]
-    leaves = slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).withColumn("cap", F.col("tokens") * mix.epochs)
+    leaves = slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+    weighted = F.lit(True)
+    for level, _ in mix.levels:
+        weighted &= mix.weight_of(level) > 0
+    leaves = leaves.withColumn("cap", F.when(weighted, F.col("tokens") * mix.epochs).otherwise(0))
     out = leaves.withColumn("root", F.lit(0))
     root = out.groupBy("root").agg(F.floor(F.sum("tokens") * mix.budget / F.lit(100)).cast("long").alias("budget"))
     given = root
@@ -95,8 +108,8 @@ def budgets(slim: DataFrame, mix: Mix) -> DataFrame:
 
 
 def attach(rows: DataFrame, leaves: DataFrame, on) -> DataFrame:
-    """Rows with their leaf's columns. A written table of up to MOST_LEAVES leaves goes to every task, so a hot leaf's rows stay where they are; a larger one is joined by key."""
-    return rows.join(F.broadcast(leaves) if leaves.count() <= MOST_LEAVES else leaves, on)
+    """Rows with their leaf's columns. A written table of few bytes goes to every task, so a hot leaf's rows stay where they are; a larger one is joined by key."""
+    return rows.join(small(leaves), on)
 
 
 def cuts(slim: DataFrame, leaves: DataFrame, mix: Mix, folder: str) -> DataFrame:
@@ -141,16 +154,18 @@ def mix_sql(plan: Mix, table: str = "documents") -> str:
     names = [k for k, _ in plan.levels]
     cols = ", ".join(f"m_{k}" for k in names)
     ctes = [f"slim AS (SELECT doc_id, {', '.join(f'{e} AS m_{k}' for k, e in plan.levels)}, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM {table})"]
-    ctes.append(f"leaves AS (SELECT {cols}, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {plan.epochs})::BIGINT AS cap, 0 AS root FROM slim GROUP BY {cols})")
+    case = lambda k: "".join(f" WHEN m_{k} = '{n}' THEN {w}" for n, w in plan.weights.get(k, {}).items())
+    weight_of = lambda k: f"(CASE{case(k)} ELSE {plan.weight} END)::DOUBLE" if case(k) else f"{plan.weight}::DOUBLE"
+    weighted = " AND ".join(f"{weight_of(k)} > 0" for k in names)
+    ctes.append(f"leaves AS (SELECT *, CASE WHEN {weighted} THEN tokens * {plan.epochs} ELSE 0 END AS cap FROM (SELECT {cols}, sum(n_tokens)::BIGINT AS tokens, 0 AS root FROM slim GROUP BY {cols}))")
     ctes.append(f"g0 AS (SELECT root, floor(sum(tokens) * {plan.budget} / 100.0::DOUBLE)::BIGINT AS budget FROM leaves GROUP BY root)")
     for d, k in enumerate(names):
         parents, path = ", ".join(["root", *(f"m_{x}" for x in names[:d])]), ", ".join(["root", *(f"m_{x}" for x in names[: d + 1])])
-        case = " ".join(f"WHEN m_{k} = '{n}' THEN {w}" for n, w in plan.weights.get(k, {}).items())
-        weight = f"(CASE {case} ELSE {plan.weight} END)::DOUBLE" if case else f"{plan.weight}::DOUBLE"
+        weight = weight_of(k)
         using = f"USING ({parents})"
-        ctes.append(f"a{d} AS (SELECT c.*, {weight} AS w, cap / {weight} AS ratio, g.budget FROM (SELECT {path}, sum(cap)::BIGINT AS cap FROM leaves GROUP BY {path}) c JOIN g{d} g {using})")
+        ctes.append(f"a{d} AS (SELECT c.*, {weight} AS w, CASE WHEN {weight} > 0 THEN cap / {weight} ELSE 0 END AS ratio, g.budget FROM (SELECT {path}, sum(cap)::BIGINT AS cap FROM leaves GROUP BY {path}) c JOIN g{d} g {using})")
         ctes.append(f"b{d} AS (SELECT *, row_number() OVER o AS place, budget - (sum(cap) OVER (o ROWS UNBOUNDED PRECEDING) - cap) AS room, sum(w) OVER p - sum(w) OVER (o ROWS UNBOUNDED PRECEDING) + w AS rest_w FROM a{d} WINDOW p AS (PARTITION BY {parents}), o AS (PARTITION BY {parents} ORDER BY ratio, m_{k}))")
-        ctes.append(f"c{d} AS (SELECT *, room::DOUBLE / rest_w AS rate, ratio <= room::DOUBLE / rest_w AS full_ FROM b{d})")
+        ctes.append(f"c{d} AS (SELECT *, room::DOUBLE / nullif(rest_w, 0) AS rate, coalesce(ratio <= room::DOUBLE / nullif(rest_w, 0), TRUE) AS full_ FROM b{d})")
         ctes.append(f"d{d} AS (SELECT *, min(CASE WHEN NOT full_ THEN place END) OVER (PARTITION BY {parents}) AS open_ FROM c{d})")
         ctes.append(f"e{d} AS (SELECT *, max(CASE WHEN place = open_ THEN rate END) OVER (PARTITION BY {parents}) AS level FROM d{d})")
         ctes.append(f"f{d} AS (SELECT *, CASE WHEN open_ IS NULL OR place < open_ THEN cap ELSE floor(level * w)::BIGINT END AS share FROM e{d})")
