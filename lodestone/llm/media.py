@@ -14,8 +14,10 @@ rows each get a row; a truncated or corrupt medium is not reported; an empty tab
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,12 +43,52 @@ TYPES = {"png": "image/png", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "i
 FORMS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 
 
-def png(d: bytes, at: int):
+class Marks:
+    """What the validators of one value look for again and again, found once, so many false starts cost no new search each."""
+
+    def __init__(self, d: bytes):
+        self.d, self.places, self.jpeg, self.archives = d, {}, (0, -1), None
+
+    def of(self, mark: bytes) -> list[int]:
+        """All places of a mark, in order."""
+        if mark not in self.places:
+            out, at = [], self.d.find(mark)
+            while at >= 0:
+                out.append(at)
+                at = self.d.find(mark, at + 1)
+            self.places[mark] = out
+        return self.places[mark]
+
+    def jpeg_marker(self, pos: int) -> int:
+        """The first marker from pos on that is neither stuffing, a restart nor a fill byte; -1 if there is none."""
+        low, found = self.jpeg
+        if not low <= pos <= found:
+            m = JPEG_MARKER.search(self.d, pos)
+            found = m.start() if m else len(self.d)
+            self.jpeg = (pos, found)
+        return found if found < len(self.d) else -1
+
+    def zip_end(self, at: int) -> int | None:
+        """The end of the first archive that starts there by its end record."""
+        if self.archives is None:
+            self.archives = {}
+            for end in self.of(b"PK\x05\x06"):
+                if end + 22 <= len(self.d):
+                    size, offset, note = struct.unpack_from("<IIH", self.d, end + 12)
+                    if end + 22 + note <= len(self.d):
+                        self.archives.setdefault(end - size - offset, end + 22 + note)
+        return self.archives.get(at)
+
+
+JPEG_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
+
+
+def png(d: bytes, at: int, marks: Marks):
     pos = at + 8
     first = True
     while pos + 12 <= len(d):
         n, kind = struct.unpack_from(">I4s", d, pos)
-        if pos + 12 + n > len(d) or (first and kind != b"IHDR") or zlib.crc32(memoryview(d)[pos + 4 : pos + 8 + n]) != struct.unpack_from(">I", d, pos + 8 + n)[0]:
+        if pos + 12 + n > len(d) or (first and (kind != b"IHDR" or n != 13)) or zlib.crc32(memoryview(d)[pos + 4 : pos + 8 + n]) != struct.unpack_from(">I", d, pos + 8 + n)[0]:
             return None
         pos, first = pos + 12 + n, False
         if kind == b"IEND":
@@ -54,26 +96,22 @@ def png(d: bytes, at: int):
     return None
 
 
-def jpeg(d: bytes, at: int):
+def jpeg(d: bytes, at: int, marks: Marks):
     pos = at + 2
     while pos + 4 <= len(d) and d[pos] == 0xFF:
         kind, n = d[pos + 1], struct.unpack_from(">H", d, pos + 2)[0]
         if kind < 0xC0 or n < 2:
             return None
         pos += 2 + n
-        if kind == 0xDA:  # entropy-coded data: up to a marker that is neither stuffing nor a restart
-            while (pos := d.find(b"\xff", pos)) >= 0 and pos + 1 < len(d):
-                if d[pos + 1] == 0xD9:
-                    return "image/jpeg", pos + 2 - at
-                if d[pos + 1] != 0 and not 0xD0 <= d[pos + 1] <= 0xD7 and d[pos + 1] != 0xFF:
-                    break
-                pos += 1 if d[pos + 1] == 0xFF else 2
-            if pos < 0:
+        if kind == 0xDA:  # entropy-coded data
+            if (pos := marks.jpeg_marker(pos)) < 0:
                 return None
+            if d[pos + 1] == 0xD9:
+                return "image/jpeg", pos + 2 - at
     return None
 
 
-def gif(d: bytes, at: int):
+def gif(d: bytes, at: int, marks: Marks):
     if at + 13 > len(d):
         return None
     table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
@@ -99,7 +137,7 @@ def gif(d: bytes, at: int):
     return None
 
 
-def riff(d: bytes, at: int):
+def riff(d: bytes, at: int, marks: Marks):
     if at + 12 > len(d):
         return None
     n, form = struct.unpack_from("<I4s", d, at + 4)
@@ -115,7 +153,7 @@ def riff(d: bytes, at: int):
     return FORMS[form], end - at
 
 
-def bmp(d: bytes, at: int):
+def bmp(d: bytes, at: int, marks: Marks):
     if at + 18 > len(d):
         return None
     n, reserved, offset, header = struct.unpack_from("<IIII", d, at + 2)
@@ -123,35 +161,46 @@ def bmp(d: bytes, at: int):
     return ("image/bmp", n) if ok else None
 
 
-def ogg(d: bytes, at: int):
+REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
+def ogg_crc(page: bytes) -> int:
+    """The page checksum (polynomial 0x04C11DB7, no reflection): zlib's with the bits of each byte, and of the result, reversed."""
+    return int(f"{zlib.crc32(page.translate(REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
+
+
+def ogg(d: bytes, at: int, marks: Marks):
     pos, serial = at, None
     while pos + 27 <= len(d) and d[pos : pos + 4] == b"OggS" and d[pos + 4] == 0:
         flags, own, n = d[pos + 5], d[pos + 14 : pos + 18], d[pos + 26]
-        if serial is None and not flags & 2 or serial not in (None, own) or pos + 27 + n > len(d):
+        end = pos + 27 + n + sum(d[pos + 27 : pos + 27 + n])
+        if serial is None and not flags & 2 or serial not in (None, own) or end > len(d):
             return None
-        serial, pos = own, pos + 27 + n + sum(d[pos + 27 : pos + 27 + n])
+        if ogg_crc(d[pos : pos + 22] + bytes(4) + d[pos + 26 : end]) != struct.unpack_from("<I", d, pos + 22)[0]:
+            return None
+        serial, pos = own, end
         if flags & 4:
-            return ("audio/ogg", pos - at) if pos <= len(d) else None
+            return "audio/ogg", pos - at
     return None
 
 
-def pdf(d: bytes, at: int):
-    after = d.find(b"%PDF-", at + 5)
-    end = d.rfind(b"%%EOF", at, after if after >= 0 else len(d))
-    return ("application/pdf", end + 5 - at) if end >= 0 and d.find(b"startxref", at, end) >= 0 else None
+def pdf(d: bytes, at: int, marks: Marks):
+    """Up to the last end mark before the next header; a place of the cross-reference table comes before it."""
+    heads, ends, tables = marks.of(b"%PDF-"), marks.of(b"%%EOF"), marks.of(b"startxref")
+    k = bisect_right(heads, at)
+    stop = bisect_right(ends, (heads[k] if k < len(heads) else len(d)) - 5)
+    if not stop or ends[stop - 1] < at:
+        return None
+    end, j = ends[stop - 1], bisect_left(tables, at)
+    return ("application/pdf", end + 5 - at) if j < len(tables) and tables[j] + 9 <= end else None
 
 
-def zipped(d: bytes, at: int):
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(d):
-        size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(d):
-            return "application/zip", end + 22 + note - at
-        end = d.find(b"PK\x05\x06", end + 4)
-    return None
+def zipped(d: bytes, at: int, marks: Marks):
+    end = marks.zip_end(at)
+    return None if end is None else ("application/zip", end - at)
 
 
-def gzipped(d: bytes, at: int):
+def gzipped(d: bytes, at: int, marks: Marks):
     stream, rest, view = zlib.decompressobj(31), at, memoryview(d)
     try:
         while not stream.eof and rest < len(d):  # bounded output at a time, which is thrown away
@@ -184,12 +233,12 @@ def sniff(value: bytes | None) -> list[tuple[str, int, int]]:
     """(media type, offset, length) of every valid medium in the value, by offset."""
     if not value:
         return []
-    found, within_gzip = [], -1
+    found, within_gzip, marks = [], -1, Marks(value)
     for last, (n, kind) in automaton().iter(value.decode("latin-1")):
         at = last + 1 - n
         if kind in ("zip", "gzip") and at < within_gzip:
             continue  # a further member of an archive that is already whole
-        if got := VALIDATORS[kind](value, at):
+        if got := VALIDATORS[kind](value, at, marks):
             found.append((got[0], at, got[1]))
             if kind in ("zip", "gzip"):
                 within_gzip = at + got[1]
