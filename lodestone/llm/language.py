@@ -13,8 +13,6 @@ go to the language that sorts first; without any training row every document is
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,13 +24,17 @@ from .runtime import cut, documents, map_texts
 FEATURES = 1 << 16
 #: More languages than this are an error, not a cut.
 MOST_LANGUAGES = 256
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters stay, bytes of other characters stay, the rest is a space.
 KEEP = np.where(np.isin(np.arange(256), np.r_[97:123]) | (np.arange(256) >= 128), np.arange(256), 32).astype(np.uint8)
 STEPS = 12
 SMOOTH = 0.1
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of one of Unicode's letter categories is in the text; numerals, superscripts and marks aren't letters."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs of a batch in order, with counts."""
     raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
@@ -204,7 +206,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(rows):
         langs, texts = shared.value.langs, rows["text"]
         pi = shared.value.infer(texts, penalty)
-        known = np.array([bool(t and LETTER.search(t)) for t in texts], bool) & (pi.sum(1) > 0) if langs else np.zeros(len(texts), bool)
+        known = np.array([has_letter(t) for t in texts], bool) & (pi.sum(1) > 0) if langs else np.zeros(len(texts), bool)
         top = pi.argmax(1) if langs else np.zeros(len(texts), int)
         order = np.argsort(-pi, 1, kind="stable") if langs else None
         return {
@@ -226,7 +228,7 @@ def label(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "
         for b in cut(batches, column=text_col):
             texts = b.column(text_col).to_pylist()
             pi, margin = shared.value.judge(texts, penalty)
-            keep = np.array([bool(t and LETTER.search(t)) for t in texts], bool) & (margin > least)
+            keep = np.array([has_letter(t) for t in texts], bool) & (margin > least)
             at = b.schema.get_field_index(lang_col)
             found = pa.array(langs[pi[keep].argmax(1)] if len(langs) else [], b.schema.field(at).type)
             yield b.filter(pa.array(keep)).set_column(at, b.schema.field(at).with_nullable(True), found)
