@@ -65,9 +65,3 @@ class Runs:
     def context(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of all bytes that the run's windows cover."""
         return self.one.ranges(self.low, self.high + self.length), self.two.ranges(self.low, self.high + self.length)
-
-    def sides(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the gram with half a window's rest on its left, and on its right; 0 where no window of the run covers that."""
-        half = (self.length - self.gram) // 2
-        left, right = self.at - half >= self.low, self.at + self.gram + half <= self.high + self.length
-        return np.where(left, self.one.ranges(np.where(left, self.at - half, self.at), self.at + self.gram), U(0)), np.where(right, self.one.ranges(self.at, np.where(right, self.at + self.gram + half, self.at)), U(0))

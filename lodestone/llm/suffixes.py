@@ -11,12 +11,17 @@ before the doubling. The windows of `length` bytes are cut into runs that share
 `anchors`); equal windows have equal anchors at equal places, so a run stands for its windows:
 
   the gram at the anchor is found once: no window of the run is repeated;
-  the bytes under all windows of the run are found twice: all are repeated, without doubling;
-  of the other runs, windows whose half around the anchor is found once aren't repeated.
+  the bytes under all windows of the run are found twice: all are repeated, without doubling.
 
-What is left, one run of each kind, is doubled: its windows' starts, and the positions at the
-offsets from them. If a position's rank is unique at one size, it is at all larger ones, and so is
-that of a position that needs it; so a position without its partner leaves too.
+What is left, one run of each kind, is cut into blocks of neighbouring windows, by their distance
+from the anchor:
+
+  the bytes under all windows of a block are found twice: all are repeated;
+  the bytes that all windows of a block share are found once: none is.
+
+The windows of the other blocks are doubled: their starts, and the positions at the offsets from them.
+If a position's rank is unique at one size, it is at all larger ones, and so is that of a position
+that needs it; so a position without its partner leaves too.
 
 A pair that very many positions have (a passage in a third of all documents) is dealt to several
 tasks: pairs are counted in a sketch of fixed size over all rows, and the rows of crowded slots are
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import sums
 from .anchors import Runs
-from .rolling import BYTE_VALUE, Batch, Prefix, U, mix
+from .rolling import BASE2, BYTE_VALUE, BYTE_VALUE2, Batch, Prefix, U, mix
 from .runtime import BATCH_BYTES, cut, drop, shared_dir, written
 
 LENGTH = 200
@@ -47,6 +52,8 @@ ROUNDS = 2
 #: Rows of a slot of the sketch that go to one task, about.
 CROWD = 100_000
 SKETCH = 1 << 20
+#: Windows of a block.
+BLOCK = 16
 
 
 def sizes_of(length: int, rounds: int = ROUNDS) -> list[int]:
@@ -81,7 +88,7 @@ def grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def runs(texts: DataFrame, length: int, gram: int, seen) -> DataFrame:
-    """Each run whose gram may be repeated (its bit is set in the map): name of its gram, of all its bytes (ua, ub), of its sides (32 bits each), its row, and its place.
+    """Each run whose gram may be repeated (its bit is set in the map): name of its gram, of all its bytes (ua, ub), its row, and its place.
 
     pos packs the first window's start, one less than the number of windows, and the anchor's distance.
     """
@@ -92,13 +99,11 @@ def runs(texts: DataFrame, length: int, gram: int, seen) -> DataFrame:
             maybe = np.flatnonzero(sums.marked(seen.value, cls))
             r.pick(maybe)
             ua, ub = r.context()
-            left, right = ((x >> U(32)).astype(U) | (x != 0) for x in r.sides())
-            sides = ((left << U(32)) | right).view(np.int64)
             pos = ((r.low - r.begin) << 16) | ((r.high - r.low) << 8) | (r.at - r.low)
             rid, th = (b.column(c).to_numpy()[r.text] for c in ("rid", "th"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cls[maybe].view(np.int64), ua.view(np.int64), (ub >> U(32)).astype(np.uint32).view(np.int32), sides, rid, th, pos)], names=["cls", "ua", "ub", "sides", "rid", "th", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cls[maybe].view(np.int64), ua.view(np.int64), (ub >> U(32)).astype(np.uint32).view(np.int32), rid, th, pos)], names=["cls", "ua", "ub", "rid", "th", "pos"])
 
-    return texts.select("text", "rid", "th").mapInArrow(run, "cls long, ua long, ub int, sides long, rid long, th int, pos long")
+    return texts.select("text", "rid", "th").mapInArrow(run, "cls long, ua long, ub int, rid long, th int, pos long")
 
 
 def of_rows(texts: DataFrame, keys, present: bool = True) -> DataFrame:
@@ -111,6 +116,36 @@ def of_rows(texts: DataFrame, keys, present: bool = True) -> DataFrame:
     return texts.mapInArrow(run, texts.schema)
 
 
+def listed(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of a column of lists of structs: the row of each entry, and the entries' fields."""
+    n = pc.list_value_length(column).fill_null(0).to_numpy()
+    flat = column.flatten()
+    return np.repeat(np.arange(len(n)), n), {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+
+
+def blocks(asked: DataFrame, length: int) -> DataFrame:
+    """The blocks of the open runs: cls, block, name of the bytes that its windows share (core), of all their bytes (ua, ub), and place. asked: did, text, spans (cls, low, n, far, known)."""
+
+    def run(batches):
+        for b in cut(batches, BYTES):
+            batch = Batch(b.column("text").to_pylist())
+            row, s = listed(b.column("spans"))
+            most, least = s["far"].astype(np.int64), (s["far"] - s["n"] + 1).astype(np.int64)
+            n = most // BLOCK - least // BLOCK + 1
+            of = np.repeat(np.arange(len(n)), n)
+            block = (least // BLOCK)[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            anchor = (batch.offsets[row] + s["low"] + most)[of]
+            far, near = np.minimum(most[of], block * BLOCK + BLOCK - 1), np.maximum(least[of], block * BLOCK)
+            one, two = Prefix(BYTE_VALUE[batch.data]), Prefix(BYTE_VALUE2[batch.data], BASE2)
+            core = one.ranges(anchor - block * BLOCK, anchor - block * BLOCK - BLOCK + 1 + length)
+            ua, ub = (x.ranges(anchor - far, anchor - near + length) for x in (one, two))
+            low = anchor - far - batch.offsets[row][of]
+            columns = (s["cls"][of], block.astype(np.int32), core.view(np.int64), ua.view(np.int64), (ub >> U(32)).astype(np.uint32).view(np.int32), b.column("did").to_numpy()[row][of], low.astype(np.int32), (far - near + 1).astype(np.int32), s["known"][of])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["cls", "block", "core", "ua", "ub", "did", "low", "n", "known"])
+
+    return asked.select("did", "text", "spans").mapInArrow(run, "cls long, block int, core long, ua long, ub int, did long, low int, n int, known boolean")
+
+
 PAIRS = "k1 long, k2 long, did long, start int, own byte, part int, counts binary"
 #: own: 1 for a window that is asked for, 2 for one that is known to be repeated, 0 for a position that only windows before it need.
 
@@ -138,10 +173,8 @@ def first_pairs(asked: DataFrame, sizes: list[int]) -> DataFrame:
         sketch = np.zeros(SKETCH, np.uint32)
         for b in cut(batches, BYTES):
             batch = Batch(b.column("text").to_pylist())
-            spans = [(lo + s["low"], s["n"], s["known"]) for lo, x in zip(batch.offsets.tolist(), b.column("spans").to_pylist()) for s in x]
-            if not spans:
-                continue
-            low, n, known = (np.array(x) for x in zip(*spans))
+            of, s = listed(b.column("spans"))
+            low, n, known = batch.offsets[of] + s["low"], s["n"].astype(np.int64), s["known"]
             window = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             own = np.zeros(len(batch.data), np.int8)
             own[window] = np.where(np.repeat(known, n), 2, 1)
@@ -349,27 +382,31 @@ def deduplicate(df: DataFrame, length: int = LENGTH, gram: int | None = None, id
     left = written(runs(texts, length, gram, seen).join(twice, "cls", "left_semi"), at("runs"))
 
     first = lambda c: F.min_by(c, "rid").alias(c)
-    unions = written(left.groupBy(*context).agg(F.count("*").alias("c"), first("sides"), F.min("rid").alias("rid"), first("th"), first("pos")), at("contexts"))
-    place = lambda: (F.shiftright("pos", 16).cast("int").alias("low"), (F.shiftright("pos", 8).bitwiseAND(255) + 1).cast("int").alias("n"))
-    whole = written(left.join(unions.where("c > 1").select(*context), context, "left_semi").select("rid", "th", *place()), at("whole"))
+    unions = written(left.groupBy(*context).agg(F.count("*").alias("c"), F.min("rid").alias("rid"), first("th"), first("pos")), at("contexts"))
+    low, n = F.shiftright("pos", 16).cast("int").alias("low"), (F.shiftright("pos", 8).bitwiseAND(255) + 1).cast("int").alias("n")
+    whole = written(left.join(unions.where("c > 1").select(*context), context, "left_semi").select("rid", "th", low, n), at("whole"))
     drop(spark, at("grams"), at("runs"))
 
     kinds = written(unions.groupBy("cls").agg(F.count("*").alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("cls"), at("kinds"))
-    open_runs = written(unions.join(kinds, "cls", "left_semi").withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").bitwiseAND(0xFFFFFFFF)), at("open"))
-    side = lambda s: written(open_runs.where(f"{s} <> 0").groupBy("cls", s).agg(F.count("*").alias("d")).where("d > 1").select("cls", s, F.lit(True).alias(f"{s}_twice")), at(s))
-    kept = open_runs.join(side("left"), ["cls", "left"], "left").join(side("right"), ["cls", "right"], "left").where("left_twice OR right_twice")
-    half = (length - gram) // 2
-    far = F.col("pos").bitwiseAND(255)  # of the anchor from the first window's start
-    low, n = place()
-    # windows that begin at least `half` before the anchor hold its left side, those that begin at most so far before it its right side
-    skip = F.when(F.col("left_twice"), F.lit(0)).otherwise(F.greatest(F.lit(0), far - (length - gram - half)))
-    stop = F.when(F.col("right_twice"), n).otherwise(F.least(n, far - half + 1))
-    spans = kept.select("rid", "th", F.struct((low + skip).cast("int").alias("low"), (stop - skip).cast("int").alias("n"), (F.col("c") > 1).alias("known")).alias("span")).where("span.n > 0")
-    spans = spans.groupBy("rid", "th").agg(F.collect_list("span").alias("spans"))  # no more than a text has positions
+    far = F.col("pos").bitwiseAND(255).cast("int").alias("far")  # of the anchor from the first window's start
+    spans = unions.join(kinds, "cls", "left_semi").groupBy("rid", "th").agg(F.collect_list(F.struct("cls", low, n, far, (F.col("c") > 1).alias("known"))).alias("spans"))  # no more than a text has positions
     spans = written(spans.withColumn("did", F.monotonically_increasing_id()), at("spans"))
-    drop(spark, at("contexts"), at("kinds"), at("open"), at("left"), at("right"))
-
-    asked = of_rows(texts.select("text", "rid", "th"), spark.sparkContext.broadcast(sums.bitmap(spans, "rid"))).join(spans, ["rid", "th"])
+    drop(spark, at("contexts"), at("kinds"))
+
+    slim, names = texts.select("text", "rid", "th"), spans.select("did", "rid", "th")
+    with_text = lambda t: of_rows(slim, spark.sparkContext.broadcast(sums.bitmap(t, "rid"))).join(t, ["rid", "th"])
+    subs = written(blocks(with_text(spans), length), at("blocks"))
+    group, first = ["cls", "block", "core", "ua", "ub"], lambda c: F.min_by(c, "did").alias(c)
+    kinds = written(subs.groupBy(*group).agg(F.count("*").alias("c"), F.min("did").alias("did"), first("low"), first("n"), F.max("known").alias("known")), at("block-kinds"))
+    twice = kinds.where("c > 1").select(*group)
+    bulk = written(subs.where("NOT known").join(twice, group, "left_semi").select("did", "low", "n"), at("bulk"))
+    left = kinds.select("cls", "block", "core", "did", "low", "n", (F.col("known") | (F.col("c") > 1)).alias("known"))
+    cores = written(left.groupBy("cls", "block", "core").agg(F.count("*").alias("d"), F.min("known").alias("all")).where("d > 1 AND NOT all").select("cls", "block", "core"), at("cores"))
+    closer = left.join(cores, ["cls", "block", "core"], "left_semi").groupBy("did").agg(F.collect_list(F.struct("low", "n", "known")).alias("spans"))
+    closer = written(closer.join(names, "did"), at("closer"))
+    drop(spark, at("blocks"), at("block-kinds"), at("cores"))
+
+    asked = with_text(closer)
     pairs, last = written(first_pairs(asked, sizes), at("pairs-1")), None
     for k in range(2, len(sizes)):
         ranked = written(reranked(pairs), at(f"ranks-{k}"))
@@ -378,10 +415,12 @@ def deduplicate(df: DataFrame, length: int = LENGTH, gram: int | None = None, id
         drop(spark, at(f"ranks-{k}"))
         last = at(f"pairs-{k}")
     found = repeated(pairs, at("repeated")).withColumn("low", F.shiftright("start", 6) * 64).withColumn("bit", F.expr("shiftleft(1L, start & 63)"))
-    found = found.groupBy("did", "low").agg(F.bit_or("bit").alias("bits")).join(spans.select("did", "rid", "th"), "did").select("rid", "th", "low", F.lit(0).alias("n"), "bits")
-    every = whole.withColumn("bits", F.lit(0).cast("long")).unionByName(found)
+    found = found.groupBy("did", "low").agg(F.bit_or("bit").alias("bits")).select("did", "low", F.lit(0).alias("n"), "bits")
+    none = F.lit(0).cast("long").alias("bits")
+    late = bulk.select("*", none).unionByName(found).join(names, "did").select("rid", "th", "low", "n", "bits")
+    every = whole.select("*", none).unionByName(late)
     gone = written(every.groupBy("rid", "th").agg(F.collect_list(F.struct("low", "n", "bits")).alias("spans")), at("gone"))
-    drop(spark, last, at("repeated"), at("spans"), at("whole"))
+    drop(spark, last, *map(at, ("repeated", "closer", "bulk", "spans", "whole")))
 
     keys = spark.sparkContext.broadcast(sums.bitmap(gone, "rid"))
     changed = strip(of_rows(texts, keys).join(gone, ["rid", "th"], "left").select("doc_id", "text", "spans"), length)
