@@ -51,7 +51,7 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 #: Bytes of a table, as its columns lie in memory, that may be broadcast.
-MOST_BYTES = 48 << 20
+MOST_BYTES = 8 << 20
 
 
 def small(table: DataFrame, most: int = MOST_BYTES) -> DataFrame:
