@@ -369,8 +369,8 @@ def deduplicate(df: DataFrame, length: int = LENGTH, gram: int | None = None, id
     """doc_id, n_bytes, removed spans and kept bytes of every document."""
     gram = gram or length // 2
     sizes = sizes_of(length)
-    if not gram < length <= gram + 255 or len(set(sizes)) < len(sizes):
-        raise ValueError(f"length must be above {1 << ROUNDS}, and above gram by 1 to 255")
+    if not gram < length <= gram + 255 or length < 2 * BLOCK or gram < 1:
+        raise ValueError(f"length must be {2 * BLOCK} or more, and above gram by 1 to 255")
     spark = df.sparkSession
     folder = shared_dir(spark, "suffixes")
     at = lambda name: f"{folder}/{name}"
