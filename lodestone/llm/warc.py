@@ -10,7 +10,8 @@ Records with equal payloads of at least `least` bytes: the one with the largest
 response, the others are revisits that refer to it and hold no payload.
 
 Defined results: a null payload is empty; a null url leaves out the target; a null page_id is kept
-and counts as smaller than any other; rows that share the largest page_id are all responses; an
+and counts as smaller than any other; rows that share the largest page_id are all responses; every
+record has an id of its own (its task and number), and a revisit names the page and its target; an
 empty table writes no archive. Only the named columns are read.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .runtime import shared_dir, written
+from .runtime import cut, drop, shared_dir, small, written
 
 CHUNK = 1 << 16
 #: An archive file is closed after so many bytes; a stretch that one task reads begins after so many.
@@ -34,20 +35,23 @@ FILE_BYTES = 1 << 28
 STRETCH_BYTES = 1 << 23
 DATE = "1970-01-01T00:00:00Z"
 URN = "urn:lodestone:page:"
+RECORD = ["page_id", "url", "n", "sha1", "record_type", "refers_to", "refers_url"]
 
 
 def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode("ascii")
 
 
-def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
-    """page_id, url, payload, n, sha1, record_type, refers_to."""
+def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int, path: str) -> DataFrame:
+    """page_id, url, payload, n, sha1, record_type, refers_to, refers_url. Digests that several rows share are a written table; while it has few bytes it goes to every task and no payload is shuffled."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
-    first = rows.groupBy("sha1").agg(F.max("page_id").alias("keep"))  # summed on the map side, so a payload that a third of the rows share arrives as a row a task
-    own = F.col("page_id").eqNullSafe(F.col("keep")) | (F.col("n") < least)
-    joined = rows.join(first, "sha1")
-    return joined.select("page_id", "url", F.when(own, F.col("payload")).alias("payload"), "n", "sha1", F.when(own, "response").otherwise("revisit").alias("record_type"), F.when(~own, F.col("keep")).alias("refers_to"))
+    # summed on the map side, so a payload that a third of the rows share arrives as a row a task
+    shared = rows.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("keep"), F.count("*").alias("c")).where("c > 1")
+    shared = written(shared.select("sha1", F.lit(True).alias("shared"), F.col("keep.page_id").alias("keep"), F.col("keep.url").alias("keep_url")), path)
+    own = F.col("shared").isNull() | F.col("page_id").eqNullSafe(F.col("keep")) | (F.col("n") < least)
+    joined = rows.join(small(shared), "sha1", "left")
+    return joined.select("page_id", "url", F.when(own, F.col("payload")).alias("payload"), "n", "sha1", F.when(own, "response").otherwise("revisit").alias("record_type"), *[F.when(~own, F.col(c)).alias(to) for c, to in (("keep", "refers_to"), ("keep_url", "refers_url"))])
 
 
 def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -57,35 +61,39 @@ def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return cut.withColumn("data", F.coalesce(F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})"), F.lit(b""))).drop("payload")
 
 
-def header(page_id, url, n: int, sha1: str, kind: str, refers_to) -> tuple[bytes, bytes]:
-    """The record's header block and, before the payload, its HTTP block."""
+def header(record: str, page_id, url, n: int, sha1: str, kind: str, refers_to, refers_url) -> tuple[bytes, bytes]:
+    """The record's header block and, before the payload, its HTTP block. record: a part of the record's id that no other record has."""
     stored = n if kind == "response" else 0
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{URN}{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    name, uri = lambda i: "null" if i is None else str(i), lambda u: quote(u, safe=":/?#[]@!$&()*+,;=%~'")
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{URN}{name(page_id)}:{record}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~' + chr(39))}")
+        lines.append(f"WARC-Target-URI: {uri(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{base32(bytes.fromhex(sha1))}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{URN}{refers_to}>"]
-    lines += ["Content-Type: application/http;msgtype=response", f"X-Payload-Length: {n}", f"Content-Length: {len(http) + stored}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {name(refers_to)}"]
+        if refers_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {uri(refers_url)}")
+    lines += ["Content-Type: application/http;msgtype=response", f"X-Page: {name(page_id)}", f"X-Payload-Length: {n}", f"Content-Length: {len(http) + stored}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode(), http
 
 
 class ArchiveWriter:
     """Streams chunk rows into archive files; gives (path, offset, length, records) of stretches."""
 
-    def __init__(self, uri: str):
-        self.uri, self.number, self.out, self.done = uri, 0, None, []
-        self.left = 0
+    def __init__(self, uri: str, task: int):
+        self.uri, self.task, self.number, self.out, self.done = uri, task, 0, None, []
+        self.left, self.records = 0, 0
 
-    def start(self, page_id, url, n, sha1, kind, refers_to) -> None:
+    def start(self, page_id, url, n, sha1, kind, *refers) -> None:
         if self.out is None:
             self.path = f"{self.uri}-{self.number:05d}.warc.gz"
             self.out, self.number, self.offset, self.count = files.Writer(self.path), self.number + 1, 0, 0
         self.pack, self.digest, self.sha1, self.kind = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1(), sha1, kind
         self.left = n if kind == "response" else 0
-        for block in header(page_id, url, n, sha1, kind, refers_to):
+        for block in header(f"{self.task}.{self.records}", page_id, url, n, sha1, kind, *refers):
             self.out.write(self.pack.compress(block))
+        self.records += 1
 
     def chunk(self, data: bytes) -> None:
         self.digest.update(data)
@@ -122,13 +130,14 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     def run(batches):
         from pyspark import TaskContext
 
-        out, begun = ArchiveWriter(f"{folder}/part-{TaskContext.get().partitionId():06d}"), False
-        for b in batches:
-            for page_id, url, n, sha1, kind, refers_to, k, data in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "n", "sha1", "record_type", "refers_to", "chunk_no", "data"))):
+        task = TaskContext.get().partitionId()
+        out, begun = ArchiveWriter(f"{folder}/part-{task:06d}", task), False
+        for b in cut(batches, column="data"):
+            for k, data, *record in zip(*(b.column(c).to_pylist() for c in ("chunk_no", "data", *RECORD))):
                 if k == 0:
                     if begun:
                         out.end()
-                    out.start(page_id, url, n, sha1, kind, refers_to)
+                    out.start(*record)
                     begun = True
                 out.chunk(data)
         if begun:
@@ -137,14 +146,10 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
         if out.done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out.done)], names=["path", "offset", "length", "records"])
 
-    rows = chunked(records(pages, id_col, url_col, payload_col, least)).select("page_id", "url", "n", "sha1", "record_type", "refers_to", "chunk_no", "data")
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "512")  # of a chunk each, so a batch stays below 32 MB
-    try:
-        return written(rows.mapInArrow(run, "path string, offset long, length long, records long"), f"{folder}/stretches")
-    finally:
-        spark.conf.set(name, before)
+    rows = chunked(records(pages, id_col, url_col, payload_col, least, f"{folder}/shared")).select(*RECORD, "chunk_no", "data")
+    stretches = written(rows.mapInArrow(run, "path string, offset long, length long, records long"), f"{folder}/stretches")
+    drop(spark, f"{folder}/shared")
+    return stretches
 
 
 class Inflated:
@@ -195,13 +200,13 @@ class Inflated:
 def read_records(file, offset: int, length: int, chunk: int = CHUNK):
     """Chunk rows of a stretch: (page_id, url, record_type, refers_to, chunk_no, data, bytes so far, digest so far, last, payload_bytes, payload_digest)."""
     stream = Inflated(file, offset, length)
-    page = lambda x: None if x.endswith(":null>") else int(x.rpartition(":")[2][:-1])
+    page = lambda x: None if x in (None, "null") else int(x)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if line)
         http = stream.until(b"\r\n\r\n")
         left = int(fields["Content-Length"]) - len(http)
         kind, declared, n = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
-        own = (page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), kind, page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None)
+        own = (page(fields["X-Page"]), fields.get("WARC-Target-URI"), kind, page(fields.get("X-Refers-To-Page")))
         digest, done, k = hashlib.sha1(), 0, 0
         while True:
             data = stream.exactly(min(chunk, left))
