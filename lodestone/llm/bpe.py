@@ -230,7 +230,7 @@ def frequent_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS
     counted = words.where(F.octet_length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
     counted = written(counted, shared_dir(df.sparkSession, "words"))
     least, so_far = 1 << 62, 0
-    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):  # a row per count that occurs: few, as a count of n takes n words
+    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most + 1).collect():  # a row per count that occurs; each has a word, so more than `most` of them are never needed
         so_far += r.words
         if so_far > most:
             break
