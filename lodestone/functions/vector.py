@@ -36,7 +36,8 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column, eps: float = 1e-12) -> Column:
-    return F.transform(a, lambda x: _d(x) / F.greatest(norm(a), F.lit(eps)))
+    """The norm is bound to a lambda's variable, so it is computed once and not for each element."""
+    return F.get(F.transform(F.array(F.greatest(norm(a), F.lit(eps))), lambda n: F.transform(a, lambda x: _d(x) / n)), F.lit(0))
 
 
 def truncate(a: Column, n: int) -> Column:
@@ -48,6 +49,27 @@ def finite(x: Column) -> Column:
     return ~(F.isnan(_d(x)) | (F.abs(_d(x)) == float("inf")))
 
 
+def validate(values, dim: int, name: str = "embedding") -> list[float]:
+    """A request's vector as floats; raises with a message where it has another size or numbers that aren't finite."""
+    import math
+
+    if not isinstance(values, (list, tuple)) or not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
+        raise ValueError(f"{name} must be an array of numbers")
+    if len(values) != dim:
+        raise ValueError(f"{name} must have {dim} dimensions, received {len(values)}")
+    if not all(map(math.isfinite, values)):
+        raise ValueError(f"{name} must contain only finite numbers")
+    return [float(v) for v in values]
+
+
+def masked_mean(states: Column, mask: Column) -> Column:
+    """Mean pooling: the mean of the token states (an array of vectors) whose mask isn't 0; zeros where there is none."""
+    kept = F.transform(F.filter(F.arrays_zip(states.alias("state"), mask.alias("mask")), lambda t: t["mask"] != 0), lambda t: t["state"])
+    places = F.sequence(F.lit(1), F.size(F.get(states, F.lit(0))))
+    n = F.greatest(F.size(kept), F.lit(1))
+    return F.get(F.transform(F.array(kept), lambda k: F.transform(places, lambda i: F.aggregate(k, F.lit(0.0), lambda s, v: s + _d(F.get(v, i - 1))) / n)), F.lit(0))
+
+
 def sanitize(a: Column) -> tuple[Column, Column]:
     """NaN and infinities as 0, and whether there were any."""
     return F.transform(a, lambda x: F.when(finite(x), _d(x)).otherwise(0.0)), F.exists(a, lambda x: ~finite(x))

@@ -1,9 +1,15 @@
-"""Approximate nearest neighbours by inverted lists: k-means centroids from a bounded sample, every vector in the list of its nearest centroid."""
+"""Approximate nearest neighbours by inverted lists that are written once.
+
+k-means centroids come from a bounded sample of unit vectors; every vector is stored as a unit vector
+in the list of its nearest centroid, and the list is the table's partition column, so a search reads
+the lists it probes and no others. Centroids are a table of their own, broadcast (lists * dimensions
+numbers). Vectors without a direction (norm 0 or null) have no list.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +21,8 @@ SAMPLE = 20_000
 
 def centroids(vectors: DataFrame, lists: int, seed: int = 7, steps: int = 12) -> np.ndarray:
     rows = vectors.where("embedding IS NOT NULL").orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE).select("embedding").collect()
+    if not rows:
+        return np.zeros((0, 0))
     x = np.array([r.embedding for r in rows], np.float64)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     c = x[np.random.default_rng(seed).choice(len(x), min(lists, len(x)), replace=False)]
@@ -27,19 +35,42 @@ def centroids(vectors: DataFrame, lists: int, seed: int = 7, steps: int = 12) ->
     return c
 
 
-def _nearest(embedding, c: np.ndarray, n: int):
-    """Lists by descending similarity, the first n."""
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in c])
-    scored = F.transform(table, lambda row, k: F.struct((-V.cosine(embedding, row)).alias("d"), k.alias("k")))
-    return F.transform(F.slice(F.array_sort(scored), 1, n), lambda s: s["k"])
+class Lists:
+    """A written index: folder/centroids (list, c) and folder/vectors (id, unit; by list)."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @property
+    def centroids(self) -> DataFrame:
+        return self.spark.read.schema("list int, c array<double>").parquet(f"{self.folder}/centroids")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.spark.read.schema("id long, unit array<double>, list int").parquet(f"{self.folder}/vectors")
 
+    def build(self, vectors: DataFrame, lists: int) -> Lists:
+        c = centroids(vectors, lists)
+        self.spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(c)], "list int, c array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/centroids")
+        units = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), V.normalize(F.col("embedding")).alias("unit")).where("exists(unit, x -> x <> 0)")
+        placed = units.withColumn("list", F.get(self.ranked(F.col("unit"), c), F.lit(0)))
+        placed.repartitionByRange("list", "id").write.partitionBy("list").mode("overwrite").parquet(f"{self.folder}/vectors")
+        return self
 
-def assign(vectors: DataFrame, c: np.ndarray) -> DataFrame:
-    return vectors.where("embedding IS NOT NULL").withColumn("list", _nearest(F.col("embedding"), c, 1)[0])
+    def ranked(self, unit, c: np.ndarray):
+        """Lists by descending similarity of their centroids."""
+        table = F.array(*[F.struct(F.lit(k).alias("list"), F.array(*[F.lit(float(v)) for v in row]).alias("c")) for k, row in enumerate(c)])
+        scored = F.sort_array(F.transform(table, lambda t: F.struct((-V.dot(unit, t["c"])).alias("d"), t["list"].alias("list"))))
+        return F.transform(scored, lambda s: s["list"])
 
+    def probes(self, queries: DataFrame, n: int) -> DataFrame:
+        """query_id, q (unit), list for the n nearest lists of each query. queries: a bounded set (id, embedding)."""
+        q = queries.where("embedding IS NOT NULL").select(F.col("id").alias("query_id"), V.normalize(F.col("embedding")).alias("q"))
+        near = q.crossJoin(F.broadcast(self.centroids)).withColumn("d", -V.dot(F.col("q"), F.col("c")))  # queries x lists, both bounded
+        near = near.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("d", "list"))).where(F.col("place") <= n)
+        return near.select("query_id", "q", "list")
 
-def search(index: DataFrame, queries: DataFrame, c: np.ndarray, k: int, probes: int) -> DataFrame:
-    """query_id, id, rank among the vectors of the nearest lists. queries: a bounded set (id, embedding)."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).withColumn("list", F.explode(_nearest(F.col("q"), c, probes)))
-    d = index.join(F.broadcast(q), "list").where("id <> query_id").select("query_id", "id", V.cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+    def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """query_id, id, rank among the vectors of the nearest lists, the query itself left out."""
+        d = self.vectors.join(F.broadcast(self.probes(queries, probes)), "list").where("id <> query_id").select("query_id", "id", (1 - V.dot(F.col("unit"), F.col("q"))).alias("distance"))
+        return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))

@@ -32,6 +32,13 @@ def process(df: DataFrame, dim: int, hnsw_dim: int) -> DataFrame:
     return filled.withColumn("textlen", F.coalesce("textlen", T.text_length(F.col("fts")))).withColumn("embedding_hnsw", F.coalesce("embedding_hnsw", V.backfill_hnsw(F.col("embedding"), F.col("legacy"), dim, hnsw_dim)))
 
 
+def with_legacy(df: DataFrame, legacy: DataFrame | None) -> DataFrame:
+    """The rows with the vector of an older table that has their hash (column legacy); null where there is no such table. legacy: doc_hash, embedding, a row a hash."""
+    if legacy is None:
+        return df.withColumn("legacy", F.lit(None).cast("array<double>"))
+    return df.join(legacy.select("doc_hash", F.col("embedding").alias("legacy")), "doc_hash", "left")
+
+
 def status(state: DataFrame) -> DataFrame:
     return state.select("table_name", "status", "total_rows", "processed_rows", F.greatest(F.col("total_rows") - F.col("processed_rows"), F.lit(0)).alias("remaining_rows"))
 
@@ -43,8 +50,11 @@ def run(df: DataFrame, size: int) -> DataFrame:
     """
     rows = df.where(needs(df)).select("id")
     parts = rows.withColumn("part", F.floor(F.col("id") / 4096))
-    before = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
-    placed = parts.join(before, "part").withColumn("place", F.coalesce("before", F.lit(0)) + F.row_number().over(W.partitionBy("part").orderBy("id")))
+    ranges = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("part") / 4096))  # sums within runs of ranges, then over the runs: a row for each 16 million ids
+    sums = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = ranges.groupBy("run").agg(F.sum("n").alias("n")).select("run", sums(W.orderBy("run")).alias("first"))
+    before = ranges.withColumn("within", sums(W.partitionBy("run").orderBy("part"))).join(runs, "run").select("part", (F.col("first") + F.col("within")).alias("before"))
+    placed = parts.join(before, "part").withColumn("place", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("id")))
     total = rows.agg(F.count("*").alias("total"))
     ends = placed.crossJoin(F.broadcast(total)).where((F.col("place") % size == 0) | (F.col("place") == F.col("total")))
     return ends.select(F.ceil(F.col("place") / size).cast("long").alias("chunk"), F.col("id").alias("last_id"), F.col("place").cast("long").alias("processed"), F.when(F.col("place") == F.col("total"), "completed").otherwise("running").alias("state"))

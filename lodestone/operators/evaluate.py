@@ -1,7 +1,10 @@
-"""Evaluation: percentiles by rank, run summaries, neighbour overlap and vector comparisons."""
+"""Evaluation: percentiles by rank, run summaries, neighbour overlap and vector comparisons, runs over an engine's answers."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,3 +50,50 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Per query the share of the exact neighbours found."""
     hits = exact.select("query_id", "id").join(approximate.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
     return hits.groupBy("query_id").agg(F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 6).alias("recall"))
+
+
+def compared(total: int, a: int, b: int, least: int, run: Callable[[], dict]) -> dict:
+    """A comparison of two models, or why there are too few vectors for one. a, b: documents with a vector of each."""
+    report = {"coverage": {"total": total, "a": a, "b": b}}
+    if min(a, b) < least:
+        return report | {"status": "insufficient", "reason": f"{least} vectors of each model are needed, there are {a} and {b}"}
+    return report | {"status": "ok"} | run()
+
+
+#: Strategies of answers that fell back to words or substrings.
+FELL_BACK = ("bm25-only", "lexical-like")
+
+
+def quality_run(search: Callable[[dict], dict], queries: list[tuple[str, int]], limit: int = 10, **request) -> dict:
+    """Asks each query and holds the answer against the document it was made from: a row a query, and the summary (averages to 2 digits, rates to 4)."""
+    rows = []
+    for query, expected in queries:
+        start = time.time()
+        answer = search({"query": query, "limit": limit, **request})
+        data = answer["data"][0] if answer["data"] else {"items": []}
+        first = data["items"][0] if data["items"] else {}
+        used = first.get("usedKeywords") or []
+        rows.append({
+            "query": query,
+            "ok": answer["success"],
+            "top1": first.get("id") == expected,
+            "found": any(i["id"] == expected for i in data["items"]),
+            "coverage": round(len(first.get("matchedKeywords") or []) / len(used), 3) if used else 0.0,
+            "fellBack": data.get("strategy") in FELL_BACK,
+            "tookMs": 1000 * (time.time() - start),
+        })
+    n = len(rows)
+    rate = lambda key: round(sum(r[key] for r in rows) / n, 4) if n else 0.0
+    mean = lambda key: round(sum(r[key] for r in rows) / n, 2) if n else 0.0
+    took = sorted(r["tookMs"] for r in rows)
+    p95 = took[max(0, int(n * 0.95) - 1)] if n else 0.0
+    return {"rows": rows, "summary": {"queries": n, "successRate": rate("ok"), "top1Rate": rate("top1"), "foundRate": rate("found"), "fallbackRate": rate("fellBack"), "avgCoverage": mean("coverage"), "avgTookMs": mean("tookMs"), "p95TookMs": round(p95, 2)}}
+
+
+def throughput(run: Callable[[object], object], queries: list) -> dict:
+    """Queries a second, one after the other."""
+    start = time.time()
+    for q in queries:
+        run(q)
+    took = time.time() - start
+    return {"queries": len(queries), "seconds": round(took, 3), "qps": round(len(queries) / took, 2) if took else 0.0}

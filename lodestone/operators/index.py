@@ -13,15 +13,32 @@ from ..functions import text as T
 KEY = ["table_name", "id"]
 
 
-def analysed(df: DataFrame, table_name: str, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """table_name, id, tokens, len: what the index builds read. No shuffle."""
-    t = T.tokens(F.col(text_col))
+def analysed(df: DataFrame, table_name: str, id_col: str = "id", text_col: str = "content", fts_col: str | None = None) -> DataFrame:
+    """table_name, id, tokens, len: what the index builds read; tokens that are stored already (fts_col) aren't made again. No shuffle."""
+    t = T.tokens(F.col(text_col)) if fts_col is None else F.coalesce(F.col(fts_col), T.tokens(F.col(text_col)))
     return df.select(F.lit(table_name).alias("table_name"), F.col(id_col).cast("long").alias("id"), t.alias("tokens")).withColumn("len", T.text_length(F.col("tokens")))
 
 
-def token_stats(docs: DataFrame) -> DataFrame:
-    """table_name, id, token, tf."""
-    return docs.select(*KEY, F.explode("tokens").alias("token")).groupBy(*KEY, "token").agg(F.count("*").alias("tf"))
+def counted(tokens: Column) -> Column:
+    """Array of (token, tf), from the runs of equal tokens in order; null and empty give an empty one."""
+
+    def runs(some: Column) -> Column:
+        n = F.size(some)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: (n >= i) & ((i == 1) | (F.get(some, i - 1) != F.get(some, i - 2))))
+        token = lambda at, ends: F.zip_with(at, ends, lambda a, b: F.struct(F.get(some, a - 1).alias("token"), (F.coalesce(b, n + 1) - a).cast("long").alias("tf")))
+        return once(starts, lambda at: token(at, F.slice(at, 2, 1 << 30)))
+
+    return once(F.sort_array(F.coalesce(tokens, F.array().cast("array<string>"))), runs)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once a row: an expression that is used in a lambda is else computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def token_stats(docs: DataFrame, *more: str) -> DataFrame:
+    """table_name, id, token, tf. All tokens of a document are in its row, so nothing is shuffled."""
+    return docs.select(*KEY, *more, F.inline(counted(F.col("tokens"))))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -35,11 +52,24 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 
 def parse_tsvector(v: Column) -> Column:
     """Array of (token, tf) of 'lexeme':positions text; without positions tf is 1."""
-    pattern = F.lit(r"'((?:[^']|'')+)'(?::([0-9,]+))?")
+    pattern = F.lit(LEXEME)
     pairs = F.arrays_zip(F.regexp_extract_all(v, pattern, F.lit(1)).alias("token"), F.regexp_extract_all(v, pattern, F.lit(2)).alias("at"))
     return F.transform(pairs, lambda p: F.struct(F.replace(p["token"], F.lit("''"), F.lit("'")).alias("token"), F.when(p["at"] == "", 1).otherwise(F.size(F.split(p["at"], ","))).alias("tf")))
 
 
+#: Lexemes in quotes (doubled within) with their places; the second group is empty where there are none.
+LEXEME = r"'((?:[^']|'')+)'(?::([0-9,]+))?"
+
+
+def register_token_stats(spark) -> None:
+    """The table function tsvector_token_stats(v) -> (token, tf) for SQL."""
+    found = ", ".join(f'regexp_extract_all(v, r"{LEXEME}", {k})' for k in (1, 2))
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION tsvector_token_stats(v STRING) RETURNS TABLE(token STRING, tf INT)
+        RETURN SELECT p.token, p.tf FROM (SELECT explode(transform(arrays_zip({found}),
+            t -> named_struct('token', replace(t.`0`, "''", "'"), 'tf', if(t.`1` = '', 1, size(split(t.`1`, ',')))))) AS p)""")
+
+
 def consolidate(log: DataFrame) -> DataFrame:
     """One row per document: the oldest task's old state and the newest task's new state."""
     return log.groupBy(*KEY).agg(F.min_by("old_len", "row_id").alias("initial_len"), F.min_by("old_tokens", "row_id").alias("initial_tokens"), F.max_by("new_len", "row_id").alias("final_len"), F.max_by("new_tokens", "row_id").alias("final_tokens"), F.count("*").alias("n_tasks"))

@@ -62,17 +62,37 @@ def vector_score(d: Column, mode: str) -> Column:
     return (1 - d) / 2 if mode == "ivf" else 1 - d / 2
 
 
-def hybrid(vectors: DataFrame, query: DataFrame, scores: DataFrame, pool: int, ratio: int, limit: int, offset: int = 0, mode: str = "hnsw", bm25: bool = True) -> DataFrame:
-    """The pool of nearest vectors ranked by the weighted sum of both scores. vectors: id, embedding; scores: id, score."""
-    near = vector_topk(vectors, query, pool, V.negative_inner_product if mode == "ivf" else V.cosine_distance, digits=9)
+def ranked_pool(near: DataFrame, scores: DataFrame | None, ratio: int, limit: int, offset: int = 0, mode: str = "hnsw", bm25: bool = True) -> DataFrame:
+    """The pool ranked by the weighted sum of both scores. near: id, distance, at most a pool of rows; scores: id, score, or None where words don't count."""
     ws, wk = weights(ratio, bm25)
-    both = scores.withColumnRenamed("score", "bm25").join(F.broadcast(near), "id", "right").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    if scores is None:
+        both = near.withColumn("bm25", F.lit(0.0))
+    else:
+        both = scores.withColumnRenamed("score", "bm25").join(F.broadcast(near), "id", "right").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     vec, lex = vector_score(F.col("distance"), mode), squash(F.col("bm25"))
     ranked = top(both.withColumn("rank_key", F.round(ws * vec + wk * lex, 9)), limit, F.desc("rank_key"), F.desc("id"), offset=offset)
     score = unit(unit(vec) * ws + unit(lex) * wk)
     return ranked.select("id", F.round("distance", 6).alias("vector_distance"), F.round("bm25", 6).alias("bm25_score"), score.alias("score")).withColumn("match_rate", F.round(F.col("score") * 100, 1))
 
 
+def nearest_pool(vectors: DataFrame, query: DataFrame, pool: int, mode: str = "hnsw") -> DataFrame:
+    return vector_topk(vectors, query, pool, V.negative_inner_product if mode == "ivf" else V.cosine_distance, digits=9)
+
+
+def hybrid(vectors: DataFrame, query: DataFrame, scores: DataFrame | None, pool: int, ratio: int, limit: int, offset: int = 0, mode: str = "hnsw", bm25: bool = True) -> DataFrame:
+    """The pool of nearest vectors ranked by the weighted sum of both scores. vectors: id, embedding; scores: id, score."""
+    return ranked_pool(nearest_pool(vectors, query, pool, mode), scores, ratio, limit, offset, mode, bm25)
+
+
+def hybrid_stored(vectors: DataFrame, query: DataFrame, index, table: str, words: list[str], pool: int, ratio: int, limit: int, offset: int = 0, mode: str = "hnsw", bm25: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """hybrid over a stored index: the pool (120 rows at most) is fetched first, and only its documents' token rows are read."""
+    near = nearest_pool(vectors, query, min(pool, T.POOL_MOST), mode)
+    rows = near.collect()
+    local = near.sparkSession.createDataFrame(rows, near.schema)
+    scores = index.score(words, table, k1, b, ids=[r.id for r in rows]) if bm25 and words and rows else None
+    return ranked_pool(local, scores, ratio, limit, offset, mode, bm25)
+
+
 def like_pattern(q: str, escape: bool = False) -> str:
     q = q.strip().lower()
     if escape:
@@ -95,18 +115,35 @@ def matches(docs: DataFrame, q: str, analysed=T.tokens) -> DataFrame:
     return found.where("like_title OR words OR like_content")
 
 
-def lexical(docs: DataFrame, q: str, limit: int, offset: int = 0) -> DataFrame:
+def matches_stored(docs: DataFrame, q: str, index, table: str) -> DataFrame:
+    """matches, with word matches from a stored index: id and each kind of match. Only substrings are looked for in the contents, and no content is shuffled."""
+    p, words = like_pattern(q), T.terms_of(q)
+    flags = docs.select("id", F.lower(F.coalesce("title", F.lit(""))).like(p).alias("like_title"), F.lower("content").like(p).alias("like_content"), match_all(T.tokens(F.coalesce("title", F.lit(""))), words).alias("title_words"))
+    flags = flags.where("like_title OR like_content OR title_words")
+    both = flags.join(index.matching(words, table).withColumn("words", F.lit(True)), "id", "full_outer")
+    both = both.select("id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("like_title", "like_content", "title_words", "words")])
+    return both.where("like_title OR words OR like_content")
+
+
+def lexical(docs: DataFrame, q: str, limit: int, offset: int = 0, index=None, table: str = "documents") -> DataFrame:
+    """Documents by kind of match. With a stored index only the top rows' documents are looked up."""
+    found = matches(docs, q) if index is None else matches_stored(docs, q, index, table)
     score = F.when(F.col("like_title"), 0.984).when(F.col("words"), 0.891).otherwise(0.723).cast("double")
-    ranked = top(matches(docs, q).withColumn("score", score), limit, F.desc("score"), F.desc("id"), offset=offset)
+    ranked = top(found.withColumn("score", score), limit, F.desc("score"), F.desc("id"), offset=offset)
+    if index is not None:
+        ranked = docs.join(F.broadcast(ranked.select("id", "score")), "id").orderBy(F.desc("score"), F.desc("id"))  # limit rows
     return ranked.select("id", F.coalesce("title", F.lit("Untitled Document")).alias("title"), F.left("content", F.lit(SNIPPET)).alias("snippet"), "namespace", "score", F.round(1 - F.col("score"), 4).alias("distance"), F.round(F.col("score") * 100, 1).alias("match_rate"))
 
 
-def lexical_fallback(docs: DataFrame, scores: DataFrame, q: str, limit: int, offset: int = 0) -> DataFrame:
+def lexical_fallback(docs: DataFrame, scores: DataFrame, q: str, limit: int, offset: int = 0, index=None, table: str = "documents") -> DataFrame:
     """Ranked by words in the title, word score, substring in the title, in the content, id."""
-    found = matches(docs, q).select("id", "title", "title_words", "like_title", "like_content").join(scores.withColumnRenamed("score", "bm25"), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    ranked = top(found, limit, F.desc("title_words"), F.desc("bm25"), F.desc("like_title"), F.desc("like_content"), F.desc("id"), offset=offset)
+    kinds = ("title_words", "like_title", "like_content")
+    found = (matches(docs, q).select("id", *kinds) if index is None else matches_stored(docs, q, index, table)).join(scores.withColumnRenamed("score", "bm25"), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    order = [F.desc(c) for c in ("title_words", "bm25", "like_title", "like_content", "id")]
+    ranked = top(found, limit, *order, offset=offset)
     boost = F.when(F.col("title_words"), 0.98).when(F.col("like_title"), 0.89).when(F.col("like_content"), 0.72).otherwise(0.0)
-    return ranked.select("id", "title", F.col("bm25").alias("bm25_score"), F.greatest(unit(squash(F.col("bm25"))), boost).alias("score"), "title_words", "like_title", "like_content")
+    ranked = docs.select("id", "title").join(F.broadcast(ranked.select("id", "bm25", *kinds)), "id").orderBy(*order)  # limit rows
+    return ranked.select("id", "title", F.col("bm25").alias("bm25_score"), F.greatest(unit(squash(F.col("bm25"))), boost).alias("score"), *kinds)
 
 
 def weak(rows: DataFrame, limit: int, long_query: bool, bm25: bool = True) -> DataFrame:

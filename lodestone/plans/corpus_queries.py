@@ -112,3 +112,20 @@ def backfill_process(spark, d):
 @query(f"SELECT ceil(place / 128.0)::BIGINT AS chunk, id AS last_id, place AS processed, CASE WHEN place = total THEN 'completed' ELSE 'running' END AS state FROM (SELECT id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS total FROM {STATE} WHERE {NEEDS}) WHERE place % 128 = 0 OR place = total")
 def backfill_run(spark, d):
     return backfill.run(_state(spark, d), 128)
+
+
+@query("SELECT id, round(CASE WHEN id % 10 = 0 THEN -embedding[1] ELSE embedding[1] END, 6) AS first FROM vec UNION ALL SELECT 1000000 + id, round(embedding[1], 6) FROM vec WHERE id % 50 = 0")
+def upsert_embeddings(spark, d):
+    """Side vectors by key: every tenth is replaced, every fiftieth comes in under a new key."""
+    v = X.vectors(spark, d)
+    changed = v.where("id % 10 = 0").select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    new = v.where("id % 50 = 0").select((F.lit(1_000_000) + F.col("id")).alias("id"), "embedding")
+    return corpus.upsert(v, changed.unionByName(new), "id", keep=[]).select("id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query(f"SELECT id, round(legacy, 6) AS legacy FROM (SELECT id, {HASH} AS h FROM docs) LEFT JOIN (SELECT {HASH} AS h, min(embedding[1]) AS legacy FROM corpus WHERE embedding IS NOT NULL GROUP BY h) USING (h)")
+def legacy_join(spark, d):
+    """Documents with the vector that an older table has for their hash."""
+    docs = X.docs(spark, d).select("id", "doc_hash")
+    legacy = docs.join(X.vectors(spark, d), "id").groupBy("doc_hash").agg(F.min(F.get("embedding", F.lit(0)).cast("double")).alias("first")).select("doc_hash", F.array("first").alias("embedding"))
+    return backfill.with_legacy(docs, legacy).select("id", F.round(F.get("legacy", F.lit(0)), 6).alias("legacy"))

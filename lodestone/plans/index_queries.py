@@ -51,23 +51,39 @@ def bm25_length_summary(spark, d):
 VECTOR_TEXT = "'''' || replace(token, '''', '''''') || ''':' || array_to_string(range(1, tf + 1), ',')"
 
 
-def _parsed(an):
-    stats = index.token_stats(an)
-    entry = F.concat(F.lit("'"), F.replace("token", F.lit("'"), F.lit("''")), F.lit("'"), F.when(F.col("tf") > 1, F.concat(F.lit(":"), F.array_join(F.sequence(F.lit(1), F.col("tf")), ","))).otherwise(""))
-    text = stats.groupBy("id").agg(F.array_join(F.collect_list(entry), " ").alias("v"))
-    return text.select("id", F.inline(index.parse_tsvector(F.col("v"))))
+def _vectors(an):
+    """id and v: the tokens of a document as lexeme text."""
+    entry = lambda p: F.concat(F.lit("'"), F.replace(p["token"], F.lit("'"), F.lit("''")), F.lit("'"), F.when(p["tf"] > 1, F.concat(F.lit(":"), F.array_join(F.sequence(F.lit(1), p["tf"]), ","))).otherwise(""))
+    return an.select("id", F.array_join(F.transform(index.counted(F.col("tokens")), entry), " ").alias("v"))
 
 
-@query("SELECT id, token, count(*)::INT AS tf FROM (SELECT id, unnest(tokens) AS token FROM an WHERE id < 100) GROUP BY ALL")
-def tsvector_parse(spark, d):
-    """Token lists written as lexeme text and parsed back, of the documents its SQL names; tsvector_parse_all has every document."""
-    return _parsed(X.analysed(spark, d).where("id < 100"))
+PARSED = "SELECT id, token, count(*)::INT AS tf FROM (SELECT id, unnest(tokens) AS token FROM an) GROUP BY ALL"
 
 
-@query("SELECT id, token, count(*)::INT AS tf FROM (SELECT id, unnest(tokens) AS token FROM an) GROUP BY ALL")
-def tsvector_parse_all(spark, d):
+@query(PARSED)
+def tsvector_parse(spark, d):
     """Token lists of all documents written as lexeme text and parsed back."""
-    return _parsed(X.analysed(spark, d))
+    return _vectors(X.analysed(spark, d)).select("id", F.inline(index.parse_tsvector(F.col("v"))))
+
+
+@query(PARSED)
+def token_stats_function(spark, d):
+    """The same by the SQL table function."""
+    index.register_token_stats(spark)
+    return spark.sql("SELECT d.id, s.token, s.tf FROM {vectors} d, LATERAL tsvector_token_stats(d.v) s", vectors=_vectors(X.analysed(spark, d)))
+
+
+@query(f"SELECT * FROM {STATS.format('scope ')}")
+def stored_tokens(spark, d):
+    """The token rows of the stored index."""
+    return X.index(spark, d).tokens().drop("len")
+
+
+@query("SELECT DISTINCT table_name FROM (SELECT table_name FROM logs WHERE task_type <> 1 ORDER BY row_id LIMIT 100)")
+def chunk_tables(spark, d):
+    """The tables that a claimed chunk touches."""
+    waiting = X.log(spark, d).where("task_type <> 1").orderBy("row_id").limit(100)
+    return waiting.select("table_name").distinct()
 
 
 @query("SELECT row_id, task_type, table_name, id, old_len, new_len FROM logs")

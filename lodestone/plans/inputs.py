@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, index
+from ..operators import ann, corpus
+from ..operators import index as index_tables
+from ..operators.stored import Index, work_folder
 
 TOKENS = ["the", "entre", "para"]
 QUERY_VECTOR = 7
+#: Lists of the vector index and how many a search probes. The vectors of these tables are nearly without clusters
+#: (the tenth neighbour's cosine is 0.3), so a recall of 0.9 takes more than half of the lists.
+LISTS, PROBES = 64, 40
 
 LANGUAGES = [("english", "english"), ("korean", "korean"), ("simple", "simple")]
 SETTINGS = [("english", 1.2, 0.75), ("korean", 1.5, 0.6), ("simple", 1.2, 0.75)]
@@ -33,17 +38,40 @@ def query_vector(spark, d, vec_id: int = QUERY_VECTOR) -> DataFrame:
 
 
 def analysed(spark, d) -> DataFrame:
-    return index.analysed(load(spark, d, "documents"), "documents", "doc_id", "text")
+    return index_tables.analysed(load(spark, d, "documents"), "documents", "doc_id", "text")
 
 
 def scope(spark, d) -> DataFrame:
-    return analysed(spark, d).unionByName(index.analysed(load(spark, d, "benchmark"), "benchmark", "item_id", "text"))
+    return analysed(spark, d).unionByName(index_tables.analysed(load(spark, d, "benchmark"), "benchmark", "item_id", "text"))
+
+
+_built: dict[tuple, object] = {}
+
+
+def built(spark, d, name: str, make):
+    """What make(folder) gives, made once a session and input: an index is built before it is searched, and not for each search."""
+    import hashlib
+
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _built:
+        _built[key] = make(work_folder(spark, f"{name}-{hashlib.sha256(repr(key).encode()).hexdigest()[:16]}"))
+    return _built[key]
+
+
+def index(spark, d) -> Index:
+    """The stored index of the language: documents and benchmark."""
+    return built(spark, d, "index", lambda folder: Index(spark, folder).build(scope(spark, d)))
+
+
+def lists(spark, d) -> ann.Lists:
+    """The written vector lists."""
+    return built(spark, d, "lists", lambda folder: ann.Lists(spark, folder).build(vectors(spark, d), LISTS))
 
 
 def final_state(spark, d) -> DataFrame:
     """The analysed documents after all changes."""
     text = F.when(F.col("doc_id") % 5 == 0, F.expr("left(text, cast(length(text) div 2 as int))")).otherwise(F.col("text"))
-    return index.analysed(load(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", text.alias("text")), "documents", "doc_id", "text")
+    return index_tables.analysed(load(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", text.alias("text")), "documents", "doc_id", "text")
 
 
 def log(spark, d, inserts: bool = True) -> DataFrame:
@@ -60,7 +88,7 @@ def log(spark, d, inserts: bool = True) -> DataFrame:
 
 
 def consolidated(spark, d) -> DataFrame:
-    return index.consolidate(log(spark, d, inserts=False))
+    return index_tables.consolidate(log(spark, d, inserts=False))
 
 
 def languages(spark) -> DataFrame:

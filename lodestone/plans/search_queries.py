@@ -19,7 +19,7 @@ LIKE = "the of"
 
 
 def _scores(spark, d):
-    return search.bm25_score(X.analysed(spark, d), X.scope(spark, d), X.TOKENS)
+    return X.index(spark, d).score(X.TOKENS, "documents")
 
 
 @query(f"SELECT id, score FROM {BM25}")
@@ -27,6 +27,12 @@ def bm25_score(spark, d):
     return _scores(spark, d)
 
 
+@query(f"SELECT id, score FROM {BM25}")
+def bm25_score_unindexed(spark, d):
+    """Without a stored index: the documents are analysed."""
+    return search.bm25_score(X.analysed(spark, d), X.scope(spark, d), X.TOKENS)
+
+
 @query(f"SELECT id, score FROM {BM25} ORDER BY score DESC, id DESC LIMIT 10")
 def bm25_topk(spark, d):
     return search.top(_scores(spark, d), 10, F.desc("score"), F.desc("id"))
@@ -45,23 +51,23 @@ def lexical_like(spark, d):
 
 @query("SELECT id FROM an WHERE list_has_all(tokens, ['the', 'of'])")
 def fts_match_all(spark, d):
-    return X.analysed(spark, d).where(search.match_all(F.col("tokens"), ["the", "of"])).select("id")
+    return X.index(spark, d).matching(["the", "of"], "documents")
 
 
 @query(f"SELECT id, coalesce(title, 'Untitled Document') AS title, left(content, 240) AS snippet, namespace, score, round(1 - score, 4) AS distance, round(score * 100, 1) AS match_rate FROM (SELECT *, (CASE WHEN like_title THEN 0.984 WHEN words THEN 0.891 ELSE 0.723 END)::DOUBLE AS score FROM {FOUND}) ORDER BY score DESC, id DESC LIMIT 10 OFFSET 5")
 def lexical_search(spark, d):
-    return search.lexical(X.docs(spark, d), LIKE, 10, 5)
+    return search.lexical(X.docs(spark, d), LIKE, 10, 5, X.index(spark, d))
 
 
 @query(f"SELECT count(*) AS total FROM {FOUND}")
 def lexical_search_count(spark, d):
-    return search.matches(X.docs(spark, d), LIKE).agg(F.count("*").alias("total"))
+    return search.matches_stored(X.docs(spark, d), LIKE, X.index(spark, d), "documents").agg(F.count("*").alias("total"))
 
 
 @query(f"""SELECT id, title, bm25_score, greatest(least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(bm25_score / (1 + bm25_score), 3))), (CASE WHEN title_words THEN 0.98 WHEN like_title THEN 0.89 WHEN like_content THEN 0.72 ELSE 0.0 END)::DOUBLE) AS score, title_words, like_title, like_content
     FROM (SELECT f.*, coalesce(b.score, 0) AS bm25_score FROM {FOUND} f LEFT JOIN {BM25} b USING (id)) ORDER BY title_words DESC, bm25_score DESC, like_title DESC, like_content DESC, id DESC LIMIT 20""")
 def lexical_fallback(spark, d):
-    return search.lexical_fallback(X.docs(spark, d), _scores(spark, d), LIKE, 20)
+    return search.lexical_fallback(X.docs(spark, d), _scores(spark, d), LIKE, 20, index=X.index(spark, d))
 
 
 def _sql_hybrid(distance: str, vector: str, ratio: float, limit: int = 10) -> str:
@@ -76,14 +82,19 @@ def _embedded(spark, d):
     return X.docs(spark, d).select("id").join(X.vectors(spark, d), "id", "left")
 
 
+def _with_documents(spark, d):
+    """The vectors of documents."""
+    return X.vectors(spark, d).join(X.load(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+
 @query(_sql_hybrid("1 - list_cosine_similarity(embedding, q)", "1 - d / 2", 0.53))
 def hybrid_search(spark, d):
-    return search.hybrid(_embedded(spark, d), X.query_vector(spark, d), _scores(spark, d), 120, 53, 10)
+    return search.hybrid_stored(_with_documents(spark, d), X.query_vector(spark, d), X.index(spark, d), "documents", X.TOKENS, 120, 53, 10)
 
 
 @query(_sql_hybrid("-list_inner_product(embedding, q)", "(1 - d) / 2", 0.7))
 def hybrid_search_ip(spark, d):
-    return search.hybrid(_embedded(spark, d), X.query_vector(spark, d), _scores(spark, d), 120, 70, 10, mode="ivf")
+    return search.hybrid_stored(_with_documents(spark, d), X.query_vector(spark, d), X.index(spark, d), "documents", X.TOKENS, 120, 70, 10, mode="ivf")
 
 
 @query("SELECT least(120, count(embedding)) AS total FROM corpus")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..operators import backfill, catalog, corpus, evaluate, index
 from . import inputs as X
 from .index_queries import LENGTHS
@@ -123,3 +124,23 @@ def quality_summary(spark, d):
     rows = X.load(spark, d, "events").select((F.col("event_type") != "error").alias("ok"), F.col("value").alias("took"), F.round((F.col("event_id") % 4) / 3.0, 3).alias("coverage"))
     low = F.count_if(F.col("ok") & (F.col("coverage") < 0.34))
     return rows.agg(F.count("*").alias("total_queries"), F.count_if("ok").alias("ok_queries"), F.count_if(~F.col("ok")).alias("error_queries"), F.round(F.avg(F.when(F.col("ok"), F.col("took"))), 2).alias("avg_took_ms"), low.alias("low_coverage"), F.round(low / F.nullif(F.count_if("ok"), F.lit(0)), 4).alias("low_coverage_rate"))
+
+
+@query("SELECT r_name, CAST(to_json(list({'id': n_nationkey, 'name': n_name} ORDER BY n_nationkey)) AS VARCHAR) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def json_groups(spark, d):
+    """Each region's nations as one JSON array."""
+    n = X.load(spark, d, "nation").join(F.broadcast(X.load(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
+    return n.groupBy("r_name").agg(sinks.json_array(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), F.col("n_nationkey")).alias("nations"))
+
+
+@query("SELECT CAST(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars}) AS VARCHAR) AS json FROM documents")
+def json_export(spark, d):
+    """Rows as JSON objects."""
+    return sinks.json_rows(X.load(spark, d, "documents").select("doc_id", "lang", "n_chars"))
+
+
+@query("SELECT CAST(to_json({'total': (SELECT count(*) FROM documents), 'vectors': (SELECT count(*) FROM embeddings)}) AS VARCHAR) AS summary")
+def json_summary(spark, d):
+    a = X.load(spark, d, "documents").agg(F.count("*").alias("total"))
+    b = X.load(spark, d, "embeddings").agg(F.count("*").alias("vectors"))
+    return a.crossJoin(F.broadcast(b)).select(sinks.json_object(total=F.col("total"), vectors=F.col("vectors")).alias("summary"))  # a row each

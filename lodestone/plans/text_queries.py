@@ -29,7 +29,7 @@ def _sql_list(items) -> str:
     return "(" + ", ".join(f"'{x}'" for x in items) + ")"
 
 
-INPUT = f"(SELECT * FROM (VALUES {', '.join(f'({k}, ' + chr(39) + q + chr(39) + ')' for k, q in enumerate(SAMPLE))}) AS t(n, q) UNION ALL SELECT 1000 + item_id, left(text, 60) FROM benchmark)"
+INPUT = f"(SELECT * FROM (VALUES {', '.join(f'({k}, ' + chr(39) + q + chr(39) + ')' for k, q in enumerate(SAMPLE))}) AS t(n, q) UNION ALL SELECT 1000 + item_id, text FROM benchmark)"
 WORDS = TOKENS.format("trim(q)")
 SQL_TERMS = f"(SELECT n, q, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]) AS terms FROM (SELECT n, q, list_transform({WORDS}, lambda t: coalesce(nullif(regexp_replace(t, '{T.SUFFIX}', ''), ''), t)) AS w FROM {INPUT}))"
 #: All sample strings lie in the basic plane, where UTF-16 units are characters.
@@ -43,7 +43,7 @@ SQL_RANKED = f"(SELECT *, row_number() OVER (PARTITION BY n ORDER BY weight DESC
 
 def _input(spark, d):
     given = spark.createDataFrame(list(enumerate(SAMPLE)), "n long, q string")
-    return given.unionByName(X.load(spark, d, "benchmark").select((F.lit(1000) + F.col("item_id")).alias("n"), F.left("text", F.lit(60)).alias("q")))
+    return given.unionByName(X.load(spark, d, "benchmark").select((F.lit(1000) + F.col("item_id")).alias("n"), F.col("text").alias("q")))
 
 
 def _terms(spark, d):

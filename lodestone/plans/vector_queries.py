@@ -78,50 +78,30 @@ def aligned_cosine(spark, d):
     return pairs.select("id", F.round(F.coalesce(V.cosine(short, F.slice("next", F.lit(1), F.size(short))), F.lit(0.0)), 6).alias("cosine"))
 
 
-NEIGHBORS = "(SELECT q.id AS query_id, v.id, round(1 - list_cosine_similarity(v.embedding{0}, q.embedding{0}), 9) AS d, row_number() OVER (PARTITION BY q.id ORDER BY round(1 - list_cosine_similarity(v.embedding{0}, q.embedding{0}), 9), v.id) AS rank FROM vec v JOIN vec q ON q.id <> v.id WHERE q.id < 10)"
-
-
-#: Every query of the job: all rows whose id is divisible by 20, against all rows.
-ALL_QUERIES = "id % 20 = 0"
-NEIGHBORS_ALL = NEIGHBORS.replace("q.id < 10", f"q.{ALL_QUERIES}")
+#: The queries of a search: every row whose id is divisible by 20, against all rows.
+QUERY_ROWS = "id % 20 = 0"
+NEIGHBORS = f"(SELECT q.id AS query_id, v.id, round(1 - list_cosine_similarity(v.embedding{{0}}, q.embedding{{0}}), 9) AS d, row_number() OVER (PARTITION BY q.id ORDER BY round(1 - list_cosine_similarity(v.embedding{{0}}, q.embedding{{0}}), 9), v.id) AS rank FROM vec v JOIN vec q ON q.id <> v.id WHERE q.{QUERY_ROWS})"
 
 
 @query(f"SELECT query_id, id, rank::INT AS rank, round(d, 6) AS distance FROM {NEIGHBORS.format('')} WHERE rank <= 10")
 def knn_neighbors(spark, d):
-    """The query rows its SQL names; knn_neighbors_all has every query row of the job."""
-    v = X.vectors(spark, d)
-    return evaluate.neighbors(v, v.where("id < 10"), 10)
-
-
-@query(f"SELECT query_id, id, rank::INT AS rank, round(d, 6) AS distance FROM {NEIGHBORS_ALL.format('')} WHERE rank <= 10")
-def knn_neighbors_all(spark, d):
     v = X.vectors(spark, d)
-    return evaluate.neighbors(v, v.where(ALL_QUERIES), 10)
+    return evaluate.neighbors(v, v.where(QUERY_ROWS), 10)
 
 
-def _jaccard_sql(neighbors: str) -> str:
-    return f"""SELECT query_id, round(sum(CASE WHEN a AND b THEN 1.0 ELSE 0 END) / count(*), 6) AS jaccard FROM (
+JACCARD = f"""SELECT query_id, round(sum(CASE WHEN a AND b THEN 1.0 ELSE 0 END) / count(*), 6) AS jaccard FROM (
     SELECT coalesce(x.query_id, y.query_id) AS query_id, x.id IS NOT NULL AS a, y.id IS NOT NULL AS b
-    FROM (SELECT * FROM {neighbors.format('')} WHERE rank <= 10) x FULL JOIN (SELECT * FROM {neighbors.format('[1:32]')} WHERE rank <= 10) y ON x.query_id = y.query_id AND x.id = y.id) GROUP BY query_id"""
+    FROM (SELECT * FROM {NEIGHBORS.format('')} WHERE rank <= 10) x FULL JOIN (SELECT * FROM {NEIGHBORS.format('[1:32]')} WHERE rank <= 10) y ON x.query_id = y.query_id AND x.id = y.id) GROUP BY query_id"""
 
 
-def _jaccard(v, queries: str):
+@query(JACCARD)
+def neighbor_jaccard(spark, d):
+    v = X.vectors(spark, d)
     short = v.select("id", V.truncate(F.col("embedding"), 32).alias("embedding"))
-    sets = lambda t, c: evaluate.neighbors(t, t.where(queries), 10).groupBy("query_id").agg(F.collect_set("id").alias(c))  # noqa: E731  10 ids each
+    sets = lambda t, c: evaluate.neighbors(t, t.where(QUERY_ROWS), 10).groupBy("query_id").agg(F.collect_set("id").alias(c))  # noqa: E731  10 ids each
     return sets(v, "a").join(sets(short, "b"), "query_id", "full_outer").select("query_id", F.round(evaluate.jaccard(F.coalesce("a", F.array().cast("array<bigint>")), F.coalesce("b", F.array().cast("array<bigint>"))), 6).alias("jaccard"))
 
 
-@query(_jaccard_sql(NEIGHBORS))
-def neighbor_jaccard(spark, d):
-    """The query rows its SQL names; neighbor_jaccard_all has every query row of the job."""
-    return _jaccard(X.vectors(spark, d), "id < 10")
-
-
-@query(_jaccard_sql(NEIGHBORS_ALL))
-def neighbor_jaccard_all(spark, d):
-    return _jaccard(X.vectors(spark, d), ALL_QUERIES)
-
-
 @query("SELECT (SELECT count(*) FROM documents) AS total, count(*) AS with_vector, count(*) FILTER (WHERE len(embedding) >= 32) AS with_prefix FROM embeddings JOIN documents ON doc_id = vec_id")
 def embedding_coverage(spark, d):
     docs, v = X.load(spark, d, "documents").select("doc_id"), X.vectors(spark, d)
@@ -156,18 +136,24 @@ def embeddings_available(spark, d):
     return found.agg((F.count("*") > 0).alias("available"))
 
 
-def _ann(spark, d):
-    v = X.vectors(spark, d)
-    c = ann.centroids(v, 16)
-    return v, ann.search(ann.assign(v, c), v.where("id % 20 = 0"), c, 10, 12)
+def _probed(spark, d):
+    return X.lists(spark, d).search(X.vectors(spark, d).where(QUERY_ROWS), 10, X.PROBES)
 
 
 @query()
 def ann_ivf(spark, d):
-    return _ann(spark, d)[1]
+    return _probed(spark, d)
 
 
 @query()
 def ann_recall(spark, d):
-    v, found = _ann(spark, d)
-    return evaluate.recall(evaluate.neighbors(v, v.where("id % 20 = 0"), 10), found)
+    v = X.vectors(spark, d)
+    return evaluate.recall(evaluate.neighbors(v, v.where(QUERY_ROWS), 10), _probed(spark, d))
+
+
+@query("SELECT id, array_to_string(list_transform(range(1, 9), lambda i: printf('%.6f', (embedding[i] * (id % 2) + embedding[i + 8] + embedding[i + 16] * 1) / (2 + id % 2))), ',') AS v FROM vec")
+def masked_mean_pool(spark, d):
+    """Three states of eight numbers each; the first one's mask is the id's last bit."""
+    states = F.array(*[F.slice("embedding", 1 + 8 * k, 8) for k in range(3)])
+    mask = F.array((F.col("id") % 2).cast("int"), F.lit(1), F.lit(1))
+    return X.vectors(spark, d).select("id", joined(V.masked_mean(states, mask)).alias("v"))

@@ -1,9 +1,7 @@
-"""Ingest: projected Parquet scans, row targets, embedding of texts in adaptive batches."""
+"""Ingest: projected Parquet scans and row targets."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +14,3 @@ def scan(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFra
     out = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in COLUMNS]).where("text IS NOT NULL AND text <> ''")
     return out if max_rows is None else out.limit(max_rows)
 
-
-def adaptive_batches(texts: list[str], embed: Callable[[list[str], int], list], size: int = 4, tokens: int = 4000, least_tokens: int = 256) -> list:
-    """Embeds in batches; where memory runs out the batch is halved to one text, then the tokens to the least, then it fails."""
-    out, lo = [], 0
-    while lo < len(texts):
-        try:
-            out += embed(texts[lo : lo + size], tokens)
-            lo += min(size, len(texts) - lo)
-        except MemoryError:
-            if size > 1:
-                size //= 2
-            elif tokens > least_tokens:
-                tokens = max(least_tokens, tokens // 2)
-            else:
-                raise
-    return out

@@ -1,58 +1,60 @@
-"""The change log as a stream: each micro-batch of tasks is consolidated and applied to the index tables.
+"""The change log as a stream that maintains a stored index: each micro-batch of tasks is one version.
 
-Index tables are Parquet snapshots; a batch writes the next snapshot under its batch number and then
-moves the pointer, so a batch that is run again overwrites its own snapshot and counts once.
+A batch writes its version under its number, so one that is run again overwrites its own and counts once.
+Progress is told as events; a run can be cancelled between batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ..operators import index
-
-TABLES = ("lengths", "tokens", "frequency")
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def current(spark: SparkSession, folder: str) -> int:
-    """The number of the newest whole snapshot; -1 if there is none."""
-    fs, p = _fs(spark, f"{folder}/done")
-    return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=-1) if fs.exists(p) else -1
-
-
-def read(spark: SparkSession, folder: str, n: int | None = None) -> dict[str, DataFrame]:
-    n = current(spark, folder) if n is None else n
-    return {t: spark.read.parquet(f"{folder}/{n}/{t}") for t in TABLES}
+import math
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def save(spark: SparkSession, folder: str, n: int, tables: dict[str, DataFrame]) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{n}/{name}")
-    fs, p = _fs(spark, f"{folder}/done/{n}")
-    fs.create(p, True).close()
+from ..operators.stored import Index
 
+CHUNK_DEFAULT, CHUNK_MOST = 100, 1000
 
-def build(docs: DataFrame) -> dict[str, DataFrame]:
-    return {"lengths": index.lengths(docs), "tokens": index.token_stats(docs), "frequency": index.document_frequency(docs)}
 
+def chunk_size(value=None) -> int:
+    """Tasks or rows a chunk has: 1 to 1000, 100 where none is given."""
+    if value is None:
+        return CHUNK_DEFAULT
+    return max(1, min(CHUNK_MOST, math.trunc(value)))
 
-def apply(tables: dict[str, DataFrame], log: DataFrame) -> dict[str, DataFrame]:
-    tasks = index.consolidate(log)
-    return {"lengths": index.apply_lengths(tables["lengths"], index.length_deltas(tasks)), "tokens": index.apply_tokens(tables["tokens"], tasks), "frequency": index.apply_df(tables["frequency"], index.df_deltas(tasks))}
 
+def maintain(spark: SparkSession, log_folder: str, folder: str, checkpoint: str, files_per_batch: int = 1, emit: Callable[[dict], None] | None = None, cancelled: Callable[[], bool] | None = None):
+    """Applies the waiting files of the log and stops; the index must have a base. Gives the last event: completed, cancelled or error.
 
-def maintain(spark: SparkSession, log_folder: str, folder: str, checkpoint: str, files_per_batch: int = 1):
-    """Applies all waiting files of the log and stops. Snapshot 0 is the state before it; batch k makes snapshot k + 1."""
+    Batch k of the log is version `first + k`, where first is the number after the base that the log begins at.
+    """
+    emit, cancelled = emit or (lambda event: None), cancelled or (lambda: False)
+    index = Index(spark, folder)
     schema = spark.read.parquet(log_folder).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_folder)
+    seen = {"batches": 0, "tasks": 0}
 
-    def step(batch: DataFrame, k: int) -> None:
-        save(batch.sparkSession, folder, k + 1, apply(read(batch.sparkSession, folder, k), batch))
+    class Cancelled(Exception):
+        pass
 
+    def step(batch: DataFrame, k: int) -> None:
+        if cancelled():
+            raise Cancelled
+        tasks = batch.count()
+        index.apply(batch, k + 1)
+        seen["batches"], seen["tasks"] = seen["batches"] + 1, seen["tasks"] + tasks
+        emit({"event": "chunk", "batch": k, "processed": tasks, "total": seen["tasks"]})
+
+    emit({"event": "started", "filesPerBatch": files_per_batch})
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    try:
+        query.awaitTermination()
+        last = {"event": "completed", **seen}
+    except Exception as e:  # the batch is not committed: the next run begins with it
+        if not cancelled():
+            last = {"event": "error", "message": str(e).splitlines()[0], **seen}
+            emit(last)
+            raise
+        last = {"event": "cancelled", **seen}
+    emit(last)
+    return last

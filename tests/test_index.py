@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import index
+from lodestone.operators.stored import Index
 from lodestone.streaming import changes
 
 LOG = "row_id long, task_type int, table_name string, id long, old_len int, old_tokens array<string>, new_len int, new_tokens array<string>"
@@ -11,6 +13,14 @@ LOG = "row_id long, task_type int, table_name string, id long, old_len int, old_
 def test_parse(spark):
     rows = spark.createDataFrame([("'pokémon':1,4 'master':2 'it''s'",)], "v string").select(F.inline(index.parse_tsvector(F.col("v")))).collect()
     assert {(r.token, r.tf) for r in rows} == {("pokémon", 2), ("master", 1), ("it's", 1)}
+    index.register_token_stats(spark)
+    rows = spark.sql("SELECT * FROM tsvector_token_stats(\"'pokémon':1,4 'master':2 'it''s'\")").collect()
+    assert {(r.token, r.tf) for r in rows} == {("pokémon", 2), ("master", 1), ("it's", 1)}
+
+
+def test_counts_within_a_row(spark):
+    docs = spark.createDataFrame([("t", 1, ["b", "a", "b"]), ("t", 2, []), ("t", 3, None), ("t", 4, ["x"])], "table_name string, id long, tokens array<string>")
+    assert {tuple(r) for r in index.token_stats(docs).collect()} == {("t", 1, "a", 1), ("t", 1, "b", 2), ("t", 4, "x", 1)}
 
 
 def test_consolidated_deltas(spark):
@@ -30,17 +40,47 @@ def test_consolidate_keeps_nulls(spark):
     assert (r.initial_len, r.initial_tokens, r.final_len, r.final_tokens, r.n_tasks) == (None, None, 3, ["a", "c", "a"], 2)
 
 
-def test_stream_equals_full_build(spark, tmp_path):
+def same_index(a: Index, b: Index) -> None:
+    for table in ("tokens", "frequency", "lengths"):
+        got, want = getattr(a, table)(), getattr(b, table)()
+        columns = sorted(want.columns)
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())), table
+
+
+@pytest.fixture()
+def changed(spark, tmp_path):
+    """An index, its change log in two files, and the documents after all changes."""
     docs = spark.createDataFrame([("t", k, [f"w{k % 3}", "x", "x"]) for k in range(20)], "table_name string, id long, tokens array<string>").withColumn("len", F.size(F.array_distinct("tokens")))
-    log = spark.createDataFrame([(k, 1, "t", k, 2, [f"w{k % 3}", "x", "x"], 1, ["y"]) for k in range(0, 20, 2)] + [(100 + k, 2, "t", k, 1, ["y"], None, None) for k in range(0, 20, 4)], LOG)
-    folder, source = f"file://{tmp_path}/index", f"file://{tmp_path}/log"
-    changes.save(spark, folder, 0, changes.build(docs))
-    log.repartition(3).sortWithinPartitions("row_id").write.parquet(source)
-    # tasks of one document must be applied in order: one batch takes all files
-    changes.maintain(spark, source, folder, f"file://{tmp_path}/checkpoint", files_per_batch=10)
+    updates = spark.createDataFrame([(k, 1, "t", k, 2, [f"w{k % 3}", "x", "x"], 1, ["y"]) for k in range(0, 20, 2)], LOG)
+    deletes = spark.createDataFrame([(100 + k, 2, "t", k, 1, ["y"], None, None) for k in range(0, 20, 4)], LOG)
+    source = f"file://{tmp_path}/log"
+    updates.coalesce(1).write.parquet(source)
     final = docs.where("id % 2 = 1").unionByName(docs.where("id % 4 = 2").withColumn("tokens", F.array(F.lit("y"))).withColumn("len", F.lit(1)))
-    got, want = changes.read(spark, folder), changes.build(final)
-    for t in changes.TABLES:
-        columns = sorted(want[t].columns)
-        assert sorted(map(tuple, got[t].select(columns).collect())) == sorted(map(tuple, want[t].select(columns).collect()))
-    assert changes.current(spark, folder) == 1
+    return Index(spark, f"file://{tmp_path}/index").build(docs), source, deletes, Index(spark, f"file://{tmp_path}/want").build(final)
+
+
+def test_stream_equals_full_build(spark, tmp_path, changed):
+    own, source, deletes, want = changed
+    events = []
+    changes.maintain(spark, source, own.folder, f"file://{tmp_path}/checkpoint", 1, events.append)
+    deletes.coalesce(1).write.mode("append").parquet(source)
+    changes.maintain(spark, source, own.folder, f"file://{tmp_path}/checkpoint", 1, events.append)
+    assert own.versions() == (0, 2)
+    same_index(own, want)
+    assert [e["event"] for e in events] == ["started", "chunk", "completed"] * 2 and events[-1]["tasks"] == 5
+    assert own.compact() == 3 and own.versions() == (3, 3)
+    same_index(own, want)
+    assert {r.id for r in own.matching(["w1", "x"], "t").collect()} == {1, 7, 13, 19} and own.matching([], "t").count() == 0
+
+
+def test_cancelled_batch_is_taken_up_again(spark, tmp_path, changed):
+    own, source, deletes, want = changed
+    deletes.coalesce(1).write.mode("append").parquet(source)
+    last = changes.maintain(spark, source, own.folder, f"file://{tmp_path}/checkpoint", 1, cancelled=lambda: True)
+    assert last == {"event": "cancelled", "batches": 0, "tasks": 0} and own.versions() == (0, 0)
+    changes.maintain(spark, source, own.folder, f"file://{tmp_path}/checkpoint", 10)  # both files in one batch: tasks are ordered by row_id
+    same_index(own, want)
+
+
+def test_chunk_size():
+    assert [changes.chunk_size(n) for n in (None, 0, 7.9, 10**6)] == [100, 1, 7, 1000]
