@@ -24,14 +24,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id, then with the smallest row key; one without a doc_id only where no row has one."""
-    columns = [F.col(c) for c in docs.columns]
-    keyed = docs.withColumn("_row", F.xxhash64(*columns, *[c.isNull() for c in columns])).withColumn("_more", F.hash(*columns))
-    linked = jaccard.link(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("_id")).distinct()
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
-    keep = linked.join(ids, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row", "_more"]).select(*docs.columns)
+    """One row of each component: the one with the smallest doc_id, then with the smallest row key; one without a doc_id only where no row has one.
+
+    Rows are told apart by all their columns, so rows that share a doc_id and differ in text are documents of their own.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("own"), F.xxhash64(*columns, *[c.isNull() for c in columns]).alias("row"), F.hash(*columns).alias("more"))
+    linked = jaccard.link(keyed.select("row", F.col("own.text").alias("text")), id_col="row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    ids = keyed.select("row", F.col("own.doc_id").cast("long").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    keep = linked.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return keyed.join(keep, "row", "left_semi").dropDuplicates(["row", "more"]).select("own.*")
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix to the target weights."""
-    return mixing.mix(docs, MIX).select(*docs.columns)
+    return mixing.mix(docs, MIX, added=False)
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ which the budget ends is ordered by row.
 
 Defined results: null levels count as "(none)"; null and empty texts have no tokens and are never
 chosen; a null doc_id has an order key of its own; an empty table gives an empty mix; other columns
-of the table are kept by `mix` and may have any name but those it adds. A node of weight 0 takes
+of the table are kept by `mix`, whatever their names. A node of weight 0 takes
 nothing, so its siblings share its part, and where all siblings have weight 0 their parent takes
 nothing either; the budget still counts their tokens.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import shared_dir, small, written
+from .runtime import drop, shared_dir, small, written
 
 #: About as many rows of a leaf as are ordered by row.
 RANGE_ROWS = 2048
@@ -131,22 +131,26 @@ def cuts(slim: DataFrame, leaves: DataFrame, mix: Mix, folder: str) -> DataFrame
     return leaves.join(cut, names, "left").select(*names, "whole", "cut")
 
 
-def mix(df: DataFrame, plan: Mix | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table's rows with the columns mix_<level>, mix_epoch and mix_tokens, as often as they are chosen."""
+def mix(df: DataFrame, plan: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", added: bool = True) -> DataFrame:
+    """The table's rows as often as they are chosen, with the columns mix_<level>, mix_epoch and mix_tokens (instead of the table's own of these names), or without them."""
     plan = plan or Mix()
     names = [f"mix_{k}" for k, _ in plan.levels]
-    rows = df.select("*", *[F.expr(e).alias(n) for n, (_, e) in zip(names, plan.levels)])
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own")  # no column of the table can clash with those made here
+    rows = df.select(own, *[F.expr(e).alias(n) for n, (_, e) in zip(names, plan.levels)], F.col(id_col).cast("long").alias("mix_id"), F.col(text_col).alias("mix_text"))
     folder = shared_dir(df.sparkSession, "mix")
-    slim = written(rows.select(*names, F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("n_tokens")), f"{folder}/slim")
+    slim = written(rows.select(*names, F.col("mix_id").alias("doc_id"), tokens("mix_text").alias("n_tokens")), f"{folder}/slim")
     leaves = written(budgets(slim, plan), f"{folder}/leaves")
     ends = written(cuts(slim, leaves, plan, folder), f"{folder}/cuts")
+    drop(df.sparkSession, *(f"{folder}/{t}" for t in ("slim", "leaves", "budgets", "ends")))
     ends = ends.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("whole").alias("mix_whole"), F.col("cut").alias("mix_cut"))
     picked = attach(rows, ends, [F.col(n) == F.col(f"{n}_") for n in names])
-    picked = picked.withColumn("mix_tokens", tokens(text_col)).where("mix_tokens > 0")
-    part = key(plan.seed, F.col("mix_whole"), F.col(id_col).cast("long")) <= F.col("mix_cut")
-    n = F.col("mix_whole") + F.coalesce(part, F.lit(False)).cast("int")
-    picked = picked.withColumn("mix_epochs", n).where("mix_epochs > 0")
-    return picked.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_epochs") - 1))).drop("mix_epochs", "mix_whole", "mix_cut", *[f"{n}_" for n in names])
+    part = key(plan.seed, F.col("mix_whole"), F.col("mix_id")) <= F.col("mix_cut")
+    picked = picked.withColumn("mix_epochs", F.col("mix_whole") + F.coalesce(part, F.lit(False)).cast("int"))
+    # a text with a word, which its first letter tells; the words of those that stay are counted where they are asked for
+    picked = picked.where((F.col("mix_epochs") > 0) & F.col("mix_text").rlike(WORD)).withColumn("mix_tokens", tokens("mix_text"))
+    picked = picked.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_epochs") - 1)))
+    made = [*names, "mix_epoch", "mix_tokens"] if added else []
+    return picked.select(*[F.col(f"own.`{c}`") for c in df.columns if c not in made], *made)
 
 
 def mix_sql(plan: Mix, table: str = "documents") -> str:
