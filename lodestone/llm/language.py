@@ -28,6 +28,8 @@ MOST_LANGUAGES = 256
 KEEP = np.where(np.isin(np.arange(256), np.r_[97:123]) | (np.arange(256) >= 128), np.arange(256), 32).astype(np.uint8)
 STEPS = 12
 SMOOTH = 0.1
+#: Nats by which an n-gram counts against its text at most, so that a key or a name doesn't outweigh the words of a short text.
+MOST_AGAINST = 2.0
 
 
 def has_letter(text: str | None) -> bool:
@@ -116,7 +118,7 @@ class Model:
         return self.judge(texts, penalty)[0]
 
     def judge(self, texts, penalty: float = 4.0):
-        """What infer gives, and per text by how much an n-gram is likelier under the languages than under the background (-inf where there are no letters)."""
+        """What infer gives, and per text by how much an n-gram is likelier under the languages than under the background (-inf where there are no letters); one n-gram counts MOST_AGAINST against its text at most."""
         m, k = len(texts), len(self.langs)
         best, margin = np.zeros((m, k)), np.full(m, -np.inf)
         if not k or not m:
@@ -130,7 +132,8 @@ class Model:
         top = whole.argmax(1)
         bounds = np.append(first, len(c))
         n = np.add.reduceat(c, first)
-        margin[has] = (value - np.add.reduceat(c * self.background[feature], first)) / n
+        over = np.log((p * whole.astype(np.float32)[np.repeat(np.arange(len(has)), np.diff(bounds))]).sum(1).astype(np.float64)) - self.background[feature]
+        margin[has] = np.add.reduceat(c * np.maximum(over, -MOST_AGAINST), first) / n
         one = np.add.reduceat(c * np.log(p[np.arange(len(c)), np.repeat(top, np.diff(bounds))].astype(np.float64)), first)
         chosen = np.zeros_like(whole)
         chosen[np.arange(len(has)), top] = 1

@@ -82,8 +82,9 @@ def brute_force(rows):
     for i, t, _, source, n in rows:
         g = grams(t or "")
         likely = {k: sum(math.log((c[x] + 0.1) / (sum(c.values()) + 6553.6)) for x in g) for k, c in counts.items()}
-        alone = sum(math.log((letters[y] / total + 1 / 155) / 2) for x in g for y in x)
-        if g and max(likely.values()) > alone:
+        best = counts[max(likely, key=likely.get)] if g else {}
+        alone = {x: sum(math.log((letters[y] / total + 1 / 155) / 2) for y in x) for x in g}
+        if g and sum(max(-2.0, math.log((best[x] + 0.1) / (sum(best.values()) + 6553.6)) - alone[x]) for x in g) > 0:
             kept.append((i, t, max(likely, key=likely.get), source, n))
     sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (r[1].lower().split() for r in kept)]
     group = list(range(len(kept)))
