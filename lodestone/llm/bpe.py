@@ -246,8 +246,8 @@ def compile_lexicon(df: DataFrame, vocabulary_path: str, text_col: str = "text",
     return Lexicon.compile(words, shared_dir(spark, "lexicon") + "/lexicon.bin")
 
 
-def encode(df: DataFrame, vocabulary_path: str, lexicon_uri: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the ids of every text."""
+def encode(df: DataFrame, vocabulary_path: str, lexicon_uri: str, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
+    """doc_id and the ids of every text; or what `then` makes of the batches of these rows, in the same worker, with its schema."""
 
     def run(batches):
         e = encoder(vocabulary_path, lexicon_uri)
@@ -255,7 +255,7 @@ def encode(df: DataFrame, vocabulary_path: str, lexicon_uri: str, id_col: str =
             ids, bounds = e.encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
-    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return documents(df, id_col, text_col).mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
 
 
 def decode_ids(tokens: dict[int, str], ids) -> str:
@@ -274,13 +274,19 @@ def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def token_digest(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of rows of ids."""
+#: Tokens and decimal numbers by id, one pair per worker process and vocabulary.
+_tables: dict = {}
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(vocabulary_path: str):
+    """n_tokens, ids_sha256 and decoded_sha256 of batches of ids."""
 
     def run(batches):
-        vocabulary = Vocabulary(vocabulary_path)
-        token = [vocabulary.tokens.get(k, "").encode() for k in range(vocabulary.size)]
-        decimal = [str(k).encode() for k in range(vocabulary.size)]
+        if vocabulary_path not in _tables:
+            vocabulary = Vocabulary(vocabulary_path)
+            _tables[vocabulary_path] = [vocabulary.tokens.get(k, "").encode() for k in range(vocabulary.size)], [str(k).encode() for k in range(vocabulary.size)]
+        token, decimal = _tables[vocabulary_path]
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             out = []
@@ -290,4 +296,9 @@ def token_digest(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
             columns = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return run
+
+
+def token_digest(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
+    """The digests of rows of ids."""
+    return encoded.select("doc_id", "ids").mapInArrow(digests(vocabulary_path), DIGEST)

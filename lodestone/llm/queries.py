@@ -44,7 +44,7 @@ def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
-    return bpe.token_digest(bpe.encode(docs, path, bpe.compile_lexicon(docs, path)), path)
+    return bpe.encode(docs, path, bpe.compile_lexicon(docs, path), then=bpe.digests(path), schema=bpe.DIGEST)
 
 
 def op7_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,7 @@ def test_bpe(docs, empty):
         ids = t.encode(text or "", add_special_tokens=False).ids
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
     assert sorted(map(tuple, bpe.token_digest(encoded, PATH).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, bpe.encode(docs, PATH, uri, then=bpe.digests(PATH), schema=bpe.DIGEST).collect()), key=str) == sorted(want, key=str)
     assert bpe.decode(encoded, PATH).count() == docs.count()
     assert bpe.encode(empty, PATH, bpe.compile_lexicon(empty, PATH)).count() == 0
 
