@@ -332,10 +332,9 @@ class Admin:
 
     def pending(self, language: str) -> int:
         """Tasks that the index hasn't taken."""
-        return (self.files.read("sequence-task.json", 0) if self.files.exists(f"log/{language}") else 0) and self._logged(language) - self.files.read(f"applied-{language}.json", 0)
-
-    def _logged(self, language: str) -> int:
-        return self.spark.read.schema(LOG).parquet(self._log_folder(language)).count()
+        if not self.files.exists(f"log/{language}"):
+            return 0
+        return self.spark.read.schema(LOG).parquet(self._log_folder(language)).count() - self.files.read(f"applied-{language}.json", 0)
 
     def refresh(self, name: str) -> dict:
         """Rows, coverages and readiness of a table, from its tables as they are."""
@@ -380,8 +379,7 @@ class Admin:
         t = self.refresh(self.table(name)["tableName"])
         rows = self.corpus(name).read()
         n = rows.where(backfill.needs(rows, snapshot=not t["bm25Ready"])).count()
-        self._progress(name, **IDLE, **{})
-        self._progress(name, total=n)
+        self._progress(name, **{**IDLE, "total": n})
         return self.backfill_status(name)
 
     def cancel_backfill(self, name: str) -> dict:

@@ -48,13 +48,19 @@ def bucket(token: Column) -> Column:
 
 
 def bucket_of(spark: SparkSession, words: list[str]) -> list[int]:
-    """The buckets of a query's words, by the same hash."""
-    return sorted({r.b for r in spark.range(1).select(F.explode(F.array(*[bucket(F.lit(w)) for w in words])).alias("b")).collect()})
+    """The buckets of a query's words, by the same hash; worked out here where the library for it is there."""
+    try:
+        from xxhash import xxh64_intdigest
+    except ImportError:
+        return sorted({r.b for r in spark.range(1).select(F.explode(F.array(*[bucket(F.lit(w)) for w in words])).alias("b")).collect()})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return sorted({signed(xxh64_intdigest(w.encode("utf-8"), 42)) % BUCKETS for w in words})
 
 
 class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._stats: tuple = ((-1, -1), {})
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
@@ -141,6 +147,21 @@ class Index:
         rows = self._read("lengths", *self.versions()).groupBy("table_name").agg(*[F.greatest(F.lit(0), F.sum(c)).cast("long").alias(c) for c in ("recordcount", "sumlen")])
         return rows.withColumn("avglen", F.when(F.col("recordcount") > 0, F.col("sumlen") / F.nullif(F.col("recordcount"), F.lit(0))).otherwise(0.0))
 
+    def stats(self) -> dict[str, tuple[int, float]]:
+        """recordcount and avglen by table, of the newest version: a row a managed table, read once a version."""
+        at = self.versions()
+        if self._stats[0] != at:
+            self._stats = at, {r.table_name: (r.recordcount, r.avglen) for r in self.lengths().collect()}
+        return self._stats[1]
+
+    def usage(self) -> DataFrame:
+        """table, rows: what the index holds now, as rows of its tables."""
+        out = None
+        for name, rows in (("tokens", self.tokens()), ("frequency", self.frequency()), ("lengths", self.lengths())):
+            one = rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def matching(self, words: list[str], table: str) -> DataFrame:
         """The ids of the documents that have all the words; none for no words."""
         words = list(dict.fromkeys(words))
@@ -150,9 +171,14 @@ class Index:
         """id and BM25 score of the documents that have a word, or of those among them with these ids."""
         from .search import bm25_term
 
-        rows = self.tokens(words, table)
+        words = list(dict.fromkeys(words))
+        found = {r.token: r.tfdoc for r in self.frequency(words).collect()}  # a row a word
+        stats = self.stats()
+        rows = self.tokens([w for w in words if w in found], table)
         rows = rows if ids is None else rows.where(F.col("id").isin(ids))
-        stats = I.corpus_stats(self.lengths(), table)
-        joined = rows.join(F.broadcast(self.frequency(words)), "token").crossJoin(F.broadcast(stats))  # at most a row per query token, and one row
-        term = bm25_term(F.col("tf"), F.col("tfdoc"), F.col("len"), F.col("n"), F.col("avglen"), k1, b)
-        return joined.groupBy("id").agg(F.round(F.coalesce(F.sum(term), F.lit(0.0)), digits).alias("score"))
+        tfdoc = F.lit(None).cast("long")
+        for word, n in found.items():
+            tfdoc = F.when(F.col("token") == word, F.lit(n).cast("long")).otherwise(tfdoc)
+        n, avglen = sum(c for c, _ in stats.values()), stats.get(table, (0, 0.0))[1]
+        term = bm25_term(F.col("tf"), tfdoc, F.col("len"), F.lit(n).cast("long"), F.lit(float(avglen)), k1, b)
+        return rows.groupBy("id").agg(F.round(F.coalesce(F.sum(term), F.lit(0.0)), digits).alias("score"))

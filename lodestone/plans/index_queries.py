@@ -79,6 +79,12 @@ def stored_tokens(spark, d):
     return X.index(spark, d).tokens().drop("len")
 
 
+@query(f"SELECT 'tokens' AS \"table\", count(*) AS rows FROM {STATS.format('scope ')} UNION ALL SELECT 'frequency', count(*) FROM {DF.format('scope ')} UNION ALL SELECT 'lengths', count(*) FROM {LENGTHS.format('scope ')}")
+def ops_index_usage(spark, d):
+    """What the stored index holds."""
+    return X.index(spark, d).usage()
+
+
 @query("SELECT DISTINCT table_name FROM (SELECT table_name FROM logs WHERE task_type <> 1 ORDER BY row_id LIMIT 100)")
 def chunk_tables(spark, d):
     """The tables that a claimed chunk touches."""

@@ -35,6 +35,15 @@ def test_parsers():
     assert A.literal("it's \\ x") == "'it\\'s \\\\ x'" and A.quoted("a_b") == "`a_b`" and A.text_config("Korean ") == "korean" and A.text_config("klingon") == "simple"
 
 
+def test_unique_suffix():
+    from lodestone.operators.corpus import unique_suffix
+
+    assert unique_suffix("Old English!", set()) == "old_english"
+    second = unique_suffix("Old English!", {"old_english"})
+    assert second.startswith("old_english_") and len(second) == 18
+    assert unique_suffix("Old English!", {"old_english", second}) == f"{second}_2" and unique_suffix("!", set()) == "lang"
+
+
 def test_registration_merge():
     before = {"language": "korean", "idColumn": "doc", "docHashColumn": "hash", "description": "old", "embeddingDim": 8, "isDefault": True}
     out = A.merged({"tableName": "t", "titleColumn": "name"}, before, "english")

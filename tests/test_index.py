@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import index
-from lodestone.operators.stored import Index
+from lodestone.operators.stored import Index, bucket, bucket_of
 from lodestone.streaming import changes
 
 LOG = "row_id long, task_type int, table_name string, id long, old_len int, old_tokens array<string>, new_len int, new_tokens array<string>"
@@ -82,5 +82,16 @@ def test_cancelled_batch_is_taken_up_again(spark, tmp_path, changed):
     same_index(own, want)
 
 
+def test_buckets_by_the_same_hash(spark):
+    words = ["the", "é", "", "포켓몬", "a" * 100, "x'y"]
+    assert bucket_of(spark, words) == sorted({r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select(bucket(F.col("w")).alias("b")).collect()})
+
+
+def test_scores_of_unknown_words(spark, changed):
+    own = changed[0]
+    assert own.score(["nowhere"], "t").count() == 0 and own.score([], "t").count() == 0 and own.score(["x"], "other").count() == 0
+    assert {r.id for r in own.score(["w1", "nowhere"], "t", ids=[1, 2, 4]).collect()} == {1, 4}
+
+
 def test_chunk_size():
     assert [changes.chunk_size(n) for n in (None, 0, 7.9, 10**6)] == [100, 1, 7, 1000]
