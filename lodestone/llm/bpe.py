@@ -30,8 +30,8 @@ from .vocab import Vocabulary
 #: Most words in the lexicon, and most bytes of a word in it: the automaton stays a few MB whatever the corpus.
 MOST_WORDS = 1 << 16
 LONGEST = 48
-#: Most pieces and words a worker remembers besides.
-REMEMBERED = 400_000
+#: Most pieces and words a worker remembers besides, at some 250 bytes each: workers live on after their stage.
+REMEMBERED = 150_000
 
 
 class Builder:

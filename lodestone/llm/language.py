@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, documents, map_texts
+from .runtime import BATCH_BYTES, cut, documents, map_texts
 
 #: Hashed features; a power of 2. The model is features times languages and nothing else is broadcast.
 FEATURES = 1 << 16
@@ -228,7 +228,7 @@ def label(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "
 
     def run(batches):
         langs = np.array(shared.value.langs, object)
-        for b in cut(batches, column=text_col):
+        for b in cut(batches, BATCH_BYTES // 2, column=text_col):
             texts = b.column(text_col).to_pylist()
             pi, margin = shared.value.judge(texts, penalty)
             keep = np.array([has_letter(t) for t in texts], bool) & (margin > least)

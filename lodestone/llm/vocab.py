@@ -61,6 +61,11 @@ BYTE_CHARS = byte_alphabet()
 BYTE_OF = {c: b for b, c in enumerate(BYTE_CHARS)}
 
 
+#: Bits of an id within a pair.
+PAIR = 22
+NO_PAIR = 1 << 62
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -70,7 +75,13 @@ class Vocabulary:
         self.path, self._library = path, None
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m) if not isinstance(m, str) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
+        merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
+        if len(self.ids) >= 1 << PAIR or any(x not in self.ids for a, b in merges for x in (a, b, a + b)):
+            raise ValueError(f"{path}: merges name tokens that the vocabulary lacks, or it has {1 << PAIR} tokens or more")
+        #: For two ids, as one number: the rank of their merge and the id it makes, as one number.
+        self.pairs = {self.ids[a] << PAIR | self.ids[b]: k << PAIR | self.ids[a + b] for k, (a, b) in reversed(list(enumerate(merges)))}
+        #: The id of each byte, within a piece and at its end; one below 0 where the vocabulary has none.
+        self.byte_ids, self.last_ids = ([self.ids.get(c + end, -1 - b) for b, c in enumerate(BYTE_CHARS)] for end in ("", self.end))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {k: t for t, k in self.ids.items()} | {k: t for t, k in self.added.items()}
         self.size = max(self.tokens) + 1
@@ -131,26 +142,21 @@ class Vocabulary:
         return [bytes(BYTE_OF[c] for c in p).decode("utf-8", "surrogatepass") for p, _ in found]
 
     def merge(self, piece: str) -> list[int]:
-        """The ids of one normalised piece: always the pair of lowest rank, leftmost first."""
-        symbols = [BYTE_CHARS[b] for b in piece.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.end
-        ranks = self.ranks
-        while len(symbols) > 1:
-            order = [ranks.get(pair, 1 << 60) for pair in zip(symbols, symbols[1:])]
-            best = min(order)
-            if best == 1 << 60:
-                break
-            left, right = symbols[k := order.index(best)], symbols[k + 1]
-            out, i = symbols[:k], k
-            while i < len(symbols):
-                if i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return [self.ids[s] for s in symbols if s in self.ids]
+        """The ids of one normalised piece: always the pair of lowest rank, leftmost first. Only the pairs beside a merge are looked up again."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        ids = [self.byte_ids[b] for b in raw]
+        ids[-1] = self.last_ids[raw[-1]]
+        find = self.pairs.get
+        found = [find(a << PAIR | b, NO_PAIR) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != NO_PAIR:
+            k = found.index(best)
+            ids[k] = best & (1 << PAIR) - 1
+            del ids[k + 1], found[k]
+            if k:
+                found[k - 1] = find(ids[k - 1] << PAIR | ids[k], NO_PAIR)
+            if k < len(found):
+                found[k] = find(ids[k] << PAIR | ids[k + 1], NO_PAIR)
+        return [k for k in ids if k >= 0]
 
 
 def lowered(text: str) -> str:
