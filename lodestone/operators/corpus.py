@@ -15,7 +15,7 @@ ROLES = {"id": "long", "doc_hash": "string", "title": "string", "content": "stri
 
 
 def title_of(content: Column) -> Column:
-    return F.left(F.split_part(content, F.lit("\n"), F.lit(1)), F.lit(80))
+    return F.left(F.substring_index(content, "\n", 1), F.lit(80))  # stops at the first line's end
 
 
 def content_hash(title: Column, content: Column) -> Column:
