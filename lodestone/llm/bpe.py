@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import files
 from .rolling import Batch
-from .runtime import cut, documents, shared_dir, written
+from .runtime import cut, documents, kept, shared_dir, written
 from .vocab import Vocabulary
 
 #: Most words in the lexicon, and most bytes of a word in it: the automaton stays a few MB whatever the corpus.
@@ -212,16 +212,9 @@ class Encoder:
         return ids, place[first]
 
 
-_encoders: dict = {}
-
-
 def encoder(vocabulary_path: str, lexicon_uri: str | None) -> Encoder:
-    """One per worker process and lexicon."""
-    key = (vocabulary_path, lexicon_uri)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary(vocabulary_path), Lexicon(files.local_copy(lexicon_uri)) if lexicon_uri else None)
-    return _encoders[key]
+    """One per worker process."""
+    return kept(("encoder", vocabulary_path, lexicon_uri), lambda: Encoder(Vocabulary(vocabulary_path), Lexicon(files.local_copy(lexicon_uri)) if lexicon_uri else None))
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> list[str]:

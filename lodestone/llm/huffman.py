@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files, sums
-from .runtime import BATCH_BYTES, cut, documents, drop, shared_dir, written
+from .runtime import BATCH_BYTES, cut, documents, drop, kept, shared_dir, written
 
 #: Bits of a code at most, for vocabularies of up to 2 ** 16 ids; larger ones get two bits more than a plain number has, up to 24.
 LIMIT = 18
@@ -287,9 +287,6 @@ class CachedLibrary:
         return list(map(b"".join, found))
 
 
-_libraries: dict = {}
-
-
 def stage(df: DataFrame, vocabulary_path: str, end_id: int, id_col: str, text_col: str, path: str) -> DataFrame:
     """Written rows (task, row, doc_id, n, ids): ids of whole texts with the end id, as bytes; task and row number the rows for good.
 
@@ -299,9 +296,7 @@ def stage(df: DataFrame, vocabulary_path: str, end_id: int, id_col: str, text_co
     def run(batches):
         from pyspark import TaskContext
 
-        if vocabulary_path not in _libraries:
-            _libraries[vocabulary_path] = CachedLibrary(vocabulary_path)
-        library, task, row = _libraries[vocabulary_path], TaskContext.get().partitionId(), 0
+        library, task, row = kept(("library", vocabulary_path), lambda: CachedLibrary(vocabulary_path)), TaskContext.get().partitionId(), 0
         end = np.array([end_id], library.kind).tobytes()
         size = max(library.vocabulary.size, end_id + 1)
         total = np.zeros(size, np.int64)

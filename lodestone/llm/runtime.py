@@ -68,6 +68,22 @@ def small(table: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     return F.broadcast(table) if (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else table
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker process holds from task to task, made once: the last such thing only, so that workers that live on after a stage don't hold what no task uses."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Lets go of it, in tasks that need memory and hold nothing."""
+    _kept.clear()
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator reads, so that others (of any name) neither cost a read nor clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])
