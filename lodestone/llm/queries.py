@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, jaccard, language, media, mixing, reassembly, repetition, secret_scan, sql, suffixes, warc
+from . import bpe, huffman, jaccard, language, media, mixing, reassembly, repetition, secret_scan, spelling, sql, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reassembly.digest(reassembly.reassemble(log))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def repetition_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4_repetition that SQL can express."""
     return op4_repetition(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -80,7 +84,7 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_suffix_dedup, op3_hierarchical_mix, op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op9_jaccard_trie, op10_secret_scan, op12_log_reassembly, repetition_base, secret_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_suffix_dedup, op3_hierarchical_mix, op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op9_jaccard_trie, op10_secret_scan, op12_log_reassembly, op13_spelling_variants, repetition_base, secret_counts)}
 
 #: A base32 digit for each 5 bits of the SHA-1, from groups of 5 hexadecimal digits.
 BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"
@@ -95,6 +99,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM k""",
     "op3_hierarchical_mix": mixing.mix_sql(MIX),
     "op12_log_reassembly": sql.LOG_REASSEMBLY,
+    "op13_spelling_variants": sql.SPELLING_VARIANTS,
     "repetition_base": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),

@@ -31,3 +31,20 @@ deltas AS (SELECT epoch, (v IS NOT NULL)::INT - (lag(v) OVER (PARTITION BY key O
 epochs AS (SELECT e.epoch, coalesce(sum(n), 0) AS n, coalesce(sum(d), 0) AS d FROM (SELECT DISTINCT epoch FROM commits) e LEFT JOIN deltas USING (epoch) GROUP BY e.epoch)
 SELECT 'state' AS kind, epoch AS id, (sum(n) OVER (ORDER BY epoch))::BIGINT AS n, (sum(d) OVER (ORDER BY epoch))::BIGINT AS value FROM epochs
 UNION ALL SELECT fate, doc_id, coalesce(undo, ended), key FROM changes WHERE fate <> 'commit'"""
+
+#: Near words by the words that are left without one letter: of equal length without the same one, or one is the other without one.
+SPELLING_VARIANTS = f"""
+WITH {CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc),
+cut AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS MATERIALIZED (SELECT word, n, i, left(word, (i - 1)::INT) AS head, substr(word, (i + 1)::INT) AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION SELECT less.word, words.word, words.n FROM less JOIN words ON words.word = head || tail
+    UNION SELECT words.word, less.word, less.n FROM less JOIN words ON words.word = head || tail),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (WITH RECURSIVE c AS (SELECT word, word AS root FROM formed UNION SELECT c.word, f.form FROM c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL) SELECT * FROM c),
+ends AS (SELECT chain.word, root FROM chain JOIN formed ON formed.word = root WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
