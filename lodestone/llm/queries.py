@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, jaccard, language, media, mixing, reassembly, repetition, secret_scan, spelling, sql, suffixes, warc
+from . import bpe, huffman, jaccard, language, media, mixing, reassembly, repetition, secret_scan, simhash, spelling, sql, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents"))
+
+
 def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = reassembly.document_log(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return reassembly.digest(reassembly.reassemble(log))
@@ -84,7 +88,7 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_suffix_dedup, op3_hierarchical_mix, op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op9_jaccard_trie, op10_secret_scan, op12_log_reassembly, op13_spelling_variants, repetition_base, secret_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_suffix_dedup, op3_hierarchical_mix, op4_repetition, op5_huffman_ids, op6_transducer_bpe, op7_media_sniffing, op8_language_mixture, op9_jaccard_trie, op10_secret_scan, op11_simhash_bktree, op12_log_reassembly, op13_spelling_variants, repetition_base, secret_counts)}
 
 #: A base32 digit for each 5 bits of the SHA-1, from groups of 5 hexadecimal digits.
 BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"
