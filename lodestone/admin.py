@@ -334,7 +334,8 @@ class Admin:
         """Tasks that the index hasn't taken."""
         if not self.files.exists(f"log/{language}"):
             return 0
-        return self.spark.read.schema(LOG).parquet(self._log_folder(language)).count() - self.files.read(f"applied-{language}.json", 0)
+        log, done = self.spark.read.schema(LOG).parquet(self._log_folder(language)), self.index(language).applied()
+        return (log if done is None else log.where(F.col("row_id") > done)).count()
 
     def refresh(self, name: str) -> dict:
         """Rows, coverages and readiness of a table, from its tables as they are."""
@@ -439,8 +440,8 @@ class Admin:
 
     # Indexing
 
-    def run_index(self, language: str, emit: Callable[[dict], None] | None = None, cancelled: Callable[[], bool] | None = None) -> dict:
-        """Applies the log's waiting files to the language's index, and refreshes the readiness of its tables."""
+    def run_index(self, language: str, chunk: int = changes.CHUNK_DEFAULT, emit: Callable[[dict], None] | None = None, cancelled: Callable[[], bool] | None = None) -> dict:
+        """Applies the log's waiting tasks in chunks to the language's index, and refreshes the readiness of its tables."""
         self.language(language)
         at = self.index(language)
         if at.versions()[0] < 0:
@@ -452,8 +453,7 @@ class Admin:
             told({"event": "started"})
             told(last)
         else:
-            last = changes.maintain(self.spark, self._log_folder(language), at.folder, f"{self.folder}/checkpoint/{language}", 1_000_000, told, cancelled)
-            self.files.write(f"applied-{language}.json", self.files.read(f"applied-{language}.json", 0) + last["tasks"])
+            last = changes.maintain(self.spark, self._log_folder(language), at.folder, f"{self.folder}/checkpoint/{language}", changes.chunk_size(chunk), told, cancelled)
         for name in self.names(language):
             self.refresh(name)
         self.reconcile()
@@ -484,8 +484,8 @@ def route(admin: Admin, method: str, path: str, body=None, query: dict | None =
             case ("PUT", "bm25", language, "settings"):
                 data = admin.update_settings(language, body)
             case ("GET", "bm25", language, "run"):
-                parse_chunk((query or {}).get("chunkSize"))
-                return event_stream(lambda emit, cancelled: admin.run_index(language, emit, cancelled))
+                n = parse_chunk((query or {}).get("chunkSize"))
+                return event_stream(lambda emit, cancelled: admin.run_index(language, n, emit, cancelled))
             case ("POST", "tables", "register-existing"):
                 data = admin.register(body)
             case ("POST", "tables", table, "backfill", "prepare"):

@@ -177,25 +177,6 @@ def serve(provider: Provider, lines: Iterator[str], say: Callable[[str], None])
             say(json.dumps({"id": i, "error": str(e) or type(e).__name__}))
 
 
-def snapshot_path(model: str, roots: list[str]) -> str | None:
-    """A model's folder: the name itself if it is one, else <root>/models--<owner>--<name>/snapshots/<revision>, the one that refs/main names or the newest."""
-    if os.path.isdir(model):
-        return model
-    for root in roots:
-        own = os.path.join(root, "models--" + model.replace("/", "--"))
-        found = os.path.join(own, "snapshots")
-        if not os.path.isdir(found):
-            continue
-        named = os.path.join(own, "refs", "main")
-        if os.path.exists(named):
-            with open(named, encoding="utf-8") as f:
-                if os.path.isdir(at := os.path.join(found, f.read().strip())):
-                    return at
-        if revisions := [os.path.join(found, r) for r in os.listdir(found) if os.path.isdir(os.path.join(found, r))]:
-            return max(revisions, key=os.path.getmtime)
-    return None
-
-
 def device(cuda: bool, mps: bool, bf16: bool = False) -> tuple[str, str]:
     """Where a model runs and in which numbers: cuda before mps before cpu; 16 bits on a device, bfloat where it has them."""
     if cuda:
@@ -203,23 +184,6 @@ def device(cuda: bool, mps: bool, bf16: bool = False) -> tuple[str, str]:
     return ("mps", "float16") if mps else ("cpu", "float32")
 
 
-def split_on_memory(texts: list[str], embed: Callable[[list[str], int], list], size: int = 4, tokens: int = 4000, least_tokens: int = 256) -> list:
-    """Embeds in batches; where memory runs out the batch is halved to one text, then the tokens to the least, then it fails."""
-    out, lo = [], 0
-    while lo < len(texts):
-        try:
-            out += embed(texts[lo : lo + size], tokens)
-            lo += min(size, len(texts) - lo)
-        except MemoryError:
-            if size > 1:
-                size //= 2
-            elif tokens > least_tokens:
-                tokens = max(least_tokens, tokens // 2)
-            else:
-                raise
-    return out
-
-
 def embed_documents(df: DataFrame, provider: Provider, dim: int, text_col: str = "text", to: str = "embedding", size: int = 32) -> DataFrame:
     """The table with a column of vectors, made in Arrow batches on the executors; null and empty texts have none. Wrong sizes and numbers that aren't finite are an error."""
 
@@ -227,7 +191,7 @@ def embed_documents(df: DataFrame, provider: Provider, dim: int, text_col: str =
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             asked = [k for k, t in enumerate(texts) if t]
-            vectors = split_on_memory([texts.iloc[k] for k in asked], lambda some, tokens: provider(some), size)
+            vectors = [v for lo in range(0, len(asked), size) for v in provider([texts.iloc[k] for k in asked[lo : lo + size]])]
             out: list = [None] * len(texts)
             for k, v in zip(asked, vectors):
                 if len(v) != dim or not all(map(math.isfinite, v)):

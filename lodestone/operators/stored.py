@@ -1,14 +1,18 @@
 """The inverted index as stored tables that searches read by token.
 
 An index is a folder of versions: a base with every document, and a version for each batch of
-changes since. Tables: tokens (a row a document and token, with the document's length), dead (the
-documents that a version replaces), frequency and lengths (numbers of the base, differences of the
-versions after it). A token's row counts if no later version names its document dead; frequencies
-and lengths are sums. So a batch writes what it changes and rewrites nothing, and running it again
-overwrites its own version only; `compact` makes a new base now and then.
-
-Token rows are dealt by a hash of the token (the partition column) and sorted by token within it,
-so a query's words read a few row groups; ranges keep a token that most documents have in several files.
+changes since. Tables: postings (lists in segments, see postings.py), dead (the documents that a
+version replaces), frequency and lengths (numbers of the base, differences of the versions after it).
+A token's row counts if no later version names its document dead; frequencies and lengths are sums. So a
+batch writes what it changes and rewrites nothing; `compact` makes a new base now and then, and then `vacuum`
+deletes what no search reads any more.
+
+Versions are numbered from the newest one when they are written. A batch's key stays in its marker, so a
+batch that comes again after its commit changes nothing, also when the index was compacted in between, and one that
+failed before it overwrites what it left.
+
+While there is only a base, word matches and scores are found where the segments lie, without a shuffle; with later versions the
+lists of a query's words are decoded and joined with the dead documents.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import index as I
+from . import postings as P
 
-BUCKETS = 32
 SCHEMAS = {
-    "tokens": "table_name string, id long, token string, tf long, len int, bucket int, version int",
+    "postings": P.SCHEMA + ", version int",
     "dead": "table_name string, id long, version int",
     "frequency": "token string, tfdoc long, version int",
     "lengths": "table_name string, recordcount long, sumlen long, version int",
@@ -43,20 +47,6 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}"
 
 
-def bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
-
-
-def bucket_of(spark: SparkSession, words: list[str]) -> list[int]:
-    """The buckets of a query's words, by the same hash; worked out here where the library for it is there."""
-    try:
-        from xxhash import xxh64_intdigest
-    except ImportError:
-        return sorted({r.b for r in spark.range(1).select(F.explode(F.array(*[bucket(F.lit(w)) for w in words])).alias("b")).collect()})
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return sorted({signed(xxh64_intdigest(w.encode("utf-8"), 42)) % BUCKETS for w in words})
-
-
 class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -66,11 +56,17 @@ class Index:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> tuple[int, int]:
-        """The newest base and the newest version; -1 if there is none."""
+    def _markers(self) -> list[tuple[int, bool, str]]:
+        """(version, whether it is a base, key of its batch) of what is whole."""
         fs, p = self._fs("done")
         names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return max((int(n[5:]) for n in names if n.startswith("base-")), default=-1), max((int(n.rpartition("-")[2]) for n in names), default=-1)
+        parts = [n.removeprefix("base-").partition(".") for n in names]
+        return sorted((int(v), n.startswith("base-"), key) for n, (v, _, key) in zip(names, parts))
+
+    def versions(self) -> tuple[int, int]:
+        """The newest base and the newest version; -1 if there is none."""
+        found = self._markers()
+        return max((v for v, base, _ in found if base), default=-1), max((v for v, _, _ in found), default=-1)
 
     def _done(self, name: str) -> None:
         fs, p = self._fs(f"done/{name}")
@@ -78,61 +74,111 @@ class Index:
 
     def _write(self, table: str, version: int, df: DataFrame) -> None:
         path = f"{self.folder}/{table}/version={version}"
-        if table == "tokens":
-            df = df.withColumn("bucket", bucket(F.col("token")))
-            order = ["bucket", "token", *I.KEY]
-            df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").mode("overwrite").parquet(path)
+        if table == "postings":
+            P.write(df, path)
         elif table == "frequency":
             df.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
         else:
             df.write.mode("overwrite").parquet(path)
 
-    def build(self, docs: DataFrame, version: int = 0) -> Index:
-        """A base of all analysed documents (table_name, id, tokens, len)."""
-        self._write("tokens", version, I.token_stats(docs, F.coalesce("len", F.lit(0)).cast("int").alias("len")))
-        self._write("frequency", version, I.document_frequency(docs))
-        self._write("lengths", version, I.lengths(docs).select("table_name", "recordcount", F.col("sumlen").cast("long").alias("sumlen")))
+    def _base(self, docs: DataFrame, version: int) -> None:
+        """Documents are analysed once; frequencies and lengths come from the written lists."""
+        self._write("postings", version, docs)
+        lists = self._read("postings", version, version)
+        self._write("frequency", version, lists.where("token <> ''").groupBy("token").agg(F.sum("n").alias("tfdoc")))
+        self._write("lengths", version, self._lengths(lists))
         self._done(f"base-{version}")
+
+    @staticmethod
+    def _lengths(lists: DataFrame) -> DataFrame:
+        import numpy as np
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([int(np.frombuffer(x, np.int32).sum()) for x in b.column(2).to_pylist()], pa.int64())], names=["table_name", "n", "len"])
+
+        sums = lists.where("token = ''").select("table_name", "n", "tfs").mapInArrow(run, "table_name string, n long, len long")
+        return sums.groupBy("table_name").agg(F.sum("n").alias("recordcount"), F.sum("len").alias("sumlen"))
+
+    def applied(self) -> int | None:
+        """The row_id up to which the change log is in the index, from the markers of its batches."""
+        return max((int(key[3:]) for _, _, key in self._markers() if key.startswith("to-")), default=None)
+
+    def build(self, docs: DataFrame, version: int | None = None) -> Index:
+        """A base of all analysed documents (table_name, id, tokens, len), as the next version; one below or at the newest is refused."""
+        last = self.versions()[1]
+        version = last + 1 if version is None else version
+        if version <= last:
+            raise ValueError(f"version {version} isn't above the newest, {last}")
+        self._base(docs, version)
         return self
 
-    def apply(self, log: DataFrame, version: int) -> None:
-        """A batch of the change log as a version."""
+    def apply(self, log: DataFrame, batch: str | None = None) -> int:
+        """A batch of the change log as the next version; gives its number, or that of the version that already holds the batch."""
+        found = self._markers()
+        if not any(base for _, base, _ in found):
+            raise ValueError(f"{self.folder} has no base")
+        if batch is not None and (known := [v for v, _, key in found if key == batch]):
+            return known[0]
+        version = found[-1][0] + 1
         tasks = I.consolidate(log).persist()
         try:
             final = tasks.where("final_tokens IS NOT NULL").select(*I.KEY, F.col("final_tokens").alias("tokens"), F.coalesce("final_len", F.lit(0)).cast("int").alias("len"))
-            self._write("tokens", version, I.token_stats(final, "len"))
+            self._write("postings", version, final)
             self._write("dead", version, tasks.select(*I.KEY))
             self._write("frequency", version, I.df_deltas(tasks).select("token", F.col("delta").alias("tfdoc")))
             self._write("lengths", version, I.length_deltas(tasks).select("table_name", F.col("record_delta").cast("long").alias("recordcount"), F.col("sumlen_delta").alias("sumlen")))
         finally:
             tasks.unpersist()
-        self._done(f"{version}")
+        self._done(f"{version}.{batch}" if batch is not None else f"{version}")
+        return version
 
     def compact(self) -> int:
         """A new base from all that counts now."""
         version = self.versions()[1] + 1
-        self._write("tokens", version, self.tokens())
+        rows = self._rows(None, None, "")
+        tokens = F.array_repeat("token", F.when(F.col("token") == "", 0).otherwise(F.col("tf")).cast("int"))
+        docs = rows.groupBy(*I.KEY).agg(F.flatten(F.collect_list(tokens)).alias("tokens"), F.first("len").alias("len"))  # a document's own words
+        self._write("postings", version, docs)
         self._write("frequency", version, self.frequency())
         self._write("lengths", version, self.lengths().select("table_name", "recordcount", "sumlen"))
         self._done(f"base-{version}")
         return version
 
+    def vacuum(self) -> None:
+        """Deletes the tables of versions before the newest base; no search may be running. Their markers stay, as they know the batches."""
+        for version in range(self.versions()[0]):
+            for table in SCHEMAS:
+                fs, p = self._fs(f"{table}/version={version}")
+                fs.delete(p, True)
+
     def _read(self, table: str, first: int, last: int) -> DataFrame | None:
         paths = [f"{self.folder}/{table}/version={v}" for v in range(first, last + 1)]
         return self.spark.read.schema(SCHEMAS[table]).option("basePath", f"{self.folder}/{table}").parquet(*paths) if paths else None
 
-    def tokens(self, words: list[str] | None = None, table: str | None = None) -> DataFrame:
-        """table_name, id, token, tf, len of what counts now; with words only theirs, from their buckets."""
+    def _rows(self, words: list[str] | None, table: str | None, empty: str | None = None) -> DataFrame:
+        """Decoded rows of what counts now; with `empty` also a row with that token and tf 1 for each document."""
         base, last = self.versions()
-        rows = self._read("tokens", base, last)
-        if words is not None:
-            rows = rows.where(F.col("bucket").isin(bucket_of(self.spark, words)) & F.col("token").isin(words)) if words else rows.where("false")
-        if table is not None:
-            rows = rows.where(F.col("table_name") == table)
+        out = None
+        for version in range(base, last + 1):
+            rows = self._read("postings", version, version)
+            rows = P.selected(rows, words, table) if words is not None else rows if table is None else rows.where(F.col("table_name") == table)
+            one = P.decoded(rows, empty).withColumn("version", F.lit(version))
+            out = one if out is None else out.unionByName(one)
         if (dead := self._read("dead", base + 1, last)) is not None:
             gone = dead.groupBy(*I.KEY).agg(F.max("version").alias("gone"))
-            rows = rows.join(gone, I.KEY, "left").where("gone IS NULL OR version >= gone")
-        return rows.select(*I.KEY, "token", "tf", "len")
+            out = out.join(gone, I.KEY, "left").where("gone IS NULL OR version >= gone")
+        return out.select(*I.KEY, "token", "tf", "len")
+
+    def tokens(self, words: list[str] | None = None, table: str | None = None) -> DataFrame:
+        """table_name, id, token, tf, len of what counts now; with words only theirs."""
+        return self._rows(words, table)
+
+    def _lists(self) -> DataFrame | None:
+        """The lists, if all that counts is in a base."""
+        base, last = self.versions()
+        return self._read("postings", base, base) if base == last else None
 
     def frequency(self, words: list[str] | None = None) -> DataFrame:
         """token, tfdoc; tokens that no document has any more are left out."""
@@ -157,28 +203,49 @@ class Index:
     def usage(self) -> DataFrame:
         """table, rows: what the index holds now, as rows of its tables."""
         out = None
-        for name, rows in (("tokens", self.tokens()), ("frequency", self.frequency()), ("lengths", self.lengths())):
-            one = rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        lists = self._lists()
+        tokens = self.tokens().agg(F.count("*").alias("rows")) if lists is None else lists.where("token <> ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+        for name, rows in (("tokens", tokens), ("frequency", self.frequency().agg(F.count("*").alias("rows"))), ("lengths", self.lengths().agg(F.count("*").alias("rows")))):
+            one = rows.select(F.lit(name).alias("table"), "rows")
             out = one if out is None else out.unionByName(one)
         return out
 
     def matching(self, words: list[str], table: str) -> DataFrame:
         """The ids of the documents that have all the words; none for no words."""
         words = list(dict.fromkeys(words))
+        if words and (lists := self._lists()) is not None:
+            return P.matching(lists, words, table)
         return self.tokens(words, table).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("id")
 
+    def _weights(self, words: list[str], table: str, k1: float, b: float) -> P.Weights:
+        found = {r.token: r.tfdoc for r in self.frequency(list(dict.fromkeys(words))).collect()}  # a row a word
+        stats = self.stats()
+        n = sum(c for c, _ in stats.values())
+        return P.Weights({w: P.idf(n, found[w]) for w in dict.fromkeys(words) if w in found}, stats.get(table, (0, 0.0))[1], k1, b)
+
     def score(self, words: list[str], table: str, k1: float = 1.2, b: float = 0.75, ids: list[int] | None = None, digits: int = 6) -> DataFrame:
         """id and BM25 score of the documents that have a word, or of those among them with these ids."""
-        from .search import bm25_term
-
-        words = list(dict.fromkeys(words))
-        found = {r.token: r.tfdoc for r in self.frequency(words).collect()}  # a row a word
-        stats = self.stats()
-        rows = self.tokens([w for w in words if w in found], table)
+        weights = self._weights(words, table, k1, b)
+        if (lists := self._lists()) is not None:
+            return P.scored(lists, weights, table, ids).withColumn("score", F.round("score", digits))
+        rows = self.tokens(list(weights.idf), table)
         rows = rows if ids is None else rows.where(F.col("id").isin(ids))
-        tfdoc = F.lit(None).cast("long")
-        for word, n in found.items():
-            tfdoc = F.when(F.col("token") == word, F.lit(n).cast("long")).otherwise(tfdoc)
-        n, avglen = sum(c for c, _ in stats.values()), stats.get(table, (0, 0.0))[1]
-        term = bm25_term(F.col("tf"), tfdoc, F.col("len"), F.lit(n).cast("long"), F.lit(float(avglen)), k1, b)
+        of = F.lit(None).cast("double")
+        for word, x in weights.idf.items():
+            of = F.when(F.col("token") == word, F.lit(x)).otherwise(of)
+        k1, b = weights.k1, weights.b
+        term = of * (F.col("tf") * round(k1 + 1, 6)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.nullif(F.lit(float(weights.avglen)), F.lit(0.0))))
         return rows.groupBy("id").agg(F.round(F.coalesce(F.sum(term), F.lit(0.0)), digits).alias("score"))
+
+    def top(self, words: list[str], table: str, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+        """The best k by score, then id: each task skips the blocks of its lists that can't be among them, and only the tasks' best are merged."""
+        if (lists := self._lists()) is None:
+            found = self.score(words, table, k1, b, digits=digits)
+        else:
+            found = P.tops(lists, self._weights(words, table, k1, b), table, k, digits).where("id IS NOT NULL").select("id", F.round("score", digits).alias("score"))
+        return found.orderBy(F.desc("score"), F.desc("id")).limit(k)
+
+    def skipped(self, words: list[str], table: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """blocks, blocks_read: of the lists of a query's words in the base."""
+        lists = self._read("postings", *[self.versions()[0]] * 2)
+        return P.tops(lists, self._weights(words, table, k1, b), table, k).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("blocks", "blocks_read")])

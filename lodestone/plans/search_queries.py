@@ -35,7 +35,13 @@ def bm25_score_unindexed(spark, d):
 
 @query(f"SELECT id, score FROM {BM25} ORDER BY score DESC, id DESC LIMIT 10")
 def bm25_topk(spark, d):
-    return search.top(_scores(spark, d), 10, F.desc("score"), F.desc("id"))
+    return X.index(spark, d).top(X.TOKENS, "documents", 10)
+
+
+@query()
+def bm25_blocks(spark, d):
+    """Blocks of the query's lists, and how many of them the best ten need."""
+    return X.index(spark, d).skipped(X.TOKENS, "documents", 10)
 
 
 MATCH = f"""(SELECT *, lower(coalesce(title, '')) LIKE '%{LIKE}%' AS like_title, lower(content) LIKE '%{LIKE}%' AS like_content, list_has_all(tokens, ['the', 'of']) AS words,

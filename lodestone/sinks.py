@@ -100,15 +100,6 @@ def event_stream(run: Callable[[Callable[[dict], None], Callable[[], bool]], obj
         thread.join()
 
 
-def progress_line(label: str, current: int, total: int, width: int = 30) -> str:
-    """A bar; empty without a total, never beyond it."""
-    if total <= 0:
-        return ""
-    current = min(current, total)
-    filled = min(width, int(current / total * width))
-    return f"{label} [{'=' * filled}{'.' * (width - filled)}] {current}/{total} ({current / total * 100:6.2f}%)"
-
-
 def flush_batches(rows: Iterable, write: Callable[[list], None], size: int = FLUSH_ROWS, progress: Callable[[int], None] | None = None) -> int:
     """Writes rows of a local stream in batches, the last one as short as it is; gives their number. (Tables are written by Spark as a whole.)"""
     batch, n = [], 0

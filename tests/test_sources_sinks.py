@@ -56,7 +56,7 @@ def test_reports(spark, tmp_path):
     assert "## top\n\n```text\nk  | v\n---+--\na  | 1\nbb |\n```" in text and "failed:" in text
 
 
-def test_events_and_progress():
+def test_events():
     event = {"event": "chunk", "tableName": "문서", "processedRows": 3}
     assert S.event_text(event) == 'event: chunk\ndata: {"event": "chunk", "tableName": "문서", "processedRows": 3}\n\n' and S.parse_events(S.event_text(event) * 2) == [event] * 2
 
@@ -65,7 +65,6 @@ def test_events_and_progress():
         raise RuntimeError("x")
 
     assert [e["event"] for e in S.parse_events("".join(S.event_stream(fails)))] == ["started", "error"]
-    assert S.progress_line("rows", 5, 10, 4) == "rows [==..] 5/10 ( 50.00%)" and S.progress_line("rows", 20, 10, 4).endswith("10/10 (100.00%)") and S.progress_line("rows", 1, 0) == ""
 
 
 def test_flush_batches():
@@ -74,24 +73,6 @@ def test_flush_batches():
     assert sizes == [3, 3, 1] and seen == [3, 6, 7] and S.flush_batches([], sizes.append) == 0
 
 
-def test_split_on_memory():
-    calls = []
-
-    def embed(texts, tokens):
-        calls.append((len(texts), tokens))
-        if len(texts) > 1 or tokens > 1000:
-            raise MemoryError
-        return [[0.0]] * len(texts)
-
-    assert len(E.split_on_memory(["a"] * 2, embed)) == 2
-    assert calls == [(2, 4000), (1, 4000), (1, 2000), (1, 1000), (1, 1000)] or calls[0] == (2, 4000)
-    with pytest.raises(MemoryError):
-        E.split_on_memory(["a"], lambda t, n: (_ for _ in ()).throw(MemoryError()))
-    sizes = []
-    E.split_on_memory(["a"] * 10, lambda t, n: sizes.append(len(t)) or t)
-    assert sizes == [4, 4, 2]
-
-
 WORKER = textwrap.dedent(
     """
     import json, sys, time
@@ -145,14 +126,7 @@ def test_serve():
     assert E.LookupProvider({"a": [1.0]})(["a"]) == [[1.0]]
 
 
-def test_resources(tmp_path):
-    own = tmp_path / "models--a--b" / "snapshots"
-    (own / "r1").mkdir(parents=True)
-    assert E.snapshot_path("a/b", [str(tmp_path)]) == str(own / "r1") and E.snapshot_path("a/c", [str(tmp_path)]) is None
-    (own / "r2").mkdir()
-    (tmp_path / "models--a--b" / "refs").mkdir()
-    (tmp_path / "models--a--b" / "refs" / "main").write_text("r2\n")
-    assert E.snapshot_path("a/b", [str(tmp_path)]) == str(own / "r2") and E.snapshot_path(str(tmp_path), []) == str(tmp_path)
+def test_device():
     assert [E.device(*x) for x in ((True, True, True), (True, False), (False, True), (False, False))] == [("cuda", "bfloat16"), ("cuda", "float16"), ("mps", "float16"), ("cpu", "float32")]
 
 
