@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .tiles import neighbors  # noqa: F401
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, place) -> DataFrame:
@@ -34,13 +35,6 @@ def norm_summary(vectors: DataFrame) -> DataFrame:
     return vectors.select(n.alias("n")).agg(F.count("*").alias("vectors"), *[F.round(f("n"), 6).alias(k) for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("least", F.min), ("most", F.max))])
 
 
-def neighbors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, rank: the k nearest to each stored query vector, itself left out. Queries are a bounded set, sent to all rows; each task keeps its own k per query first."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    d = vectors.crossJoin(F.broadcast(q)).where("id <> query_id").select("query_id", "id", F.round(V.cosine_distance(F.col("embedding"), F.col("q")), 9).alias("distance"))
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """0 when both are empty."""
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ann, corpus
+from ..operators import ann, compressed, corpus, graph
 from ..operators import index as index_tables
 from ..operators.stored import Index, work_folder
 
@@ -52,7 +52,9 @@ def built(spark, d, name: str, make):
     """What make(folder) gives, made once a session and input: an index is built before it is searched, and not for each search."""
     import hashlib
 
-    key = (spark.sparkContext.applicationId, d, name)
+    files = spark._jvm.org.apache.hadoop.fs.Path(d)
+    stamps = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(files))
+    key = (spark.sparkContext.applicationId, d, name, tuple(stamps))  # a changed table is indexed anew
     if key not in _built:
         _built[key] = make(work_folder(spark, f"{name}-{hashlib.sha256(repr(key).encode()).hexdigest()[:16]}"))
     return _built[key]
@@ -68,6 +70,16 @@ def lists(spark, d) -> ann.Lists:
     return built(spark, d, "lists", lambda folder: ann.Lists(spark, folder).build(vectors(spark, d), LISTS))
 
 
+def graphs(spark, d) -> graph.Graphs:
+    """The written graphs of the vectors."""
+    return built(spark, d, "graphs", lambda folder: graph.Graphs(spark, folder).build(vectors(spark, d)))
+
+
+def codes(spark, d) -> compressed.Compressed:
+    """The written lists of quantised vectors."""
+    return built(spark, d, "codes", lambda folder: compressed.Compressed(spark, folder).build(vectors(spark, d)))
+
+
 def final_state(spark, d) -> DataFrame:
     """The analysed documents after all changes."""
     text = F.when(F.col("doc_id") % 5 == 0, F.expr("left(text, cast(length(text) div 2 as int))")).otherwise(F.col("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import ann, evaluate, search
+from ..operators import ann, evaluate, search, tiles
 from . import inputs as X
 from .registry import query
 
@@ -151,6 +151,34 @@ def ann_recall(spark, d):
     return evaluate.recall(evaluate.neighbors(v, v.where(QUERY_ROWS), 10), _probed(spark, d))
 
 
+@query()
+def ann_graph(spark, d):
+    return X.graphs(spark, d).search(X.vectors(spark, d).where(QUERY_ROWS), 10)
+
+
+@query()
+def ann_graph_recall(spark, d):
+    """Of each query the share of its exact neighbours found, and of all vectors those compared."""
+    v = X.vectors(spark, d)
+    asked = v.where(QUERY_ROWS)
+    found = X.graphs(spark, d).found(asked, 10, 80)
+    recall = evaluate.recall(evaluate.neighbors(v, asked, 10), tiles.merged(found, 10))
+    return recall.join(X.graphs(spark, d).compared(asked, 10), "query_id")
+
+
+@query()
+def ann_compressed(spark, d):
+    return X.codes(spark, d).search(X.vectors(spark, d).where(QUERY_ROWS), 10)
+
+
+@query()
+def ann_compressed_recall(spark, d):
+    """Of each query the share of its exact neighbours found, and the bytes read as a share of all vectors'."""
+    v = X.vectors(spark, d)
+    asked, found = v.where(QUERY_ROWS), ann_compressed(spark, d)
+    return evaluate.recall(evaluate.neighbors(v, asked, 10), found).join(X.codes(spark, d).share(found), "query_id")
+
+
 @query("SELECT id, array_to_string(list_transform(range(1, 9), lambda i: printf('%.6f', (embedding[i] * (id % 2) + embedding[i + 8] + embedding[i + 16] * 1) / (2 + id % 2))), ',') AS v FROM vec")
 def masked_mean_pool(spark, d):
     """Three states of eight numbers each; the first one's mask is the id's last bit."""
