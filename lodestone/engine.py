@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import index, search
+from .operators.compressed import Compressed
+from .operators.graph import Graphs
 from .operators.stored import Index
+from .operators.substrings import Substrings
 
 MODES = ("none", "hnsw", "ivf")
 MODEL = "qwen3"
@@ -90,6 +93,9 @@ class ManagedTable:
     is_default: bool = False
     eligible: bool = True
     index: Index | None = None
+    substrings: Substrings | None = None
+    graphs: Graphs | None = None
+    codes: Compressed | None = None
 
 
 @dataclass
@@ -127,6 +133,8 @@ class Engine:
         return search.bm25_score(own, t.scope if t.scope is not None else own, words, t.k1, t.b)
 
     def matches(self, t: ManagedTable, query: str) -> DataFrame:
+        if t.index is not None and t.substrings is not None:
+            return search.matches_indexed(t.docs, query, t.index, t.name, t.substrings)
         return search.matches(t.docs, query) if t.index is None else search.matches_stored(t.docs, query, t.index, t.name)
 
     def search(self, body) -> dict:
@@ -181,7 +189,10 @@ class Engine:
 
     def _lexical(self, r: Request, t: ManagedTable) -> dict:
         words = [k for k, _ in T.signals_of(r.query)]
-        ranked = search.lexical(t.docs, r.query, r.limit, r.offset, t.index, t.name)
+        if t.index is not None and t.substrings is not None:
+            ranked = search.lexical_indexed(t.docs, r.query, r.limit, r.offset, t.index, t.name, t.substrings)
+        else:
+            ranked = search.lexical(t.docs, r.query, r.limit, r.offset, t.index, t.name)
         return {"items": self._items(ranked, t, words), "total": self.matches(t, r.query).count(), "strategy": "lexical"} | self._planned(ranked)
 
     def _fallback(self, r: Request, t: ManagedTable, why: str) -> dict:
@@ -218,12 +229,15 @@ class Engine:
                 return self._fallback(r, t, why)
             q = self.spark.createDataFrame([(vector,)], "q array<double>")
             pool, mode = T.pool_of(r.query, r.limit, r.offset), "ivf" if r.mode == "ivf" else "hnsw"
+            if (near := t.codes if mode == "ivf" else t.graphs) is not None:  # the pool by the mode's index, its distances from the vectors
+                asked = self.spark.createDataFrame([(-1, vector)], "id long, embedding array<double>")
+                embedded = embedded.where(F.col("id").isin([x.id for x in near.search(asked, pool).collect()]))
             if t.index is not None:
                 ranked = search.hybrid_stored(embedded, q, t.index, t.name, words, pool, r.ratio, r.limit, r.offset, mode, r.bm25, t.k1, t.b)
             else:
                 ranked = search.hybrid(embedded, q, self.scores(t, words) if r.bm25 else None, pool, r.ratio, r.limit, r.offset, mode, r.bm25)
             items = self._items(ranked, t, words)
-            total = min(pool, embedded.count())
+            total = min(pool, t.vectors.where("embedding IS NOT NULL").count())
         except Exception as e:
             if not r.bm25:
                 raise

@@ -72,5 +72,5 @@ class Lists:
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """query_id, id, rank among the vectors of the nearest lists, the query itself left out."""
-        d = self.vectors.join(F.broadcast(self.probes(queries, probes)), "list").where("id <> query_id").select("query_id", "id", (1 - V.dot(F.col("unit"), F.col("q"))).alias("distance"))
+        d = self.vectors.join(self.probes(queries, probes), "list").where("id <> query_id").select("query_id", "id", (1 - V.dot(F.col("unit"), F.col("q"))).alias("distance"))
         return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))

@@ -1,8 +1,8 @@
 """Posting lists of documents in segments: packed by Arrow workers where the documents lie, and searched where they are stored.
 
 A segment is a few thousand documents of one task; it is made without a shuffle. Its rows: one for each token with the
-places of the documents that have it (ascending), how often, and for each block of BLOCK documents where the list enters it, the largest
-count and the shortest document there, from which the largest weight of the block follows for any parameters. The row of
+places of the documents that have it (ascending), how often, and for each block of BLOCK documents where the list enters it, the corners: those
+(count, length) there that no other has as often in as short a document, from which the block's largest weight follows for any parameters. The row of
 the empty token has the segment's ids and lengths. A file has a task's segments sorted by token in one row group, so
 a query's tokens are a few pages, and one task sees all of a segment: scores need no shuffle by document.
 """
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 #: Documents and tokens of a segment, about.
 DOCUMENTS, TOKENS = 1 << 12, 1 << 21
-BLOCK = 1 << 7
+BLOCK = 1 << 6
 #: A place in a segment is 16 bits.
-SCHEMA = "table_name string, token string, segment long, n long, docs binary, tfs binary, blocks binary, starts binary, most binary, least binary"
+SCHEMA = "table_name string, token string, segment long, n long, docs binary, tfs binary, blocks binary, starts binary, corners binary, most binary, least binary"
 NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 #: One row group a file, so that no file is cut between tasks; small pages, so that few are read for a token.
 OPTIONS = {"parquet.block.size": str(1 << 30), "parquet.page.row.count.limit": "128", "parquet.page.size": str(1 << 16)}
@@ -42,22 +42,29 @@ def segment(table: str, number: int, ids: np.ndarray, lens: np.ndarray, tokens:
     key, tf = np.unique(key, return_counts=True)
     code, doc, tf = key >> 16, (key & 0xFFFF).astype(np.uint16), tf.astype(np.uint32)
     first = np.flatnonzero(np.diff(code, prepend=-1))
-    block = doc >> 7
+    block = doc >> 6
     enters = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(block.astype(np.int64), prepend=-1) != 0))
-    most = np.maximum.reduceat(tf, enters) if len(enters) else tf
-    least = np.minimum.reduceat(lens[doc], enters) if len(enters) else lens[:0]
+    entry = np.searchsorted(enters, np.arange(len(doc)), "right") - 1
+    order = np.lexsort((lens[doc], -tf.astype(np.int64), entry))
+    length = lens[doc][order].astype(np.int64)
+    shortest = np.minimum.accumulate(length - (entry[order] << 32)) + (entry[order] << 32) if len(order) else length  # so far in the block, as each block begins anew
+    corner = np.ones(len(order), bool)
+    corner[1:] = (entry[order][1:] != entry[order][:-1]) | (length[1:] < shortest[:-1])
+    most, least, corners = tf[order][corner], lens[doc][order][corner], np.searchsorted(entry[order][corner], np.arange(len(enters)))
     of = np.searchsorted(first, enters, "right") - 1
     starts = (enters - first[of]).astype(np.uint32) if len(enters) else np.zeros(0, np.uint32)
     by_doc, by_block = np.append(first, len(doc)), np.searchsorted(of, np.arange(len(first) + 1))
+    by_corner = np.append(corners, len(most))[by_block]
+    inside = (corners - by_corner[of]).astype(np.uint32) if len(enters) else starts
     none = lambda n: pa.array([b""] * n, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array([table]), pa.array([""]), pa.array([number]), pa.array([len(ids)]), pa.array([ids.tobytes()]), pa.array([lens.tobytes()]), *[none(1)] * 4], names=NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array([table]), pa.array([""]), pa.array([number]), pa.array([len(ids)]), pa.array([ids.tobytes()]), pa.array([lens.tobytes()]), *[none(1)] * 5], names=NAMES)
     names = coded.dictionary.take(pa.array(code[first]))
     for lo in range(0, len(first), 10_000):
         hi = min(lo + 10_000, len(first))
-        b, w = by_doc[lo : hi + 1], by_block[lo : hi + 1]
+        b, w, c = by_doc[lo : hi + 1], by_block[lo : hi + 1], by_corner[lo : hi + 1]
         cut = lambda data, at: sliced(data[at[0] : at[-1]], at - at[0])
         m = hi - lo
-        yield pa.RecordBatch.from_arrays([pa.array([table] * m), names.slice(lo, m), pa.array([number] * m), pa.array(np.diff(b)), cut(doc, b), cut(tf, b), cut(block[enters].astype(np.uint16), w), cut(starts, w), cut(most, w), cut(least, w)], names=NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array([table] * m), names.slice(lo, m), pa.array([number] * m), pa.array(np.diff(b)), cut(doc, b), cut(tf, b), cut(block[enters].astype(np.uint16), w), cut(starts, w), cut(inside, w), cut(most, c), cut(least, c)], names=NAMES)
 
 
 def packed(docs: DataFrame, grams: Callable[[pa.Array], pa.ListArray] | None = None) -> DataFrame:
@@ -222,7 +229,8 @@ def tops(rows: DataFrame, weights: Weights, table: str | None, k: int, digits: i
         for number, (_, _, _, own) in enumerate(lists):
             bound: dict[int, float] = {}
             for word, r in own.items():
-                largest = weights.term(word, np.frombuffer(r["most"], np.uint32).astype(np.int64), np.frombuffer(r["least"], np.int32))
+                at_corners = weights.term(word, np.frombuffer(r["most"], np.uint32).astype(np.int64), np.frombuffer(r["least"], np.int32))
+                largest = np.maximum.reduceat(at_corners, np.frombuffer(r["corners"], np.uint32))
                 for block, x in zip(np.frombuffer(r["blocks"], np.uint16).tolist(), largest.tolist()):
                     bound[block] = bound.get(block, 0.0) + x
             parts += [(x, number, block) for block, x in bound.items()]

@@ -135,6 +135,30 @@ def lexical(docs: DataFrame, q: str, limit: int, offset: int = 0, index=None, ta
     return ranked.select("id", F.coalesce("title", F.lit("Untitled Document")).alias("title"), F.left("content", F.lit(SNIPPET)).alias("snippet"), "namespace", "score", F.round(1 - F.col("score"), 4).alias("distance"), F.round(F.col("score") * 100, 1).alias("match_rate"))
 
 
+def lexical_indexed(docs: DataFrame, q: str, limit: int, offset: int, index, table: str, substrings) -> DataFrame:
+    """lexical over stored lists of words and trigrams. Title and word matches come first; contents are only looked for as substrings
+    if those are too few, and then only the candidates' are fetched. The best rows are few and put together here."""
+    p, n = like_pattern(q), limit + offset
+    kinds = [(0.984, lambda: substrings.like(docs, "title", p)), (0.891, lambda: index.matching(T.terms_of(q), table)), (0.723, lambda: substrings.like(docs, "content", p))]
+    best: dict[int, float] = {}
+    for score, find in kinds:
+        for r in find().orderBy(F.desc("id")).limit(n).collect():  # n of each kind hold the best n of all
+            best.setdefault(r.id, score)
+        if len(best) >= n:
+            break
+    ranked = sorted(best.items(), key=lambda x: (-x[1], -x[0]))[offset:n]
+    rows = docs.sparkSession.createDataFrame(ranked, "id long, score double")
+    shown = docs.where(F.col("id").isin([i for i, _ in ranked])).join(F.broadcast(rows), "id").orderBy(F.desc("score"), F.desc("id"))  # limit rows
+    return shown.select("id", F.coalesce("title", F.lit("Untitled Document")).alias("title"), F.left("content", F.lit(SNIPPET)).alias("snippet"), "namespace", "score", F.round(1 - F.col("score"), 4).alias("distance"), F.round(F.col("score") * 100, 1).alias("match_rate"))
+
+
+def matches_indexed(docs: DataFrame, q: str, index, table: str, substrings) -> DataFrame:
+    """id of all documents that match as substring or by all words; contents of candidates only are read."""
+    p = like_pattern(q)
+    sets = [substrings.like(docs, "title", p), index.matching(T.terms_of(q), table), substrings.like(docs, "content", p)]
+    return sets[0].unionByName(sets[1]).unionByName(sets[2]).distinct()
+
+
 def lexical_fallback(docs: DataFrame, scores: DataFrame, q: str, limit: int, offset: int = 0, index=None, table: str = "documents") -> DataFrame:
     """Ranked by words in the title, word score, substring in the title, in the content, id."""
     kinds = ("title_words", "like_title", "like_content")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import ann, compressed, corpus, graph
 from ..operators import index as index_tables
 from ..operators.stored import Index, work_folder
+from ..operators.substrings import Substrings
 
 TOKENS = ["the", "entre", "para"]
 QUERY_VECTOR = 7
@@ -65,6 +66,17 @@ def index(spark, d) -> Index:
     return built(spark, d, "index", lambda folder: Index(spark, folder).build(scope(spark, d)))
 
 
+def substrings(spark, d) -> Substrings:
+    """The trigram lists of the documents."""
+
+    def make(folder):
+        out = Substrings(spark, folder)
+        out.write(docs(spark, d))
+        return out
+
+    return built(spark, d, "substrings", make)
+
+
 def lists(spark, d) -> ann.Lists:
     """The written vector lists."""
     return built(spark, d, "lists", lambda folder: ann.Lists(spark, folder).build(vectors(spark, d), LISTS))

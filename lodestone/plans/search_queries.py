@@ -52,7 +52,8 @@ FOUND = f"(SELECT * FROM {MATCH} WHERE like_title OR words OR like_content)"
 
 @query("SELECT id FROM docs WHERE lower(coalesce(title, '')) LIKE '%the%' OR lower(content) LIKE '%entre%'")
 def lexical_like(spark, d):
-    return X.docs(spark, d).where(F.lower(F.coalesce("title", F.lit(""))).like(search.like_pattern(" The ")) | F.lower("content").like(search.like_pattern("entre"))).select("id")
+    docs, sub = X.docs(spark, d), X.substrings(spark, d)
+    return sub.like(docs, "title", search.like_pattern(" The ")).unionByName(sub.like(docs, "content", search.like_pattern("entre"))).distinct()
 
 
 @query("SELECT id FROM an WHERE list_has_all(tokens, ['the', 'of'])")
@@ -62,12 +63,12 @@ def fts_match_all(spark, d):
 
 @query(f"SELECT id, coalesce(title, 'Untitled Document') AS title, left(content, 240) AS snippet, namespace, score, round(1 - score, 4) AS distance, round(score * 100, 1) AS match_rate FROM (SELECT *, (CASE WHEN like_title THEN 0.984 WHEN words THEN 0.891 ELSE 0.723 END)::DOUBLE AS score FROM {FOUND}) ORDER BY score DESC, id DESC LIMIT 10 OFFSET 5")
 def lexical_search(spark, d):
-    return search.lexical(X.docs(spark, d), LIKE, 10, 5, X.index(spark, d))
+    return search.lexical_indexed(X.docs(spark, d), LIKE, 10, 5, X.index(spark, d), "documents", X.substrings(spark, d))
 
 
 @query(f"SELECT count(*) AS total FROM {FOUND}")
 def lexical_search_count(spark, d):
-    return search.matches_stored(X.docs(spark, d), LIKE, X.index(spark, d), "documents").agg(F.count("*").alias("total"))
+    return search.matches_indexed(X.docs(spark, d), LIKE, X.index(spark, d), "documents", X.substrings(spark, d)).agg(F.count("*").alias("total"))
 
 
 @query(f"""SELECT id, title, bm25_score, greatest(least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(bm25_score / (1 + bm25_score), 3))), (CASE WHEN title_words THEN 0.98 WHEN like_title THEN 0.89 WHEN like_content THEN 0.72 ELSE 0.0 END)::DOUBLE) AS score, title_words, like_title, like_content

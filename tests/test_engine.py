@@ -84,6 +84,22 @@ def test_hybrid_and_fallback(engine):
     assert engine.health() == {"status": "ok"}
 
 
+def test_modes_use_their_indexes(spark):
+    """With all indexes the engine answers as without, as far as pools of 0.9 recall go; words and substrings exactly."""
+    from lodestone.plans import inputs
+
+    plain = made(spark, True)
+    own = made(spark, True, substrings=inputs.substrings(spark, SMALL), graphs=inputs.graphs(spark, SMALL), codes=inputs.codes(spark, SMALL))
+    for mode in ("hnsw", "ivf"):
+        body = {"query": "the of and", "hybridRatio": 60, "limit": 10, "mode": mode}
+        a, b = plain.search_hybrid(body)["data"][0], own.search_hybrid(body)["data"][0]
+        assert a["strategy"] == b["strategy"] and a["total"] == b["total"]
+        assert len({i["id"] for i in a["items"]} & {i["id"] for i in b["items"]}) >= 7
+    for q in ("the", "the of", "nowhere at all"):
+        a, b = plain.search({"query": q, "limit": 7, "offset": 2}), own.search({"query": q, "limit": 7, "offset": 2})
+        assert [(i["id"], i["score"]) for i in a["data"][0]["items"]] == [(i["id"], i["score"]) for i in b["data"][0]["items"]] and a["meta"]["total"] == b["meta"]["total"]
+
+
 def test_reasons(spark, monkeypatch):
     none = made(spark, True, vectors=inputs.vectors(spark, SMALL).where("false"))
     assert first(none.search_hybrid({"query": "the"}))["reason"] == "embedding-store-empty:documents"
