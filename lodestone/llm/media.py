@@ -48,6 +48,8 @@ class Marks:
 
     def __init__(self, d: bytes):
         self.d, self.places, self.jpeg, self.archives = d, {}, (0, -1), None
+        self.chains: dict[int, int] = {}
+        self.gifs: dict[int, tuple[int | None, bool]] = {}
 
     def of(self, mark: bytes) -> list[int]:
         """All places of a mark, in order."""
@@ -68,6 +70,36 @@ class Marks:
             self.jpeg = (pos, found)
         return found if found < len(self.d) else -1
 
+    def chain_end(self, pos: int) -> int:
+        """Where the sub-blocks from pos on end, beyond the value if they don't; no place is followed twice."""
+        d, went = self.d, []
+        while pos < len(d) and pos not in self.chains and d[pos]:
+            went.append(pos)
+            pos += d[pos] + 1
+        end = self.chains.get(pos, pos + 1) if pos < len(d) else len(d) + 1
+        self.chains.update(dict.fromkeys(went, end))
+        return end
+
+    def gif_end(self, pos: int, table) -> tuple[int | None, bool]:
+        """The end of the GIF whose next block is at pos (None if there is none), and whether a frame comes before it; no place is followed twice."""
+        d, went, known = self.d, [], (None, False)
+        while pos < len(d):
+            if pos in self.gifs:
+                known = self.gifs[pos]
+                break
+            if d[pos] == 0x3B:
+                known = (pos + 1, False)
+                break
+            frame = d[pos] == 0x2C and pos + 10 <= len(d)
+            if not frame and d[pos] != 0x21:
+                break
+            went.append((pos, frame))
+            pos = self.chain_end(pos + 10 + table(d[pos + 9]) + 1 if frame else pos + 2)
+        for at, frame in reversed(went):
+            known = (known[0], known[1] or frame)
+            self.gifs[at] = known
+        return known
+
     def zip_end(self, at: int) -> int | None:
         """The end of the first archive that starts there by its end record."""
         if self.archives is None:
@@ -115,26 +147,8 @@ def gif(d: bytes, at: int, marks: Marks):
     if at + 13 > len(d):
         return None
     table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    pos = at + 13 + table(d[at + 10])
-    frames = 0
-
-    def blocks(pos):
-        while pos < len(d):
-            if not d[pos]:
-                return pos + 1
-            pos += d[pos] + 1
-        return len(d) + 1
-
-    while pos < len(d):
-        if d[pos] == 0x3B:
-            return ("image/gif", pos + 1 - at) if frames else None
-        if d[pos] == 0x21:
-            pos = blocks(pos + 2)
-        elif d[pos] == 0x2C and pos + 10 <= len(d):
-            pos, frames = blocks(pos + 10 + table(d[pos + 9]) + 1), frames + 1
-        else:
-            return None
-    return None
+    end, framed = marks.gif_end(at + 13 + table(d[at + 10]), table)
+    return ("image/gif", end - at) if end is not None and framed else None
 
 
 def riff(d: bytes, at: int, marks: Marks):

@@ -28,7 +28,7 @@ from .runtime import documents, map_texts
 
 @dataclass(frozen=True)
 class Rule:
-    """A match counts if it and its group have at least these lengths."""
+    """A match counts if it and its group have at least these lengths; its place is that of the group `span`."""
 
     kind: str
     pattern: str
@@ -36,6 +36,7 @@ class Rule:
     least: int = 0
     group: int = 0
     group_least: int = 0
+    span: int = 0
 
     def compiled(self):
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
@@ -52,7 +53,8 @@ MORE_RULES = (
     Rule("pay", r"[sr]k_live_[A-Za-z0-9]{24,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # From the first eyJ of a run of its characters: what fails there fails from each later one, so a run is read once.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,})", span=1),
 )
 
 #: A query: True (no condition), a trigram, or ("and" | "or", frozenset of queries).
@@ -194,7 +196,7 @@ class Scanner:
             for i in index.answer(query):
                 if text := texts[i]:
                     for m in matches(rule, compiled, text):
-                        found[i].append((m.start(), k, m.end()))
+                        found[i].append((m.start(rule.span), k, m.end(rule.span)))
         return [[(self.rules[k][0].kind, a, b) for a, k, b in sorted(x)] for x in found]
 
 

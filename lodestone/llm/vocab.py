@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -64,6 +65,8 @@ BYTE_OF = {c: b for b, c in enumerate(BYTE_CHARS)}
 #: Bits of an id within a pair.
 PAIR = 22
 NO_PAIR = 1 << 62
+#: Bytes of a piece beyond which a heap finds the next pair.
+LONG = 96
 
 
 class Vocabulary:
@@ -146,6 +149,8 @@ class Vocabulary:
         raw = piece.encode("utf-8", "surrogatepass")
         ids = [self.byte_ids[b] for b in raw]
         ids[-1] = self.last_ids[raw[-1]]
+        if len(ids) > LONG:
+            return self.merge_long(ids)
         find = self.pairs.get
         found = [find(a << PAIR | b, NO_PAIR) for a, b in zip(ids, ids[1:])]
         while found and (best := min(found)) != NO_PAIR:
@@ -158,6 +163,28 @@ class Vocabulary:
                 found[k] = find(ids[k] << PAIR | ids[k + 1], NO_PAIR)
         return [k for k in ids if k >= 0]
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of (rank and result, place) over a linked list: n log n for a piece of n bytes. An entry counts if its pair is still the one at its place."""
+        find, n = self.pairs.get, len(ids)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
+        found = [find(a << PAIR | b, NO_PAIR) for a, b in zip(ids, ids[1:])] + [NO_PAIR]
+        heap = [(x, k) for k, x in enumerate(found) if x != NO_PAIR]
+        heapify(heap)
+        while heap:
+            best, k = heappop(heap)
+            if not alive[k] or found[k] != best:
+                continue
+            gone = after[k]
+            ids[k], alive[gone], after[k] = best & (1 << PAIR) - 1, 0, after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            for at in (before[k], k):
+                if at >= 0:
+                    found[at] = find(ids[at] << PAIR | ids[after[at]], NO_PAIR) if after[at] < n else NO_PAIR
+                    if found[at] != NO_PAIR:
+                        heappush(heap, (found[at], at))
+        return [k for k, a in zip(ids, alive) if a and k >= 0]
+
 
 def lowered(text: str) -> str:
     if not text.isascii():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import struct
 import time
 import zlib
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import bpe, files, huffman, jaccard, language, media, mixing, repetition, runtime, suffixes, sums, warc
+from lodestone.llm import bpe, files, huffman, jaccard, language, media, mixing, repetition, runtime, secret_scan, suffixes, sums, warc
 from lodestone.llm.queries import vocabulary
 from lodestone.llm.vocab import Vocabulary
 
@@ -291,6 +292,49 @@ def test_false_starts_are_cheap():
         assert time.time() - start < 8
 
 
+def timed(run, value) -> float:
+    start = time.perf_counter()
+    run(value)
+    return time.perf_counter() - start
+
+
+def test_unended_gifs_are_cheap():
+    """Many headers whose sub-blocks run on without an end, and many whose blocks do."""
+    for tail in (b"GIF89a" + b"\x01" * 7 + b"!\xf9\x04" + b"x" * 4, b"GIF89a" + b"\x01" * 7 + b",\0\0\0\0\1\0\1\0\0\2\1a\0"):
+        assert timed(media.sniff, tail * 60_000) < 12
+    gif = b"GIF89a\1\0\1\0\x80\0\0\0\0\0\xff\xff\xff,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
+    assert media.sniff(gif * 3) == [("image/gif", k * len(gif), len(gif)) for k in range(3)]
+    assert media.sniff(b"GIF89a\1\0\1\0\0\0\0!\xfe\1a\0;") == []  # no frame
+
+
+def test_runs_of_token_starts_are_cheap():
+    scan = secret_scan.Scanner(secret_scan.BASE_RULES + secret_scan.MORE_RULES).scan
+    assert timed(lambda t: scan([t]), "eyJ" * 350_000 + ".eyJ") < 5 and timed(lambda t: scan([t]), "eyJ" * 350_000 + ".eyJabcdefghij." + "eyJ" * 3) < 5
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    rng, parts = np.random.default_rng(4), ["eyJ", "abcdefghij", ".", "-_", "x", " ", "eyJ0123456789", ".eyJ0123456789.", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, int(rng.integers(1, 14))))
+        assert [(a, b) for k, a, b in scan([text])[0] if k == "jwt"] == [m.span() for m in plain.finditer(text)]
+
+
+def test_very_long_words_are_merged():
+    """A word of a million letters in some seconds, and long words as the library merges them."""
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import vocab
+    from lodestone.llm.queries import vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), vocab.Vocabulary(path)
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("etaoinshrdlucmfé"), n)) for n in (60, 95, 96, 97, 300, 4000)] + ["a" * 5000, "ab" * 2000, "".join(rng.choice(list("abcdefgh"), 1_000_000))]
+    for word in words:
+        start = time.perf_counter()
+        ids = own.merge(word)
+        assert time.perf_counter() - start < 20
+        assert ids == library.encode(word, add_special_tokens=False).ids
+
+
 def test_features_of_texts(spark):
     """Texts can hold whole media of formats that are written in ASCII; the offsets are those in the stored WAVE, 44 bytes in."""
     pdf = "%PDF-1.4 body startxref 9 %%EOF"
