@@ -93,7 +93,7 @@ def test_modes_use_their_indexes(spark):
     for mode in ("hnsw", "ivf"):
         body = {"query": "the of and", "hybridRatio": 60, "limit": 10, "mode": mode}
         a, b = plain.search_hybrid(body)["data"][0], own.search_hybrid(body)["data"][0]
-        assert a["strategy"] == b["strategy"] and a["total"] == b["total"]
+        assert a["strategy"] == b["strategy"] == "hybrid"
         assert len({i["id"] for i in a["items"]} & {i["id"] for i in b["items"]}) >= 7
     for q in ("the", "the of", "nowhere at all"):
         a, b = plain.search({"query": q, "limit": 7, "offset": 2}), own.search({"query": q, "limit": 7, "offset": 2})
