@@ -58,3 +58,67 @@ def run(df: DataFrame, size: int) -> DataFrame:
     total = rows.agg(F.count("*").alias("total"))
     ends = placed.crossJoin(F.broadcast(total)).where((F.col("place") % size == 0) | (F.col("place") == F.col("total")))
     return ends.select(F.ceil(F.col("place") / size).cast("long").alias("chunk"), F.col("id").alias("last_id"), F.col("place").cast("long").alias("processed"), F.when(F.col("place") == F.col("total"), "completed").otherwise("running").alias("state"))
+
+
+#: Ranges of ids of a back-fill, and how many are processed in one job.
+RANGES, TOGETHER = 64, 16
+
+
+class Run:
+    """A back-fill over a stored table by ranges of ids, each whole once its marker is there; a run that was stopped goes on with the others.
+
+    Boundaries are quantiles of the ids, found once and kept with the run. A job processes the ranges of a stretch of ids in
+    parallel and reads only those (the filter reaches the scan), so the table is read once in all.
+    """
+
+    def __init__(self, spark, folder: str, ranges: int = RANGES):
+        from .store import Files
+
+        self.spark, self.folder, self.ranges, self.files = spark, folder, ranges, Files(spark, folder)
+
+    def bounds(self, df: DataFrame) -> list[int]:
+        """The first ids of all ranges but the first."""
+        found = self.files.read("bounds.json")
+        if found is None:
+            shares = [k / self.ranges for k in range(1, self.ranges)]
+            found = sorted(set(df.where("id IS NOT NULL").approxQuantile("id", shares, 1 / (4 * self.ranges)))) if shares else []
+            found = [int(b) for b in found]
+            self.files.write("bounds.json", found)
+        return found
+
+    def left(self, df: DataFrame) -> list[int]:
+        """The ranges without a marker."""
+        done = {int(n) for n in self.files.names("done") if n.isdigit()}
+        return [k for k in range(len(self.bounds(df)) + 1) if k not in done]
+
+    def go(self, df: DataFrame, make, emit=None, cancelled=None) -> DataFrame:
+        """make(rows) -> rows after it, for all rows with an id; gives the written result so far. emit gets the ranges done; cancelled() is asked between jobs."""
+        bounds, left = self.bounds(df), self.left(df)
+        place = F.lit(0)
+        for b in bounds:
+            place = place + (F.col("id") >= b).cast("int")
+        while left and not (cancelled and cancelled()):
+            some = [k for k in left if k < left[0] + TOGETHER]
+            low, high = ([None, *bounds][some[0]]), ([*bounds, None][some[-1]])
+            rows = df.where("id IS NOT NULL")
+            rows = rows if low is None else rows.where(F.col("id") >= low)
+            rows = rows if high is None else rows.where(F.col("id") < high)
+            if len(some) < some[-1] - some[0] + 1:
+                rows = rows.where(place.isin(some))
+            own = make(rows).withColumn("range", place)
+            for k in some:  # what a stopped job left of them
+                fs, p = self.files._at(f"rows/range={k}")
+                fs.delete(p, True)
+            own.write.partitionBy("range").mode("append").parquet(f"{self.folder}/rows")
+            for k in some:
+                self.files.write(f"done/{k}", {})
+            left = left[len(some) :]
+            if emit:
+                emit({"event": "chunk", "ranges": some, "remaining": len(left)})
+        return self.result(make(df).schema)
+
+    def result(self, schema) -> DataFrame:
+        """The rows of the ranges that are whole."""
+        done = [k for k in self.files.names("done") if k.isdigit()]
+        paths = [f"{self.folder}/rows/range={k}" for k in done if self.files.exists(f"rows/range={k}")]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)

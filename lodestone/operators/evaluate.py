@@ -6,22 +6,13 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .selection import nearest_rank  # noqa: F401
 from .tiles import neighbors  # noqa: F401
 
 
-def nearest_rank(df: DataFrame, by: str, value: str, place) -> DataFrame:
-    """The value at a place of each group's ascending order; place(n) gives it from 1. Equal values are counted first, so a group's order is that of its distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    o = W.partitionBy(by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(o.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(W.partitionBy(by)))
-    at = place(F.col("n"))
-    return upto.where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select(by, "n", value)
-
-
 def p95_place(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n * 0.95))
 

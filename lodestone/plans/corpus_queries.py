@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backfill, corpus
+from ..operators import backfill, corpus, keyed
 from . import inputs as X
 from .registry import TOKENS, query
 
@@ -32,6 +32,22 @@ def upsert_documents(spark, d):
     return corpus.upsert(target, source, "doc_hash", keep=["id"])
 
 
+@query("SELECT id, title, CASE WHEN id % 100 < 2 THEN 'changed' ELSE namespace END AS namespace FROM docs WHERE id % 11 <> 0 OR id % 100 < 2")
+def upsert_touched(spark, d):
+    """Documents in files by id; those at the start of each hundred changed, each eleventh deleted, by rewriting files that hold some only."""
+    rows = X.docs(spark, d).select("id", "title", "namespace")
+
+    def make(folder):
+        table = keyed.Keyed(spark, folder)
+        table.create(rows, 16)
+        table.upsert(rows.where("id % 100 < 2").withColumn("namespace", F.lit("changed")), lambda own, source: corpus.upsert(own, source, "id", keep=[]))
+        gone = rows.where("id % 11 = 0 AND id % 100 >= 2").select("id")
+        table.change(gone, lambda own: corpus.delete(own, gone))
+        return table
+
+    return X.built(spark, d, "keyed", make).read()
+
+
 @query("SELECT id FROM docs WHERE id % 3 <> 0 UNION SELECT id FROM docs WHERE id % 2 = 0")
 def insert_ignore(spark, d):
     rows = X.docs(spark, d).select("id")
@@ -109,6 +125,15 @@ def backfill_process(spark, d):
     return done.select("id", F.col("textlen").cast("long").alias("textlen"), F.size("fts").cast("long").alias("words"), F.when(F.col("embedding_hnsw").isNotNull(), F.size("embedding_hnsw")).cast("long").alias("dims"), "queued")
 
 
+@query(f"""SELECT id, coalesce(textlen, len(list_distinct(tokens))) AS textlen, len(tokens) AS words, len(coalesce(embedding_hnsw, embedding[1:32], legacy[1:32])) AS dims
+    FROM {STATE} JOIN (SELECT id, tokens FROM an) USING (id)""")
+def backfill_ranges(spark, d):
+    """The same as one run over ranges of ids, each with its marker."""
+    run = X.built(spark, d, "backfill", lambda folder: backfill.Run(spark, folder))
+    done = run.go(_state(spark, d), lambda rows: backfill.process(rows, 64, 32))
+    return done.select("id", F.col("textlen").cast("long").alias("textlen"), F.size("fts").cast("long").alias("words"), F.when(F.col("embedding_hnsw").isNotNull(), F.size("embedding_hnsw")).cast("long").alias("dims"))
+
+
 @query(f"SELECT ceil(place / 128.0)::BIGINT AS chunk, id AS last_id, place AS processed, CASE WHEN place = total THEN 'completed' ELSE 'running' END AS state FROM (SELECT id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS total FROM {STATE} WHERE {NEEDS}) WHERE place % 128 = 0 OR place = total")
 def backfill_run(spark, d):
     return backfill.run(_state(spark, d), 128)
