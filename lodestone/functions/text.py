@@ -41,10 +41,15 @@ def query_terms(query: Column) -> Column:
     return F.array_distinct(F.transform(tokens(F.trim(query)), strip_suffix))
 
 
-def terms_of(query: str) -> list[str]:
+def words_of(query: str) -> list[str]:
+    """A text's tokens, in plain Python."""
     import regex
 
-    words = regex.sub(NOT_WORD, " ", query.strip().lower()).split()
+    return regex.sub(NOT_WORD, " ", query.strip().lower()).split()
+
+
+def terms_of(query: str) -> list[str]:
+    words = words_of(query)
     return list(dict.fromkeys(re.sub(SUFFIX, "", w) or w for w in words))
 
 

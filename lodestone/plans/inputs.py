@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ann, compressed, corpus, graph
+from ..operators.latent import Latent
 from ..operators import index as index_tables
 from ..operators.stored import Index, work_folder
 from ..operators.substrings import Substrings
@@ -87,6 +88,11 @@ def graphs(spark, d) -> graph.Graphs:
     return built(spark, d, "graphs", lambda folder: graph.Graphs(spark, folder).build(vectors(spark, d)))
 
 
+def latent(spark, d) -> Latent:
+    """The vectors learned from the documents."""
+    return built(spark, d, "latent", lambda folder: Latent(spark, folder).fit(analysed(spark, d)))
+
+
 def codes(spark, d) -> compressed.Compressed:
     """The written lists of quantised vectors."""
     return built(spark, d, "codes", lambda folder: compressed.Compressed(spark, folder).build(vectors(spark, d)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stemming
 from ..functions import text as T
 from . import inputs as X
 from .registry import TOKENS, query
@@ -148,3 +149,16 @@ def eval_queries(spark, d):
     """A part of each list, chosen by a hash of the seed and the id."""
     pick = lambda items, seed: F.element_at(F.array(*[F.lit(x) for x in items]), (1 + F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id")).cast("binary")), F.lit(6)), 16, 10).cast("int") % len(items)).cast("int"))
     return eval_titles(spark, d).select("id", F.concat_ws(" ", "title", pick(BRIDGES, "a"), pick(PREFIXES, "b"), pick(ENDINGS, "c")).alias("q"))
+
+
+@query()
+def stemmed_words(spark, d):
+    """The stems of all documents' words, with their positions."""
+    docs = X.load(spark, d, "documents")
+    return stemming.stems(docs, T.tokens(F.col("text")), "doc_id").select("id", "stem", F.array_join("positions", ",").alias("positions"), "tf")
+
+
+@query()
+def latent_vectors(spark, d):
+    """A vector of each document, learned from the terms of all."""
+    return X.latent(spark, d).vectors().select("id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.3f", F.abs(x.cast("double")))), ",").alias("v"))
