@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segmentation
 from ..functions import text as T
+from ..functions.analysers import Analyser
 from ..operators import ann, compressed, corpus, graph
 from ..operators.latent import Latent
 from ..operators import index as index_tables
@@ -67,6 +69,16 @@ def index(spark, d) -> Index:
     return built(spark, d, "index", lambda folder: Index(spark, folder).build(scope(spark, d)))
 
 
+def stem_index(spark, d) -> Index:
+    """The stored index of the documents' English stems."""
+    return built(spark, d, "stems", lambda folder: Index(spark, folder).build(Analyser("english").analysed(load(spark, d, "documents"), "documents", "doc_id", "text")))
+
+
+def lexicon(spark, d) -> segmentation.Lexicon:
+    """The pieces of all documents' words, of any script."""
+    return built(spark, d, "lexicon", lambda _: segmentation.learn(load(spark, d, "documents"), T.tokens(F.col("text")), segmentation.LETTERS))
+
+
 def substrings(spark, d) -> Substrings:
     """The trigram lists of the documents."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.analysers import Analyser
 from ..operators import search
 from . import inputs as X
 from .registry import query
@@ -44,6 +45,15 @@ def bm25_blocks(spark, d):
     return X.index(spark, d).skipped(X.TOKENS, "documents", 10)
 
 
+STEMMED = "ered, ononst"
+
+
+@query()
+def stemmed_search(spark, d):
+    """The best ten by the stems of the query's words: other forms of a word are found too."""
+    return X.stem_index(spark, d).top(Analyser("english").query(STEMMED), "documents", 10)
+
+
 MATCH = f"""(SELECT *, lower(coalesce(title, '')) LIKE '%{LIKE}%' AS like_title, lower(content) LIKE '%{LIKE}%' AS like_content, list_has_all(tokens, ['the', 'of']) AS words,
     list_has_all(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda t: length(t) > 0), ['the', 'of']) AS title_words
     FROM docs JOIN (SELECT id, tokens FROM an) USING (id))"""

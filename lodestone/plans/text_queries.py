@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import stemming
+from ..functions import segmentation, stemming
 from ..functions import text as T
+from ..functions.analysers import Analyser
 from . import inputs as X
 from .registry import TOKENS, query
 
@@ -158,6 +159,22 @@ def stemmed_words(spark, d):
     return stemming.stems(docs, T.tokens(F.col("text")), "doc_id").select("id", "stem", F.array_join("positions", ",").alias("positions"), "tf")
 
 
+@query()
+def segmented_words(spark, d):
+    """The pieces of all documents' words with their positions, by the lexicon learned from all of them."""
+    cut = Analyser("korean", X.lexicon(spark, d), segmentation.LETTERS, stop=())
+    return cut.positions(X.load(spark, d, "documents"), "doc_id", "text").select("id", "term", F.array_join("positions", ",").alias("positions"), "tf")
+
+
+PHRASE = "of the"
+
+
+@query("SELECT id, n FROM (SELECT id, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'of' AND tokens[i + 1] = 'the')) AS n FROM an) WHERE n > 0")
+def phrase_matches(spark, d):
+    """The documents with the phrase, and how often they have it."""
+    return Analyser("simple").phrase(X.load(spark, d, "documents"), PHRASE, "doc_id", "text")
+
+
 @query()
 def latent_vectors(spark, d):
     """A vector of each document, learned from the terms of all."""

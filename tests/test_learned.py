@@ -1,16 +1,20 @@
-"""Stems with positions, and vectors learned from terms."""
+"""Stems and pieces with positions, analysers, and vectors learned from terms."""
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import stemming
+from lodestone.functions import segmentation, stemming
 from lodestone.functions import text as T
+from lodestone.functions.analysers import Analyser
 from lodestone.operators import evaluate
 from lodestone.operators.latent import Latent
-from lodestone.plans import registry
+from lodestone.operators.stored import Index
+from lodestone.plans import inputs, registry, search_queries
 
 from .conftest import SMALL
 
@@ -81,3 +85,109 @@ def test_latent_vectors_find_planted_copies(spark, tmp_path):
     assert ((a @ model.model()[2]) ** 2).sum() >= 0.97 * exact
     none = Latent(spark, f"file://{tmp_path}/none").fit(df.where("false"))
     assert none.vectors().count() == 0 and none.embed("a") is None
+
+
+SYLLABLES = [chr(0xAC00 + 131 * k) for k in range(80)]
+ENDINGS = ["은", "는", "을", "에서", "으로"]
+
+
+def planted(n=160):
+    rng = np.random.default_rng(4)
+    roots = list(dict.fromkeys("".join(rng.choice(SYLLABLES, rng.integers(2, 5))) for _ in range(n)))
+    return roots, [(k, " ".join(str(rng.choice(roots)) + str(rng.choice(ENDINGS)) for _ in range(25))) for k in range(200)]
+
+
+def test_lexicon_finds_planted_endings(spark):
+    roots, rows = planted()
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "latin words 12"), rows[0]], "id long, text string")
+    tokens = T.tokens(F.col("text"))
+    lexicon = segmentation.learn(docs, tokens)
+    right = [lexicon.cut(r + e) == [r, e] for r in roots for e in ENDINGS]
+    assert np.mean(right) > 0.95
+    assert lexicon.cut("뷁쮏에서") == ["뷁쮏", "에서"]  # a root never seen
+    assert lexicon.cut("") == []
+    again = segmentation.learn(docs.repartition(3), tokens)  # no order of rows, no repeated row counts
+    assert again == lexicon == segmentation.Lexicon.stored(lexicon.frame(spark).repartition(3))
+    none = segmentation.learn(docs.where("id > 901"), tokens)
+    assert none.costs == {} and none.cut("가나다") == ["가나다"]
+    with pytest.raises(ValueError):
+        segmentation.learn(docs, tokens, size=0)
+
+
+def test_path_is_the_cheapest():
+    """Against all ways to cut short words."""
+    import itertools
+
+    lexicon = segmentation.Lexicon({"a": 2.0, "ab": 2.5, "b": 1.5, "abc": 6.0, "ca": 2.2}, 3.0, 0.9)
+
+    def cost(pieces, known):
+        return sum(lexicon.costs.get(p, np.inf) if k else lexicon.opening + lexicon.letter * len(p) for p, k in zip(pieces, known))
+
+    for n in range(1, 7):
+        for word in map("".join, itertools.product("abc", repeat=n)):
+            ways = []
+            for cuts in itertools.product([0, 1], repeat=n - 1):
+                at = [0, *[k + 1 for k, c in enumerate(cuts) if c], n]
+                pieces = [word[i:j] for i, j in zip(at, at[1:])]
+                ways += [cost(pieces, known) for known in itertools.product([True, False], repeat=len(pieces))]
+            path = lexicon.path(word)
+            assert "".join(word[a:b] for a, b, _ in path) == word
+            assert abs(cost([word[a:b] for a, b, _ in path], [k for _, _, k in path]) - min(ways)) < 1e-9
+
+
+def test_long_words_are_cut_in_linear_time():
+    lexicon = segmentation.Lexicon({"가나": 1.0}, 3.0, 0.9)
+    start = time.time()
+    assert len(lexicon.cut("가나" * 200_000)) == 200_000
+    assert time.time() - start < 20
+
+
+def test_analysers_of_languages(spark, tmp_path):
+    roots, rows = planted()
+    lexicon = segmentation.learn(spark.createDataFrame(rows, "id long, text string"), T.tokens(F.col("text")))
+    root = next(r for r in roots if all(lexicon.cut(r + e) == [r, e] for e in ENDINGS))
+    docs = spark.createDataFrame([(1, f"{root}은 Running"), (2, f"{root}에서"), (3, None), (4, ""), (5, "running the runs"), (6, "run")], "id long, content string")
+    korean, english, simple = Analyser("korean", lexicon), Analyser("english"), Analyser("simple")
+    assert korean.query(f"{root}을 {root}으로") == [root]
+    assert {r.id: r.tokens for r in korean.analysed(docs, "t").collect()} == {1: [root, "running"], 2: [root], 3: [], 4: [], 5: ["running", "the", "runs"], 6: ["run"]}
+    assert {(r.id, r.term): r.positions for r in korean.positions(docs.where("id < 4")).collect()} == {(1, root): [1], (1, "running"): [3], (2, root): [1]}
+    assert [r.len for r in english.analysed(docs, "t").orderBy("id").collect()][4] == 1
+    index = Index(spark, f"file://{tmp_path}/korean").build(korean.analysed(docs, "t"))
+    assert {r.id for r in index.matching(korean.query(f"{root}으로"), "t").collect()} == {1, 2}
+    stems = Index(spark, f"file://{tmp_path}/english").build(english.analysed(docs, "t"))
+    assert {r.id for r in stems.matching(english.query("runs"), "t").collect()} == {1, 5, 6}
+    # positions count the words passed over: "running the runs" is run, two places on run
+    assert {r.id: r.n for r in english.phrase(docs, "run a run").collect()} == {5: 1}
+    assert english.phrase(docs, "run runs").count() == 0 and english.phrase(docs, "the").count() == 0
+    assert {r.id: r.n for r in simple.phrase(docs, "the runs").collect()} == {5: 1}
+    for wrong in (lambda: Analyser("korean"), lambda: Analyser("english", lexicon), lambda: Analyser("latin")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_stemmed_search_against_plain(spark):
+    words = {}
+    for r in registry.load(spark, SMALL, "documents").collect():
+        words[r.doc_id] = [stemming.stem(w) for w in T.words_of(r.text or "") if w not in stemming.STOP_WORDS]
+    asked = stemming.query_stems(search_queries.STEMMED)
+    n, avg = len(words), sum(len(set(w)) for w in words.values()) / len(words)
+    df = {q: sum(q in w for w in words.values()) for q in asked}
+    want = {}
+    for i, w in words.items():
+        if set(w) & set(asked):
+            want[i] = round(sum(np.log(1 + (n - df[q] + 0.5) / (df[q] + 0.5)) * w.count(q) * 2.2 / (w.count(q) + 1.2 * (0.25 + 0.75 * len(set(w)) / avg)) for q in asked if q in w), 6)
+    want = sorted(want.items(), key=lambda x: (-x[1], -x[0]))[:10]
+    got = [(r.id, r.score) for r in registry.QUERIES["stemmed_search"](spark, SMALL).collect()]
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=2e-6)
+
+
+def test_segmented_words_against_plain(spark):
+    lexicon = inputs.lexicon(spark, SMALL)
+    want = {}
+    for r in registry.load(spark, SMALL, "documents").collect():
+        k = 0
+        for w in T.words_of(r.text or ""):
+            for p in lexicon.cut(w) if w.isalpha() else [w]:
+                k += 1
+                want.setdefault((r.doc_id, p), []).append(str(k))
+    assert {(r.id, r.term): r.positions for r in registry.QUERIES["segmented_words"](spark, SMALL).collect()} == {k: ",".join(v) for k, v in want.items()}
