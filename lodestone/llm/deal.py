@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import fits, written
 
 #: A key is hot if it has more than 1 / (HOT * partitions) of the rows, so there are HOT * partitions hot keys at most.
 HOT = 8
@@ -47,3 +47,26 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     crowded = table.join(F.broadcast(hot), key, "left_semi")
     few = rows.join(F.broadcast(hot), key, "left_anti").join(table.hint("merge"), key)
     return rows.join(F.broadcast(crowded), key).unionByName(few)
+
+
+def found(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """looked_up, by a broadcast of the whole table where its bytes are few."""
+    return rows.join(F.broadcast(table), key) if fits(table) else looked_up(rows, table, key)
+
+
+def met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table, which may have many rows a key. Both are read from written tables.
+
+    Where the table isn't small, the rows of a hot key are dealt to all partitions by their other columns, and the table's rows of
+    it, each kept once for each partition, are there too. So copies are made of a hot key's rows in the table only.
+    """
+    if fits(table):
+        return rows.join(F.broadcast(table), key)
+    n = partitions(rows)
+    most = rows.count() / (HOT * n)
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > most).select(key))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(n)).alias("salt")
+    some = rows.join(hot, key, "left_semi").select("*", salt)
+    copies = table.join(hot, key, "left_semi").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt"))
+    few = rows.join(hot, key, "left_anti").join(table.hint("merge"), key)
+    return few.unionByName(some.join(copies.hint("merge"), [key, "salt"]).drop("salt"))

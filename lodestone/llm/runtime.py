@@ -54,8 +54,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
 MOST_BYTES = 8 << 20
 
 
-def small(table: DataFrame, most: int = MOST_BYTES) -> DataFrame:
-    """A written table, marked for broadcast if it has few bytes (a pass over it adds them up); else as it is, so that joins shuffle."""
+def fits(table: DataFrame, most: int | None = None) -> bool:
+    """Whether a written table may be broadcast: a pass over it adds up its bytes."""
     wide = {"long": 8, "bigint": 8, "double": 8, "timestamp": 8, "int": 4, "float": 4, "boolean": 1}
     size = F.lit(32)  # of a row besides its values
     for name, kind in table.dtypes:
@@ -65,7 +65,12 @@ def small(table: DataFrame, most: int = MOST_BYTES) -> DataFrame:
             size = size + 32 + 32 * F.greatest(F.lit(0), F.coalesce(F.size(F.col(name)), F.lit(0)))
         else:
             size = size + wide.get(kind, 16)
-    return F.broadcast(table) if (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else table
+    return (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= (MOST_BYTES if most is None else most)
+
+
+def small(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it has few bytes; else as it is, so that joins shuffle."""
+    return F.broadcast(table) if fits(table, most) else table
 
 
 _kept: dict = {}
