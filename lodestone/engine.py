@@ -201,7 +201,10 @@ class Engine:
             out = self._lexical(r, t)
             return out | {"strategy": "lexical-like", "reason": why, "queryExplanation": f"{out['queryExplanation']} Fell back to lexical LIKE search because {why}."}
         words = [k for k, _ in T.signals_of(r.query)]
-        ranked = search.lexical_fallback(t.docs, self.scores(t, words), r.query, r.limit, r.offset, t.index, t.name)
+        if t.index is not None and t.substrings is not None:
+            ranked = search.lexical_fallback_indexed(t.docs, self.scores(t, words), r.query, r.limit, r.offset, t.index, t.name, t.substrings)
+        else:
+            ranked = search.lexical_fallback(t.docs, self.scores(t, words), r.query, r.limit, r.offset, t.index, t.name)
         found = {"items": self._items(ranked, t, words), "total": self.matches(t, r.query).count()}
         return found | {"strategy": "bm25-only", "reason": why} | self._planned(ranked, f" Fell back to word search because {why}.")
 

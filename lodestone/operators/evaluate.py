@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vector as V
 from .selection import nearest_rank  # noqa: F401
 from .tiles import neighbors  # noqa: F401
@@ -75,6 +76,33 @@ def quality_run(search: Callable[[dict], dict], queries: list[tuple[str, int]],
     return {"rows": rows, "summary": {"queries": n, "successRate": rate("ok"), "top1Rate": rate("top1"), "foundRate": rate("found"), "fallbackRate": rate("fellBack"), "avgCoverage": mean("coverage"), "avgTookMs": mean("tookMs"), "p95TookMs": round(p95, 2)}}
 
 
+def quality(found: DataFrame, queries: DataFrame, docs: DataFrame, snippet: int = 240) -> DataFrame:
+    """A row for each query made from a document: its first answer (top1), the place of its own document among the answers, and how many of its words
+    (to 3 digits) the first answer's title and snippet hold. Null and 0 where nothing was found.
+
+    found: query_id, place, id, score; queries: query_id (that of the document), words; docs: id, title, content. Only snippets are joined.
+    """
+    shown = docs.select(F.col("id").alias("top1"), "title", F.left("content", F.lit(snippet)).alias("snippet"))
+    asked = queries.select("query_id", "words")
+    best = found.groupBy("query_id").agg(F.min(F.when(F.col("place") == 1, F.col("id"))).alias("top1"), F.min(F.when(F.col("id") == F.col("query_id"), F.col("place"))).alias("own_place"))
+    rows = asked.join(best, "query_id", "left").join(shown, "top1", "left")
+    covered = F.when(F.col("top1").isNotNull(), T.keyword_coverage(T.matched_keywords(F.col("words"), F.col("title"), F.coalesce("snippet", F.lit(""))), F.col("words"))).otherwise(0.0)
+    return rows.select("query_id", "top1", "own_place", covered.alias("coverage"))
+
+
+def quality_rates(rows: DataFrame) -> DataFrame:
+    """The summary of quality rows: rates to 4 digits, the mean coverage to 2."""
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
+    return rows.agg(
+        F.count("*").alias("queries"),
+        share(F.col("top1").isNotNull()).alias("answered_rate"),
+        share(F.col("own_place") == 1).alias("top1_rate"),
+        share(F.col("own_place").isNotNull()).alias("found_rate"),
+        F.round(F.avg(F.coalesce(1 / F.col("own_place"), F.lit(0.0))), 4).alias("reciprocal_rank"),
+        F.round(F.avg("coverage"), 2).alias("avg_coverage"),
+    )
+
+
 def throughput(run: Callable[[object], object], queries: list) -> dict:
     """Queries a second, one after the other."""
     start = time.time()

@@ -267,3 +267,54 @@ def tops(rows: DataFrame, weights: Weights, table: str | None, k: int, digits: i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["id", "score", "blocks", "blocks_read"])
 
     return selected(rows, list(weights.idf), table).mapInArrow(run, "id long, score double, blocks long, blocks_read long")
+
+
+def tops_many(rows: DataFrame, queries: list[tuple[int | None, list[str]]], weights: Weights, table: str, k: int, digits: int = 6) -> DataFrame:
+    """query_id, id, score: the best k of each task for each of many queries (id, words), by score, then id, both descending.
+
+    rows: the lists of the queries' words. A list's weights are computed once for all queries that have its word; a query takes
+    the segments by the sum of its words' largest weights there, until none can reach its k-th best so far.
+    """
+    asked = rows.sparkSession.sparkContext.broadcast(queries)  # as many words as a block of queries has
+
+    def run(batches):
+        held = []
+        for _, ids, lens, own in Lists(batches):
+            made = {}
+            for word, r in own.items():
+                if word in weights.idf:
+                    at = places(r)
+                    term = weights.term(word, counts(r), lens[at])
+                    made[word] = at, term, float(term.max())
+            held.append((ids, made))
+        out_q, out_i, out_s, slack = [], [], [], 10.0**-digits
+        for query, words in asked.value:
+            parts = []
+            for ids, made in held:
+                own = [made[w] for w in words if w in made]
+                if own:
+                    parts.append((sum(x for _, _, x in own), ids, own))
+            parts.sort(key=lambda p: -p[0])
+            best_i, best_s, least = np.zeros(0, np.int64), np.zeros(0), -1.0
+            for bound, ids, own in parts:
+                if bound + slack < least:
+                    break
+                total, has = np.zeros(len(ids)), np.zeros(len(ids), bool)
+                for at, term, _ in own:
+                    total[at] += term
+                    has[at] = True
+                some = np.flatnonzero(has & (total + slack >= least))
+                best_i, best_s = np.concatenate([best_i, ids[some]]), np.concatenate([best_s, total[some]])
+                first = np.lexsort((-best_i, -np.round(best_s, digits)))[:k]
+                best_i, best_s = best_i[first], best_s[first]
+                least = float(best_s[-1]) if len(best_s) == k else -1.0
+            out_q += [query] * len(best_i)
+            out_i.append(best_i)
+            out_s.append(best_s)
+            if len(out_q) >= 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_i)), pa.array(np.concatenate(out_s))], names=["query_id", "id", "score"])
+                out_q, out_i, out_s = [], [], []
+        if out_q:
+            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_i)), pa.array(np.concatenate(out_s))], names=["query_id", "id", "score"])
+
+    return rows.where(F.col("table_name") == table).select("table_name", "token", "segment", "docs", "tfs").mapInArrow(run, "query_id long, id long, score double")

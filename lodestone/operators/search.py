@@ -163,6 +163,48 @@ def lexical_fallback(docs: DataFrame, scores: DataFrame, q: str, limit: int, off
     """Ranked by words in the title, word score, substring in the title, in the content, id."""
     kinds = ("title_words", "like_title", "like_content")
     found = (matches(docs, q).select("id", *kinds) if index is None else matches_stored(docs, q, index, table)).join(scores.withColumnRenamed("score", "bm25"), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    return _shown(docs, found, limit, offset)
+
+
+#: Candidates whose contents are tested first.
+TESTED = 512
+
+
+def lexical_fallback_indexed(docs: DataFrame, scores: DataFrame, q: str, limit: int, offset: int, index, table: str, substrings) -> DataFrame:
+    """lexical_fallback over stored lists of words and trigrams: candidates are ranked by what the lists know, and the first TESTED of them are
+    tested for the substring. If the rows asked for aren't certain then (too few pass, or ties go on beyond them), all candidates are."""
+    p, words = like_pattern(q), T.terms_of(q)
+    candidates = substrings.candidates("content", p)
+    if candidates is None:  # a pattern without a trigram
+        return lexical_fallback(docs, scores, q, limit, offset, index, table)
+    flags = ["like_title", "words", "title_words", "maybe"]
+    sets = dict(zip(flags, (substrings.like(docs, "title", p), index.matching(words, table), substrings.title_words(words), candidates)))
+    found = None
+    for name, ids in sets.items():
+        one = ids.select("id", *[F.lit(f == name).alias(f) for f in flags])
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy("id").agg(*[F.max(f).alias(f) for f in flags]).where("like_title OR words OR maybe")
+    found = found.join(scores.withColumnRenamed("score", "bm25"), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    known = ("title_words", "bm25", "like_title")
+    first = found.orderBy(*[F.desc(c) for c in known]).limit(TESTED + 1).collect()
+    n, whole = limit + offset, first
+    if len(first) > TESTED:  # those that tie with the first one left out aren't all here
+        whole = [r for r in first if tuple(r[c] for c in known) != tuple(first[-1][c] for c in known)]
+    spark, kinds = docs.sparkSession, ("title_words", "like_title", "like_content")
+    own = docs.where(F.col("id").isin([r.id for r in whole])).where(F.lower("content").like(p)).select("id")
+    holds = {r.id for r in own.collect()} if whole else set()
+    rows = [(r.id, r.bm25, r.title_words, r.like_title, r.id in holds) for r in whole if r.like_title or r.words or r.id in holds]
+    if len(rows) >= n or len(first) <= TESTED:
+        ranked = spark.createDataFrame(rows, "id long, bm25 double, title_words boolean, like_title boolean, like_content boolean")
+    else:
+        ranked = found.join(substrings.like(docs, "content", p).select("id", F.lit(True).alias("like_content")), "id", "left").withColumn("like_content", F.coalesce("like_content", F.lit(False)))
+        ranked = ranked.where("like_title OR words OR like_content").select("id", "bm25", *kinds)
+    return _shown(docs, ranked, limit, offset)
+
+
+def _shown(docs: DataFrame, found: DataFrame, limit: int, offset: int) -> DataFrame:
+    """The best rows of found (id, bm25, title_words, like_title, like_content) with their titles and scores."""
+    kinds = ("title_words", "like_title", "like_content")
     order = [F.desc(c) for c in ("title_words", "bm25", "like_title", "like_content", "id")]
     ranked = top(found, limit, *order, offset=offset)
     boost = F.when(F.col("title_words"), 0.98).when(F.col("like_title"), 0.89).when(F.col("like_content"), 0.72).otherwise(0.0)

@@ -18,8 +18,10 @@ lists of a query's words are decoded and joined with the dead documents.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import index as I
@@ -32,6 +34,9 @@ SCHEMAS = {
     "lengths": "table_name string, recordcount long, sumlen long, version int",
 }
 
+#: Words of queries that one pass over the lists looks for, about.
+PASS = 1 << 16
+
 _own: str | None = None
 
 
@@ -249,3 +254,46 @@ class Index:
         """blocks, blocks_read: of the lists of a query's words in the base."""
         lists = self._read("postings", *[self.versions()[0]] * 2)
         return P.tops(lists, self._weights(words, table, k1, b), table, k).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("blocks", "blocks_read")])
+
+    def top_many(self, queries: DataFrame, table: str, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+        """query_id, place, id, score: the best k of each of many queries (query_id, words array), by score, then id.
+
+        Queries are dealt to blocks of about PASS words by a hash of their id; a block's words are looked for in one pass over the
+        lists, and only each task's best k of a query are shuffled. Rows that share a query_id are one query; null words, a null array and words
+        that no document has find nothing. A block's result is written before the next block starts.
+        """
+        folder = work_folder(self.spark, f"queries-{uuid.uuid4().hex}")
+        words = queries.select(F.col("query_id").cast("long").alias("query_id"), F.posexplode("words").alias("at", "token")).where("token <> ''")
+        words = words.groupBy("query_id", "token").agg(F.min("at").alias("at"))
+        words.write.mode("overwrite").parquet(f"{folder}/words")
+        words = self.spark.read.schema(words.schema).parquet(f"{folder}/words")
+        blocks = max(1, -(-words.count() // PASS))
+        stats = self.stats()
+        n, avglen = sum(c for c, _ in stats.values()), stats.get(table, (0, 0.0))[1]
+        for block in range(blocks):
+            own = words.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+            tokens = own.select("token").distinct()
+            df = {r.token: r.tfdoc for r in self.frequency().join(F.broadcast(tokens), "token", "left_semi").collect()}  # about PASS rows at most
+            weights = P.Weights({w: P.idf(n, x) for w, x in df.items()}, avglen, k1, b)
+            if (lists := self._lists()) is not None:
+                asked: dict = {}
+                for r in sorted(own.collect(), key=lambda r: r["at"]):
+                    if r["token"] in df:
+                        asked.setdefault(r["query_id"], []).append(r["token"])
+                wanted = tokens.unionByName(self.spark.createDataFrame([("",)], "token string"))
+                found = P.tops_many(lists.join(F.broadcast(wanted), "token", "left_semi"), list(asked.items()), weights, table, k, digits)
+            else:
+                found = self._scored_many(own, tokens, weights, n, table)
+            found = found.withColumn("score", F.round("score", digits))
+            place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))
+            found.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("query_id", "place", "id", "score").write.mode("overwrite").parquet(f"{folder}/found/block={block}")
+        return self.spark.read.schema("query_id long, place long, id long, score double").parquet(*[f"{folder}/found/block={x}" for x in range(blocks)])
+
+    def _scored_many(self, own: DataFrame, tokens: DataFrame, weights: P.Weights, n: int, table: str) -> DataFrame:
+        """query_id, id, score by joins, where versions after the base count. Sides of a block's words are broadcast."""
+        k1, b = weights.k1, weights.b
+        rows = self._rows(None, table).join(F.broadcast(tokens), "token", "left_semi")
+        idf = self.frequency().join(F.broadcast(tokens), "token", "left_semi").select("token", F.log(1 + (F.lit(n) - F.col("tfdoc") + 0.5) / (F.col("tfdoc") + 0.5)).alias("idf"))
+        term = F.col("idf") * (F.col("tf") * round(k1 + 1, 6)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.nullif(F.lit(float(weights.avglen)), F.lit(0.0))))
+        both = rows.join(F.broadcast(own.select("query_id", "token").join(F.broadcast(idf), "token")), "token")
+        return both.groupBy("query_id", "id").agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("score"))

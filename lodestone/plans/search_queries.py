@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.analysers import Analyser
-from ..operators import search
+from ..operators import evaluate, search
 from . import inputs as X
-from .registry import query
+from .registry import TOKENS, query
 
 LIST = "['the', 'entre', 'para']"
 BM25 = f"""(SELECT id, round(sum(ln(1 + (n - tfdoc + 0.5::DOUBLE) / (tfdoc + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len_ / avglen))), 6) AS score FROM
@@ -45,6 +45,44 @@ def bm25_blocks(spark, d):
     return X.index(spark, d).skipped(X.TOKENS, "documents", 10)
 
 
+ASKED = f"(SELECT id AS query_id, list_distinct({TOKENS.format('title')}) AS words FROM docs WHERE id % 20 = 0)"
+MANY = f"""(SELECT query_id, place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS place FROM (
+  SELECT query_id, id, round(sum(ln(1 + (n - tfdoc + 0.5::DOUBLE) / (tfdoc + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len_ / avglen))), 6) AS score
+  FROM (SELECT query_id, unnest(words) AS token FROM {ASKED})
+  JOIN (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(tokens) AS token FROM an) GROUP BY id, token) USING (token) JOIN (SELECT id, len(list_distinct(tokens)) AS len_ FROM an) USING (id)
+  JOIN (SELECT token, count(*) AS tfdoc FROM (SELECT unnest(list_distinct(tokens)) AS token FROM scope) GROUP BY token) USING (token),
+  (SELECT count(*) AS n, avg(CASE WHEN table_name = 'documents' THEN len(list_distinct(tokens)) END) AS avglen FROM scope) GROUP BY query_id, id)) WHERE place <= 10)"""
+QUALITY = f"""(SELECT a.query_id, t.id AS top1, o.place AS own_place, CASE WHEN t.id IS NULL OR len(words) = 0 THEN 0 ELSE round(len(list_filter(words, lambda k: contains(lower(coalesce(d.title, '') || ' ' || left(d.content, 240)), k))) / len(words)::DOUBLE, 3) END::DOUBLE AS coverage
+  FROM {ASKED} a LEFT JOIN many t ON t.query_id = a.query_id AND t.place = 1 LEFT JOIN many o ON o.query_id = a.query_id AND o.id = a.query_id LEFT JOIN docs d ON d.id = t.id)"""
+
+
+def _asked(spark, d):
+    """A query of each twentieth document: the words of its title."""
+    return X.docs(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.array_distinct(T.tokens(F.col("title"))).alias("words"))
+
+
+def _many(spark, d):
+    return X.index(spark, d).top_many(_asked(spark, d), "documents", 10)
+
+
+@query(f"SELECT query_id, place, id, score FROM {MANY}")
+def bm25_topk_many(spark, d):
+    """The best ten of every twentieth document's title, all in one pass over the stored lists."""
+    return _many(spark, d)
+
+
+@query(f", many AS {MANY} SELECT query_id, top1, own_place, coverage FROM {QUALITY}")
+def search_quality(spark, d):
+    """Whether a search for a document's title finds it, at which place, and how much of the title the first answer shows."""
+    return evaluate.quality(_many(spark, d), _asked(spark, d), X.docs(spark, d))
+
+
+@query(f""", many AS {MANY} SELECT count(*) AS queries, round(avg((top1 IS NOT NULL)::INT), 4) AS answered_rate, round(avg(CASE WHEN own_place = 1 THEN 1 ELSE 0 END), 4) AS top1_rate,
+    round(avg((own_place IS NOT NULL)::INT), 4) AS found_rate, round(avg(coalesce(1.0::DOUBLE / own_place, 0)), 4) AS reciprocal_rank, round(avg(coverage), 2) AS avg_coverage FROM {QUALITY}""")
+def search_quality_summary(spark, d):
+    return evaluate.quality_rates(search_quality(spark, d))
+
+
 STEMMED = "ered, ononst"
 
 
@@ -84,7 +122,7 @@ def lexical_search_count(spark, d):
 @query(f"""SELECT id, title, bm25_score, greatest(least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(bm25_score / (1 + bm25_score), 3))), (CASE WHEN title_words THEN 0.98 WHEN like_title THEN 0.89 WHEN like_content THEN 0.72 ELSE 0.0 END)::DOUBLE) AS score, title_words, like_title, like_content
     FROM (SELECT f.*, coalesce(b.score, 0) AS bm25_score FROM {FOUND} f LEFT JOIN {BM25} b USING (id)) ORDER BY title_words DESC, bm25_score DESC, like_title DESC, like_content DESC, id DESC LIMIT 20""")
 def lexical_fallback(spark, d):
-    return search.lexical_fallback(X.docs(spark, d), _scores(spark, d), LIKE, 20, index=X.index(spark, d))
+    return search.lexical_fallback_indexed(X.docs(spark, d), _scores(spark, d), LIKE, 20, 0, X.index(spark, d), "documents", X.substrings(spark, d))
 
 
 def _sql_hybrid(distance: str, vector: str, ratio: float, limit: int = 10) -> str:
