@@ -16,6 +16,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Tasks of a job that reads pieces of files, at most; beyond, a task reads several that lie together.
+MOST_TASKS = 1 << 12
+
+
+def dealt(pieces: DataFrame, *order: str) -> DataFrame:
+    """A written table of pieces of about one size, in as many partitions as there are pieces, MOST_TASKS at most: each has a run of them in that order, about as many as the others."""
+    n = min(MOST_TASKS, max(1, pieces.count()))
+    return pieces.repartitionByRange(n, *order)
+
+
 def running(table: DataFrame, order: list[str], sums: list[str], path: str) -> DataFrame:
     """table with upto_x for each column x of sums: its sum over all rows up to this one. No two rows are equal in the order.
 

@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files, sums
+from .deal import dealt
 from .runtime import BATCH_BYTES, cut, documents, drop, kept, shared_dir, written
 
 #: Bits of a code at most, for vocabularies of up to 2 ** 16 ids; larger ones get two bits more than a plain number has, up to 24.
@@ -359,7 +360,7 @@ def with_bases(files_: DataFrame, together: int = 1024) -> DataFrame:
 
 
 def read(manifest: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(doc_id, start, ids) -> a row for every document of the files, one task a file."""
+    """fn(doc_id, start, ids) -> a row for every document of the files, files that lie together in one task where there are more than MOST_TASKS."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -378,8 +379,7 @@ def read(manifest: DataFrame, fn, schema: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    n = max(1, manifest.count())
-    return manifest.select("path", "base").repartition(n).mapInArrow(run, schema)
+    return dealt(manifest.select("path", "base"), "path").mapInArrow(run, schema)
 
 
 def ids_digest(manifest: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
+from .deal import dealt
 from .runtime import cut, drop, shared_dir, small, written
 
 CHUNK = 1 << 16
@@ -249,8 +250,7 @@ def read(stretches: DataFrame, with_data: bool = True) -> DataFrame:
         if rows:
             yield table(rows)
 
-    n = max(1, stretches.count())
-    return stretches.select("path", "offset", "length").repartition(n).mapInArrow(run, CHUNKS)
+    return dealt(stretches.select("path", "offset", "length"), "path", "offset").mapInArrow(run, CHUNKS)
 
 
 def payloads(chunks: DataFrame) -> DataFrame:
