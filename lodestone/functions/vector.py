@@ -82,8 +82,20 @@ def parse(s: Column) -> Column:
     return F.when(F.trim(s).rlike(r"^\[.*\]$"), F.filter(values, lambda x: x.isNotNull() & finite(x))).otherwise(F.array().cast("array<double>"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, as C's printf: the double's exact value rounded, ties to the even digit. (format_string rounds the shortest
+    decimal form, ties up.) Digits after the 17th are zeros; null stays null."""
+    x = _d(x)
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(x.isNotNull(), F.coalesce(odd, F.call_function("format_number", x, F.lit("0." + "0" * digits))))
+
+
+def joined(a: Column, digits: int = 6) -> Column:
+    return F.array_join(F.transform(a, lambda x: fixed(x, digits)), ",")
+
+
 def render(a: Column, digits: int = 8) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string(f"%.{digits}f", _d(x))), ","), F.lit("]"))
+    return F.concat(F.lit("["), joined(a, digits), F.lit("]"))
 
 
 def derive_hnsw(explicit: Column, embedding: Column, dim: int, hnsw_dim: int) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import vector as V
 from lodestone.operators import compressed, evaluate, graph, tiles
 from lodestone.plans import registry
 
@@ -101,3 +102,14 @@ def test_recall_floors(spark):
     for name in ("ann_graph_recall", "ann_compressed_recall"):
         rows = registry.QUERIES[name](spark, SMALL).collect()
         assert rows and sum(r.recall for r in rows) / len(rows) >= 0.9, name
+
+
+def test_decimals_as_printf(spark):
+    """Ties of the exact value go to the even digit; values whose shortest form only looks like a tie are rounded by their exact value."""
+    rng = np.random.default_rng(2)
+    x = [0.103515625, -0.103515625, 0.0009765625, 1.005, 0.000000125, 2.5e-7, -1e-12, 0.0, 7.0, *(rng.integers(0, 10**9, 2000) / 1e9), *rng.normal(size=500), *(rng.integers(1, 2**20, 500) / 2.0**20)]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for digits in (3, 6, 8):
+        assert all(r.s == f"{r.x:.{digits}f}" for r in df.select("x", V.fixed(F.col("x"), digits).alias("s")).collect()), digits
+    row = spark.createDataFrame([([float("nan"), float("inf"), None, float("-inf"), 0.103515625],)], "v array<double>").select(V.render(F.col("v")).alias("s")).first()
+    assert row.s == "[nan,inf,-inf,0.10351562]"
