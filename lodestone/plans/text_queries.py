@@ -178,4 +178,4 @@ def phrase_matches(spark, d):
 @query()
 def latent_vectors(spark, d):
     """A vector of each document, learned from the terms of all."""
-    return X.latent(spark, d).vectors().select("id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.3f", F.abs(x.cast("double")))), ",").alias("v"))
+    return X.latent(spark, d).vectors().select("id", V.joined(F.transform("embedding", F.abs), 3).alias("v"))

@@ -9,9 +9,7 @@ from ..operators import ann, evaluate, search, tiles
 from . import inputs as X
 from .registry import query
 
-def joined(v):
-    """A vector as text of six digits, which both engines write alike."""
-    return F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ",")
+joined = V.joined
 
 
 Q = "(SELECT embedding AS q FROM vec WHERE id = 7)"
@@ -67,7 +65,7 @@ def vector_format(spark, d):
 def vector_parse(spark, d):
     literal = V.render(F.col("embedding"))
     with_noise = F.concat(F.lit(" "), F.regexp_replace(literal, r"\]$", ",NaN]"))
-    return X.vectors(spark, d).select("id", F.array_join(F.transform(V.parse(with_noise), lambda x: F.format_string("%.8f", x)), ",").alias("v"), F.size(V.parse(F.concat(literal, F.lit(";")))).cast("long").alias("bad_size"))
+    return X.vectors(spark, d).select("id", joined(V.parse(with_noise), 8).alias("v"), F.size(V.parse(F.concat(literal, F.lit(";")))).cast("long").alias("bad_size"))
 
 
 @query("SELECT id, round(coalesce(list_cosine_similarity(embedding[1:32], e2[1:32]), 0), 6) AS cosine FROM (SELECT a.id, a.embedding, b.embedding AS e2 FROM vec a JOIN vec b ON b.id = a.id + 1)")
