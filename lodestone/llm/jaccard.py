@@ -312,7 +312,8 @@ def link(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "d
     described = describe(texts, k, f"{folder}/described")
     docs = described.where("a IS NOT NULL").select("doc_id", "th", "n", *SID)
     tiers = spark.sparkContext.broadcast(tiers_of(sums.summed(described.where("part IS NOT NULL").select("part", "counts"), SKETCH)))
-    every = docs.where("n > 0").groupBy(*SID).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("th").alias("th"))  # a row a set, summed on the map side
+    # A row a set, summed on the map side. th is that of a text with this doc_id: texts that differ in case or white space can have equal sets.
+    every = docs.where("n > 0").groupBy(*SID).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"))
     every = written(every, f"{folder}/sets")
 
     texts_of = texts.select("text")

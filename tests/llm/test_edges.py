@@ -93,6 +93,23 @@ def test_hot_component_without_ids(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.link(docs).collect()), key=str) == want
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_equal_sets_of_different_texts_keep_their_links(spark, order):
+    """Texts with one set but other case, white space or order of repeats stand for one node; its links with near texts stay, whichever doc_id is the smallest."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        same = [" ".join(words), " ".join(words).upper(), "  ".join(words), "\n".join(words) + " ", "\t".join(words)]
+        rows += [*same, " ".join([*words[:-1], "other"]), " ".join([*words[:-1], "another"]).upper()]
+    ids = [i // 7 * 7 + (i % 7 if order == 1 else 6 - i % 7) for i in range(len(rows))]
+    docs = spark.createDataFrame(list(zip(ids, rows)), TEXTS).repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.link(docs).collect()}
+    assert got == {i: i // 7 * 7 for i in ids}
+    none = spark.createDataFrame([(None, rows[0]), (None, rows[1]), (None, rows[2]), (5, rows[5]), (4, rows[6])], TEXTS)
+    assert sorted(r.component_id for r in jaccard.link(none).collect()) == [4] * 5
+
+
 def test_trie_bounds_lose_nothing():
     rng = np.random.default_rng(1)
     base = rng.choice(4000, 300, replace=False)
