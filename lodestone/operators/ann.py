@@ -9,11 +9,12 @@ numbers). Vectors without a direction (norm 0 or null) have no list.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from . import tiles
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 20_000
@@ -52,25 +53,61 @@ class Lists:
     def build(self, vectors: DataFrame, lists: int) -> Lists:
         c = centroids(vectors, lists)
         self.spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(c)], "list int, c array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/centroids")
-        units = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), V.normalize(F.col("embedding")).alias("unit")).where("exists(unit, x -> x <> 0)")
-        placed = units.withColumn("list", F.get(self.ranked(F.col("unit"), c), F.lit(0)))
+        nearest = self.ranked(c, 1)
+
+        def place(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("unit"), pa.array(nearest(b.column("unit"))[:, 0], pa.int32())], names=["id", "unit", "list"])
+
+        placed = self.units(vectors, "unit", c).mapInArrow(place, "id long, unit array<double>, list int")
         placed.repartitionByRange("list", "id").write.partitionBy("list").mode("overwrite").parquet(f"{self.folder}/vectors")
         return self
 
-    def ranked(self, unit, c: np.ndarray):
-        """Lists by descending similarity of their centroids."""
-        table = F.array(*[F.struct(F.lit(k).alias("list"), F.array(*[F.lit(float(v)) for v in row]).alias("c")) for k, row in enumerate(c)])
-        scored = F.sort_array(F.transform(table, lambda t: F.struct((-V.dot(unit, t["c"])).alias("d"), t["list"].alias("list"))))
-        return F.transform(scored, lambda s: s["list"])
+    @staticmethod
+    def units(vectors: DataFrame, name: str, c: np.ndarray) -> DataFrame:
+        """id and unit vector of those that have a direction and the centroids' size."""
+        units = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), V.normalize(F.col("embedding")).alias(name))
+        return units.where(F.exists(name, lambda x: x != 0) & (F.size(name) == (c.shape[1] if len(c) else -1)))
 
-    def probes(self, queries: DataFrame, n: int) -> DataFrame:
-        """query_id, q (unit), list for the n nearest lists of each query. queries: a bounded set (id, embedding)."""
-        q = queries.where("embedding IS NOT NULL").select(F.col("id").alias("query_id"), V.normalize(F.col("embedding")).alias("q"))
-        near = q.crossJoin(F.broadcast(self.centroids)).withColumn("d", -V.dot(F.col("q"), F.col("c")))  # queries x lists, both bounded
-        near = near.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("d", "list"))).where(F.col("place") <= n)
-        return near.select("query_id", "q", "list")
+    @staticmethod
+    def ranked(c: np.ndarray, n: int):
+        """The n nearest lists of each vector, the nearest first, then the smaller list."""
+        return lambda column: np.argsort(-(tiles.matrix(column, np.float64) @ c.T), axis=1, kind="stable")[:, :n]
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """query_id, id, rank among the vectors of the nearest lists, the query itself left out."""
-        d = self.vectors.join(self.probes(queries, probes), "list").where("id <> query_id").select("query_id", "id", (1 - V.dot(F.col("unit"), F.col("q"))).alias("distance"))
-        return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+        """query_id, id, rank among the vectors of the nearest lists, the query itself left out; distances count to 9 digits, ties go to the smaller id.
+
+        Lists are cut into lanes of a bounded number of rows; a query goes to the lanes of its lists and meets their rows in matrix products,
+        and only a lane's best k of it are shuffled.
+        """
+        stored = sorted(self.centroids.collect(), key=lambda r: r.list)  # a row a list
+        if not stored:
+            return self.spark.createDataFrame([], "query_id long, id long, rank int, distance double")
+        c = np.array([r.c for r in stored])
+        pieces = np.ones(len(c), np.int64)
+        for r in self.vectors.groupBy("list").count().collect():
+            pieces[r["list"]] = -(-r["count"] // tiles.LANE)
+        first, nearest = np.cumsum(pieces) - pieces, self.ranked(c, probes)
+
+        def probe(batches):
+            for b in batches:
+                for part in (b.slice(lo, 1024) for lo in range(0, b.num_rows, 1024)):
+                    own = nearest(part.column("vector"))
+                    at = np.repeat(np.arange(part.num_rows), own.shape[1])
+                    n = pieces[own.ravel()]
+                    lane = np.repeat(first[own.ravel()], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    to = pa.array(np.repeat(at, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(lane, pa.int32()), part.column("id").take(to), part.column("vector").take(to)], names=["lane", "id", "vector"])
+
+        def hold(batches):
+            return np.concatenate([b.column("id").to_numpy() for b in batches]), np.concatenate([tiles.matrix(b.column("unit"), np.float64) for b in batches])
+
+        def ask(held, names, asked):
+            ids, x = held
+            best = tiles.nearest(tiles.matrix(asked, np.float64), x, names, ids, k)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in best], names=["query_id", "id", "distance"])
+
+        lane = lambda f, n: F.get(F.array(*[F.lit(int(v)) for v in f]), F.col("list")) + F.pmod(F.xxhash64("id"), F.get(F.array(*[F.lit(int(v)) for v in n]), F.col("list")))
+        rows = self.vectors.select(lane(first, pieces).cast("int").alias("lane"), "id", "unit")
+        sent = self.units(queries, "vector", c).mapInArrow(probe, "lane int, id long, vector array<double>")
+        return tiles.merged(tiles.meet(rows, sent, None, hold, ask, "query_id long, id long, distance double"), k)

@@ -70,6 +70,33 @@ def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return r[keep], c[keep]
 
 
+def nearest(q: np.ndarray, x: np.ndarray, names: np.ndarray, ids: np.ndarray, k: int, digits: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance): of each query the k nearest of a lane's rows, the query itself left out. A block of rows is looked at
+    only where it has a distance below the query's k-th so far or equal to it."""
+    found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    far = np.full(len(q), np.inf)
+    for lo in range(0, len(ids), BLOCK):
+        own = ids[lo : lo + BLOCK]
+        d = q @ x[lo : lo + BLOCK].T
+        np.round(np.subtract(1, d, out=d), digits, out=d)
+        own_row = np.argsort(own, kind="stable")
+        at = np.searchsorted(own, names, sorter=own_row)
+        there = np.flatnonzero(at < len(own))
+        there = there[own[own_row[at[there]]] == names[there]]
+        for r in there.tolist():
+            d[r, own == names[r]] = np.inf
+        r, c = smallest(d, own, k) if lo == 0 else np.nonzero((d <= far[:, None]) & (d < np.inf))
+        row, i, dist = (np.concatenate(v) for v in zip(found, (r, own[c], d[r, c])))
+        order = np.lexsort((i, dist, row))
+        row, i, dist = row[order], i[order], dist[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found = [row[keep], i[keep], dist[keep]]
+        last = np.searchsorted(found[0], np.arange(len(q)), "right")
+        full = last - np.searchsorted(found[0], np.arange(len(q))) == k
+        far[full] = found[2][last[full] - 1]
+    return names[found[0]], found[1], found[2]
+
+
 def merged(found: DataFrame, k: int) -> DataFrame:
     """query_id, id, rank, distance: the best k of what the lanes found."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
@@ -113,12 +140,7 @@ def neighbors(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9) -
         for size, at, q in by_size(asked):
             if size in held:
                 ids, x = held[size]
-                for lo in range(0, len(ids), BLOCK):
-                    own = ids[lo : lo + BLOCK]
-                    d = np.round(1 - q @ x[lo : lo + BLOCK].T, digits)
-                    d[names[at][:, None] == own[None, :]] = np.inf
-                    r, c = smallest(d, own, k)
-                    parts.append((names[at][r], own[c], d[r, c]))
+                parts.append(nearest(q, x, names[at], ids, k, digits))
         if not parts:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["query_id", "id", "distance"])

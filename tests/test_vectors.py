@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
-from lodestone.operators import compressed, evaluate, graph, tiles
+from lodestone.operators import ann, compressed, evaluate, graph, tiles
 from lodestone.plans import registry
 
 from .conftest import SMALL
@@ -113,3 +113,21 @@ def test_decimals_as_printf(spark):
         assert all(r.s == f"{r.x:.{digits}f}" for r in df.select("x", V.fixed(F.col("x"), digits).alias("s")).collect()), digits
     row = spark.createDataFrame([([float("nan"), float("inf"), None, float("-inf"), 0.103515625],)], "v array<double>").select(V.render(F.col("v")).alias("s")).first()
     assert row.s == "[nan,inf,-inf,0.10351562]"
+
+
+@pytest.mark.parametrize("lane,block", [(1 << 15, 1 << 12), (20, 7)])
+def test_lists_meet_their_queries_in_tiles(spark, odd, tmp_path, lane, block, monkeypatch):
+    """All lists probed give the exact neighbours, with ties, vectors of other sizes and none; lists are cut into lanes, and no rows are paired by a join."""
+    monkeypatch.setattr(tiles, "LANE", lane)
+    monkeypatch.setattr(tiles, "BLOCK", block)
+    v = frame(spark, [x if x is None or len(x) == 8 else None for x in odd])
+    lists = ann.Lists(spark, f"file://{tmp_path}/l").build(v.where("NOT exists(embedding, x -> isnan(x))"), 6)
+    asked = v.where("id % 3 = 0")
+    found = lists.search(asked, 5, 6)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == plain([x if x is None or len(x) == 8 else None for x in odd], range(0, len(odd), 3), 5)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert lists.search(v.where("false"), 5, 6).count() == 0
+    assert ann.Lists(spark, f"file://{tmp_path}/e").build(v.where("false"), 6).search(asked, 3, 2).count() == 0
