@@ -191,3 +191,34 @@ def test_segmented_words_against_plain(spark):
                 k += 1
                 want.setdefault((r.doc_id, p), []).append(str(k))
     assert {(r.id, r.term): r.positions for r in registry.QUERIES["segmented_words"](spark, SMALL).collect()} == {k: ",".join(v) for k, v in want.items()}
+
+
+def test_terms_of_a_batch_by_distinct_words():
+    """Terms with places as a plain loop gives them, each distinct word analysed once, and batches cut by their words."""
+    import pyarrow as pa
+
+    from lodestone.functions.analysers import Placed, cut
+
+    rng = np.random.default_rng(3)
+    rows = [None, [], ["stop"], *([f"w{x}" if x else "stop" for x in rng.integers(0, 9, n)] for n in rng.integers(0, 40, 30)), ["ab"] * 200]
+    calls = []
+
+    def terms(words):
+        calls.extend(words)
+        return [t for w in words for t in ([None] if w == "stop" else [w[:1], None, w[1:]] if w > "w4" else [w])]
+
+    want = []
+    for i, words in enumerate(rows):
+        at = {}
+        for k, t in enumerate(terms(words or ()), 1):
+            if t:
+                at.setdefault(t, []).append(k)
+        want += [(i, t, p, len(p)) for t, p in at.items()]
+    calls.clear()
+    b = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["tokens"])
+    row, term, places, n = Placed(b.column(0), terms).groups()
+    assert sorted(zip(row.tolist(), term.to_pylist(), places.to_pylist(), n.tolist())) == sorted(want)
+    assert len(calls) == len(set(calls))
+    parts = list(cut([b, b.slice(0, 0)], most=50))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == rows
+    assert all(p.num_rows == 1 or sum(map(len, filter(None, p.column(0).to_pylist()))) <= 50 for p in parts) and len(parts) > 5
