@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.analysers import cut
 
 TERMS, DIM, MORE, PASSES = 1 << 14, 64, 16, 3
+#: Entries of sparse rows that are multiplied at once: each is a row of the basis' width there.
+ENTRIES = 1 << 15
 #: Terms of a part of the sums.
 PART = 1 << 10
 ROW = "id long, codes array<int>, weights array<float>"
@@ -61,7 +64,7 @@ class Latent:
         sent = self.spark.sparkContext.broadcast((code, idf))
 
         def sparse(batches):
-            for b in batches:
+            for b in cut(batches):
                 codes, weights = [], []
                 for tokens in b.column("tokens").to_pylist():
                     own = row_of(tokens or (), *sent.value)
@@ -89,7 +92,7 @@ class Latent:
 
         def run(batches):
             total = np.zeros_like(sent.value)
-            for b in batches:
+            for b in cut(batches, "codes", ENTRIES):
                 codes, weights, row, n = products(b)
                 y = times(codes, weights, row, n, sent.value)
                 order = np.argsort(codes, kind="stable")
@@ -121,7 +124,7 @@ class Latent:
 
         def run(batches):
             total = np.zeros((width, width))
-            for b in batches:
+            for b in cut(batches, "codes", ENTRIES):
                 y = times(*products(b), sent.value)
                 total += y.T @ y
             yield pa.RecordBatch.from_arrays([pa.array([k for k in range(width)], pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["k", "s"])
@@ -143,7 +146,7 @@ class Latent:
         sent = self.spark.sparkContext.broadcast(self.model()[2])
 
         def run(batches):
-            for b in batches:
+            for b in cut(batches, "codes", ENTRIES):
                 y = times(*products(b), sent.value)
                 norm = np.linalg.norm(y, axis=1)
                 unit = y / np.maximum(norm, 1e-12)[:, None]

@@ -222,3 +222,13 @@ def test_terms_of_a_batch_by_distinct_words():
     parts = list(cut([b, b.slice(0, 0)], most=50))
     assert pa.Table.from_batches(parts).column(0).to_pylist() == rows
     assert all(p.num_rows == 1 or sum(map(len, filter(None, p.column(0).to_pylist()))) <= 50 for p in parts) and len(parts) > 5
+
+
+def test_latent_vectors_of_bounded_products(spark):
+    """A product's rows of the basis take 32 MB at most, and the query writes a vector of each document."""
+    from lodestone.operators import latent
+
+    assert latent.ENTRIES * (latent.DIM + latent.MORE) * 8 <= 1 << 25
+    rows = registry.QUERIES["latent_vectors"](spark, SMALL).collect()
+    assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert all(len(r.v.split(",")) == latent.DIM and all(len(x) == 5 for x in r.v.split(",")) for r in rows if r.v)
