@@ -12,7 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,13 +44,22 @@ class Lexicon:
         costs = {p: math.log(total / n) + (len(p) + 1) * letter / n for p, n in kept.items()}
         return Lexicon(costs, math.log(total / max(unknown, 1)) + letter, letter)
 
+    @cached_property
+    def ends(self) -> dict[str, tuple[int, ...]]:
+        """The lengths of the pieces that end with two letters, the longest first: others needn't be looked up."""
+        out: dict[str, set[int]] = {}
+        for p in self.costs:
+            if 1 < len(p) <= PIECE:
+                out.setdefault(p[-2:], set()).add(len(p))
+        return {two: tuple(sorted(sizes, reverse=True)) for two, sizes in out.items()}
+
     def cut(self, word: str) -> list[str]:
         """The cheapest path's pieces, in time linear in the word; equal costs go to known pieces, and to the longer last one."""
         return [word[a:b] for a, b, _ in self.path(word)]
 
     def path(self, word: str) -> list[tuple[int, int, bool]]:
         """(start, end, known) of the pieces."""
-        n, find = len(word), self.costs.get
+        n, find, ends = len(word), self.costs.get, self.ends.get
         cost, back = [0.0] * (n + 1), [(0, False)] * (n + 1)
         inside, since = math.inf, 0
         for i in range(1, n + 1):
@@ -58,9 +67,11 @@ class Lexicon:
                 inside, since = cost[i - 1] + self.opening, i - 1
             inside += self.letter
             least, at = math.inf, (0, False)
-            for j in range(max(0, i - PIECE), i):
-                if (c := find(word[j:i])) is not None and cost[j] + c < least:
-                    least, at = cost[j] + c, (j, True)
+            for size in ends(word[i - 2 : i], ()) if i > 1 else ():
+                if size <= i and (c := find(word[i - size : i])) is not None and cost[i - size] + c < least:
+                    least, at = cost[i - size] + c, (i - size, True)
+            if (c := find(word[i - 1])) is not None and cost[i - 1] + c < least:
+                least, at = cost[i - 1] + c, (i - 1, True)
             cost[i], back[i] = (least, at) if least <= inside else (inside, (since, False))
         out, i = [], n
         while i:

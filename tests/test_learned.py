@@ -232,3 +232,39 @@ def test_latent_vectors_of_bounded_products(spark):
     rows = registry.QUERIES["latent_vectors"](spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
     assert all(len(r.v.split(",")) == latent.DIM and all(len(x) == 5 for x in r.v.split(",")) for r in rows if r.v)
+
+
+def test_lattice_looks_up_few_pieces():
+    """Paths as a plain search over all pieces gives them, with fewer look-ups."""
+    import math
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *a):
+            Counted.looked += 1
+            return super().get(*a)
+
+    rng = np.random.default_rng(6)
+    word = lambda most: "".join(rng.choice(list("abcd"), int(rng.integers(1, most))))
+    lexicon = segmentation.Lexicon(Counted({word(7): float(rng.integers(1, 6)) for _ in range(40)}), 3.0, 1.0)
+
+    def plain(w):
+        cost, back, inside, since = [0.0] * (len(w) + 1), [None] * (len(w) + 1), math.inf, 0
+        for i in range(1, len(w) + 1):
+            if cost[i - 1] + 3.0 <= inside:
+                inside, since = cost[i - 1] + 3.0, i - 1
+            inside += 1.0
+            own = [(cost[j] + dict.get(lexicon.costs, w[j:i]), j) for j in range(max(0, i - 8), i) if w[j:i] in lexicon.costs]
+            least = min(own, default=(math.inf, 0))
+            cost[i], back[i] = (least[0], (least[1], True)) if least[0] <= inside else (inside, (since, False))
+        out, i = [], len(w)
+        while i:
+            j, known = back[i]
+            out.append((j, i, known))
+            i = j
+        return out[::-1]
+
+    words = [word(20) for _ in range(500)]
+    assert [lexicon.path(w) for w in words] == [plain(w) for w in words]
+    assert Counted.looked < 0.6 * sum(min(i, 8) for w in words for i in range(1, len(w) + 1))
