@@ -122,6 +122,10 @@ class Compressed:
                 parts.append((names[r], ids[at], s[r, at]))
             m = sum(len(ids) for ids, _ in rows)
             r, i, s = (np.concatenate(v) for v in zip(*parts))
+            order = np.lexsort((i, -s, r))  # the best of all of the list's packs
+            r, i, s = r[order], i[order], s[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < fetched
+            r, i, s = r[keep], i[keep], s[keep]
             first = np.unique(r, return_index=True)[1]  # how many codes a query looked at here is told once
             n = np.zeros(len(r), np.int64)
             n[first] = m

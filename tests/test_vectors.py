@@ -131,3 +131,17 @@ def test_lists_meet_their_queries_in_tiles(spark, odd, tmp_path, lane, block, mo
     assert "Join" not in found._jdf.queryExecution().toString()
     assert lists.search(v.where("false"), 5, 6).count() == 0
     assert ann.Lists(spark, f"file://{tmp_path}/e").build(v.where("false"), 6).search(asked, 3, 2).count() == 0
+
+
+@pytest.mark.parametrize("few", [1024, 10])
+def test_a_list_hands_on_its_best_only(spark, tmp_path, few, monkeypatch):
+    """A list of many packs gives as many candidates of a query as are fetched, not as many of each pack."""
+    monkeypatch.setattr(compressed, "FEW", few)
+    monkeypatch.setattr(compressed, "PACK", 20)
+    v = frame(spark, np.random.default_rng(5).normal(size=(600, 8)))
+    c = compressed.Compressed(spark, f"file://{tmp_path}/c").build(v, lists=2)
+    asked = v.where("id % 20 = 0")
+    rows = c.candidates(asked, 2, 15).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("codes").alias("codes")).collect()
+    # Where queries go with the task a row of the table (a pack) is a list's part of its own.
+    assert len(rows) == 30 and all(r.codes == 600 for r in rows)
+    assert few == 1024 or all(r.n == 30 for r in rows)
