@@ -55,7 +55,7 @@ def run(df: DataFrame, size: int) -> DataFrame:
     runs = ranges.groupBy("run").agg(F.sum("n").alias("n")).select("run", sums(W.orderBy("run")).alias("first"))
     before = ranges.withColumn("within", sums(W.partitionBy("run").orderBy("part"))).join(runs, "run").select("part", (F.col("first") + F.col("within")).alias("before"))
     placed = parts.join(before, "part").withColumn("place", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("id")))
-    total = rows.agg(F.count("*").alias("total"))
+    total = ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     ends = placed.crossJoin(F.broadcast(total)).where((F.col("place") % size == 0) | (F.col("place") == F.col("total")))
     return ends.select(F.ceil(F.col("place") / size).cast("long").alias("chunk"), F.col("id").alias("last_id"), F.col("place").cast("long").alias("processed"), F.when(F.col("place") == F.col("total"), "completed").otherwise("running").alias("state"))
 

@@ -108,14 +108,26 @@ def _state(spark, d):
     return rows.select("id", "content", "fts", "textlen", F.when(F.col("id") % 2 == 0, F.col("e")).alias("embedding"), F.when(F.col("id") % 2 == 1, F.col("e")).alias("legacy"), F.when(F.col("id") % 6 == 0, F.slice("e", 1, 32)).alias("embedding_hnsw"))
 
 
+def _gaps(spark, d):
+    """_state as to what is missing: a column is true or null. Neither contents nor vectors are shuffled by the join, only their marks."""
+    from ..functions import text as T
+
+    there = lambda c: F.when(c.isNotNull(), F.lit(True))
+    t = F.when(F.col("content").isNotNull(), F.array(F.lit("")))  # words are null where the content is
+    third, fifth = F.col("id") % 3 == 0, F.col("id") % 5 == 0
+    docs = X.docs(spark, d).select("id", there(F.when(third, t)).alias("fts"), there(F.when(third | fifth, T.text_length(t))).alias("textlen"))
+    vectors = X.vectors(spark, d).select("id", there(F.col("embedding")).alias("e"))
+    return docs.join(vectors, "id", "left").select("id", "fts", "textlen", F.when(F.col("id") % 6 == 0, F.col("e")).alias("embedding_hnsw"))
+
+
 @query(f"SELECT count(*) AS rows, count(*) FILTER (WHERE {NEEDS}) AS needs_backfill, count(*) AS snapshot_rows FROM {STATE}")
 def backfill_count(spark, d):
-    return backfill.count(_state(spark, d))
+    return backfill.count(_gaps(spark, d))
 
 
 @query(f"SELECT id, fts IS NULL AS no_fts FROM {STATE} WHERE {NEEDS} AND id > 100 ORDER BY id LIMIT 50")
 def backfill_chunk(spark, d):
-    return backfill.chunk(_state(spark, d), 100, 50).select("id", F.col("fts").isNull().alias("no_fts"))
+    return backfill.chunk(_gaps(spark, d), 100, 50).select("id", F.col("fts").isNull().alias("no_fts"))
 
 
 @query(f"""SELECT id, coalesce(textlen, len(list_distinct(tokens))) AS textlen, len(tokens) AS words, len(coalesce(embedding_hnsw, embedding[1:32], legacy[1:32])) AS dims, fts IS NULL OR textlen IS NULL AS queued
@@ -136,7 +148,7 @@ def backfill_ranges(spark, d):
 
 @query(f"SELECT ceil(place / 128.0)::BIGINT AS chunk, id AS last_id, place AS processed, CASE WHEN place = total THEN 'completed' ELSE 'running' END AS state FROM (SELECT id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS total FROM {STATE} WHERE {NEEDS}) WHERE place % 128 = 0 OR place = total")
 def backfill_run(spark, d):
-    return backfill.run(_state(spark, d), 128)
+    return backfill.run(_gaps(spark, d), 128)
 
 
 @query("SELECT id, round(CASE WHEN id % 10 = 0 THEN -embedding[1] ELSE embedding[1] END, 6) AS first FROM vec UNION ALL SELECT 1000000 + id, round(embedding[1], 6) FROM vec WHERE id % 50 = 0")
