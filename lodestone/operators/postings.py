@@ -2,9 +2,10 @@
 
 A segment is a few thousand documents of one task; it is made without a shuffle. Its rows: one for each token with the
 places of the documents that have it (ascending), how often, and for each block of BLOCK documents where the list enters it, the corners: those
-(count, length) there that no other has as often in as short a document, from which the block's largest weight follows for any parameters. The row of
-the empty token has the segment's ids and lengths. A file has a task's segments sorted by token in one row group, so
-a query's tokens are a few pages, and one task sees all of a segment: scores need no shuffle by document.
+(count, length) there that no other has as often in as short a document, from which the block's largest weight follows for any parameters. A list of at
+most BLOCK documents has no corners, as its own numbers are as few, and nor have lists that aren't scored. The row of
+the empty token has the segment's ids and lengths. A task writes runs of segments of about RUN bytes, each sorted by token, into one row group, so
+a query's tokens are a few pages of each run, a task's memory doesn't grow with its rows, and one task sees all of a segment: scores need no shuffle by document.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 #: Documents and tokens of a segment, about.
 DOCUMENTS, TOKENS = 1 << 12, 1 << 21
 BLOCK = 1 << 6
+#: Bytes of the rows that are sorted by token at once.
+RUN = 1 << 25
 #: A place in a segment is 16 bits.
 SCHEMA = "table_name string, token string, segment long, n long, docs binary, tfs binary, blocks binary, starts binary, corners binary, most binary, least binary"
 NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
@@ -34,53 +37,63 @@ def sliced(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def segment(table: str, number: int, ids: np.ndarray, lens: np.ndarray, tokens: pa.ListArray) -> Iterator[pa.RecordBatch]:
-    """The rows of a segment, some at a time."""
+def segment(table: str, number: int, ids: np.ndarray, lens: np.ndarray, tokens: pa.ListArray, corners: bool = True) -> pa.RecordBatch:
+    """The rows of a segment; without corners none of its lists have any."""
     sizes = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.list_flatten(tokens).dictionary_encode()
     key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 16 | np.repeat(np.arange(len(ids)), sizes)
     key, tf = np.unique(key, return_counts=True)
     code, doc, tf = key >> 16, (key & 0xFFFF).astype(np.uint16), tf.astype(np.uint32)
     first = np.flatnonzero(np.diff(code, prepend=-1))
-    block = doc >> 6
-    enters = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(block.astype(np.int64), prepend=-1) != 0))
-    entry = np.searchsorted(enters, np.arange(len(doc)), "right") - 1
-    order = np.lexsort((lens[doc], -tf.astype(np.int64), entry))
-    length = lens[doc][order].astype(np.int64)
-    shortest = np.minimum.accumulate(length - (entry[order] << 32)) + (entry[order] << 32) if len(order) else length  # so far in the block, as each block begins anew
+    by_doc = np.append(first, len(doc))
+    counts = np.diff(by_doc)
+    long = np.flatnonzero(np.repeat((counts > BLOCK) & corners, counts))
+    of = np.repeat(np.arange(len(first)), counts)[long]
+    at, often, length = doc[long], tf[long], lens[doc[long]]
+    block = at >> 6
+    enters = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(block.astype(np.int64), prepend=-1) != 0))
+    entry = np.searchsorted(enters, np.arange(len(at)), "right") - 1
+    order = np.lexsort((length, -often.astype(np.int64), entry))
+    sorted_by = length[order].astype(np.int64)
+    shortest = np.minimum.accumulate(sorted_by - (entry[order] << 32)) + (entry[order] << 32) if len(order) else sorted_by  # so far in the block, as each block begins anew
     corner = np.ones(len(order), bool)
-    corner[1:] = (entry[order][1:] != entry[order][:-1]) | (length[1:] < shortest[:-1])
-    most, least, corners = tf[order][corner], lens[doc][order][corner], np.searchsorted(entry[order][corner], np.arange(len(enters)))
-    of = np.searchsorted(first, enters, "right") - 1
-    starts = (enters - first[of]).astype(np.uint32) if len(enters) else np.zeros(0, np.uint32)
-    by_doc, by_block = np.append(first, len(doc)), np.searchsorted(of, np.arange(len(first) + 1))
-    by_corner = np.append(corners, len(most))[by_block]
-    inside = (corners - by_corner[of]).astype(np.uint32) if len(enters) else starts
-    none = lambda n: pa.array([b""] * n, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array([table]), pa.array([""]), pa.array([number]), pa.array([len(ids)]), pa.array([ids.tobytes()]), pa.array([lens.tobytes()]), *[none(1)] * 5], names=NAMES)
-    names = coded.dictionary.take(pa.array(code[first]))
-    for lo in range(0, len(first), 10_000):
-        hi = min(lo + 10_000, len(first))
-        b, w, c = by_doc[lo : hi + 1], by_block[lo : hi + 1], by_corner[lo : hi + 1]
-        cut = lambda data, at: sliced(data[at[0] : at[-1]], at - at[0])
-        m = hi - lo
-        yield pa.RecordBatch.from_arrays([pa.array([table] * m), names.slice(lo, m), pa.array([number] * m), pa.array(np.diff(b)), cut(doc, b), cut(tf, b), cut(block[enters].astype(np.uint16), w), cut(starts, w), cut(inside, w), cut(most, c), cut(least, c)], names=NAMES)
-
-
-def packed(docs: DataFrame, grams: Callable[[pa.Array], pa.ListArray] | None = None) -> DataFrame:
-    """The rows of documents (table_name, id, tokens, len). grams: makes the tokens of a batch from the column, else they are arrays."""
+    corner[1:] = (entry[order][1:] != entry[order][:-1]) | (sorted_by[1:] < shortest[:-1])
+    most, least, corners_at = often[order][corner], length[order][corner], np.searchsorted(entry[order][corner], np.arange(len(enters)))
+    by_block = np.searchsorted(of[enters], np.arange(len(first) + 1))
+    starts = (long[enters] - first[of[enters]]).astype(np.uint32)
+    by_corner = np.append(corners_at, len(most))[by_block]
+    inside = (corners_at - by_corner[of[enters]]).astype(np.uint32)
+    m = len(first)
+    lists = [coded.dictionary.take(pa.array(code[first])), pa.array(counts), sliced(doc, by_doc), sliced(tf, by_doc), sliced(block[enters].astype(np.uint16), by_block), sliced(starts, by_block), sliced(inside, by_block), sliced(most, by_corner), sliced(least, by_corner)]
+    documents = ["", len(ids), ids.tobytes(), lens.tobytes(), *[b""] * 5]
+    columns = [pa.concat_arrays([pa.array([d], c.type), c]) for d, c in zip(documents, lists)]
+    return pa.RecordBatch.from_arrays([pa.array([table] * (m + 1)), columns[0], pa.array([number] * (m + 1)), *columns[1:]], names=NAMES)
+
+
+def packed(docs: DataFrame, grams: Callable[[pa.Array], pa.ListArray] | None = None, corners: bool = True) -> DataFrame:
+    """The rows of documents (table_name, id, tokens, len), by token in each run. grams: makes the tokens of a batch from the column, else they are arrays."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        number, name, ids, lens, tokens, size = TaskContext.get().partitionId() << 24, None, [], [], [], 0
+        number, name, ids, lens, tokens, size, held = TaskContext.get().partitionId() << 24, None, [], [], [], 0, []
 
         def flush():
             nonlocal number, ids, lens, tokens, size
             if ids:
                 own = pa.concat_arrays(tokens) if len(tokens) > 1 else tokens[0]
-                yield from segment(name, number, np.concatenate(ids), np.concatenate(lens), own)
+                held.append(segment(name, number, np.concatenate(ids), np.concatenate(lens), own, corners))
                 number, ids, lens, tokens, size = number + 1, [], [], [], 0
+                if sum(b.nbytes for b in held) >= RUN:
+                    yield from in_order()
+
+        def in_order():
+            if held:
+                rows = pa.Table.from_batches(held)
+                held.clear()
+                order = pc.sort_indices(rows.select(["token", "segment"]), sort_keys=[("token", "ascending"), ("segment", "ascending")])
+                for lo in range(0, len(order), 10_000):
+                    yield from rows.take(order.slice(lo, 10_000)).combine_chunks().to_batches()
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -99,16 +112,17 @@ def packed(docs: DataFrame, grams: Callable[[pa.Array], pa.ListArray] | None = N
                     if size >= TOKENS or sum(map(len, ids)) >= DOCUMENTS:
                         yield from flush()
         yield from flush()
+        yield from in_order()
 
     return docs.select("table_name", "id", "tokens", F.col("len").cast("int").alias("len")).mapInArrow(run, SCHEMA)
 
 
-def write(docs: DataFrame, path: str, grams=None) -> None:
+def write(docs: DataFrame, path: str, grams=None, corners: bool = True) -> None:
     """Documents of fewer files than cores are dealt to all cores first."""
     n = docs.sparkSession.sparkContext.defaultParallelism
     if len(docs.inputFiles()) < n:
         docs = docs.repartition(n, "id")
-    packed(docs, grams).sortWithinPartitions("token", "segment").write.options(**OPTIONS).mode("overwrite").parquet(path)
+    packed(docs, grams, corners).write.options(**OPTIONS).mode("overwrite").parquet(path)
 
 
 class Lists:
@@ -138,6 +152,15 @@ def counts(row: dict) -> np.ndarray:
     return np.frombuffer(row["tfs"], np.uint32).astype(np.int64)
 
 
+def blocks_of(row: dict, lens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """blocks, starts, corners, most, least of a list; those of a list without corners are its own numbers."""
+    if row["blocks"]:
+        return tuple(np.frombuffer(row[c], t) for c, t in (("blocks", np.uint16), ("starts", np.uint32), ("corners", np.uint32), ("most", np.uint32), ("least", np.int32)))
+    at = places(row)
+    starts = np.flatnonzero(np.diff(at >> 6, prepend=np.uint16(0xFFFF)))
+    return at[starts] >> 6, starts, starts, counts(row), lens[at]
+
+
 def selected(rows: DataFrame, words: list[str], table: str | None) -> DataFrame:
     rows = rows.where(F.col("token").isin(["", *words]))
     return rows if table is None else rows.where(F.col("table_name") == table)
@@ -226,12 +249,13 @@ def tops(rows: DataFrame, weights: Weights, table: str | None, k: int, digits: i
 
     def run(batches):
         parts, lists = [], list(Lists(batches))
-        for number, (_, _, _, own) in enumerate(lists):
+        for number, (_, _, lens, own) in enumerate(lists):
             bound: dict[int, float] = {}
             for word, r in own.items():
-                at_corners = weights.term(word, np.frombuffer(r["most"], np.uint32).astype(np.int64), np.frombuffer(r["least"], np.int32))
-                largest = np.maximum.reduceat(at_corners, np.frombuffer(r["corners"], np.uint32))
-                for block, x in zip(np.frombuffer(r["blocks"], np.uint16).tolist(), largest.tolist()):
+                blocks, starts, corners, most, least = blocks_of(r, lens)
+                r["entered"] = blocks, starts
+                largest = np.maximum.reduceat(weights.term(word, most.astype(np.int64), least), corners)
+                for block, x in zip(blocks.tolist(), largest.tolist()):
                     bound[block] = bound.get(block, 0.0) + x
             parts += [(x, number, block) for block, x in bound.items()]
         parts.sort(reverse=True)
@@ -246,11 +270,10 @@ def tops(rows: DataFrame, weights: Weights, table: str | None, k: int, digits: i
             for word in weights.idf:
                 if (r := own.get(word)) is None:
                     continue
-                blocks = np.frombuffer(r["blocks"], np.uint16)
+                blocks, starts = r["entered"]
                 at = int(np.searchsorted(blocks, block))
                 if at == len(blocks) or blocks[at] != block:
                     continue
-                starts = np.frombuffer(r["starts"], np.uint32)
                 lo, hi = int(starts[at]), int(starts[at + 1]) if at + 1 < len(starts) else r["n"]
                 doc = np.frombuffer(r["docs"], np.uint16, hi - lo, 2 * lo)
                 tf = np.frombuffer(r["tfs"], np.uint32, hi - lo, 4 * lo).astype(np.int64)

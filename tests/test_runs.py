@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from lodestone.operators import postings
+from lodestone.operators.stored import Index
 from lodestone.plans import registry
 
 from .conftest import SMALL
@@ -24,3 +26,32 @@ def joined_types(plan) -> set[str]:
 def test_backfill_joins_marks_only(spark, name):
     plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan()
     assert joined_types(plan) <= {"bigint", "boolean", "int"}
+
+
+def test_lists_in_runs_need_no_sort_of_a_task(spark, tmp_path, monkeypatch):
+    """A task's rows come in runs that are sorted as they are made; only long lists that are scored have corners."""
+    monkeypatch.setattr(postings, "DOCUMENTS", 64)
+    monkeypatch.setattr(postings, "RUN", 1 << 13)
+    docs = spark.createDataFrame([("t", k, ["all", f"w{k % 7}", f"only{k}"], 3) for k in range(1000)], "table_name string, id long, tokens array<string>, len int").coalesce(1)
+    path = f"file://{tmp_path}/lists"
+    postings.write(docs, path)
+    rows = spark.read.schema(postings.SCHEMA).parquet(path).collect()
+    runs, at = 0, set()
+    for before, r in zip([None, *rows], rows):
+        if r["token"] == "" and (before is None or before["token"] != ""):
+            runs, at = runs + 1, set()
+        else:
+            assert (before["token"], before["segment"]) < (r["token"], r["segment"])
+        if r["token"] == "":
+            at.add(r["segment"])
+        assert r["segment"] in at
+    assert runs > spark.sparkContext.defaultParallelism  # several a task
+    index = Index(spark, f"file://{tmp_path}/index").build(docs)
+    assert sorted(r.id for r in index.matching(["all", "w3"], "t").collect()) == [k for k in range(1000) if k % 7 == 3]
+    assert [r.id for r in index.top(["all", "only5"], "t", 3).collect()] == [5, 999, 998]
+
+
+def test_short_and_unscored_lists_have_no_corners(spark):
+    docs = spark.createDataFrame([("t", k, ["all", f"only{k}"], 2) for k in range(200)], "table_name string, id long, tokens array<string>, len int").coalesce(1)
+    assert {r["token"] for r in postings.packed(docs).collect() if r["blocks"]} == {"all"}
+    assert not [r for r in postings.packed(docs, None, False).collect() if r["blocks"] or r["most"]]
