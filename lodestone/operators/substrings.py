@@ -69,9 +69,9 @@ class Substrings:
         text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
         for field in FIELDS:  # a title is short, so it isn't dealt with the contents
             rows = docs.select(F.lit(field).alias("table_name"), F.col("id").cast("long").alias("id"), text(field).alias("tokens"), F.lit(0).alias("len"))
-            P.write(rows, f"{self.folder}/lists/{field}/version={version}", grams)
+            P.write(rows, f"{self.folder}/lists/{field}/version={version}", grams, corners=False)
         words = docs.select(F.lit("words").alias("table_name"), F.col("id").cast("long").alias("id"), T.tokens(F.coalesce("title", F.lit(""))).alias("tokens"), F.lit(0).alias("len"))
-        P.write(words, f"{self.folder}/lists/words/version={version}")
+        P.write(words, f"{self.folder}/lists/words/version={version}", corners=False)
         if dead is not None:
             dead.select(F.col("id").cast("long").alias("id")).distinct().write.mode("overwrite").parquet(f"{self.folder}/dead/version={version}")
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done/{version}")
