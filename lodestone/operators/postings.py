@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Documents and tokens of a segment, about.
 DOCUMENTS, TOKENS = 1 << 12, 1 << 21
 BLOCK = 1 << 6
+#: Documents with a query's rarest words that give a first bound, and cells of queries and documents that are added up at once.
+SEEDS, DENSE = 256, 1 << 21
 #: Bytes of the rows that are sorted by token at once.
 RUN = 1 << 25
 #: A place in a segment is 16 bits.
@@ -212,10 +214,13 @@ class Weights:
     def __init__(self, idf: dict[str, float], avglen: float, k1: float, b: float):
         self.idf, self.avglen, self.k1, self.b = idf, avglen, round(k1, 6), round(b, 6)
 
-    def term(self, word: str, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def factor(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         if not self.avglen:
             return np.zeros(len(tf))
-        return self.idf[word] * (tf * round(self.k1 + 1, 6)) / (tf + self.k1 * (1 - self.b + self.b * length / self.avglen))
+        return (tf * round(self.k1 + 1, 6)) / (tf + self.k1 * (1 - self.b + self.b * length / self.avglen))
+
+    def term(self, word: str, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf[word] * self.factor(tf, length)
 
 
 def idf(n: int, df: int) -> float:
@@ -292,52 +297,181 @@ def tops(rows: DataFrame, weights: Weights, table: str | None, k: int, digits: i
     return selected(rows, list(weights.idf), table).mapInArrow(run, "id long, score double, blocks long, blocks_read long")
 
 
-def tops_many(rows: DataFrame, queries: list[tuple[int | None, list[str]]], weights: Weights, table: str, k: int, digits: int = 6) -> DataFrame:
-    """query_id, id, score: the best k of each task for each of many queries (id, words), by score, then id, both descending.
-
-    rows: the lists of the queries' words. A list's weights are computed once for all queries that have its word; a query takes
-    the segments by the sum of its words' largest weights there, until none can reach its k-th best so far.
+class Asked:
+    """Many queries as arrays: pairs of a query and a word it has, a query's most frequent words first."""
+
+    def __init__(self, queries: list[tuple[int | None, list[str]]], frequency: dict[str, int]):
+        words = sorted(frequency)
+        number = {w: k for k, w in enumerate(words)}
+        df = np.array([frequency[w] for w in words], np.int64)
+        self.ids, self.words = [q for q, _ in queries], words
+        self.query = np.repeat(np.arange(len(queries)), np.array([len(own) for _, own in queries], np.int64))
+        self.word = np.array([number[w] for _, own in queries for w in own], np.int64)
+        order = np.lexsort((self.word, -df[self.word], self.query))
+        self.word = self.word[order]
+        self.first = np.searchsorted(self.query, np.arange(len(queries) + 1))
+        rarer = np.cumsum(df[self.word][::-1])[::-1] - df[self.word]  # documents of the words after this one, later queries' too
+        after = np.append(rarer + df[self.word], 0)[self.first[1:]]
+        self.seed = rarer - after[self.query] < SEEDS
+
+
+def runs(batches) -> Iterator[pa.Table]:
+    """The rows of each run, in which the rows of its documents come first."""
+    held, blank = [], True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        is_blank = pc.equal(batch.column("token"), "").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(is_blank & ~np.append(blank, is_blank[:-1]))
+        blank = is_blank[-1]
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if lo in cuts and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def flat(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column one after the other, and where each row's begin."""
+    parts = [c.cast(pa.binary()) for c in column.chunks if len(c)]
+    bounds = [np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] for c in parts]
+    data = [np.frombuffer(c.buffers()[2], np.uint8)[b[0] : b[-1]] for c, b in zip(parts, bounds) if b[-1] > b[0]]
+    sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(b) for b in bounds]]).astype(np.int64)
+    return (np.concatenate(data) if data else np.zeros(0, np.uint8)).view(dtype), np.cumsum(sizes) // np.dtype(dtype).itemsize
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def first_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, digits: int) -> np.ndarray:
+    """The places of the best k of each query by rounded score, then id, both descending; the queries ascend."""
+    order = np.lexsort((-ids, -np.round(scores, digits), query))
+    own = query[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
+def tops_many(rows: DataFrame, asked: Asked, weights: Weights, table: str, k: int, digits: int = 6, least: np.ndarray | None = None) -> DataFrame:
+    """query_id, id, score: the best k of each task for each of many queries, by score, then id, both descending.
+
+    rows: the lists of the queries' words. least: scores that k documents of the whole table reach for each query, or -inf. In a segment a query's most frequent words whose largest
+    weights add up to less than its k-th best so far can't bring a document in, so only documents with one of its other words are
+    looked at, and only those that can still reach that score get the weights of the frequent words. So what is done follows the lists of rare words.
+    Without `least` only some documents with each query's rarest words are looked at: what k of them reach is a bound for the second pass, no result.
     """
-    asked = rows.sparkSession.sparkContext.broadcast(queries)  # as many words as a block of queries has
+    seeding = least is None
+    sent = rows.sparkSession.sparkContext.broadcast((asked, least))  # as many words as a block of queries has
+    most = DENSE
 
     def run(batches):
-        held = []
-        for _, ids, lens, own in Lists(batches):
-            made = {}
-            for word, r in own.items():
-                if word in weights.idf:
-                    at = places(r)
-                    term = weights.term(word, counts(r), lens[at])
-                    made[word] = at, term, float(term.max())
-            held.append((ids, made))
-        out_q, out_i, out_s, slack = [], [], [], 10.0**-digits
-        for query, words in asked.value:
-            parts = []
-            for ids, made in held:
-                own = [made[w] for w in words if w in made]
-                if own:
-                    parts.append((sum(x for _, _, x in own), ids, own))
-            parts.sort(key=lambda p: -p[0])
-            best_i, best_s, least = np.zeros(0, np.int64), np.zeros(0), -1.0
-            for bound, ids, own in parts:
-                if bound + slack < least:
-                    break
-                total, has = np.zeros(len(ids)), np.zeros(len(ids), bool)
-                for at, term, _ in own:
-                    total[at] += term
-                    has[at] = True
-                some = np.flatnonzero(has & (total + slack >= least))
-                best_i, best_s = np.concatenate([best_i, ids[some]]), np.concatenate([best_s, total[some]])
-                first = np.lexsort((-best_i, -np.round(best_s, digits)))[:k]
-                best_i, best_s = best_i[first], best_s[first]
-                least = float(best_s[-1]) if len(best_s) == k else -1.0
-            out_q += [query] * len(best_i)
-            out_i.append(best_i)
-            out_s.append(best_s)
-            if len(out_q) >= 1 << 14:
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_i)), pa.array(np.concatenate(out_s))], names=["query_id", "id", "score"])
-                out_q, out_i, out_s = [], [], []
-        if out_q:
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_i)), pa.array(np.concatenate(out_s))], names=["query_id", "id", "score"])
+        a, known = sent.value
+        words, n_queries = pa.array(a.words, pa.string()), len(a.ids)
+        idf = np.array([weights.idf[w] for w in a.words])
+        least = np.full(n_queries, -np.inf) if known is None else known.copy()
+        looked = np.zeros(n_queries, np.int64)
+        slack = 10.0**-digits
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        new, n_new = [], 0
+
+        def settle():
+            nonlocal best, new, n_new
+            best = [np.concatenate([b, *[n[c] for n in new]]) for c, b in enumerate(best)]
+            keep = first_of(*best, k, digits)
+            best, new, n_new = [b[keep] for b in best], [], 0
+            ends = np.flatnonzero(np.diff(best[0], append=-1))
+            full = ends[np.diff(ends, prepend=-1) == k]
+            least[best[0][full]] = np.maximum(least[best[0][full]], best[2][full])
+
+        for own in runs(batches):
+            number = own.column("segment").to_numpy()
+            of_word = pc.fill_null(pc.index_in(own.column("token"), value_set=words), -1).to_numpy()
+            blank = pc.equal(own.column("token"), "").to_numpy()
+            places_of, where = flat(own.column("docs").filter(pa.array(~blank)), np.uint16)
+            counts_of, _ = flat(own.column("tfs").filter(pa.array(~blank)), np.uint32)
+            listed, listed_word = number[~blank], of_word[~blank]
+            documents = {r["segment"]: r for r in own.filter(pa.array(blank)).select(["segment", "docs", "tfs"]).to_pylist()}
+            if len(np.setdiff1d(listed, np.array(list(documents), np.int64))):
+                raise ValueError("a file of posting lists was cut between tasks: its row group is larger than its option says")
+            for segment_number, r in documents.items():
+                ids, lens = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["tfs"], np.int32)
+                mine = np.flatnonzero((listed == segment_number) & (listed_word >= 0))
+                if not len(mine):
+                    continue
+                sizes = where[mine + 1] - where[mine]
+                at = stretches(where[mine], sizes)
+                place, row = places_of[at].astype(np.int64), np.repeat(np.arange(len(mine)), sizes)
+                tf, begin = counts_of[at].astype(np.int64), np.cumsum(sizes) - sizes
+                length = lens[place]
+                term = np.repeat(idf[listed_word[mine]], sizes) * weights.factor(tf, length)
+                row_of = np.full(len(words), -1)
+                row_of[listed_word[mine]] = np.arange(len(mine))
+                keys = row << 16 | place
+                full_of = np.where(8 * sizes >= len(ids), np.cumsum(8 * sizes >= len(ids)) - 1, -1)  # words of an eighth of the documents are looked up in a table
+                in_full = np.flatnonzero(full_of[row] >= 0)
+                full = np.zeros((int(full_of.max()) + 1, len(ids)))
+                full[full_of[row[in_full]], place[in_full]] = term[in_full]
+                pair_row = row_of[a.word]
+                here = pair_row >= 0
+                largest = np.where(here, np.maximum.reduceat(term, begin)[pair_row], 0.0)
+                sums = np.cumsum(largest)
+                sums -= (np.append(0.0, sums)[a.first[:-1]])[a.query]  # of a query's words up to this one
+                needed = here & (a.seed & (looked[a.query] < SEEDS) if seeding else sums + slack >= least[a.query])
+                pairs = np.flatnonzero(needed)
+                if not len(pairs):
+                    continue
+                rest = here & ~needed
+                bound = np.bincount(a.query, np.where(rest, largest, 0.0), n_queries)
+                asking, starts = np.unique(a.query[pairs], return_index=True)
+                starts = np.append(starts, len(pairs))
+                size_of = np.append(0, np.cumsum(sizes[pair_row[pairs]]))
+                lo = 0
+                while lo < len(asking):
+                    hi = int(np.searchsorted(size_of[starts[1:]], size_of[starts[lo]] + most, "right"))
+                    hi = min(max(hi, lo + 1), lo + max(1, most // len(ids)))
+                    some = pairs[starts[lo] : starts[hi]]
+                    n = sizes[pair_row[some]]
+                    at = stretches(begin[pair_row[some]], n)
+                    cell = np.repeat(np.searchsorted(asking[lo:hi], a.query[some]) * len(ids), n) + place[at]
+                    cells = (hi - lo) * len(ids)
+                    if 8 * len(cell) < cells or not weights.avglen:
+                        found, back = np.unique(cell, return_inverse=True)
+                        total = np.bincount(back, term[at], len(found))
+                    else:
+                        total = np.bincount(cell, term[at], cells)
+                        found = np.flatnonzero(total)
+                        total = total[found]
+                    query = asking[lo:hi][found // len(ids)]
+                    if seeding:
+                        looked += np.bincount(query, minlength=n_queries)
+                    able = total + bound[query] + slack >= least[query]
+                    query, doc, total = query[able], found[able] % len(ids), total[able]
+                    lo = hi
+                    for c in range(0, len(query), most >> 4):
+                        q, d, t = query[c : c + (most >> 4)], doc[c : c + (most >> 4)], total[c : c + (most >> 4)]
+                        many = a.first[q + 1] - a.first[q]
+                        of, pair = np.repeat(np.arange(len(q)), many), stretches(a.first[q], many)
+                        other = rest[pair]
+                        of, pair = of[other], pair[other]
+                        in_full = full_of[pair_row[pair]]
+                        in_list = np.flatnonzero(in_full < 0)
+                        more = full[in_full, d[of]] if len(full) else np.zeros(len(of))
+                        want = pair_row[pair[in_list]] << 16 | d[of[in_list]]
+                        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                        more[in_list] = np.where(keys[at] == want, term[at], 0.0)
+                        t = t + np.bincount(of, more, len(q))
+                        good = t + slack >= least[q]
+                        new.append((q[good], ids[d[good]], t[good]))
+                        n_new += int(good.sum())
+                    if n_new > max(k * n_queries, most >> 4):
+                        settle()
+        settle()
+        for lo in range(0, len(best[0]), 1 << 14):
+            q, i, s = (b[lo : lo + (1 << 14)] for b in best)
+            yield pa.RecordBatch.from_arrays([pa.array([a.ids[x] for x in q.tolist()], pa.int64()), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
 
     return rows.where(F.col("table_name") == table).select("table_name", "token", "segment", "docs", "tfs").mapInArrow(run, "query_id long, id long, score double")

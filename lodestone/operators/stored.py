@@ -17,9 +17,11 @@ lists of a query's words are decoded and joined with the dead documents.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ SCHEMAS = {
 }
 
 #: Words of queries that one pass over the lists looks for, about.
-PASS = 1 << 16
+PASS = 1 << 17
 
 _own: str | None = None
 
@@ -96,7 +98,6 @@ class Index:
 
     @staticmethod
     def _lengths(lists: DataFrame) -> DataFrame:
-        import numpy as np
         import pyarrow as pa
 
         def run(batches):
@@ -258,8 +259,8 @@ class Index:
     def top_many(self, queries: DataFrame, table: str, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
         """query_id, place, id, score: the best k of each of many queries (query_id, words array), by score, then id.
 
-        Queries are dealt to blocks of about PASS words by a hash of their id; a block's words are looked for in one pass over the
-        lists, and only each task's best k of a query are shuffled. Rows that share a query_id are one query; null words, a null array and words
+        Queries are dealt to blocks of about PASS words by a hash of their id; a block's words are looked for in two passes over the
+        lists, the first for a bound of each query's k-th score, and only each task's best k of a query are shuffled. Rows that share a query_id are one query; null words, a null array and words
         that no document has find nothing. A block's result is written before the next block starts.
         """
         folder = work_folder(self.spark, f"queries-{uuid.uuid4().hex}")
@@ -281,7 +282,12 @@ class Index:
                     if r["token"] in df:
                         asked.setdefault(r["query_id"], []).append(r["token"])
                 wanted = tokens.unionByName(self.spark.createDataFrame([("",)], "token string"))
-                found = P.tops_many(lists.join(F.broadcast(wanted), "token", "left_semi"), list(asked.items()), weights, table, k, digits)
+                lists, many = lists.join(F.broadcast(wanted), "token", "left_semi"), P.Asked(list(asked.items()), df)
+                best = W.partitionBy("query_id").orderBy(F.desc("score"))
+                reached = P.tops_many(lists, many, weights, table, k, digits).withColumn("place", F.row_number().over(best)).where(F.col("place") == k)
+                reached = {r["query_id"]: r["score"] for r in reached.collect()}  # a row a query of the block
+                least = np.array([reached.get(q, -math.inf) for q in many.ids])
+                found = P.tops_many(lists, many, weights, table, k, digits, least)
             else:
                 found = self._scored_many(own, tokens, weights, n, table)
             found = found.withColumn("score", F.round("score", digits))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import postings
 from lodestone.operators.stored import Index
@@ -55,3 +57,30 @@ def test_short_and_unscored_lists_have_no_corners(spark):
     docs = spark.createDataFrame([("t", k, ["all", f"only{k}"], 2) for k in range(200)], "table_name string, id long, tokens array<string>, len int").coalesce(1)
     assert {r["token"] for r in postings.packed(docs).collect() if r["blocks"]} == {"all"}
     assert not [r for r in postings.packed(docs, None, False).collect() if r["blocks"] or r["most"]]
+
+
+@pytest.mark.parametrize("seeds, dense", [(1, 1 << 6), (256, 1 << 21)])
+def test_many_queries_hand_on_only_what_reaches_the_bound(spark, tmp_path, monkeypatch, seeds, dense):
+    """All documents have a word of each query; of each task only those come that can be among a query's best of the whole table."""
+    monkeypatch.setattr(postings, "DOCUMENTS", 64)
+    monkeypatch.setattr(postings, "SEEDS", seeds)
+    monkeypatch.setattr(postings, "DENSE", dense)
+    rows = [("t", k, ["all", *["half"] * (k % 2), f"w{k % 50}", f"v{k % 77}"]) for k in range(800)]
+    docs = spark.createDataFrame(rows, "table_name string, id long, tokens array<string>").withColumn("len", F.size(F.array_distinct("tokens"))).repartition(6)
+    index = Index(spark, f"file://{tmp_path}").build(docs)
+    queries = [(k, ["all", "half", f"w{k}", f"v{k}"]) for k in range(40)] + [(99, ["all"])]
+    found = index.top_many(spark.createDataFrame(queries, "query_id long, words array<string>"), "t", 5).orderBy("query_id", "place").collect()
+    words = {q: own for q, own in queries}
+    got: dict = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    for q in (0, 7, 39, 99):
+        assert got[q] == [(r.id, r.score) for r in index.top(words[q], "t", 5).collect()]
+    df = {r.token: r.tfdoc for r in index.frequency().collect()}
+    weights = index._weights(sorted(df), "t", 1.2, 0.75)
+    asked = postings.Asked(queries[:40], df)
+    least = np.array([got[q][4][1] for q in range(40)])
+    handed = postings.tops_many(index._lists(), asked, weights, "t", 5, 6, least).collect()
+    ties = sum(len([1 for _, s in got[q] if s == got[q][4][1]]) for q in range(40))
+    assert 200 <= len(handed) <= 200 + 5 * ties  # every task's best five would be up to 1,200
+    assert {r.query_id for r in handed} == set(range(40))
