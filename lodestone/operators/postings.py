@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 #: Documents and tokens of a segment, about.
 DOCUMENTS, TOKENS = 1 << 12, 1 << 21
 BLOCK = 1 << 6
-#: Documents with a query's rarest words that give a first bound, and cells of queries and documents that are added up at once.
-SEEDS, DENSE = 256, 1 << 21
+#: Documents with a query's rarest words that give a first bound, and pairs of queries and documents that are looked at at once.
+SEEDS, DENSE = 256, 1 << 16
+#: Documents of a segment of about one length, for which bounds are taken.
+PART = 1 << 9
 #: Bytes of the rows that are sorted by token at once.
 RUN = 1 << 25
 #: A place in a segment is 16 bits.
@@ -300,19 +302,27 @@ def tops(rows: DataFrame, weights: Weights, table: str | None, k: int, digits: i
 class Asked:
     """Many queries as arrays: pairs of a query and a word it has, a query's most frequent words first."""
 
-    def __init__(self, queries: list[tuple[int | None, list[str]]], frequency: dict[str, int]):
-        words = sorted(frequency)
-        number = {w: k for k, w in enumerate(words)}
-        df = np.array([frequency[w] for w in words], np.int64)
-        self.ids, self.words = [q for q, _ in queries], words
-        self.query = np.repeat(np.arange(len(queries)), np.array([len(own) for _, own in queries], np.int64))
-        self.word = np.array([number[w] for _, own in queries for w in own], np.int64)
-        order = np.lexsort((self.word, -df[self.word], self.query))
-        self.word = self.word[order]
-        self.first = np.searchsorted(self.query, np.arange(len(queries) + 1))
-        rarer = np.cumsum(df[self.word][::-1])[::-1] - df[self.word]  # documents of the words after this one, later queries' too
-        after = np.append(rarer + df[self.word], 0)[self.first[1:]]
-        self.seed = rarer - after[self.query] < SEEDS
+    def __init__(self, queries: list[tuple[int | None, list[str]]], frequency: dict[str, int], seeds: int | None = None):
+        number = {w: k for k, w in enumerate(sorted(frequency))}
+        sizes = np.array([len(own) for _, own in queries], np.int64)
+        word = np.fromiter((number[w] for _, own in queries for w in own), np.int32, int(sizes.sum()))
+        self._order([q for q, _ in queries], sorted(number), np.repeat(np.arange(len(queries), dtype=np.int32), sizes), word, np.array([frequency[w] for w in sorted(number)], np.int64), seeds)
+
+    @classmethod
+    def of(cls, ids: list[int | None], words: list[str], query: np.ndarray, word: np.ndarray, df: np.ndarray, seeds: int | None = None) -> Asked:
+        """From pairs of a query's and a word's number, the queries ascending."""
+        out = cls.__new__(cls)
+        out._order(ids, words, query, word, df, seeds)
+        return out
+
+    def _order(self, ids, words, query, word, df, seeds) -> None:
+        order = np.lexsort((word, -df[word], query))
+        self.ids, self.words, self.query, self.word = ids, words, query, word[order]
+        self.first = np.searchsorted(query, np.arange(len(ids) + 1)).astype(np.int32)
+        n = df[self.word]
+        rarer = np.cumsum(n[::-1])[::-1] - n  # documents of the words after this one, later queries' too
+        after = np.append(rarer + n, 0)[self.first[1:]]
+        self.share = np.clip((max(seeds or 0, SEEDS) - (rarer - after[query])) / np.maximum(n, 1), 0, 1).astype(np.float32)  # of a word's documents that are looked at for the first bound
 
 
 def runs(batches) -> Iterator[pa.Table]:
@@ -356,13 +366,62 @@ def first_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, dig
     return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
 
 
+class Segment:
+    """The lists of a segment's words as arrays: rows of words, their documents' places ascending."""
+
+    def __init__(self, lens: np.ndarray, sizes: np.ndarray, place: np.ndarray, tf: np.ndarray, idf: np.ndarray, weights: Weights):
+        self.sizes, self.place, self.begin = sizes, place, np.cumsum(sizes) - sizes
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.factor, self.idf, self.stride = weights.factor(tf, lens[place]), idf, weights.k1 + 2
+        self.largest = idf * np.maximum.reduceat(self.factor, self.begin)
+        self.keys = self.row.astype(np.int64) << 16 | place
+        frequent = 64 * sizes >= len(lens)  # words of many documents are looked up in a table
+        self.full_of = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        some = np.flatnonzero(frequent[self.row])
+        self.full = np.zeros((int(frequent.sum()), len(lens)))
+        self.full[self.full_of[self.row[some]], place[some]] = idf[self.row[some]] * self.factor[some]
+
+    def found(self, row: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the lists, and whether they are these rows' and documents'."""
+        want = row.astype(np.int64) << 16 | doc
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return at, self.keys[at] == want
+
+    def terms(self, row: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The weights of words in documents, 0 where they aren't there."""
+        own = self.full_of[row]
+        out = self.full[own, doc] if len(self.full) else np.zeros(len(row))
+        rare = np.flatnonzero(own < 0)
+        if len(rare):
+            at, there = self.found(row[rare], doc[rare])
+            out[rare] = np.where(there, self.idf[row[rare]] * self.factor[at], 0.0)
+        return out
+
+    def by_weight(self, rows: np.ndarray) -> None:
+        """Sorts the lists of these rows by weight, the largest first."""
+        asked = np.zeros(len(self.sizes), bool)
+        asked[rows] = True
+        some = np.flatnonzero(asked[self.row])
+        key = self.row[some] * self.stride - self.factor[some]
+        order = np.argsort(key)
+        some = some[order]
+        self.sorted_key, self.sorted_doc, self.sorted_term = key[order], self.place[some].astype(np.int32), self.idf[self.row[some]] * self.factor[some]
+        ends = np.cumsum(np.where(asked, self.sizes, 0))
+        self.sorted_begin = ends - np.where(asked, self.sizes, 0)
+
+    def reaching(self, row: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        """How many documents of sorted rows have at least this factor, or a little less."""
+        ends = np.searchsorted(self.sorted_key, row * self.stride - np.clip(factor - 1e-8, -1, self.stride), "right")
+        return np.clip(ends - self.sorted_begin[row], 0, self.sizes[row])
+
+
 def tops_many(rows: DataFrame, asked: Asked, weights: Weights, table: str, k: int, digits: int = 6, least: np.ndarray | None = None) -> DataFrame:
     """query_id, id, score: the best k of each task for each of many queries, by score, then id, both descending.
 
-    rows: the lists of the queries' words. least: scores that k documents of the whole table reach for each query, or -inf. In a segment a query's most frequent words whose largest
-    weights add up to less than its k-th best so far can't bring a document in, so only documents with one of its other words are
-    looked at, and only those that can still reach that score get the weights of the frequent words. So what is done follows the lists of rare words.
-    Without `least` only some documents with each query's rarest words are looked at: what k of them reach is a bound for the second pass, no result.
+    rows: the lists of the queries' words. least: scores that k documents of the whole table reach for each query, or -inf. A document is looked at where it has the query's
+    rarest word that it has at all. There the weights of the more frequent words can be no more than the segment's largest ones, so only documents at the head of the list, sorted by weight,
+    can reach the score; these get the weights of the more frequent words one after the other, as long as they still can.
+    Without `least` only some documents of each query's rarest words are looked at, about SEEDS in the whole table: what k of them reach is a bound for the second pass, no result.
     """
     seeding = least is None
     sent = rows.sparkSession.sparkContext.broadcast((asked, least))  # as many words as a block of queries has
@@ -371,9 +430,8 @@ def tops_many(rows: DataFrame, asked: Asked, weights: Weights, table: str, k: in
     def run(batches):
         a, known = sent.value
         words, n_queries = pa.array(a.words, pa.string()), len(a.ids)
-        idf = np.array([weights.idf[w] for w in a.words])
+        idf_of = np.array([weights.idf[w] for w in a.words])
         least = np.full(n_queries, -np.inf) if known is None else known.copy()
-        looked = np.zeros(n_queries, np.int64)
         slack = 10.0**-digits
         best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         new, n_new = [], 0
@@ -385,7 +443,52 @@ def tops_many(rows: DataFrame, asked: Asked, weights: Weights, table: str, k: in
             best, new, n_new = [b[keep] for b in best], [], 0
             ends = np.flatnonzero(np.diff(best[0], append=-1))
             full = ends[np.diff(ends, prepend=-1) == k]
-            least[best[0][full]] = np.maximum(least[best[0][full]], best[2][full])
+            if not seeding:
+                least[best[0][full]] = np.maximum(least[best[0][full]], best[2][full])
+
+        def candidates(own: Segment, row_of: np.ndarray, number: int):
+            """query, place, score of the documents of a segment that can be among a query's best."""
+            here = np.flatnonzero(row_of[a.word] >= 0)  # pairs whose word the segment has
+            query, row = a.query[here], row_of[a.word[here]]
+            first = np.searchsorted(query, np.arange(n_queries + 1)).astype(np.int32)
+            before = np.append(0.0, np.cumsum(own.largest[row]))
+            before = before[:-1] - before[first[:-1]][query]  # what a query's more frequent words add at most
+            goal = least[query] - slack
+            pairs = np.flatnonzero(a.share[here] > 0 if seeding else before + own.largest[row] >= goal)
+            if not len(pairs):
+                return
+            own.by_weight(np.unique(row[pairs]))
+            if seeding:
+                part = (pairs * 0.6180339887 + number * 0.7548776662) % 1
+                n = np.minimum((a.share[here[pairs]] * own.sizes[row[pairs]] + part).astype(np.int64), own.sizes[row[pairs]])
+            else:
+                n = own.reaching(row[pairs], (goal[pairs] - before[pairs]) / own.idf[row[pairs]])
+            pairs, n = pairs[n > 0].astype(np.int32), n[n > 0]
+            sums, lo = np.append(0, np.cumsum(n)), 0
+            while lo < len(pairs):
+                hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + most, "right")) - 1)
+                at = stretches(own.sorted_begin[row[pairs[lo:hi]]], n[lo:hi])
+                pair, doc, total, step = np.repeat(pairs[lo:hi], n[lo:hi]), own.sorted_doc[at], own.sorted_term[at], 0
+                lo, done = hi, []
+                while len(pair):
+                    step += 1
+                    other = pair - step
+                    ended = other < first[query[pair]]
+                    if ended.any():
+                        done.append((pair[ended], doc[ended], total[ended]))
+                        pair, doc, total, other = pair[~ended], doc[~ended], total[~ended], other[~ended]
+                    total = total + own.terms(row[other], doc)
+                    if not seeding:
+                        able = np.flatnonzero(total + before[other] >= goal[pair])
+                        pair, doc, total = pair[able], doc[able], total[able]
+                pair, doc, total = (np.concatenate(x) for x in zip(*done)) if done else (pair, doc, total)
+                step, rarer = 0, np.arange(len(pair))
+                alone = total >= goal[pair]
+                while len(rarer):  # a document with a rarer word of the query is looked at there
+                    step += 1
+                    rarer = rarer[alone[rarer] & (pair[rarer] + step < first[query[pair[rarer]] + 1])]
+                    alone[rarer] = ~own.found(row[pair[rarer] + step], doc[rarer])[1]
+                yield query[pair[alone]].astype(np.int64), doc[alone], total[alone]
 
         for own in runs(batches):
             number = own.column("segment").to_numpy()
@@ -404,71 +507,32 @@ def tops_many(rows: DataFrame, asked: Asked, weights: Weights, table: str, k: in
                     continue
                 sizes = where[mine + 1] - where[mine]
                 at = stretches(where[mine], sizes)
-                place, row = places_of[at].astype(np.int64), np.repeat(np.arange(len(mine)), sizes)
-                tf, begin = counts_of[at].astype(np.int64), np.cumsum(sizes) - sizes
-                length = lens[place]
-                term = np.repeat(idf[listed_word[mine]], sizes) * weights.factor(tf, length)
-                row_of = np.full(len(words), -1)
-                row_of[listed_word[mine]] = np.arange(len(mine))
-                keys = row << 16 | place
-                full_of = np.where(8 * sizes >= len(ids), np.cumsum(8 * sizes >= len(ids)) - 1, -1)  # words of an eighth of the documents are looked up in a table
-                in_full = np.flatnonzero(full_of[row] >= 0)
-                full = np.zeros((int(full_of.max()) + 1, len(ids)))
-                full[full_of[row[in_full]], place[in_full]] = term[in_full]
-                pair_row = row_of[a.word]
-                here = pair_row >= 0
-                largest = np.where(here, np.maximum.reduceat(term, begin)[pair_row], 0.0)
-                sums = np.cumsum(largest)
-                sums -= (np.append(0.0, sums)[a.first[:-1]])[a.query]  # of a query's words up to this one
-                needed = here & (a.seed & (looked[a.query] < SEEDS) if seeding else sums + slack >= least[a.query])
-                pairs = np.flatnonzero(needed)
-                if not len(pairs):
-                    continue
-                rest = here & ~needed
-                bound = np.bincount(a.query, np.where(rest, largest, 0.0), n_queries)
-                asking, starts = np.unique(a.query[pairs], return_index=True)
-                starts = np.append(starts, len(pairs))
-                size_of = np.append(0, np.cumsum(sizes[pair_row[pairs]]))
-                lo = 0
-                while lo < len(asking):
-                    hi = int(np.searchsorted(size_of[starts[1:]], size_of[starts[lo]] + most, "right"))
-                    hi = min(max(hi, lo + 1), lo + max(1, most // len(ids)))
-                    some = pairs[starts[lo] : starts[hi]]
-                    n = sizes[pair_row[some]]
-                    at = stretches(begin[pair_row[some]], n)
-                    cell = np.repeat(np.searchsorted(asking[lo:hi], a.query[some]) * len(ids), n) + place[at]
-                    cells = (hi - lo) * len(ids)
-                    if 8 * len(cell) < cells or not weights.avglen:
-                        found, back = np.unique(cell, return_inverse=True)
-                        total = np.bincount(back, term[at], len(found))
-                    else:
-                        total = np.bincount(cell, term[at], cells)
-                        found = np.flatnonzero(total)
-                        total = total[found]
-                    query = asking[lo:hi][found // len(ids)]
-                    if seeding:
-                        looked += np.bincount(query, minlength=n_queries)
-                    able = total + bound[query] + slack >= least[query]
-                    query, doc, total = query[able], found[able] % len(ids), total[able]
-                    lo = hi
-                    for c in range(0, len(query), most >> 4):
-                        q, d, t = query[c : c + (most >> 4)], doc[c : c + (most >> 4)], total[c : c + (most >> 4)]
-                        many = a.first[q + 1] - a.first[q]
-                        of, pair = np.repeat(np.arange(len(q)), many), stretches(a.first[q], many)
-                        other = rest[pair]
-                        of, pair = of[other], pair[other]
-                        in_full = full_of[pair_row[pair]]
-                        in_list = np.flatnonzero(in_full < 0)
-                        more = full[in_full, d[of]] if len(full) else np.zeros(len(of))
-                        want = pair_row[pair[in_list]] << 16 | d[of[in_list]]
-                        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                        more[in_list] = np.where(keys[at] == want, term[at], 0.0)
-                        t = t + np.bincount(of, more, len(q))
-                        good = t + slack >= least[q]
-                        new.append((q[good], ids[d[good]], t[good]))
-                        n_new += int(good.sum())
-                    if n_new > max(k * n_queries, most >> 4):
-                        settle()
+                place, tf, word = places_of[at].astype(np.int64), counts_of[at].astype(np.int64), np.repeat(listed_word[mine].astype(np.int64), sizes)
+                parts, by_length = 1, np.arange(len(lens))
+                if not seeding:
+                    parts, by_length, rank = max(1, len(lens) // PART), np.argsort(lens, kind="stable"), np.empty(len(lens), np.int64)
+                    rank[by_length] = np.arange(len(lens))
+                    place = rank[place]
+                key = (place * parts // len(lens)) << 48 | word << 16 | place
+                if not seeding or (np.diff(listed_word[mine]) < 0).any():
+                    order = np.argsort(key)
+                    key, tf = key[order], tf[order]
+                bounds = np.searchsorted(key, np.arange(parts + 1) << 48)
+                for which in range(parts):
+                    lo, hi = bounds[which], bounds[which + 1]
+                    if lo == hi:
+                        continue
+                    base, end = -(-which * len(lens) // parts), -(-(which + 1) * len(lens) // parts)
+                    own_word = key[lo:hi] >> 16 & 0xFFFFFFFF
+                    begin = np.flatnonzero(np.diff(own_word, prepend=-1))
+                    row_of = np.full(len(words), -1, np.int32)
+                    row_of[own_word[begin]] = np.arange(len(begin))
+                    lists = Segment(lens[by_length[base:end]], np.diff(np.append(begin, hi - lo)), (key[lo:hi] & 0xFFFF) - base, tf[lo:hi], idf_of[own_word[begin]], weights)
+                    for query, doc, total in candidates(lists, row_of, segment_number):
+                        new.append((query, ids[by_length[base + doc]], total))
+                        n_new += len(query)
+                        if n_new > max(k * n_queries, 1 << 17):
+                            settle()
         settle()
         for lo in range(0, len(best[0]), 1 << 14):
             q, i, s = (b[lo : lo + (1 << 14)] for b in best)

@@ -37,7 +37,7 @@ SCHEMAS = {
 }
 
 #: Words of queries that one pass over the lists looks for, about.
-PASS = 1 << 17
+PASS = 1 << 20
 
 _own: str | None = None
 
@@ -259,41 +259,57 @@ class Index:
     def top_many(self, queries: DataFrame, table: str, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
         """query_id, place, id, score: the best k of each of many queries (query_id, words array), by score, then id.
 
-        Queries are dealt to blocks of about PASS words by a hash of their id; a block's words are looked for in two passes over the
-        lists, the first for a bound of each query's k-th score, and only each task's best k of a query are shuffled. Rows that share a query_id are one query; null words, a null array and words
+        Rows that share a query_id are one query, and queries of the same words are searched for once. These sets of words are dealt to blocks of about PASS words; a block's words are looked for in two passes
+        over the lists, the first for a bound of each k-th score, and only each task's best k are shuffled. Null words, a null array and words
         that no document has find nothing. A block's result is written before the next block starts.
         """
         folder = work_folder(self.spark, f"queries-{uuid.uuid4().hex}")
-        words = queries.select(F.col("query_id").cast("long").alias("query_id"), F.posexplode("words").alias("at", "token")).where("token <> ''")
-        words = words.groupBy("query_id", "token").agg(F.min("at").alias("at"))
+        words = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode("words").alias("token")).where("token <> ''")
+        words = words.groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("words"))
         words.write.mode("overwrite").parquet(f"{folder}/words")
         words = self.spark.read.schema(words.schema).parquet(f"{folder}/words")
-        blocks = max(1, -(-words.count() // PASS))
+        sets = words.groupBy("words").agg(F.min("query_id").alias("set_id"))  # null only where a null query_id has these words alone
+        sets.write.mode("overwrite").parquet(f"{folder}/sets")
+        sets = self.spark.read.schema(sets.schema).parquet(f"{folder}/sets")
+        blocks = max(1, -(-(sets.agg(F.sum(F.size("words"))).first()[0] or 0) // PASS))
         stats = self.stats()
         n, avglen = sum(c for c, _ in stats.values()), stats.get(table, (0, 0.0))[1]
         for block in range(blocks):
-            own = words.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+            own = sets.where(F.pmod(F.xxhash64("set_id"), F.lit(blocks)) == block).select("set_id", F.explode("words").alias("token"))
             tokens = own.select("token").distinct()
-            df = {r.token: r.tfdoc for r in self.frequency().join(F.broadcast(tokens), "token", "left_semi").collect()}  # about PASS rows at most
-            weights = P.Weights({w: P.idf(n, x) for w, x in df.items()}, avglen, k1, b)
+            found = self.frequency().join(F.broadcast(tokens), "token", "left_semi").toArrow().sort_by("token")  # about PASS rows at most
+            df = found.column("tfdoc").to_numpy()
+            weights = P.Weights({w: P.idf(n, x) for w, x in zip(found.column("token").to_pylist(), df.tolist())}, avglen, k1, b)
             if (lists := self._lists()) is not None:
-                asked: dict = {}
-                for r in sorted(own.collect(), key=lambda r: r["at"]):
-                    if r["token"] in df:
-                        asked.setdefault(r["query_id"], []).append(r["token"])
+                many = self._asked(own, found.column("token"), df, 16 * k)
                 wanted = tokens.unionByName(self.spark.createDataFrame([("",)], "token string"))
-                lists, many = lists.join(F.broadcast(wanted), "token", "left_semi"), P.Asked(list(asked.items()), df)
+                lists = lists.join(F.broadcast(wanted), "token", "left_semi")
                 best = W.partitionBy("query_id").orderBy(F.desc("score"))
                 reached = P.tops_many(lists, many, weights, table, k, digits).withColumn("place", F.row_number().over(best)).where(F.col("place") == k)
-                reached = {r["query_id"]: r["score"] for r in reached.collect()}  # a row a query of the block
+                reached = {r["query_id"]: r["score"] for r in reached.select("query_id", "score").collect()}  # a row a set of the block
                 least = np.array([reached.get(q, -math.inf) for q in many.ids])
                 found = P.tops_many(lists, many, weights, table, k, digits, least)
             else:
-                found = self._scored_many(own, tokens, weights, n, table)
+                found = self._scored_many(own.withColumnRenamed("set_id", "query_id"), tokens, weights, n, table)
             found = found.withColumn("score", F.round("score", digits))
             place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))
-            found.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("query_id", "place", "id", "score").write.mode("overwrite").parquet(f"{folder}/found/block={block}")
-        return self.spark.read.schema("query_id long, place long, id long, score double").parquet(*[f"{folder}/found/block={x}" for x in range(blocks)])
+            found.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("query_id").alias("set_id"), "place", "id", "score").write.mode("overwrite").parquet(f"{folder}/found/block={block}")
+        found = self.spark.read.schema("set_id long, place long, id long, score double").parquet(*[f"{folder}/found/block={x}" for x in range(blocks)])
+        asked = words.join(sets, "words").select("query_id", F.col("set_id").alias("own"))
+        return found.join(asked, F.col("set_id").eqNullSafe(F.col("own"))).select("query_id", "place", "id", "score")
+
+    @staticmethod
+    def _asked(own: DataFrame, tokens, df: np.ndarray, seeds: int) -> P.Asked:
+        """The sets of a block with the words that documents have, as numbers."""
+        import pyarrow.compute as pc
+
+        pairs = own.toArrow()  # about PASS rows
+        word = pc.index_in(pairs.column("token"), value_set=tokens.combine_chunks())
+        pairs, word = pairs.filter(pc.is_valid(word)).column("set_id").combine_chunks(), word.drop_null().to_numpy()
+        ids = pairs.dictionary_encode("encode")
+        query = ids.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(query, kind="stable")
+        return P.Asked.of(ids.dictionary.to_pylist(), tokens.to_pylist(), query[order].astype(np.int32), word[order].astype(np.int32), df, seeds)
 
     def _scored_many(self, own: DataFrame, tokens: DataFrame, weights: P.Weights, n: int, table: str) -> DataFrame:
         """query_id, id, score by joins, where versions after the base count. Sides of a block's words are broadcast."""

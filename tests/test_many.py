@@ -111,3 +111,50 @@ def test_word_ladder_over_lists(spark, ladder, monkeypatch, q, tested):
     want = search.lexical_fallback(docs, scores, q, 12, 3)
     got = search.lexical_fallback_indexed(docs, scores, q, 12, 3, index, "documents", sub)
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+
+
+def test_queries_of_the_same_words_are_searched_once(spark, corpus_index, monkeypatch):
+    """Order, repeats and query_id make no difference; each query gets its rows."""
+    asked, search_for = [], postings.tops_many
+    monkeypatch.setattr(postings, "tops_many", lambda rows, many, *more: (asked.append([tuple(many.words[w] for w in many.word)]), search_for(rows, many, *more))[1])
+    queries = [(k, ["w1", "w2", "w7"] if k % 2 else ["w7", None, "w2", "w1", "w2"]) for k in range(300)] + [(None, ["w7", "w1", "w2"])]
+    got = by_query(corpus_index.top_many(spark.createDataFrame(queries, "query_id long, words array<string>"), "t", 5))
+    assert len(asked) == 2 and all(sorted(words) == ["w1", "w2", "w7"] for pass_ in asked for words in pass_)
+    (rows,) = one_at_a_time(corpus_index, queries[:1], 5).values()
+    assert got == {q: rows for q, _ in queries}
+
+
+class Task:
+    """Stands in for a table of lists: keeps the function of its tasks."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def where(self, *_):
+        return self
+
+    select = where
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_documents_that_cannot_reach_the_bound_are_not_looked_at(spark, tmp_path, monkeypatch):
+    """Of long and short documents with frequent words only few can be among the best: the weights of few pairs are looked up."""
+    rng = np.random.default_rng(3)
+    rows = [("t", k, [f"w{int(x)}" for x in rng.zipf(1.2, 6 if k % 20 == 0 else 60) if x < 3000]) for k in range(2000)]
+    index = Index(spark, f"file://{tmp_path}").build(spark.createDataFrame(rows, DOCS).withColumn("len", F.size(F.array_distinct("tokens"))).coalesce(1))
+    queries = [(k, list(dict.fromkeys(rows[k][2]))[:8]) for k in range(5, 17)]
+    df = {r.token: r.tfdoc for r in index.frequency().collect()}
+    many, weights = postings.Asked(queries, df), index._weights(list(df), "t", 1.2, 0.75)
+    want = one_at_a_time(index, queries, 5)
+    looked, terms = [], postings.Segment.terms
+    monkeypatch.setattr(postings.Segment, "terms", lambda self, row, doc: (looked.append(len(row)), terms(self, row, doc))[1])
+    lists = index._lists().select("table_name", "token", "segment", "docs", "tfs").toArrow().to_batches()
+    found = [r for b in postings.tops_many(Task(spark), many, weights, "t", 5, 6, np.array([want[q][4][1] for q, _ in queries])).run(iter(lists)) for r in b.to_pylist()]
+    got: dict = {}
+    for r in sorted(found, key=lambda r: (-round(r["score"], 6), -r["id"])):
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
+    assert got == want
+    assert sum(looked) < 0.1 * sum(df[w] for _, words in queries for w in words)
