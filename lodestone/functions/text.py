@@ -23,9 +23,14 @@ NOT_WORD = r"[^\p{L}\p{N}\s]"
 SUFFIX = f"({'|'.join(POSTPOSITIONS)})$"
 
 
+def only_words(text: Column) -> Column:
+    """Lower-case words of letters and digits, in order, with ASCII white space between."""
+    return F.regexp_replace(F.lower(text), NOT_WORD, " ")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits, in order, with repeats."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), NOT_WORD, " "), r"\s+"), lambda t: F.length(t) > 0)
+    return F.filter(F.split(only_words(text), r"\s+"), lambda t: F.length(t) > 0)
 
 
 def text_length(tokens_col: Column) -> Column:

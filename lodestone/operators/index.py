@@ -19,6 +19,11 @@ def analysed(df: DataFrame, table_name: str, id_col: str = "id", text_col: str =
     return df.select(F.lit(table_name).alias("table_name"), F.col(id_col).cast("long").alias("id"), t.alias("tokens")).withColumn("len", T.text_length(F.col("tokens")))
 
 
+def cleaned(df: DataFrame, table_name: str, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """table_name, id, tokens as text: the same words with white space between, for builds that cut them and count lengths themselves."""
+    return df.select(F.lit(table_name).alias("table_name"), F.col(id_col).cast("long").alias("id"), T.only_words(F.col(text_col)).alias("tokens"))
+
+
 def counted(tokens: Column) -> Column:
     """Array of (token, tf), from the runs of equal tokens in order; null and empty give an empty one."""
 

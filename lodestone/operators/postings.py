@@ -32,7 +32,7 @@ RUN = 1 << 25
 SCHEMA = "table_name string, token string, segment long, n long, docs binary, tfs binary, blocks binary, starts binary, corners binary, most binary, least binary"
 NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 #: One row group a file, so that no file is cut between tasks; small pages, so that few are read for a token.
-OPTIONS = {"parquet.block.size": str(1 << 30), "parquet.page.row.count.limit": "128", "parquet.page.size": str(1 << 16)}
+OPTIONS = {"parquet.block.size": str(1 << 30), "parquet.page.row.count.limit": "512", "parquet.page.size": str(1 << 16)}
 
 
 def sliced(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -41,13 +41,16 @@ def sliced(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def segment(table: str, number: int, ids: np.ndarray, lens: np.ndarray, tokens: pa.ListArray, corners: bool = True) -> pa.RecordBatch:
-    """The rows of a segment; without corners none of its lists have any."""
+def segment(table: str, number: int, ids: np.ndarray, lens: np.ndarray | None, tokens: pa.ListArray, corners: bool = True) -> pa.RecordBatch:
+    """The rows of a segment; without corners none of its lists have any, without lens a document's length is its distinct tokens."""
     sizes = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.list_flatten(tokens).dictionary_encode()
     key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 16 | np.repeat(np.arange(len(ids)), sizes)
+    if lens is None and (blank := coded.dictionary.index("").as_py()) >= 0:
+        key = key[key >> 16 != blank]  # what a cut leaves before and after a text
     key, tf = np.unique(key, return_counts=True)
     code, doc, tf = key >> 16, (key & 0xFFFF).astype(np.uint16), tf.astype(np.uint32)
+    lens = np.bincount(doc, minlength=len(ids)).astype(np.int32) if lens is None else lens
     first = np.flatnonzero(np.diff(code, prepend=-1))
     by_doc = np.append(first, len(doc))
     counts = np.diff(by_doc)
@@ -57,7 +60,10 @@ def segment(table: str, number: int, ids: np.ndarray, lens: np.ndarray, tokens:
     block = at >> 6
     enters = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(block.astype(np.int64), prepend=-1) != 0))
     entry = np.searchsorted(enters, np.arange(len(at)), "right") - 1
-    order = np.lexsort((length, -often.astype(np.int64), entry))
+    if len(at) and max(length.max(), often.max()) < 1 << 20 and len(enters) < 1 << 23:  # in one number
+        order = np.argsort(entry << 40 | ((1 << 20) - often.astype(np.int64)) << 20 | length)
+    else:
+        order = np.lexsort((length, -often.astype(np.int64), entry))
     sorted_by = length[order].astype(np.int64)
     shortest = np.minimum.accumulate(sorted_by - (entry[order] << 32)) + (entry[order] << 32) if len(order) else sorted_by  # so far in the block, as each block begins anew
     corner = np.ones(len(order), bool)
@@ -75,7 +81,12 @@ def segment(table: str, number: int, ids: np.ndarray, lens: np.ndarray, tokens:
 
 
 def packed(docs: DataFrame, grams: Callable[[pa.Array], pa.ListArray] | None = None, corners: bool = True) -> DataFrame:
-    """The rows of documents (table_name, id, tokens, len), by token in each run. grams: makes the tokens of a batch from the column, else they are arrays."""
+    """The rows of documents (table_name, id, tokens, len), by token in each run. grams: makes the tokens of a batch from the column, else they are arrays, or texts of words with white space between.
+
+    Without a column len a document's length is that of its distinct tokens, and the empty token is none.
+    """
+    given = "len" in docs.columns
+    grams = pc.ascii_split_whitespace if grams is None and dict(docs.dtypes)["tokens"] == "string" else grams
 
     def run(batches):
         from pyspark import TaskContext
@@ -86,14 +97,14 @@ def packed(docs: DataFrame, grams: Callable[[pa.Array], pa.ListArray] | None = N
             nonlocal number, ids, lens, tokens, size
             if ids:
                 own = pa.concat_arrays(tokens) if len(tokens) > 1 else tokens[0]
-                held.append(segment(name, number, np.concatenate(ids), np.concatenate(lens), own, corners))
+                held.append(segment(name, number, np.concatenate(ids), np.concatenate(lens) if given else None, own, corners))
                 number, ids, lens, tokens, size = number + 1, [], [], [], 0
                 if sum(b.nbytes for b in held) >= RUN:
                     yield from in_order()
 
         def in_order():
             if held:
-                rows = pa.Table.from_batches(held)
+                rows = pa.Table.from_batches(held).combine_chunks()  # else each take puts them together anew
                 held.clear()
                 order = pc.sort_indices(rows.select(["token", "segment"]), sort_keys=[("token", "ascending"), ("segment", "ascending")])
                 for lo in range(0, len(order), 10_000):
@@ -110,7 +121,8 @@ def packed(docs: DataFrame, grams: Callable[[pa.Array], pa.ListArray] | None = N
                         name = own
                     words = part.column("tokens") if grams is None else grams(part.column("tokens"))
                     ids.append(part.column("id").to_numpy(zero_copy_only=False).astype(np.int64))
-                    lens.append(part.column("len").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32))
+                    if given:
+                        lens.append(part.column("len").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32))
                     tokens.append(words)
                     size += len(pc.list_flatten(words))
                     if size >= TOKENS or sum(map(len, ids)) >= DOCUMENTS:
@@ -118,7 +130,7 @@ def packed(docs: DataFrame, grams: Callable[[pa.Array], pa.ListArray] | None = N
         yield from flush()
         yield from in_order()
 
-    return docs.select("table_name", "id", "tokens", F.col("len").cast("int").alias("len")).mapInArrow(run, SCHEMA)
+    return docs.select("table_name", "id", "tokens", *[F.col("len").cast("int").alias("len")] * given).mapInArrow(run, SCHEMA)
 
 
 def write(docs: DataFrame, path: str, grams=None, corners: bool = True) -> None:

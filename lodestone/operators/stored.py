@@ -112,7 +112,7 @@ class Index:
         return max((int(key[3:]) for _, _, key in self._markers() if key.startswith("to-")), default=None)
 
     def build(self, docs: DataFrame, version: int | None = None) -> Index:
-        """A base of all analysed documents (table_name, id, tokens, len), as the next version; one below or at the newest is refused."""
+        """A base of all analysed documents (table_name, id, tokens, len) or cleaned ones (table_name, id, tokens as text), as the next version; one below or at the newest is refused."""
         last = self.versions()[1]
         version = last + 1 if version is None else version
         if version <= last:
@@ -282,7 +282,7 @@ class Index:
             weights = P.Weights({w: P.idf(n, x) for w, x in zip(found.column("token").to_pylist(), df.tolist())}, avglen, k1, b)
             if (lists := self._lists()) is not None:
                 many = self._asked(own, found.column("token"), df, 16 * k)
-                wanted = tokens.unionByName(self.spark.createDataFrame([("",)], "token string"))
+                wanted = tokens.unionByName(self.spark.range(1).select(F.lit("").alias("token")))
                 lists = lists.join(F.broadcast(wanted), "token", "left_semi")
                 best = W.partitionBy("query_id").orderBy(F.desc("score"))
                 reached = P.tops_many(lists, many, weights, table, k, digits).withColumn("place", F.row_number().over(best)).where(F.col("place") == k)

@@ -66,7 +66,8 @@ def built(spark, d, name: str, make):
 
 def index(spark, d) -> Index:
     """The stored index of the language: documents and benchmark."""
-    return built(spark, d, "index", lambda folder: Index(spark, folder).build(scope(spark, d)))
+    texts = index_tables.cleaned(load(spark, d, "documents"), "documents", "doc_id", "text").unionByName(index_tables.cleaned(load(spark, d, "benchmark"), "benchmark", "item_id", "text"))
+    return built(spark, d, "index", lambda folder: Index(spark, folder).build(texts))
 
 
 def stem_index(spark, d) -> Index:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import index as index_tables
 from lodestone.operators import postings
 from lodestone.operators.stored import Index
 from lodestone.plans import registry
@@ -84,3 +85,11 @@ def test_many_queries_hand_on_only_what_reaches_the_bound(spark, tmp_path, monke
     ties = sum(len([1 for _, s in got[q] if s == got[q][4][1]]) for q in range(40))
     assert 200 <= len(handed) <= 200 + 5 * ties  # every task's best five would be up to 1,200
     assert {r.query_id for r in handed} == set(range(40))
+
+
+def test_cleaned_texts_give_the_lists_of_analysed_ones(spark):
+    """The workers cut words and count lengths as the column functions do."""
+    texts = [None, "", " ", "...", "The the  THE cat", " a b　c d\te\nf\x0bg\x0ch\x1ci\x85j ", "İstanbul ΣΣ naïve 1½ x́y", "-dash- under_score", "한국어 漢字。 \U0001d4d0\U0001f600b", "w " * 300 + "v"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 20)], "id long, content string").coalesce(1)
+    want, got = postings.packed(index_tables.analysed(docs, "t")).collect(), postings.packed(index_tables.cleaned(docs, "t")).collect()
+    assert got == want and len(want) > 20
