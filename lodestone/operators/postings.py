@@ -24,8 +24,8 @@ DOCUMENTS, TOKENS = 1 << 12, 1 << 21
 BLOCK = 1 << 6
 #: Documents with a query's rarest words that give a first bound, and pairs of queries and documents that are looked at at once.
 SEEDS, DENSE = 256, 1 << 16
-#: Documents of a segment of about one length, for which bounds are taken.
-PART = 1 << 9
+#: Documents of a segment of about one length, for which bounds are taken, and cells of their table of frequent words.
+PART, TABLE = 1 << 9, 1 << 20
 #: Bytes of the rows that are sorted by token at once.
 RUN = 1 << 25
 #: A place in a segment is 16 bits.
@@ -387,7 +387,10 @@ class Segment:
         self.factor, self.idf, self.stride = weights.factor(tf, lens[place]), idf, weights.k1 + 2
         self.largest = idf * np.maximum.reduceat(self.factor, self.begin)
         self.keys = self.row.astype(np.int64) << 16 | place
-        frequent = 64 * sizes >= len(lens)  # words of many documents are looked up in a table
+        frequent = 64 * sizes >= len(lens)  # words of many documents are looked up in a table of at most TABLE cells
+        room = max(1, TABLE // len(lens))
+        if frequent.sum() > room:
+            frequent = sizes > np.partition(sizes, -room)[-room]
         self.full_of = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
         some = np.flatnonzero(frequent[self.row])
         self.full = np.zeros((int(frequent.sum()), len(lens)))

@@ -158,3 +158,15 @@ def test_documents_that_cannot_reach_the_bound_are_not_looked_at(spark, tmp_path
         got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
     assert got == want
     assert sum(looked) < 0.1 * sum(df[w] for _, words in queries for w in words)
+
+
+def test_the_table_of_frequent_words_is_bounded(monkeypatch):
+    """Words beyond its cells are looked up in their lists, with the same weights."""
+    monkeypatch.setattr(postings, "TABLE", 300)
+    sizes = np.array([100, 50, 100, 40, 3])
+    place = np.concatenate([np.arange(n) for n in sizes])
+    idf = np.arange(1.0, 6.0)
+    own = postings.Segment(np.full(100, 10, np.int32), sizes, place, np.ones(len(place), np.int64), idf, postings.Weights({}, 10.0, 1.2, 0.75))
+    assert own.full.size <= 300
+    row, doc = np.repeat(np.arange(5), 100), np.tile(np.arange(100), 5)
+    assert np.allclose(own.terms(row, doc), np.where(doc < sizes[row], idf[row], 0.0))
